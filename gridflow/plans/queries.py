@@ -33,3 +33,377 @@ FROM docs_v WHERE is_deleted = false
 ORDER BY last_modified_timestamp DESC, file_id LIMIT 100""", "docs_v"))
 def q_list_documents(spark, sf_dir):
     return D.list_documents(V.docs_v(spark, sf_dir), limit=100)
+
+
+def _new_snapshot(spark, sf_dir):
+    """A later snapshot of docs_v: ids with id mod 13 = 5 vanish, id mod 5 = 0
+    move one hour later, id mod 17 = 3 become tombstones, and id mod 17 = 0
+    gain a new sibling file ``id + 1000000``."""
+    from pyspark.sql import functions as F
+    d = V.docs_v(spark, sf_dir).withColumn("_id", F.col("file_id").cast("bigint"))
+    kept = d.filter((F.col("_id") % 13) != 5).select(
+        "file_id",
+        F.struct(
+            F.col("file_metadata.name").alias("name"),
+            F.col("file_metadata.size_in_bytes").alias("size_in_bytes"),
+            F.when((F.col("_id") % 5) == 0,
+                   F.timestamp_add("HOUR", F.lit(1), F.col("file_metadata.last_modified_timestamp")))
+             .otherwise(F.col("file_metadata.last_modified_timestamp")).alias("last_modified_timestamp"),
+            F.col("file_metadata.created_timestamp").alias("created_timestamp"),
+        ).alias("file_metadata"),
+        "content",
+        (F.col("is_deleted") | ((F.col("_id") % 17) == 3)).alias("is_deleted"),
+    )
+    added = d.filter((F.col("_id") % 17) == 0).select(
+        (F.col("_id") + 1000000).cast("string").alias("file_id"),
+        F.struct(
+            F.concat(F.lit("new_"), F.col("file_metadata.name")).alias("name"),
+            F.col("file_metadata.size_in_bytes").alias("size_in_bytes"),
+            F.col("file_metadata.last_modified_timestamp").alias("last_modified_timestamp"),
+            F.col("file_metadata.created_timestamp").alias("created_timestamp"),
+        ).alias("file_metadata"),
+        "content", F.lit(False).alias("is_deleted"))
+    return kept.unionByName(added)
+
+
+@register("diff_snapshot", V.with_views("""
+WITH new_v AS (
+  SELECT file_id, name,
+         last_modified_timestamp + CASE WHEN doc_id % 5 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END
+           AS last_modified_timestamp,
+         (is_deleted OR doc_id % 17 = 3) AS is_deleted
+  FROM docs_v WHERE doc_id % 13 <> 5
+  UNION ALL
+  SELECT CAST(doc_id + 1000000 AS VARCHAR), 'new_' || name, last_modified_timestamp, false
+  FROM docs_v WHERE doc_id % 17 = 0)
+SELECT coalesce(n.file_id, o.file_id) AS file_id,
+       CASE WHEN o.file_id IS NULL THEN 'new'
+            WHEN n.file_id IS NULL THEN CASE WHEN o.is_deleted THEN 'unchanged' ELSE 'deleted' END
+            WHEN n.last_modified_timestamp > o.last_modified_timestamp THEN 'changed'
+            WHEN coalesce(o.is_deleted, false) <> coalesce(n.is_deleted, false) THEN 'changed'
+            ELSE 'unchanged' END AS change,
+       CASE WHEN n.file_id IS NOT NULL THEN n.name ELSE o.name END AS name,
+       CASE WHEN n.file_id IS NOT NULL THEN n.last_modified_timestamp ELSE o.last_modified_timestamp END
+         AS last_modified_timestamp,
+       CASE WHEN n.file_id IS NOT NULL THEN n.is_deleted ELSE true END AS is_deleted
+FROM docs_v o FULL OUTER JOIN new_v n ON o.file_id = n.file_id""", "docs_v"))
+def q_diff_snapshot(spark, sf_dir):
+    from pyspark.sql import functions as F
+    out = D.diff_snapshot(V.docs_v(spark, sf_dir), _new_snapshot(spark, sf_dir))
+    return out.select("file_id", "change", F.col("file_metadata.name").alias("name"),
+                      F.col("file_metadata.last_modified_timestamp").alias("last_modified_timestamp"),
+                      "is_deleted")
+
+
+def _listing(spark, sf_dir):
+    return D.list_documents(V.docs_v(spark, sf_dir), limit=None).select("file_id", "name")
+
+
+@register("search_documents", V.with_views("""
+SELECT file_id, name FROM docs_v
+WHERE is_deleted = false
+  AND (contains(lower(coalesce(name, '')), '_en_1') OR contains(lower(coalesce(file_id, '')), '_en_1'))""",
+    "docs_v"))
+def q_search_documents(spark, sf_dir):
+    from gridflow.functions.filters import search
+    return search(_listing(spark, sf_dir), "_EN_1", ["name", "file_id"])
+
+
+@register("name_contains", V.with_views("""
+SELECT file_id, name FROM docs_v
+WHERE is_deleted = false AND contains(lower(coalesce(name, '')), 'rc3_f')""", "docs_v"))
+def q_name_contains(spark, sf_dir):
+    from gridflow.functions.filters import name_contains
+    return name_contains(_listing(spark, sf_dir), "RC3_F")
+
+
+@register("glob_documents", V.with_views("""
+SELECT file_id, name FROM docs_v
+WHERE is_deleted = false
+  AND (name GLOB 'src1?_en_*3.xlsx' OR name GLOB 'src[23]_[!e]?_*[!0-4].xlsx')""", "docs_v"))
+def q_glob_documents(spark, sf_dir):
+    from gridflow.functions.filters import glob_filter
+    return glob_filter(_listing(spark, sf_dir), "name", ["src1?_en_*3.xlsx", "src[23]_[!e]?_*[!0-4].xlsx"])
+
+
+@register("prefix_documents", V.with_views("""
+SELECT file_id, name FROM docs_v WHERE is_deleted = false AND starts_with(name, 'src2_')""", "docs_v"))
+def q_prefix_documents(spark, sf_dir):
+    from gridflow.functions.filters import starts_with
+    return starts_with(_listing(spark, sf_dir), "name", "src2_")
+
+
+# ----------------------------------------------------------------- scalars
+_SAFE_NAME_SQL = ("lower(trim(regexp_replace(regexp_replace(regexp_extract({x}, '[^/]*$', 0), "
+                  "'\\.(xlsx|xls)$', '', 'i'), '[^a-zA-Z0-9_]', '_', 'g'), '_'))")
+
+
+@register("table_names", V.with_views(f"""
+SELECT 'doc' AS kind, file_id AS id, name AS input, {_SAFE_NAME_SQL.format(x='name')} AS table_name
+FROM docs_v
+UNION ALL
+SELECT 'page', CAST(page_id AS VARCHAR), url, {_SAFE_NAME_SQL.format(x='url')} FROM pages""", "docs_v"))
+def q_table_names(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.functions.scalars import table_name
+    docs = V.docs_v(spark, sf_dir).select(
+        F.lit("doc").alias("kind"), F.col("file_id").alias("id"),
+        F.col("file_metadata.name").alias("input"))
+    pages = V.table(spark, sf_dir, "pages").select(
+        F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"),
+        F.col("url").alias("input"))
+    both = docs.unionByName(pages)
+    return both.withColumn("table_name", table_name(F.col("input")))
+
+
+_UUID_SQL = ("substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 9, 4) || '-' "
+             "|| substr(md5(CAST(doc_id AS VARCHAR)), 13, 4) || '-' || substr(md5(CAST(doc_id AS VARCHAR)), 17, 4) "
+             "|| '-' || substr(md5(CAST(doc_id AS VARCHAR)), 21, 12)")
+
+
+@register("extract_uuid", f"""
+WITH c AS (
+  SELECT doc_id, CASE doc_id % 5
+      WHEN 0 THEN 'Site ID: ' || {_UUID_SQL}
+      WHEN 1 THEN 'see ' || upper({_UUID_SQL}) || ' for the site'
+      WHEN 2 THEN 'the id is pending'
+      WHEN 3 THEN 'nothing to see here'
+      ELSE NULL END AS comment
+  FROM documents)
+SELECT doc_id, comment,
+       CASE WHEN comment IS NULL OR comment = '' THEN ''
+            WHEN contains(lower(comment), 'site') OR contains(lower(comment), 'id') THEN
+              CASE WHEN regexp_extract(comment, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', 0) <> ''
+                   THEN regexp_extract(comment, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}', 0)
+                   ELSE comment END
+            ELSE '' END AS site_id
+FROM c""")
+def q_extract_uuid(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.functions.scalars import extract_uuid
+    h = F.md5(F.col("doc_id").cast("string"))
+    u = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                    F.substring(h, 17, 4), F.substring(h, 21, 12))
+    m = F.col("doc_id") % 5
+    comment = (F.when(m == 0, F.concat(F.lit("Site ID: "), u))
+               .when(m == 1, F.concat(F.lit("see "), F.upper(u), F.lit(" for the site")))
+               .when(m == 2, F.lit("the id is pending"))
+               .when(m == 3, F.lit("nothing to see here")))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", comment.alias("comment"))
+    return d.withColumn("site_id", extract_uuid(F.col("comment")))
+
+
+@register("content_bytes", """
+SELECT doc_id,
+       CASE WHEN doc_id % 9 = 0 THEN NULL ELSE octet_length(encode(text)) END AS n_bytes,
+       CASE WHEN doc_id % 9 = 0 THEN NULL ELSE octet_length(encode(text)) END AS n_bytes_struct,
+       octet_length(encode(text)) AS n_bytes_binary
+FROM documents""")
+def q_content_bytes(spark, sf_dir):
+    """H3 on three stored shapes of the same bytes: base64 text (corrupted for
+    id mod 9 = 0, which must give NULL, not a failed task), a struct wrapping
+    that text, and plain binary."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from gridflow.functions.scalars import normalise_content
+    d = V.table(spark, sf_dir, "documents")
+    raw = F.encode("text", "UTF-8")
+    b64 = F.when((F.col("doc_id") % 9) == 0, F.concat(F.lit("!!"), F.base64(raw))).otherwise(F.base64(raw))
+    shaped = d.select("doc_id", b64.alias("as_text"),
+                      F.struct(b64.alias("inline_content")).alias("as_struct"), raw.alias("as_binary"))
+    st = T.StructType([T.StructField("inline_content", T.StringType())])
+    return shaped.select(
+        "doc_id",
+        F.octet_length(normalise_content(F.col("as_text"), T.StringType())).cast("bigint").alias("n_bytes"),
+        F.octet_length(normalise_content(F.col("as_struct"), st)).cast("bigint").alias("n_bytes_struct"),
+        F.octet_length(normalise_content(F.col("as_binary"), T.BinaryType())).cast("bigint")
+         .alias("n_bytes_binary"))
+
+
+@register("nonblank_split", """
+WITH v AS (
+  SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '   ' WHEN 1 THEN NULL WHEN 2 THEN ''
+                 WHEN 3 THEN chr(9) || ' ' ELSE substr(text, 1, 30) END AS value
+  FROM documents)
+SELECT doc_id, value, CASE WHEN regexp_matches(coalesce(value, ''), '\\S') THEN 'ok' ELSE 'reject' END AS status
+FROM v""")
+def q_nonblank_split(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.functions.filters import require_nonblank
+    m = F.col("doc_id") % 7
+    v = (F.when(m == 0, F.lit("   ")).when(m == 1, F.lit(None).cast("string"))
+         .when(m == 2, F.lit("")).when(m == 3, F.lit("\t "))
+         .otherwise(F.substring("text", 1, 30)))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", v.alias("value"))
+    ok, rejects = require_nonblank(d, "value")
+    return ok.withColumn("status", F.lit("ok")).unionByName(rejects.withColumn("status", F.lit("reject")))
+
+
+# ------------------------------------------------------------------ keyed
+@register("missing_keys", """
+SELECT c_custkey, c_name FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""")
+def q_missing_keys(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.keyed import missing_keys
+    cust = V.table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    orders = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return missing_keys(cust, orders, "c_custkey")
+
+
+@register("insert_if_absent", """
+WITH t AS (SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0),
+r AS (SELECT c_custkey, c_name || '_new' AS c_name, c_mktsegment FROM customer WHERE c_custkey % 2 = 0
+      UNION ALL
+      SELECT c_custkey, c_name || '_dup', c_mktsegment FROM customer WHERE c_custkey % 10 = 4),
+u AS (SELECT * FROM r WHERE c_custkey IN (SELECT c_custkey FROM r GROUP BY 1 HAVING count(*) = 1))
+SELECT *, 'existing' AS origin FROM t
+UNION ALL
+SELECT *, 'inserted' FROM u WHERE c_custkey NOT IN (SELECT c_custkey FROM t)""")
+def q_insert_if_absent(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.keyed import insert_if_absent
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    t = c.filter((F.col("c_custkey") % 3) != 0)
+    r = (c.filter((F.col("c_custkey") % 2) == 0).withColumn("c_name", F.concat("c_name", F.lit("_new")))
+         .unionByName(c.filter((F.col("c_custkey") % 10) == 4)
+                      .withColumn("c_name", F.concat("c_name", F.lit("_dup")))))
+    _, inserted, _ = insert_if_absent(t, r, "c_custkey")
+    return (t.withColumn("origin", F.lit("existing"))
+            .unionByName(inserted.withColumn("origin", F.lit("inserted"))))
+
+
+@register("update_where", """
+SELECT o_orderkey, o_orderstatus,
+       CASE WHEN o_orderstatus = 'O' AND o_totalprice > 300000 THEN '1-URGENT' ELSE o_orderpriority END
+         AS o_orderpriority
+FROM orders""")
+def q_update_where(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.keyed import update_where
+    o = V.table(spark, sf_dir, "orders")
+    out = update_where(o, (F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 300000),
+                       {"o_orderpriority": "1-URGENT"})
+    return out.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@register("delete_where", """
+SELECT o_orderkey, o_custkey, (o_orderpriority = '5-LOW' AND o_orderstatus = 'F') AS deleted FROM orders""")
+def q_delete_where(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.keyed import delete_where
+    o = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority",
+                                                 "o_orderstatus")
+    kept, gone = delete_where(o, (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F"))
+    return (kept.select("o_orderkey", "o_custkey", F.lit(False).alias("deleted"))
+            .unionByName(gone.select("o_orderkey", "o_custkey", F.lit(True).alias("deleted"))))
+
+
+@register("latest_per_key", """
+SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders) WHERE rn = 1""")
+def q_latest_per_key(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.keyed import latest_per_key
+    o = V.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return latest_per_key(o, "o_custkey", [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()])
+
+
+@register("best_by_priority", """
+SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY
+      CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 99 END,
+      CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 99 END,
+      o_orderkey) AS rn
+  FROM orders) WHERE rn = 1""")
+def q_best_by_priority(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.keyed import best_by_priority
+    o = V.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus",
+                                                 "o_orderpriority")
+    return best_by_priority(o, "o_custkey",
+                            [("o_orderstatus", ["F", "O"]),
+                             ("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"])],
+                            tiebreak=[F.col("o_orderkey")])
+
+
+@register("list_registry", V.with_views("""
+SELECT connection_id, connection_name, file_id, target_table, sync_enabled, created_at
+FROM tracked_v ORDER BY created_at DESC, connection_id""", "tracked_v"))
+def q_list_registry(spark, sf_dir):
+    from gridflow.operators.keyed import list_registry
+    t = V.tracked_v(spark, sf_dir).select("connection_id", "connection_name", "file_id",
+                                          "target_table", "sync_enabled", "created_at")
+    return list_registry(t)
+
+
+# ------------------------------------------------------------------- gate
+@register("resolve_tracked", V.with_views("""
+SELECT r.connection_id, t.document_table, t.file_id,
+       CASE WHEN t.connection_id IS NULL THEN 'job_not_found'
+            WHEN NOT EXISTS (SELECT 1 FROM docs_v d WHERE d.file_id = t.file_id AND d.is_deleted = false)
+              THEN 'file_not_found'
+            ELSE 'ok' END AS outcome
+FROM (SELECT 'c' || CAST(doc_id AS VARCHAR) AS connection_id FROM documents) r
+LEFT JOIN tracked_v t ON r.connection_id = t.connection_id""", "docs_v", "tracked_v"))
+def q_resolve_tracked(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.gate import resolve_tracked
+    req = V.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("connection_id"))
+    return resolve_tracked(req, V.tracked_v(spark, sf_dir), V.docs_v(spark, sf_dir))
+
+
+GATE_SQL = """
+WITH ft AS (SELECT file_id, max(last_modified_timestamp) AS file_ts
+            FROM docs_v WHERE is_deleted = false GROUP BY file_id)
+SELECT t.connection_id, t.file_id, t.target_table, t.target_exists, t.sync_enabled,
+       CASE WHEN ft.file_ts IS NULL THEN false WHEN NOT t.target_exists THEN true
+            WHEN s.watermark IS NULL THEN true WHEN ft.file_ts <= s.watermark THEN false
+            ELSE true END AS should_process,
+       CASE WHEN ft.file_ts IS NULL THEN 'File not found in documents table'
+            WHEN NOT t.target_exists THEN 'Target table does not exist: initial load'
+            WHEN s.watermark IS NULL THEN 'No watermark found: full sync'
+            WHEN ft.file_ts <= s.watermark THEN 'File is up to date'
+            ELSE 'File has newer changes' END AS reason,
+       ft.file_ts AS file_last_updated, s.watermark AS table_last_updated
+FROM tracked_v t LEFT JOIN ft ON ft.file_id = t.file_id
+LEFT JOIN state_v s ON s.target_table = t.target_table AND s.file_id = t.file_id"""
+
+
+@register("sync_gate", V.with_views(GATE_SQL, "docs_v", "tracked_v", "state_v"))
+def q_sync_gate(spark, sf_dir):
+    from gridflow.operators.gate import sync_gate
+    t = V.tracked_v(spark, sf_dir).select("connection_id", "file_id", "target_table",
+                                          "target_exists", "sync_enabled")
+    return sync_gate(t, V.docs_v(spark, sf_dir), V.state_v(spark, sf_dir))
+
+
+# -------------------------------------------------------------------- SQL
+@register("run_sql_params", """
+SELECT o_orderstatus, count(*) AS n_orders, max(o_totalprice) AS max_total, min(o_orderdate) AS first_date
+FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderpriority = '1-URGENT'
+GROUP BY o_orderstatus""")
+def q_run_sql_params(spark, sf_dir):
+    import datetime as dt
+
+    from gridflow.sources.sql import run_sql
+    return run_sql(spark, """
+        SELECT o_orderstatus, count(*) AS n_orders, max(o_totalprice) AS max_total,
+               min(o_orderdate) AS first_date
+        FROM {orders} WHERE o_orderdate >= :since AND o_orderpriority = :prio
+        GROUP BY o_orderstatus""",
+                   inputs={"orders": V.table(spark, sf_dir, "orders")},
+                   args={"since": dt.date(1997, 1, 1), "prio": "1-URGENT"})

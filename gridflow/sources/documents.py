@@ -96,21 +96,23 @@ def diff_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     One full outer join; each side shuffles once on the key.
     """
     o = old.select(F.col("file_id"), F.col("file_metadata").alias("o_meta"),
-                   F.col("content").alias("o_content"), F.col("is_deleted").alias("o_deleted"))
+                   F.col("content").alias("o_content"), F.col("is_deleted").alias("o_deleted"),
+                   F.lit(True).alias("_in_old"))
     n = new.select(F.col("file_id"), F.col("file_metadata").alias("n_meta"),
-                   F.col("content").alias("n_content"), F.col("is_deleted").alias("n_deleted"))
+                   F.col("content").alias("n_content"), F.col("is_deleted").alias("n_deleted"),
+                   F.lit(True).alias("_in_new"))
     j = o.join(n, on="file_id", how="full_outer")
     o_ts = F.col("o_meta.last_modified_timestamp")
     n_ts = F.col("n_meta.last_modified_timestamp")
-    change = (F.when(F.col("o_meta").isNull(), F.lit("new"))
-              .when(F.col("n_meta").isNull(),
+    change = (F.when(F.col("_in_old").isNull(), F.lit("new"))
+              .when(F.col("_in_new").isNull(),
                     F.when(F.col("o_deleted") == F.lit(True), F.lit("unchanged"))
                     .otherwise(F.lit("deleted")))
               .when(n_ts > o_ts, F.lit("changed"))
               .when(F.coalesce(F.col("o_deleted"), F.lit(False))
                     != F.coalesce(F.col("n_deleted"), F.lit(False)), F.lit("changed"))
               .otherwise(F.lit("unchanged")))
-    in_new = F.col("n_meta").isNotNull()
+    in_new = F.col("_in_new").isNotNull()
     return j.select(
         F.col("file_id"),
         F.when(in_new, F.col("n_meta")).otherwise(F.col("o_meta")).alias("file_metadata"),
