@@ -407,3 +407,210 @@ def q_run_sql_params(spark, sf_dir):
         GROUP BY o_orderstatus""",
                    inputs={"orders": V.table(spark, sf_dir, "orders")},
                    args={"since": dt.date(1997, 1, 1), "prio": "1-URGENT"})
+
+
+# ------------------------------------------------------------------- grid
+# DuckDB text of the cell classes and the type decision, written
+# independently of the Spark expressions it checks.
+_NA_SQL = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
+           "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+GRID_CELLS_SQL = f"""
+cells_x AS (
+  SELECT file_id, sheet, row_ix, i - 1 AS col_ix, cells[i].kind AS kind, cells[i].raw AS raw
+  FROM (SELECT *, generate_subscripts(cells, 1) AS i FROM grid_v WHERE row_ix > 2)),
+cls_x AS (
+  SELECT *, CASE
+    WHEN kind = 'null' OR raw IS NULL THEN 'null'
+    WHEN kind IN ('s', 'e') AND raw IN ({_NA_SQL}) THEN 'null'
+    WHEN kind = 'n' THEN CASE WHEN TRY_CAST(raw AS DOUBLE) = floor(TRY_CAST(raw AS DOUBLE))
+                               AND abs(TRY_CAST(raw AS DOUBLE)) < 9.223372036854775e18
+                              THEN 'int' ELSE 'float' END
+    WHEN kind = 'b' THEN 'bool'
+    WHEN kind = 'd' THEN 'date'
+    WHEN regexp_full_match(trim(raw), '[+-]?[0-9]+') THEN
+      CASE WHEN TRY_CAST(trim(raw) AS BIGINT) IS NOT NULL THEN 'int' ELSE 'text' END
+    WHEN regexp_full_match(trim(raw), '[+-]?([0-9]+\\.[0-9]*|\\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?') THEN 'float'
+    WHEN trim(raw) IN ('True', 'TRUE', 'true', 'False', 'FALSE', 'false') THEN 'bool_text'
+    ELSE 'text' END AS cls
+  FROM cells_x)"""
+
+
+@register("infer_columns", V.with_views(f"""
+WITH {GRID_CELLS_SQL},
+n AS (SELECT file_id, sheet, count(*) AS n_rows FROM grid_v WHERE row_ix > 2 GROUP BY ALL),
+cnt AS (
+  SELECT file_id, sheet, col_ix,
+         count(*) FILTER (WHERE cls = 'int') AS c_int, count(*) FILTER (WHERE cls = 'float') AS c_float,
+         count(*) FILTER (WHERE cls = 'bool') AS c_bool, count(*) FILTER (WHERE cls = 'bool_text') AS c_bt,
+         count(*) FILTER (WHERE cls = 'date') AS c_date, count(*) FILTER (WHERE cls = 'text') AS c_text,
+         count(*) FILTER (WHERE cls <> 'null') AS nn
+  FROM cls_x GROUP BY ALL),
+names AS (
+  SELECT file_id, sheet, i - 1 AS col_ix, cells[i].raw AS name
+  FROM (SELECT *, generate_subscripts(cells, 1) AS i FROM grid_v WHERE row_ix = 2))
+SELECT names.file_id, names.sheet, CAST(names.col_ix AS INTEGER) AS col_ix, name,
+  CASE WHEN coalesce(n_rows, 0) = 0 THEN 'STRING'
+       WHEN coalesce(nn, 0) = 0 THEN 'DOUBLE'
+       WHEN c_text > 0 THEN 'STRING'
+       WHEN c_date > 0 THEN CASE WHEN c_date = nn THEN 'TIMESTAMP' ELSE 'STRING' END
+       WHEN c_bt > 0 THEN CASE WHEN c_bt = nn AND n_rows = nn THEN 'BOOLEAN' ELSE 'STRING' END
+       WHEN c_bool > 0 THEN CASE WHEN c_float > 0 THEN 'DOUBLE'
+                                 WHEN n_rows > nn THEN 'DOUBLE'
+                                 WHEN c_int > 0 THEN 'BIGINT' ELSE 'BOOLEAN' END
+       WHEN c_float > 0 THEN 'DOUBLE'
+       WHEN n_rows > nn THEN 'DOUBLE' ELSE 'BIGINT' END AS type,
+  (coalesce(n_rows, 0) - coalesce(nn, 0) > 0) AS nullable
+FROM names LEFT JOIN n USING (file_id, sheet) LEFT JOIN cnt USING (file_id, sheet, col_ix)""", "grid_v"))
+def q_infer_columns(spark, sf_dir):
+    from gridflow.operators.grid import infer_columns
+    return infer_columns(V.grid_v(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
+
+
+@register("column_samples", V.with_views(f"""
+WITH {GRID_CELLS_SQL}
+SELECT file_id, sheet, CAST(col_ix AS INTEGER) AS col_ix, string_agg(raw, '|' ORDER BY row_ix) AS samples
+FROM (SELECT *, row_number() OVER (PARTITION BY file_id, sheet, col_ix ORDER BY row_ix) AS rn
+      FROM cls_x WHERE cls <> 'null')
+WHERE rn <= 3 GROUP BY ALL""", "grid_v"))
+def q_column_samples(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.grid import column_samples
+    s = column_samples(V.grid_v(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
+    return s.select("file_id", "sheet", "col_ix", F.array_join("sample_values", "|").alias("samples"))
+
+
+@register("sheet_shape", V.with_views("""
+SELECT file_id, sheet, CAST(count(*) FILTER (WHERE row_ix > 2) AS BIGINT) AS row_count,
+       CAST(max(len(cells)) FILTER (WHERE row_ix >= 2) AS INTEGER) AS column_count
+FROM grid_v GROUP BY ALL""", "grid_v"))
+def q_sheet_shape(spark, sf_dir):
+    from gridflow.operators.grid import sheet_shape
+    return sheet_shape(V.grid_v(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
+
+
+@register("preview_rows", V.with_views("""
+SELECT file_id, sheet, row_ix, len(cells) AS n_values,
+       array_to_string(list_transform(cells, lambda c: CASE WHEN c.kind = 'null' THEN '' ELSE coalesce(c.raw, '') END), '|')
+         AS values_text
+FROM grid_v WHERE sheet_ix = 0 AND row_ix < 100""", "grid_v"))
+def q_preview_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.grid import preview
+    p = preview(V.grid_v(spark, sf_dir), max_rows=100)
+    return p.select("file_id", "sheet", "row_ix", F.size("values").alias("n_values"),
+                    F.concat_ws("|", F.transform("values", lambda v: F.coalesce(v, F.lit(""))))
+                    .alias("values_text"))
+
+
+_LI_ROWS_SQL = """
+SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey, l_linenumber, l_partkey,
+                                        l_quantity, l_extendedprice) + 2 AS INTEGER) AS row_ix, *
+FROM li_v"""
+
+
+def _promoted(spark, sf_dir):
+    from gridflow.operators.grid import layout_names, promote_header
+    rows = V.grid_v(spark, sf_dir)
+    names = layout_names(rows, V.GRID_HEADER_ROW)
+    if len(names) != 1:
+        raise ValueError(f"expected one header layout, got {len(names)}")
+    return rows, promote_header(rows, names[0], header_row=V.GRID_HEADER_ROW)
+
+
+@register("promote_header", V.with_views(f"""
+WITH r AS ({_LI_ROWS_SQL})
+SELECT file_id, 'Sheet1' AS sheet, row_ix, CAST(l_shipdate AS VARCHAR) AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU",
+       CAST(l_quantity AS VARCHAR) AS "Qty",
+       CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE CAST(l_extendedprice AS VARCHAR) END AS "Price",
+       CASE WHEN l_linestatus = 'O' THEN 'true' ELSE 'false' END AS "Open"
+FROM r""", "grid_v"))
+def q_promote_header(spark, sf_dir):
+    from gridflow.operators.grid import as_text
+    _, p = _promoted(spark, sf_dir)
+    return as_text(p)
+
+
+GRID_SCHEMA = [("Date", "TIMESTAMP"), ("SKU", "STRING"), ("Qty", "BIGINT"), ("Price", "DOUBLE"),
+               ("Open", "BOOLEAN")]
+_TYPED_SQL = """
+SELECT file_id, row_ix, l_shipdate AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU",
+       CAST(l_quantity AS BIGINT) AS "Qty",
+       CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price",
+       l_linestatus = 'O' AS "Open", CAST(l_suppkey AS VARCHAR) AS supplier_id
+FROM r"""
+
+
+@register("apply_schema", V.with_views(f"""
+WITH r AS ({_LI_ROWS_SQL}), t AS ({_TYPED_SQL})
+SELECT file_id, row_ix, "Date", "SKU", "Qty", "Price", "Open" FROM t""", "grid_v"))
+def q_apply_schema(spark, sf_dir):
+    from gridflow.operators.grid import apply_schema
+    _, p = _promoted(spark, sf_dir)
+    return apply_schema(p, GRID_SCHEMA, keys=("file_id", "row_ix"))
+
+
+def _typed_with_owner(spark, sf_dir):
+    from gridflow.operators.grid import apply_schema, attach_fixed_cell
+    rows, p = _promoted(spark, sf_dir)
+    typed = apply_schema(p, GRID_SCHEMA, keys=("file_id", "row_ix"))
+    return attach_fixed_cell(rows, typed, 0, 1, "supplier_id")
+
+
+@register("attach_fixed_cell", V.with_views(f"""
+WITH r AS ({_LI_ROWS_SQL}), t AS ({_TYPED_SQL})
+SELECT file_id, row_ix, supplier_id, "SKU" FROM t""", "grid_v"))
+def q_attach_fixed_cell(spark, sf_dir):
+    return _typed_with_owner(spark, sf_dir).select("file_id", "row_ix", "supplier_id", "SKU")
+
+
+@register("null_profile", V.with_views(f"""
+WITH r AS ({_LI_ROWS_SQL}), t AS ({_TYPED_SQL})
+SELECT 'Date' AS column_name, count(*) FILTER (WHERE "Date" IS NULL) AS null_count FROM t
+UNION ALL SELECT 'SKU', count(*) FILTER (WHERE "SKU" IS NULL) FROM t
+UNION ALL SELECT 'Qty', count(*) FILTER (WHERE "Qty" IS NULL) FROM t
+UNION ALL SELECT 'Price', count(*) FILTER (WHERE "Price" IS NULL) FROM t
+UNION ALL SELECT 'Open', count(*) FILTER (WHERE "Open" IS NULL) FROM t
+UNION ALL SELECT 'supplier_id', count(*) FILTER (WHERE supplier_id IS NULL) FROM t""", "grid_v"))
+def q_null_profile(spark, sf_dir):
+    from gridflow.operators.quality import null_profile
+    t = _typed_with_owner(spark, sf_dir)
+    return null_profile(t, ["Date", "SKU", "Qty", "Price", "Open", "supplier_id"])
+
+
+@register("single_value_check", """
+SELECT 'supplier_consistency' AS "check", count(DISTINCT l_suppkey) AS n_distinct,
+       count(DISTINCT l_suppkey) = 1 AS passed FROM lineitem""")
+def q_single_value_check(spark, sf_dir):
+    from gridflow.operators.quality import single_value_check
+    return single_value_check(_typed_with_owner(spark, sf_dir), "supplier_id")
+
+
+@register("quality_report", V.with_views(f"""
+WITH r AS ({_LI_ROWS_SQL}), t AS ({_TYPED_SQL}),
+a AS (SELECT count(*) AS n, count(*) FILTER (WHERE "Price" IS NULL) AS np,
+             count(DISTINCT supplier_id) AS owners FROM t)
+SELECT 'row_count' AS "check", CAST(n AS VARCHAR) AS value, n > 0 AS passed FROM a
+UNION ALL SELECT 'required_columns', '', true FROM a
+UNION ALL SELECT 'null_values', 'Date=0,Open=0,Price=' || CAST(np AS VARCHAR) || ',Qty=0,SKU=0,supplier_id=0', true FROM a
+UNION ALL SELECT 'supplier_consistency', CAST(owners AS VARCHAR), owners = 1 FROM a""", "grid_v"))
+def q_quality_report(spark, sf_dir):
+    from gridflow.operators.quality import quality_report
+    t = _typed_with_owner(spark, sf_dir).drop("file_id", "row_ix")
+    return quality_report(t, required=("Date", "SKU", "Qty", "supplier_id"), owner_col="supplier_id")
+
+
+@register("summarise_runs", V.with_views(f"""
+WITH g AS ({GATE_SQL})
+SELECT CASE WHEN should_process THEN 'processed' ELSE 'skipped' END AS status, reason,
+       count(*) AS n_items
+FROM g GROUP BY ALL""", "docs_v", "tracked_v", "state_v"))
+def q_summarise_runs(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.quality import summarise_runs
+    g = q_sync_gate(spark, sf_dir)
+    log = g.withColumn("status", F.when(F.col("should_process"), F.lit("processed"))
+                       .otherwise(F.lit("skipped")))
+    return summarise_runs(log)
