@@ -614,3 +614,71 @@ def q_summarise_runs(spark, sf_dir):
     log = g.withColumn("status", F.when(F.col("should_process"), F.lit("processed"))
                        .otherwise(F.lit("skipped")))
     return summarise_runs(log)
+
+
+# --------------------------------------------------------------- workbooks
+def workbook_docs(spark, sf_dir):
+    """``grid_v`` encoded as real .xlsx files, in the documents schema: one
+    workbook per supplier and order block, made by ``applyInPandas`` per file."""
+    from gridflow.sources.workbook import as_documents, encode_workbooks
+    return as_documents(encode_workbooks(V.grid_v(spark, sf_dir)))
+
+
+def _decoded(spark, sf_dir):
+    from gridflow.sources.workbook import decode_workbooks
+    return decode_workbooks(workbook_docs(spark, sf_dir))
+
+
+@register("decode_workbooks", V.with_views("""
+SELECT file_id, sheet, row_ix, len(cells) AS n_values,
+       array_to_string(list_transform(cells, lambda c: CASE WHEN c.kind = 'null' THEN '' ELSE coalesce(c.raw, '') END), '|')
+         AS values_text,
+       array_to_string(list_transform(cells, lambda c: c.kind), '|') AS kinds_text
+FROM grid_v""", "grid_v"))
+def q_decode_workbooks(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.sources.workbook import grid_rows
+    r = grid_rows(_decoded(spark, sf_dir))
+    return r.select("file_id", "sheet", "row_ix", F.size("cells").alias("n_values"),
+                    F.concat_ws("|", F.transform("cells", lambda c: F.when(c.kind == "null", F.lit(""))
+                                                 .otherwise(F.coalesce(c.raw, F.lit(""))))).alias("values_text"),
+                    F.concat_ws("|", F.transform("cells", lambda c: c.kind)).alias("kinds_text"))
+
+
+@register("list_sheets", V.with_views("""
+SELECT DISTINCT file_id, 'Sheet1' AS sheets_text, 'Sheet1' AS default_sheet FROM li_v""", "grid_v"))
+def q_list_sheets(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from gridflow.sources.workbook import list_sheets
+    s = list_sheets(_decoded(spark, sf_dir))
+    return s.select("file_id", F.array_join("sheets", "|").alias("sheets_text"), "default_sheet")
+
+
+@register("decode_log", V.with_views("""
+SELECT file_id, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_sheets, CAST(NULL AS VARCHAR) AS error
+FROM grid_v GROUP BY file_id""", "grid_v"))
+def q_decode_log(spark, sf_dir):
+    from gridflow.sources.workbook import decode_log
+    return decode_log(_decoded(spark, sf_dir))
+
+
+PARSE_SELECTED = ["Date", "Qty", "Price", "SKU"]
+
+
+@register("parse_to_table", """
+SELECT l_shipdate AS "Date", CAST(l_quantity AS BIGINT) AS "Qty",
+       CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price",
+       'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU"
+FROM lineitem""")
+def q_parse_to_table(spark, sf_dir):
+    """K3 without the table write: decode all workbooks once (landed as
+    parquet in the shared folder), promote row 2, keep four columns in request
+    order, infer their types over all files, cast."""
+    from gridflow.plans.jobs import build_typed
+    from gridflow.session import land
+    from gridflow.sources.workbook import grid_rows
+    decoded = land(_decoded(spark, sf_dir), "decoded")
+    typed, _ = build_typed(grid_rows(decoded), V.GRID_HEADER_ROW, None, PARSE_SELECTED)
+    return typed.drop("_rejected")
