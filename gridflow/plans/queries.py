@@ -682,3 +682,119 @@ def q_parse_to_table(spark, sf_dir):
     decoded = land(_decoded(spark, sf_dir), "decoded")
     typed, _ = build_typed(grid_rows(decoded), V.GRID_HEADER_ROW, None, PARSE_SELECTED)
     return typed.drop("_rejected")
+
+
+# -------------------------------------------------------------- contracts
+GIVEN_TABLES = ("region nation customer supplier part orders lineitem events documents "
+                "embeddings pages benchmark labels conversations").split()
+# column kinds of the given tables, for the oracle text: n numeric, t other, x skipped
+GIVEN_COLUMNS = {
+    "region": "r_regionkey:n r_name:t", "nation": "n_nationkey:n n_name:t n_regionkey:n",
+    "customer": "c_custkey:n c_name:t c_nationkey:n c_acctbal:n c_mktsegment:t",
+    "supplier": "s_suppkey:n s_name:t s_nationkey:n s_acctbal:n",
+    "part": "p_partkey:n p_name:t p_brand:t p_type:t p_size:n p_retailprice:n",
+    "orders": "o_orderkey:n o_custkey:n o_orderstatus:t o_totalprice:n o_orderdate:t o_orderpriority:t",
+    "lineitem": "l_orderkey:n l_partkey:n l_suppkey:n l_linenumber:n l_quantity:n l_extendedprice:n "
+                "l_discount:n l_tax:n l_returnflag:t l_linestatus:t l_shipdate:t",
+    "events": "event_id:n ts:t user_id:n event_type:t value:n props:t",
+    "documents": "doc_id:n text:t lang:t source:t n_chars:n",
+    "embeddings": "vec_id:n embedding:x label:n", "pages": "page_id:n url:t html:t",
+    "benchmark": "item_id:n text:t", "labels": "doc_id:n quality:n toxic:n",
+    "conversations": "conv_id:n turn:n role:t text:t",
+}
+
+
+def _profile_sql() -> str:
+    parts = []
+    for t in GIVEN_TABLES:
+        for spec in GIVEN_COLUMNS[t].split():
+            c, k = spec.split(":")
+            if k == "x":
+                continue
+            if k == "n":
+                mm = (f"CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE), "
+                      f"CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)")
+            else:
+                mm = (f"CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), "
+                      f"CAST(min({c}) AS VARCHAR), CAST(max({c}) AS VARCHAR)")
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, "
+                         f"count(*) FILTER (WHERE {c} IS NULL) AS n_nulls, {mm} FROM {t}")
+    body = "\nUNION ALL ".join(parts)
+    return ("SELECT table_name, column_name, n_rows, n_nulls, c4 AS min_num, c5 AS max_num, "
+            "c6 AS min_text, c7 AS max_text FROM (" +
+            body + ") AS u(table_name, column_name, n_rows, "
+            "n_nulls, c4, c5, c6, c7)")
+
+
+def _given(spark, sf_dir):
+    return {t: V.table(spark, sf_dir, t) for t in GIVEN_TABLES}
+
+
+@register("profile_tables", _profile_sql())
+def q_profile_tables(spark, sf_dir):
+    """E10 over every given table: one aggregate per table, unioned."""
+    from gridflow.operators.contracts import profile_tables
+    return profile_tables(spark, _given(spark, sf_dir), level="DETAILED", distinct="none")
+
+
+@register("table_stats", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS n_rows, true AS has_size FROM {t}" for t in GIVEN_TABLES))
+def q_table_stats(spark, sf_dir):
+    """Rows per table; bytes and modification time from file metadata."""
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.contracts import profile_tables
+    p = profile_tables(spark, _given(spark, sf_dir), level="SIMPLE")
+    return p.select("table_name", "n_rows",
+                    ((F.col("size_in_bytes") > 0) & F.col("last_modified").isNotNull()).alias("has_size"))
+
+
+CONTRACT = [
+    ("orders", "o_orderkey", "BIGINT", "bigint"), ("orders", "o_custkey", "LONG", "bigint"),
+    ("orders", "o_totalprice", "DOUBLE", "double"), ("orders", "o_orderdate", "TIMESTAMP", "timestamp"),
+    ("orders", "o_comment", "STRING", "string"),
+    ("customer", "c_custkey", "BIGINT", "bigint"), ("customer", "c_name", "STRING", "string"),
+    ("customer", "c_nationkey", "INT", "int"), ("customer", "c_acctbal", "DECIMAL(12,2)", "decimal(12,2)"),
+    ("nation", "n_nationkey", "INT", "int"), ("nation", "n_name", "STRING", "string"),
+    ("nation", "n_regionkey", "INTEGER", "int"),
+    ("region", "r_regionkey", "int", "int"), ("region", "r_name", "string", "string"),
+]
+_CONTRACT_VALUES = ", ".join(f"('{t}', '{c}', '{ty}', '{norm}')" for t, c, ty, norm in CONTRACT)
+
+
+@register("validate_schema", f"""
+WITH e AS (SELECT * FROM (VALUES {_CONTRACT_VALUES}) AS v(table_name, column_name, raw_type, exp_type)),
+a AS (
+  SELECT table_name, column_name,
+         CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+              WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean'
+              WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS act_type
+  FROM information_schema.columns
+  WHERE table_name IN (SELECT DISTINCT table_name FROM e)),
+j AS (SELECT coalesce(e.table_name, a.table_name) AS table_name, coalesce(e.column_name, a.column_name) AS column_name,
+             e.exp_type, a.act_type
+      FROM e FULL OUTER JOIN a ON e.table_name = a.table_name AND e.column_name = a.column_name)
+SELECT table_name,
+       count(*) FILTER (WHERE act_type IS NULL) = 0
+         AND count(*) FILTER (WHERE act_type IS NOT NULL AND exp_type IS NOT NULL AND exp_type <> act_type) = 0 AS valid,
+       coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE act_type IS NULL), '') AS missing_columns,
+       coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE exp_type IS NULL), '') AS extra_columns,
+       coalesce(string_agg(column_name || ':' || exp_type || '->' || act_type, ',' ORDER BY column_name)
+         FILTER (WHERE act_type IS NOT NULL AND exp_type IS NOT NULL AND exp_type <> act_type), '') AS type_mismatches
+FROM j GROUP BY table_name""")
+def q_validate_schema(spark, sf_dir):
+    """A column contract against the real tables' schemas."""
+    from pyspark.sql import functions as F
+
+    from gridflow.operators.contracts import actual_columns, validate_schema
+    exp = spark.createDataFrame([(t, c, ty) for t, c, ty, _ in CONTRACT],
+                                "table_name string, column_name string, type string")
+    names = sorted({t for t, *_ in CONTRACT})
+    act = actual_columns(spark, {n: V.table(spark, sf_dir, n) for n in names})
+    v = validate_schema(exp, act)
+    return v.select(
+        "table_name", "valid",
+        F.array_join("missing_columns", ",").alias("missing_columns"),
+        F.array_join("extra_columns", ",").alias("extra_columns"),
+        F.array_join(F.transform("type_mismatches", lambda m: F.concat(
+            m["column"], F.lit(":"), m["expected"], F.lit("->"), m["actual"])), ",").alias("type_mismatches"))
