@@ -798,3 +798,69 @@ def q_validate_schema(spark, sf_dir):
         F.array_join("extra_columns", ",").alias("extra_columns"),
         F.array_join(F.transform("type_mismatches", lambda m: F.concat(
             m["column"], F.lit(":"), m["expected"], F.lit("->"), m["actual"])), ",").alias("type_mismatches"))
+
+
+# -------------------------------------------------------------- streaming
+@register("debounce_triggers", """
+WITH e AS (SELECT event_type AS table_name, ts FROM events),
+f AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY table_name ORDER BY ts) IS NULL
+                       OR ts - lag(ts) OVER (PARTITION BY table_name ORDER BY ts) > INTERVAL 60 SECOND
+                     THEN 1 ELSE 0 END AS new_burst FROM e),
+g AS (SELECT *, sum(new_burst) OVER (PARTITION BY table_name ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM f)
+SELECT table_name, min(ts) AS first_change, max(ts) AS last_change,
+       max(ts) + INTERVAL 60 SECOND AS fire_at, count(*) AS n_changes
+FROM g GROUP BY table_name, burst""")
+def q_debounce_triggers(spark, sf_dir):
+    from gridflow.streaming.debounce import debounce_triggers
+    return debounce_triggers(V.change_v(spark, sf_dir), "60 seconds")
+
+
+@register("debounce_groups", """
+WITH e AS (SELECT 'all_tables' AS group_name, ts FROM events),
+f AS (SELECT *, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL
+                       OR ts - lag(ts) OVER (ORDER BY ts) > INTERVAL 300 SECOND THEN 1 ELSE 0 END AS new_burst
+      FROM e),
+g AS (SELECT *, sum(new_burst) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM f)
+SELECT group_name, min(ts) AS first_change, max(ts) AS last_change,
+       max(ts) + INTERVAL 300 SECOND AS fire_at, count(*) AS n_changes
+FROM g GROUP BY group_name, burst""")
+def q_debounce_groups(spark, sf_dir):
+    """Every event type is a member of one group, so all changes form one
+    key -- the hot-key case the range partitioning exists for."""
+    from pyspark.sql import functions as F
+
+    from gridflow.streaming.debounce import debounce_triggers
+    ch = V.change_v(spark, sf_dir)
+    members = ch.select("table_name").distinct().withColumn("group_name", F.lit("all_tables"))
+    return debounce_triggers(ch, "300 seconds", group_map=members)
+
+
+@register("stream_sync", V.with_views("""
+SELECT l_shipdate AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU", CAST(l_quantity AS BIGINT) AS "Qty",
+       CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price",
+       file_id AS source_file
+FROM li_v""", "grid_v"))
+def q_stream_sync(spark, sf_dir):
+    """Workbooks land in two appends; a checkpointed stream
+    (availableNow, a few files per micro-batch) gates, decodes and writes
+    them into one table partitioned by source file. Returns the table."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from gridflow.session import land, scratch_path
+    from gridflow.streaming.sync_stream import StreamConfig, stream_sync
+    base = scratch_path(spark, "stream")
+    landing = f"{base}/landing"
+    docs = land(workbook_docs(spark, sf_dir), "workbook-docs")
+    half = (F.crc32(F.col("file_id")) % 2) == 0
+    docs.filter(half).write.mode("append").parquet(landing)
+    docs.filter(~half).write.mode("append").parquet(landing)
+    tag = uuid.uuid4().hex[:8]
+    cfg = StreamConfig(target_table=f"gridflow_stream.sync_{tag}", state_table=f"gridflow_stream.state_{tag}",
+                       checkpoint=f"{base}/checkpoint", pattern="supplier_*.xlsx",
+                       header_row=V.GRID_HEADER_ROW, selected_columns=["Date", "SKU", "Qty", "Price"],
+                       trigger="availableNow", max_files_per_trigger=4)
+    q = stream_sync(spark, landing, cfg)
+    q.awaitTermination()
+    return spark.table(cfg.target_table)
