@@ -863,4 +863,5 @@ def q_stream_sync(spark, sf_dir):
                        trigger="availableNow", max_files_per_trigger=4)
     q = stream_sync(spark, landing, cfg)
     q.awaitTermination()
-    return spark.table(cfg.target_table)
+    spark.catalog.refreshTable(cfg.target_table)  # written by the stream's own session
+    return spark.table(cfg.target_table).drop("file_key")

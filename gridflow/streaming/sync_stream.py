@@ -8,7 +8,8 @@ files, so each micro-batch holds new document versions. Per batch:
    a replayed batch finds every file ``<=`` its mark and writes nothing;
 3. decode passing files once (A4), promote the header, cast to the target's
    schema (inferred on the first batch);
-4. write with dynamic partition overwrite on ``source_file``, so only the
+4. write with dynamic partition overwrite on ``file_key`` (a path-safe hash of
+   the file id; the id itself stays in ``source_file``), so only the
    partitions of changed files are replaced; deleted files drop theirs;
 5. advance the marks last.
 """
@@ -51,6 +52,11 @@ class StreamConfig:
     log: list = field(default_factory=list)
 
 
+def file_key(file_id):
+    """Path-safe partition value of a file id (hex digest)."""
+    return F.md5(file_id)
+
+
 def sync_batch(batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
     """One micro-batch (also usable on any batch DataFrame of documents)."""
     spark = batch.sparkSession
@@ -85,13 +91,15 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
         schema = None
         if exists:
             schema = [(f.name, f.dataType.simpleString()) for f in spark.table(cfg.target_table).schema
-                      if f.name != "source_file"]
+                      if f.name not in ("source_file", "file_key")]
         typed, _ = build_typed(rows, cfg.header_row, None,
                                cfg.selected_columns if schema is None else [c for c, _ in schema],
                                schema, "lenient", keys=("file_id",))
         if typed is not None:
-            out = (typed.drop("_rejected").withColumnRenamed("file_id", "source_file"))
-            out = out.select(*[c for c in out.columns if c != "source_file"], "source_file")
+            out = (typed.drop("_rejected").withColumnRenamed("file_id", "source_file")
+                   .withColumn("file_key", file_key(F.col("source_file"))))
+            data_cols = [c for c in out.columns if c not in ("source_file", "file_key")]
+            out = out.select(*[F.col(f"`{c}`") for c in data_cols], "source_file", "file_key")
             if exists:
                 # only partitions present in ``out`` are replaced (the
                 # writer option is not honoured by insertInto; the conf is)
@@ -104,21 +112,27 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
                     spark.conf.set(key, before)
             else:
                 S.ensure_schema(spark, cfg.target_table)
-                out.write.format(S.TABLE_FORMAT).partitionBy("source_file").saveAsTable(cfg.target_table)
+                out.write.format(S.TABLE_FORMAT).partitionBy("file_key").saveAsTable(cfg.target_table)
                 exists = True
             written = 1
         done = todo.join(ok_files, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
         S.advance_watermark(spark, cfg.state_table, done)
     if deleted and exists:
-        for fid in deleted:
-            spark.sql(f"ALTER TABLE {S.quote_name(cfg.target_table)} DROP IF EXISTS "
-                      f"PARTITION (source_file = '{fid.replace(chr(39), '')}')")
+        keys = [r[0] for r in spark.createDataFrame([(d,) for d in deleted], "f string")
+                .select(file_key(F.col("f"))).collect()]
+        for k in keys:
+            spark.sql(f"ALTER TABLE {S.quote_name(cfg.target_table)} DROP IF EXISTS PARTITION (file_key = '{k}')")
+    if exists:
+        spark.catalog.refreshTable(cfg.target_table)
     cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo, "files_deleted": len(deleted),
                     "written": bool(written)})
 
 
 def stream_sync(spark: SparkSession, docs_path: str, cfg: StreamConfig) -> StreamingQuery | None:
-    """Start the stream (``None`` when ``cfg.active`` is false)."""
+    """Start the stream (``None`` when ``cfg.active`` is false).
+
+    Micro-batches write through the stream's own session: other sessions
+    reading the target should ``REFRESH TABLE`` first."""
     if not cfg.active:
         return None
     reader = spark.readStream.schema(cfg.documents_ddl)
