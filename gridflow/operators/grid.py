@@ -32,17 +32,25 @@ def _texts(cells: Column) -> Column:
     return F.transform(cells, lambda c: display(c))
 
 
+def sheet_stats(rows: DataFrame, header_row: int = 0, sheet: str | None = None) -> DataFrame:
+    """One aggregate per sheet: ``width`` (widest row from the header down)
+    and ``n_rows`` (data rows below the header)."""
+    r = sheet_rows(rows, sheet).filter(F.col("row_ix") >= header_row)
+    return r.groupBy(*KEYS).agg(F.max(F.size("cells")).alias("width"),
+                                F.count_if(F.col("row_ix") > header_row).alias("n_rows"))
+
+
 def sheet_width(rows: DataFrame, header_row: int = 0, sheet: str | None = None) -> DataFrame:
     """Columns of each sheet from the header row down: the widest row."""
-    r = sheet_rows(rows, sheet).filter(F.col("row_ix") >= header_row)
-    return r.groupBy(*KEYS).agg(F.max(F.size("cells")).alias("width"))
+    return sheet_stats(rows, header_row, sheet).select(*KEYS, "width")
 
 
-def header_names(rows: DataFrame, header_row: int = 0, sheet: str | None = None) -> DataFrame:
+def header_names(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
+                 stats: DataFrame | None = None) -> DataFrame:
     """H8: ``file_id, sheet, names`` -- unique names for every column of the
     sheet, from the header row's texts (one Python call per sheet, on header
     rows only)."""
-    width = sheet_width(rows, header_row, sheet)
+    width = (stats if stats is not None else sheet_stats(rows, header_row, sheet)).select(*KEYS, "width")
     head = (sheet_rows(rows, sheet).filter(F.col("row_ix") == header_row)
             .select(*KEYS, _texts(F.col("cells")).alias("texts")))
     j = width.join(head, on=KEYS, how="left")
@@ -56,11 +64,9 @@ def _data(rows: DataFrame, header_row: int, sheet: str | None) -> DataFrame:
 
 def sheet_shape(rows: DataFrame, header_row: int = 0, sheet: str | None = None) -> DataFrame:
     """Data rows (after the header) and columns per sheet."""
-    n = _data(rows, header_row, sheet).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("row_count"))
-    w = sheet_width(rows, header_row, sheet)
-    return (w.join(n, on=KEYS, how="left")
-            .select(*KEYS, F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"),
-                    F.coalesce("width", F.lit(0)).cast("int").alias("column_count")))
+    return sheet_stats(rows, header_row, sheet).select(
+        *KEYS, F.col("n_rows").cast("bigint").alias("row_count"),
+        F.coalesce("width", F.lit(0)).cast("int").alias("column_count"))
 
 
 def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
@@ -73,18 +79,22 @@ def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None
     """
     keys = KEYS if by_file else []
     data = _data(rows, header_row, sheet)
-    n_rows = data.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"))
+    stats = sheet_stats(rows, header_row, sheet)
+    n_rows = stats.select(*KEYS, "n_rows")
     classify = typed_kind if infer == "typed" else cell_class
     cells = (data.select(*KEYS, F.posexplode("cells").alias("col_ix", "cell"))
              .select(*KEYS, "col_ix", classify(F.col("cell.kind"), F.col("cell.raw")).alias("cls")))
     counts = cells.groupBy(*keys, "col_ix").agg(*class_counts(F.col("cls")))
-    names = (header_names(rows, header_row, sheet)
-             .select(*KEYS, F.posexplode("names").alias("col_ix", "name")))
+    # posexplode_outer: an inner generator makes the optimizer add a filter on
+    # the UDF result, which would run the header UDF twice
+    names = (header_names(rows, header_row, sheet, stats)
+             .select(*KEYS, F.posexplode_outer("names").alias("col_ix", "name"))
+             .filter(F.col("col_ix").isNotNull()))
     if by_file:
         cols = names.join(n_rows, on=KEYS, how="left")
     else:
         # one scalar (the data row count) to the driver, then a literal
-        total = data.count()
+        total = stats.agg(F.sum("n_rows")).first()[0] or 0
         cols = (names.groupBy("col_ix").agg(F.min("name").alias("name"))
                 .withColumn("n_rows", F.lit(total).cast("bigint")))
     j = cols.join(counts, on=[*keys, "col_ix"], how="left")

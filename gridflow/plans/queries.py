@@ -16,6 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# DuckDB list of the missing-value tokens (same values as functions.cells.MISSING_TOKENS)
+_NA_SQL = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
+           "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
@@ -391,6 +396,55 @@ def q_sync_gate(spark, sf_dir):
     return sync_gate(t, V.docs_v(spark, sf_dir), V.state_v(spark, sf_dir))
 
 
+@register("registry_targets", V.with_views("""
+SELECT connection_id,
+       'main' || '.' || 'sync_' || lower(trim(regexp_replace(regexp_replace(regexp_extract(connection_name, '[^/]*$', 0),
+             '\\.(xlsx|xls)$', '', 'i'), '[^a-zA-Z0-9_]', '_', 'g'), '_')) || '.' || target_table AS qualified_target,
+       coalesce(CASE WHEN connection_id LIKE '%5' THEN NULL ELSE sync_enabled END, false) AS sync_enabled
+FROM tracked_v""", "tracked_v"))
+def q_registry_targets(spark, sf_dir):
+    """H11 + H6 + H1: qualified target names; a missing enabled flag means off."""
+    from pyspark.sql import functions as F
+
+    from gridflow.functions.scalars import default_if_null, qualify, table_name
+    t = V.tracked_v(spark, sf_dir)
+    flag = F.when(F.col("connection_id").endswith("5"), F.lit(None)).otherwise(F.col("sync_enabled"))
+    return t.select("connection_id",
+                    qualify(F.lit("main"), F.concat(F.lit("sync_"), table_name(F.col("connection_name"))),
+                            F.col("target_table")).alias("qualified_target"),
+                    default_if_null(flag, False).alias("sync_enabled"))
+
+
+@register("append_rejects", f"""
+WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN 'n/a' WHEN o_orderkey % 10 = 5 THEN 'x' || CAST(o_orderkey AS VARCHAR)
+                                   WHEN o_orderkey % 10 = 7 THEN NULL
+                                   ELSE CAST(o_totalprice AS VARCHAR) END AS raw FROM orders),
+w AS (SELECT *, raw IS NULL OR raw IN ({_NA_SQL}) AS missing FROM v)
+SELECT o_orderkey, raw, CASE WHEN missing THEN NULL ELSE TRY_CAST(raw AS DOUBLE) END AS amount,
+       (NOT missing AND TRY_CAST(raw AS DOUBLE) IS NULL) AS rejected
+FROM w""")
+def q_append_rejects(spark, sf_dir):
+    """B3/E11 (without the write): text cells cast to DOUBLE; a present value
+    that does not survive the cast marks the row rejected (the append skips
+    and counts it); an empty cell or a missing-value token such as ``n/a`` is
+    a NULL, not a reject (SURVEY 2.12)."""
+    from pyspark.sql import functions as F
+
+    from gridflow.functions.cells import cast_cell, cell_class
+    m = F.col("o_orderkey") % 10
+    raw = (F.when(m == 3, F.lit("n/a"))
+           .when(m == 5, F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))
+           .when(m == 7, F.lit(None).cast("string"))
+           .otherwise(F.col("o_totalprice").cast("string")))
+    o = V.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.struct(F.when(raw.isNull(), F.lit("null")).otherwise(F.lit("s")).alias("kind"),
+                               raw.alias("raw")).alias("cell"))
+    amount = cast_cell(F.col("cell"), "DOUBLE")
+    present = cell_class(F.col("cell.kind"), F.col("cell.raw")) != "null"
+    return o.select("o_orderkey", F.col("cell.raw").alias("raw"), amount.alias("amount"),
+                    (present & amount.isNull()).alias("rejected"))
+
+
 # -------------------------------------------------------------------- SQL
 @register("run_sql_params", """
 SELECT o_orderstatus, count(*) AS n_orders, max(o_totalprice) AS max_total, min(o_orderdate) AS first_date
@@ -410,10 +464,17 @@ def q_run_sql_params(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- grid
+def grid_rows_table(spark, sf_dir):
+    """``grid_v`` landed once as parquet in the shared folder: decoded rows are
+    a stored table in real use, and every grid query reads them several times
+    (header layout, row counts, cell classes), which must not redo the
+    lineitem window each time."""
+    from gridflow.session import land
+    return land(V.grid_v(spark, sf_dir), "grid")
+
+
 # DuckDB text of the cell classes and the type decision, written
 # independently of the Spark expressions it checks.
-_NA_SQL = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', "
-           "'1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
 GRID_CELLS_SQL = f"""
 cells_x AS (
   SELECT file_id, sheet, row_ix, i - 1 AS col_ix, cells[i].kind AS kind, cells[i].raw AS raw
@@ -463,7 +524,7 @@ SELECT names.file_id, names.sheet, CAST(names.col_ix AS INTEGER) AS col_ix, name
 FROM names LEFT JOIN n USING (file_id, sheet) LEFT JOIN cnt USING (file_id, sheet, col_ix)""", "grid_v"))
 def q_infer_columns(spark, sf_dir):
     from gridflow.operators.grid import infer_columns
-    return infer_columns(V.grid_v(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
+    return infer_columns(grid_rows_table(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
 
 
 @register("column_samples", V.with_views(f"""
@@ -476,7 +537,7 @@ def q_column_samples(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from gridflow.operators.grid import column_samples
-    s = column_samples(V.grid_v(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
+    s = column_samples(grid_rows_table(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
     return s.select("file_id", "sheet", "col_ix", F.array_join("sample_values", "|").alias("samples"))
 
 
@@ -486,7 +547,7 @@ SELECT file_id, sheet, CAST(count(*) FILTER (WHERE row_ix > 2) AS BIGINT) AS row
 FROM grid_v GROUP BY ALL""", "grid_v"))
 def q_sheet_shape(spark, sf_dir):
     from gridflow.operators.grid import sheet_shape
-    return sheet_shape(V.grid_v(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
+    return sheet_shape(grid_rows_table(spark, sf_dir), header_row=V.GRID_HEADER_ROW)
 
 
 @register("preview_rows", V.with_views("""
@@ -498,7 +559,7 @@ def q_preview_rows(spark, sf_dir):
     from pyspark.sql import functions as F
 
     from gridflow.operators.grid import preview
-    p = preview(V.grid_v(spark, sf_dir), max_rows=100)
+    p = preview(grid_rows_table(spark, sf_dir), max_rows=100)
     return p.select("file_id", "sheet", "row_ix", F.size("values").alias("n_values"),
                     F.concat_ws("|", F.transform("values", lambda v: F.coalesce(v, F.lit(""))))
                     .alias("values_text"))
@@ -512,7 +573,7 @@ FROM li_v"""
 
 def _promoted(spark, sf_dir):
     from gridflow.operators.grid import layout_names, promote_header
-    rows = V.grid_v(spark, sf_dir)
+    rows = grid_rows_table(spark, sf_dir)
     names = layout_names(rows, V.GRID_HEADER_ROW)
     if len(names) != 1:
         raise ValueError(f"expected one header layout, got {len(names)}")
@@ -860,7 +921,7 @@ def q_stream_sync(spark, sf_dir):
     cfg = StreamConfig(target_table=f"gridflow_stream.sync_{tag}", state_table=f"gridflow_stream.state_{tag}",
                        checkpoint=f"{base}/checkpoint", pattern="supplier_*.xlsx",
                        header_row=V.GRID_HEADER_ROW, selected_columns=["Date", "SKU", "Qty", "Price"],
-                       trigger="availableNow", max_files_per_trigger=4)
+                       trigger="availableNow", max_files_per_trigger=8)
     q = stream_sync(spark, landing, cfg)
     q.awaitTermination()
     spark.catalog.refreshTable(cfg.target_table)  # written by the stream's own session

@@ -118,17 +118,28 @@ STATE_SCHEMA = [("target_table", "STRING"), ("file_id", "STRING"), ("watermark",
 
 
 def advance_watermark(spark: SparkSession, state_table: str, done: DataFrame) -> None:
-    """Upsert ``(target_table, file_id, watermark)`` rows of successful
-    writes into the state table: keys in ``done`` replace their old rows (anti
-    join), the rest are carried over; written as a staged snapshot, after the
-    data write it records (a crash in between only causes a harmless re-sync)."""
-    new = done.select("target_table", "file_id", F.col("watermark").cast("timestamp"),
+    """Record ``(target_table, file_id, watermark)`` of successful writes.
+
+    The state table is an append-only log of marks (one small append per run
+    or micro-batch, never a rewrite of the whole state); readers take the
+    newest mark per key (``current_marks``). Appended after the data write it
+    records, so a crash in between only causes a harmless re-sync.
+    """
+    new = done.select("target_table", "file_id", F.col("watermark").cast("timestamp").alias("watermark"),
                       F.current_timestamp().alias("synced_at"))
     if table_exists(spark, state_table):
-        old = spark.table(state_table)
-        kept = old.join(new.select("target_table", "file_id"), ["target_table", "file_id"], "left_anti")
-        # the staged write reads the old table before it is swapped out
-        snapshot = kept.unionByName(new)
+        new.write.mode("append").insertInto(state_table)
     else:
-        snapshot = new
-    replace_table(snapshot, state_table)
+        ensure_schema(spark, state_table)
+        new.write.mode("append").format(TABLE_FORMAT).saveAsTable(state_table)
+
+
+def current_marks(state: DataFrame) -> DataFrame:
+    """Newest mark per ``(target_table, file_id)`` (a partial aggregate)."""
+    return state.groupBy("target_table", "file_id").agg(F.max("watermark").alias("watermark"),
+                                                        F.max("synced_at").alias("synced_at"))
+
+
+def compact_state(spark: SparkSession, state_table: str) -> None:
+    """Rewrite the mark log to one row per key (run now and then)."""
+    replace_table(current_marks(spark.table(state_table)), state_table)
