@@ -7,13 +7,15 @@ descriptors and per-target outcomes (one small row per target).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gridflow.functions.cells import cast_cell, cell_class
+from gridflow.functions.cells import cast_cell, cell_class, widen
 from gridflow.functions.scalars import content_type_error, table_name
 from gridflow.operators import grid as G
 from gridflow.operators.gate import sync_gate
@@ -182,25 +184,26 @@ def sync_all(spark: SparkSession, tracked: DataFrame, docs: DataFrame,
                decoded.filter(F.col("error").isNotNull()).select("file_id", "error").collect()}
         rows_all = grid_rows(decoded)
         for d in todo:
-            fid, tgt = d["file_id"], d["target_table"]
-            if fid in bad:
-                log.append((d["connection_id"], fid, tgt, READ_ERROR, bad[fid], None))
-                continue
-            rows = rows_all.filter(F.col("file_id") == fid)
-            try:
-                typed, _ = build_typed(rows, int(d["header_row"] or 0), None,
-                                       d["selected_columns"], None, mode)
-                if typed is None:
-                    typed_out = spark.createDataFrame([], "x string").drop("x")
+            if d["file_id"] in bad:
+                log.append((d["connection_id"], d["file_id"], d["target_table"], READ_ERROR,
+                            bad[d["file_id"]], None))
+        todo = [d for d in todo if d["file_id"] not in bad]
+        layouts = _layouts(spark, rows_all, todo)
+        by_target: dict[str, list] = {}
+        for d in todo:
+            by_target.setdefault(d["target_table"], []).append(d)
+        # one write job per target; independent targets are written concurrently
+        with ThreadPoolExecutor(max_workers=max(1, min(8, len(by_target)))) as pool:
+            results = list(pool.map(lambda item: _write_target(spark, rows_all, layouts, item[0], item[1], mode),
+                                    by_target.items()))
+        for items, n, err in results:
+            for d in items:
+                if err is None:
+                    log.append((d["connection_id"], d["file_id"], d["target_table"], SUCCESS,
+                                f"wrote {n} rows", n))
+                    done.append((d["target_table"], d["file_id"], d["file_last_updated"]))
                 else:
-                    typed_out = typed.drop("_rejected")
-                S.replace_table(typed_out, tgt)
-                n = spark.table(tgt).count()
-            except Exception as e:  # noqa: BLE001 - one bad target does not stop the rest
-                log.append((d["connection_id"], fid, tgt, READ_ERROR, str(e)[:500], None))
-                continue
-            log.append((d["connection_id"], fid, tgt, SUCCESS, f"wrote {n} rows", n))
-            done.append((tgt, fid, d["file_last_updated"]))
+                    log.append((d["connection_id"], d["file_id"], d["target_table"], READ_ERROR, err, None))
     if done:
         S.advance_watermark(spark, state_table, spark.createDataFrame(
             done, "target_table string, file_id string, watermark timestamp_ntz"))
@@ -210,6 +213,46 @@ def sync_all(spark: SparkSession, tracked: DataFrame, docs: DataFrame,
              "message string, rows_written bigint")
 
 
+def _layouts(spark: SparkSession, rows_all: DataFrame, todo: list) -> dict:
+    """Names and inferred types of every passing file: one inference job per
+    distinct header row, collected as ``{file_id: [(col_ix, name, type)]}``
+    (files x columns: registry-sized, not data-sized)."""
+    out: dict[str, list] = {}
+    for h in sorted({int(d["header_row"] or 0) for d in todo}):
+        fids = [d["file_id"] for d in todo if int(d["header_row"] or 0) == h]
+        sel = rows_all.join(spark.createDataFrame([(f,) for f in fids], "file_id string"),
+                            "file_id", "left_semi")
+        for r in G.infer_columns(sel, h, by_file=True).collect():
+            out.setdefault(r["file_id"], []).append((r["col_ix"], r["name"], r["type"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _write_target(spark: SparkSession, rows_all: DataFrame, layouts: dict, target: str,
+                  items: list, mode: str):
+    """Replace one target with the typed rows of its file(s). Files sharing a
+    target must share a header layout; types are widened across them."""
+    try:
+        h = int(items[0]["header_row"] or 0)
+        cols = [layouts.get(d["file_id"], []) for d in items]
+        names = [n for _, n, _ in cols[0]]
+        if any([n for _, n, _ in c] != names for c in cols):
+            raise ValueError(f"files of {target} have different header layouts")
+        types = {n: widen([c[i][2] for c in cols]) for i, n in enumerate(names)}
+        fids = [d["file_id"] for d in items]
+        rows = rows_all.filter(F.col("file_id").isin(fids))
+        if not names:
+            typed = spark.createDataFrame([], "x string").drop("x")
+        else:
+            picked = G.select_columns(G.promote_header(rows, names, h), items[0]["selected_columns"], mode)
+            schema = [(c, types[c]) for c in picked.columns if c not in ("file_id", "sheet", "row_ix")]
+            typed = G.apply_schema(picked, schema, keys=())
+        obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+        S.replace_table(typed.observe(obs, F.count(F.lit(1)).alias("n")), target)
+        return items, int(obs.get.get("n", 0)), None
+    except Exception as e:  # noqa: BLE001 - one bad target does not stop the rest
+        return items, None, str(e)[:500]
+
+
 def sync_file(spark: SparkSession, tracked_row: dict, docs: DataFrame, state_table: str) -> str:
     """K4: one registry row -> outcome code."""
     row = [tracked_row.get("connection_id", "c"), tracked_row["file_id"], tracked_row["target_table"],

@@ -133,7 +133,18 @@ def test_nonblank(spark):
     assert sorted(r[0] for r in ok.collect()) == [" b ", "a"] and bad.count() == 3
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab*?[]!-.", max_size=8), st.text(alphabet="ab-.!", max_size=8))
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab*?[]!-.^&\\z", max_size=8), st.text(alphabet="ab-.!^&\\z", max_size=8))
 def test_glob_matches_fnmatch(pattern, name):
     assert (re.match(glob_to_regex(pattern), name) is not None) == fnmatch.fnmatchcase(name, pattern)
+
+
+def test_glob_in_spark_matches_fnmatch(spark):
+    from gridflow.functions.filters import glob_match
+    names = ["a.xlsx", "b.XLSX", "[x].csv", "a&&b", "a^b", "a\\b", "-", "!", "ab]", "a-b", ".hidden", "x\ny"]
+    pats = ["*.xlsx", "[!a]*", "[?-.]", "[a-]*", "[]]*", "a[&]&b", "a[^]b", "a\\b", "[!]-]", "a[b-a-]b",
+            "*", "?", "[", "x?y"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for p in pats:
+        got = sorted(r[0] for r in df.filter(glob_match(F.col("n"), p)).collect())
+        assert got == sorted(n for n in names if fnmatch.fnmatchcase(n, p)), p
