@@ -904,7 +904,7 @@ FROM li_v""", "grid_v"))
 def q_stream_sync(spark, sf_dir):
     """Workbooks land in two appends; a checkpointed stream
     (availableNow, a few files per micro-batch) gates, decodes and writes
-    them into one table partitioned by source file. Returns the table."""
+    them into one table bucketed by source file. Returns the table."""
     import uuid
 
     from pyspark.sql import functions as F
@@ -925,4 +925,4 @@ def q_stream_sync(spark, sf_dir):
     q = stream_sync(spark, landing, cfg)
     q.awaitTermination()
     spark.catalog.refreshTable(cfg.target_table)  # written by the stream's own session
-    return spark.table(cfg.target_table).drop("file_key")
+    return spark.table(cfg.target_table).drop("file_bucket")

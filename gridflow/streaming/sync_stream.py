@@ -8,14 +8,17 @@ files, so each micro-batch holds new document versions. Per batch:
    a replayed batch finds every file ``<=`` its mark and writes nothing;
 3. decode passing files once (A4), promote the header, cast to the target's
    schema (inferred on the first batch);
-4. write with dynamic partition overwrite on ``file_key`` (a path-safe hash of
-   the file id; the id itself stays in ``source_file``), so only the
-   partitions of changed files are replaced; deleted files drop theirs;
+4. write with dynamic partition overwrite on ``file_bucket`` (a hash bucket
+   of the file id; the id itself stays in ``source_file``): only buckets that
+   hold a changed or deleted file are rewritten, as that bucket's other files'
+   rows plus the new rows (copy-on-write per bucket, so the cost of a batch
+   follows the buckets it touches, not the table);
 5. advance the marks last.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +51,14 @@ class StreamConfig:
     trigger: str = "10 seconds"           # or "availableNow"
     active: bool = True
     max_files_per_trigger: int | None = None
+    buckets: int = 64                     # partitions of the target table
     documents_ddl: str = DOCUMENTS_DDL
     log: list = field(default_factory=list)
 
 
-def file_key(file_id):
-    """Path-safe partition value of a file id (hex digest)."""
-    return F.md5(file_id)
+def file_bucket(file_id, buckets: int):
+    """Partition value of a file id: a stable hash bucket."""
+    return F.pmod(F.xxhash64(file_id), F.lit(buckets)).cast("int")
 
 
 def sync_batch(batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
@@ -70,6 +74,7 @@ def sync_batch(batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
 
 
 def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
+    t_start = time.time()
     exists = S.table_exists(spark, cfg.target_table)
     deleted = [r["file_id"] for r in
                latest.filter(F.col("is_deleted") == F.lit(True)).select("file_id").collect()]
@@ -82,50 +87,63 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
     todo = land(todo, "stream-todo")
     n_todo = todo.count()
     written = 0
+    out = None
+    ok_ids = None
     if n_todo:
         docs = latest.join(todo.select("file_id"), "file_id", "left_semi")
         decoded = land(decode_workbooks(docs), "stream-decoded")
-        ok_files = decoded.groupBy("file_id").agg(F.max("error").alias("error")).filter(
+        ok_ids = decoded.groupBy("file_id").agg(F.max("error").alias("error")).filter(
             F.col("error").isNull()).select("file_id")
-        rows = grid_rows(decoded).join(ok_files, "file_id", "left_semi")
+        rows = grid_rows(decoded).join(ok_ids, "file_id", "left_semi")
         schema = None
         if exists:
             schema = [(f.name, f.dataType.simpleString()) for f in spark.table(cfg.target_table).schema
-                      if f.name not in ("source_file", "file_key")]
+                      if f.name not in ("source_file", "file_bucket")]
         typed, _ = build_typed(rows, cfg.header_row, None,
                                cfg.selected_columns if schema is None else [c for c, _ in schema],
                                schema, "lenient", keys=("file_id",))
         if typed is not None:
             out = (typed.drop("_rejected").withColumnRenamed("file_id", "source_file")
-                   .withColumn("file_key", file_key(F.col("source_file"))))
-            data_cols = [c for c in out.columns if c not in ("source_file", "file_key")]
-            out = out.select(*[F.col(f"`{c}`") for c in data_cols], "source_file", "file_key")
-            if exists:
-                # only partitions present in ``out`` are replaced (the
-                # writer option is not honoured by insertInto; the conf is)
-                key = "spark.sql.sources.partitionOverwriteMode"
-                before = spark.conf.get(key)
-                spark.conf.set(key, "dynamic")
-                try:
-                    out.write.mode("overwrite").insertInto(cfg.target_table)
-                finally:
-                    spark.conf.set(key, before)
-            else:
-                S.ensure_schema(spark, cfg.target_table)
-                out.write.format(S.TABLE_FORMAT).partitionBy("file_key").saveAsTable(cfg.target_table)
-                exists = True
-            written = 1
-        done = todo.join(ok_files, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
-        S.advance_watermark(spark, cfg.state_table, done)
-    if deleted and exists:
-        keys = [r[0] for r in spark.createDataFrame([(d,) for d in deleted], "f string")
-                .select(file_key(F.col("f"))).collect()]
-        for k in keys:
-            spark.sql(f"ALTER TABLE {S.quote_name(cfg.target_table)} DROP IF EXISTS PARTITION (file_key = '{k}')")
+                   .withColumn("file_bucket", file_bucket(F.col("source_file"), cfg.buckets)))
+            data_cols = [c for c in out.columns if c not in ("source_file", "file_bucket")]
+            out = out.select(*[F.col(f"`{c}`") for c in data_cols], "source_file", "file_bucket")
     if exists:
+        changed = spark.createDataFrame([(d,) for d in deleted], "file_id string")
+        if ok_ids is not None:
+            changed = changed.unionByName(ok_ids)
+        touched = [r[0] for r in changed.select(file_bucket(F.col("file_id"), cfg.buckets)).distinct().collect()]
+        if touched:
+            # rows of other files in the touched buckets, landed so the table is
+            # not read while its partitions are overwritten
+            target = spark.table(cfg.target_table)
+            cols = [F.col(f"`{c}`") for c in target.columns]
+            kept = (target.filter(F.col("file_bucket").isin(touched))
+                    .join(changed.withColumnRenamed("file_id", "source_file"), "source_file", "left_anti"))
+            kept = land(kept.select(*cols), "stream-kept")
+            # insertInto is positional: project to the table's column order
+            new = (kept if out is None else kept.unionByName(out)).select(*cols)
+            key = "spark.sql.sources.partitionOverwriteMode"
+            before = spark.conf.get(key)
+            spark.conf.set(key, "dynamic")
+            try:
+                new.write.mode("overwrite").insertInto(cfg.target_table)
+            finally:
+                spark.conf.set(key, before)
+            present = {r[0] for r in new.select("file_bucket").distinct().collect()}
+            for b in sorted(set(touched) - present):   # buckets left empty
+                spark.sql(f"ALTER TABLE {S.quote_name(cfg.target_table)} DROP IF EXISTS "
+                          f"PARTITION (file_bucket = {int(b)})")
+            written = 1
         spark.catalog.refreshTable(cfg.target_table)
+    elif out is not None:
+        S.ensure_schema(spark, cfg.target_table)
+        out.write.format(S.TABLE_FORMAT).partitionBy("file_bucket").saveAsTable(cfg.target_table)
+        written = 1
+    if ok_ids is not None:
+        done = todo.join(ok_ids, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
+        S.advance_watermark(spark, cfg.state_table, done)
     cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo, "files_deleted": len(deleted),
-                    "written": bool(written)})
+                    "written": bool(written), "seconds": round(time.time() - t_start, 3)})
 
 
 def stream_sync(spark: SparkSession, docs_path: str, cfg: StreamConfig) -> StreamingQuery | None:
