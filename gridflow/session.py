@@ -33,9 +33,49 @@ def get_spark(master: str | None = None, app: str = "gridflow", **conf: str) ->
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gridflow`` importable in executor Python workers.
+
+    UDFs and ``mapInArrow`` functions are pickled by module reference, so the
+    package is zipped once per application into the shared checkpoint folder
+    and added with ``addPyFile`` (what ``spark-submit --py-files`` does).
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import hashlib
+    import io
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, dirs, files in sorted(os.walk(pkg)):
+            dirs[:] = sorted(x for x in dirs if x != "__pycache__")
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    data = buf.getvalue()
+    target = f"{checkpoint_dir(spark).rstrip('/')}/gridflow-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    local = local_path(target)
+    if "://" not in local or local.startswith("/"):
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        if not os.path.exists(local):
+            with open(local, "wb") as fh:
+                fh.write(data)
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
