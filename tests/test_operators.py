@@ -148,3 +148,23 @@ def test_glob_in_spark_matches_fnmatch(spark):
     for p in pats:
         got = sorted(r[0] for r in df.filter(glob_match(F.col("n"), p)).collect())
         assert got == sorted(n for n in names if fnmatch.fnmatchcase(n, p)), p
+
+
+def test_discover_and_validate_tables(spark):
+    from gridflow.operators.contracts import discover_tables, validate_tables
+    spark.sql("CREATE SCHEMA IF NOT EXISTS disc")
+    spark.range(5).withColumn("name", F.lit("x")).write.mode("overwrite").saveAsTable("disc.supplier_a_data")
+    spark.range(3).write.mode("overwrite").saveAsTable("disc.supplier_b_data")
+    spark.range(2).write.mode("overwrite").saveAsTable("disc.other")
+    got = discover_tables(spark, "disc", ["supplier_*_data"], "SIMPLE")
+    stats = {r["table_name"]: r["n_rows"] for r in got["tables"].collect()}
+    assert stats == {"disc.supplier_a_data": 5, "disc.supplier_b_data": 3}
+    cols = {(r["table_name"], r["column_name"], r["type"]) for r in got["columns"].collect()}
+    assert ("disc.supplier_a_data", "name", "string") in cols
+    det = discover_tables(spark, "disc", "other", "DETAILED")["tables"].collect()
+    assert [(r["column_name"], r["max_num"]) for r in det] == [("id", 1.0)]
+    exp = spark.createDataFrame([("disc.supplier_a_data", "id", "BIGINT"), ("disc.supplier_a_data", "name", "STRING"),
+                                 ("disc.supplier_b_data", "id", "INT"), ("disc.missing_t", "id", "BIGINT")],
+                                "table_name string, column_name string, type string")
+    res = {r["table_name"]: r["valid"] for r in validate_tables(spark, exp).collect()}
+    assert res == {"disc.supplier_a_data": True, "disc.supplier_b_data": False, "disc.missing_t": False}
