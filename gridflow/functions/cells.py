@@ -23,26 +23,36 @@ FALSE_TEXT = ("False", "FALSE", "false")
 
 INT_TEXT = r"^[+-]?[0-9]+$"
 FLOAT_TEXT = r"^[+-]?([0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Inf|INF|infinity|Infinity|INFINITY)$"
+DATE_TEXT = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 INT64_LIMIT = 9.223372036854775e18
 
 CLASSES = ("null", "int", "float", "bool", "bool_text", "date", "text")
 KINDS = ("n", "s", "b", "d", "e")
 
 
+def _integral(num: Column) -> Column:
+    return (num == F.floor(num)) & (F.abs(num) < F.lit(INT64_LIMIT))
+
+
+# Casts run only on values shaped like their target (number cells, or text
+# matching a number pattern): a failing try_cast takes Spark's exception path,
+# which costs far more than the pattern test.
+def _number_cell(kind: Column, raw: Column) -> Column:
+    return F.when(kind == "n", raw.try_cast("double"))
+
+
 def cell_class(kind: Column, raw: Column) -> Column:
     """Class of one cell for pandas-compatible inference."""
     t = F.trim(raw)
-    num = raw.try_cast("double")
-    text_num = t.try_cast("double")
-    integral = (num == F.floor(num)) & (F.abs(num) < F.lit(INT64_LIMIT))
     return (F.when((kind == "null") | raw.isNull(), F.lit("null"))
             .when(kind.isin("s", "e") & raw.isin(*MISSING_TOKENS), F.lit("null"))
-            .when(kind == "n", F.when(integral, F.lit("int")).otherwise(F.lit("float")))
+            .when(kind == "n", F.when(_integral(_number_cell(kind, raw)), F.lit("int"))
+                  .otherwise(F.lit("float")))
             .when(kind == "b", F.lit("bool"))
             .when(kind == "d", F.lit("date"))
             .when(t.rlike(INT_TEXT),
                   F.when(t.try_cast("bigint").isNotNull(), F.lit("int")).otherwise(F.lit("text")))
-            .when(t.rlike(FLOAT_TEXT) & text_num.isNotNull(), F.lit("float"))
+            .when(t.rlike(FLOAT_TEXT), F.lit("float"))
             .when(t.isin(*TRUE_TEXT, *FALSE_TEXT), F.lit("bool_text"))
             .otherwise(F.lit("text")))
 
@@ -50,15 +60,21 @@ def cell_class(kind: Column, raw: Column) -> Column:
 def typed_kind(kind: Column, raw: Column) -> Column:
     """Class for ``infer='typed'``: the workbook's own cell kind; numbers split
     into int/float by value; text never becomes a number."""
-    num = raw.try_cast("double")
-    integral = (num == F.floor(num)) & (F.abs(num) < F.lit(INT64_LIMIT))
     return (F.when((kind == "null") | raw.isNull(), F.lit("null"))
-            .when(kind == "n", F.when(integral, F.lit("int")).otherwise(F.lit("float")))
+            .when(kind == "n", F.when(_integral(_number_cell(kind, raw)), F.lit("int"))
+                  .otherwise(F.lit("float")))
             .when(kind == "b", F.lit("bool"))
             .when(kind == "d", F.lit("date"))
             .otherwise(F.lit("text")))
 
 
+def cell_present(cell: Column) -> Column:
+    """Not an empty cell and not a missing-value token."""
+    kind, raw = cell.kind, cell.raw
+    return ~(cell.isNull() | (kind == "null") | raw.isNull() |
+             (kind.isin("s", "e") & raw.isin(*MISSING_TOKENS)))
+
+
 def class_counts(cls: Column) -> list[Column]:
     """Aggregates counting each non-null class (partial-aggregation friendly)."""
     return [F.count_if(cls == c).alias(f"c_{c}") for c in CLASSES if c != "null"]
@@ -118,35 +134,33 @@ def cast_cell(cell: Column, sql_type: str) -> Column:
     """
     kind, raw = cell.kind, cell.raw
     t = F.trim(raw)
-    is_null = cell.isNull() | (kind == "null") | raw.isNull() | \
-        (kind.isin("s", "e") & raw.isin(*MISSING_TOKENS))
     typ = sql_type.strip().upper()
     as_bool = F.when(raw == "true", F.lit(True)).when(raw == "false", F.lit(False))
+    numeric_like = (kind == "n") | t.rlike(FLOAT_TEXT)
+    as_double = F.when(numeric_like, t.try_cast("double"))
     if typ in ("BIGINT", "LONG", "INT", "INTEGER", "SMALLINT", "TINYINT"):
-        d = t.try_cast("double")
-        exact = t.try_cast("bigint")
-        via_d = F.when((d == F.floor(d)) & (F.abs(d) < F.lit(INT64_LIMIT)), d.cast("bigint"))
+        exact = F.when(t.rlike(INT_TEXT), t.try_cast("bigint"))
+        via_d = F.when(_integral(as_double), as_double.cast("bigint"))
         v = F.when(kind == "b", as_bool.cast("bigint")).otherwise(F.coalesce(exact, via_d))
         target = "bigint" if typ in ("BIGINT", "LONG") else typ.lower()
         v = v.try_cast(target) if target != "bigint" else v
     elif typ in ("DOUBLE", "FLOAT", "REAL"):
-        v = F.when(kind == "b", as_bool.cast("double")).otherwise(t.try_cast("double"))
+        v = F.when(kind == "b", as_bool.cast("double")).otherwise(as_double)
         if typ != "DOUBLE":
             v = v.cast("float")
     elif typ == "BOOLEAN":
         low = F.lower(t)
         v = (F.when(kind == "b", as_bool)
-             .when(kind == "n", t.try_cast("double") != 0)
+             .when(kind == "n", as_double != 0)
              .when(low == "true", F.lit(True)).when(low == "false", F.lit(False)))
-    elif typ in ("TIMESTAMP", "TIMESTAMP_LTZ"):
-        v = F.when(kind != "n", t.try_cast("timestamp"))
-    elif typ == "TIMESTAMP_NTZ":
-        v = F.when(kind != "n", t.try_cast("timestamp_ntz"))
+    elif typ in ("TIMESTAMP", "TIMESTAMP_LTZ", "TIMESTAMP_NTZ", "DATE"):
+        target = {"TIMESTAMP_LTZ": "timestamp"}.get(typ, typ.lower())
+        v = F.when((kind != "n") & t.rlike(DATE_TEXT), t.try_cast(target))
     elif typ == "STRING":
         v = raw
     else:
         v = F.when(kind == "b", as_bool.try_cast(sql_type)).otherwise(t.try_cast(sql_type))
-    return F.when(is_null, F.lit(None)).otherwise(v)
+    return F.when(~cell_present(cell), F.lit(None)).otherwise(v)
 
 
 # ------------------------------------------------------------------ headers

@@ -15,8 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridflow.functions.cells import (CLASSES, cast_cell, cell_class, class_counts, decide_type,
-                                      display, header_names_udf, typed_kind)
+from gridflow.functions.cells import (CLASSES, cast_cell, cell_class, cell_present, class_counts,
+                                      decide_type, display, header_names_udf, typed_kind)
 
 KEYS = ["file_id", "sheet"]
 
@@ -115,7 +115,7 @@ def column_samples(rows: DataFrame, header_row: int = 0, sheet: str | None = Non
     """
     data = _data(rows, header_row, sheet)
     cells = (data.select(*KEYS, "row_ix", F.posexplode("cells").alias("col_ix", "cell"))
-             .filter(cell_class(F.col("cell.kind"), F.col("cell.raw")) != "null")
+             .filter(cell_present(F.col("cell")))
              .select(*KEYS, "row_ix", "col_ix", display(F.col("cell")).alias("value")))
     w = Window.partitionBy(*KEYS, "col_ix").orderBy("row_ix")
     top = cells.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)

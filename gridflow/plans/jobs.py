@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gridflow.functions.cells import cast_cell, cell_class, widen
+from gridflow.functions.cells import cast_cell, cell_present, widen
 from gridflow.functions.scalars import content_type_error, table_name
 from gridflow.operators import grid as G
 from gridflow.operators.gate import sync_gate
@@ -97,7 +97,7 @@ def build_typed(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
     # one projection: typed values plus a reject flag (a present source value
     # that did not survive its cast); no join, no second pass
     casted = [(c, cast_cell(F.col(f"`{c}`"), t)) for c, t in schema]
-    present = [cell_class(F.col(f"`{c}`.kind"), F.col(f"`{c}`.raw")) != "null" for c, _ in schema]
+    present = [cell_present(F.col(f"`{c}`")) for c, _ in schema]
     flag = F.lit(False)
     for p, (_, e) in zip(present, casted):
         flag = flag | (F.coalesce(p, F.lit(False)) & e.isNull())

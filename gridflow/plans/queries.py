@@ -430,7 +430,7 @@ def q_append_rejects(spark, sf_dir):
     a NULL, not a reject (SURVEY 2.12)."""
     from pyspark.sql import functions as F
 
-    from gridflow.functions.cells import cast_cell, cell_class
+    from gridflow.functions.cells import cast_cell, cell_present
     m = F.col("o_orderkey") % 10
     raw = (F.when(m == 3, F.lit("n/a"))
            .when(m == 5, F.concat(F.lit("x"), F.col("o_orderkey").cast("string")))
@@ -440,7 +440,7 @@ def q_append_rejects(spark, sf_dir):
         "o_orderkey", F.struct(F.when(raw.isNull(), F.lit("null")).otherwise(F.lit("s")).alias("kind"),
                                raw.alias("raw")).alias("cell"))
     amount = cast_cell(F.col("cell"), "DOUBLE")
-    present = cell_class(F.col("cell.kind"), F.col("cell.raw")) != "null"
+    present = cell_present(F.col("cell"))
     return o.select("o_orderkey", F.col("cell.raw").alias("raw"), amount.alias("amount"),
                     (present & amount.isNull()).alias("rejected"))
 
