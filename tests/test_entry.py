@@ -47,3 +47,25 @@ def test_run_sql_and_read_table(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(0, 3), (1, 3)]
     t, msg = read_table(spark, "main.does_not_exist")
     assert t is None and "not found" in msg.lower()
+
+
+def test_refresh_documents_reads_only_changed_files(spark, tmp_path):
+    import time as _t
+
+    from gridflow.session import land
+    from gridflow.sources.documents import refresh_documents
+    root = tmp_path / "site2"
+    root.mkdir()
+    for n in ("a", "b", "c"):
+        (root / f"{n}.xlsx").write_bytes(n.encode())
+    old_ts = _t.time() - 3600
+    for n in ("a", "b", "c"):
+        os.utime(root / f"{n}.xlsx", (old_ts, old_ts))
+    docs = land(land_documents(spark, str(root)), "docs-v1")
+    (root / "b.xlsx").write_bytes(b"b2")      # changed (now)
+    os.remove(root / "c.xlsx")                 # vanished
+    (root / "d.xlsx").write_bytes(b"d")       # new
+    snap = {r["file_id"].split("/")[-1]: (r["change"], r["is_deleted"], bytes(r["content"] or b""))
+            for r in refresh_documents(spark, docs, str(root)).collect()}
+    assert snap == {"a.xlsx": ("unchanged", False, b"a"), "b.xlsx": ("changed", False, b"b2"),
+                    "c.xlsx": ("deleted", True, b"c"), "d.xlsx": ("new", False, b"d")}
