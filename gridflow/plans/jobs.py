@@ -139,11 +139,20 @@ def parse_to_table(spark: SparkSession, docs: DataFrame, file_ids, table: str,
 
 # ----------------------------------------------------------------- K4-K6
 def existing_targets(spark: SparkSession, tracked: DataFrame) -> DataFrame:
-    """``target_table, target_exists`` for the registry's targets (catalog
-    metadata, one call per distinct target: registry-sized, not data-sized)."""
-    names = [r["target_table"] for r in tracked.select("target_table").distinct().collect()]
-    rows = [(n, bool(S.table_exists(spark, n))) for n in names]
-    return spark.createDataFrame(rows, "target_table string, target_exists boolean")
+    """``target_table, target_exists`` for the registry's targets: one catalog
+    listing per distinct schema (a handful), joined to the targets in Spark."""
+    schemas = [r[0] for r in tracked.select(
+        F.substring_index("target_table", ".", -2).alias("q")).select(
+        F.substring_index("q", ".", 1)).distinct().collect()]
+    listed = []
+    for db in schemas:
+        if db and spark.catalog.databaseExists(db):
+            listed += [(f"{db}.{t.name}",) for t in spark.catalog.listTables(db)]
+    have = spark.createDataFrame(listed, "qualified string")
+    key = F.substring_index(F.col("target_table"), ".", -2)
+    return (tracked.select("target_table").distinct()
+            .join(have, key == F.col("qualified"), "left")
+            .select("target_table", F.col("qualified").isNotNull().alias("target_exists")))
 
 
 def sync_all(spark: SparkSession, tracked: DataFrame, docs: DataFrame,

@@ -101,7 +101,7 @@ def q_diff_snapshot(spark, sf_dir):
 
 
 def _listing(spark, sf_dir):
-    return D.list_documents(V.docs_v(spark, sf_dir), limit=None).select("file_id", "name")
+    return D.list_documents(V.docs_v(spark, sf_dir), limit=None, ordered=False).select("file_id", "name")
 
 
 @register("search_documents", V.with_views("""

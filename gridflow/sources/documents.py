@@ -52,11 +52,13 @@ def live(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("is_deleted") == F.lit(False))
 
 
-def list_documents(docs: DataFrame, limit: int | None = 100) -> DataFrame:
+def list_documents(docs: DataFrame, limit: int | None = 100, ordered: bool = True) -> DataFrame:
     """C1 + F3: flat listing of live documents, newest first.
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject (per-partition
     top-n, then a merge of n rows per partition), never a full sort.
+    ``limit=None, ordered=False`` gives the unordered projection (no shuffle)
+    for further filtering.
     """
     out = live(docs).select(
         F.col("file_id"),
@@ -67,8 +69,10 @@ def list_documents(docs: DataFrame, limit: int | None = 100) -> DataFrame:
         F.col("file_metadata.created_timestamp").alias("createdTime"),
         F.col("is_deleted"),
     )
-    ordered = out.orderBy(F.col("modificationTime").desc_nulls_last(), F.col("file_id"))
-    return ordered.limit(limit) if limit is not None else ordered
+    if not ordered and limit is None:
+        return out
+    srt = out.orderBy(F.col("modificationTime").desc_nulls_last(), F.col("file_id"))
+    return srt.limit(limit) if limit is not None else srt
 
 
 def read_content(docs: DataFrame, file_ids: DataFrame | list[str] | None = None,

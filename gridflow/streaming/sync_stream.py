@@ -76,8 +76,7 @@ def sync_batch(batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
 def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
     t_start = time.time()
     exists = S.table_exists(spark, cfg.target_table)
-    deleted = [r["file_id"] for r in
-               latest.filter(F.col("is_deleted") == F.lit(True)).select("file_id").collect()]
+    deleted = latest.filter(F.col("is_deleted") == F.lit(True)).select("file_id")
     tracked = (latest.filter(F.col("is_deleted") == F.lit(False)).select("file_id")
                .withColumn("target_table", F.lit(cfg.target_table))
                .withColumn("target_exists", F.lit(exists)))
@@ -108,7 +107,7 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
             data_cols = [c for c in out.columns if c not in ("source_file", "file_bucket")]
             out = out.select(*[F.col(f"`{c}`") for c in data_cols], "source_file", "file_bucket")
     if exists:
-        changed = spark.createDataFrame([(d,) for d in deleted], "file_id string")
+        changed = deleted
         if ok_ids is not None:
             changed = changed.unionByName(ok_ids)
         touched = [r[0] for r in changed.select(file_bucket(F.col("file_id"), cfg.buckets)).distinct().collect()]
@@ -142,7 +141,7 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
     if ok_ids is not None:
         done = todo.join(ok_ids, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
         S.advance_watermark(spark, cfg.state_table, done)
-    cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo, "files_deleted": len(deleted),
+    cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo,
                     "written": bool(written), "seconds": round(time.time() - t_start, 3)})
 
 
