@@ -113,17 +113,16 @@ def grid_v(spark: SparkSession, sf_dir: str) -> DataFrame:
             _cell("b", F.when(F.col("l_linestatus") == "O", F.lit("true")).otherwise(F.lit("false"))),
         ).alias("cells"),
     )
+    # the three fixed rows of every workbook from one aggregate
     files = li.groupBy("file_id").agg(F.first("l_suppkey").alias("supp"))
-    top = files.select(
-        "file_id", F.lit(0).alias("row_ix"),
-        F.array(_cell("s", F.lit("Supplier ID")), _cell("n", F.col("supp"))).alias("cells"))
-    blank = files.select(
-        "file_id", F.lit(1).alias("row_ix"),
-        F.array().cast("array<struct<kind:string,raw:string>>").alias("cells"))
-    header = files.select(
-        "file_id", F.lit(GRID_HEADER_ROW).alias("row_ix"),
-        F.array(*[_cell("s", F.lit(h)) for h in GRID_HEADER]).alias("cells"))
-    rows = top.unionByName(blank).unionByName(header).unionByName(data)
+    fixed = files.select("file_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("row_ix"),
+                 F.array(_cell("s", F.lit("Supplier ID")), _cell("n", F.col("supp"))).alias("cells")),
+        F.struct(F.lit(1).alias("row_ix"),
+                 F.array().cast("array<struct<kind:string,raw:string>>").alias("cells")),
+        F.struct(F.lit(GRID_HEADER_ROW).alias("row_ix"),
+                 F.array(*[_cell("s", F.lit(h)) for h in GRID_HEADER]).alias("cells")))))
+    rows = fixed.unionByName(data)
     return rows.select("file_id", F.lit(0).alias("sheet_ix"), F.lit("Sheet1").alias("sheet"),
                        "row_ix", "cells")
 
