@@ -14,11 +14,17 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rows of a documents table hold whole files; keep Arrow batches short so
-    # one batch of workbooks cannot exhaust a Python worker.
+    # Rows of a documents table hold whole files; bound Arrow batches by count
+    # and by bytes so one batch of workbooks cannot exhaust a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
+# session settings applied at run time to a session built elsewhere
+RUNTIME = {k: DEFAULTS[k] for k in ("spark.sql.session.timeZone",
+                                    "spark.sql.execution.arrow.maxRecordsPerBatch",
+                                    "spark.sql.execution.arrow.maxBytesPerBatch")}
+
 
 def get_spark(master: str | None = None, app: str = "gridflow", **conf: str) -> SparkSession:
     """Build (or reuse) a session with the defaults above.
