@@ -23,7 +23,7 @@ from gridflow.operators.quality import quality_report
 from gridflow.session import land
 from gridflow.sinks import tables as S
 from gridflow.sources.documents import live, read_content
-from gridflow.sources.workbook import decode_log, decode_workbooks, grid_rows, list_sheets
+from gridflow.sources.workbook import decode_log, decode_workbooks, grid_rows
 
 # Outcome codes of a file sync
 FILE_NOT_FOUND = "FILE_NOT_FOUND"
@@ -41,22 +41,28 @@ def preview_files(docs: DataFrame, file_ids: DataFrame | list[str] | None = None
     decoder stops reading each sheet after ``max_rows`` rows."""
     decoded = decode_workbooks(read_content(docs, file_ids), max_rows=max_rows, sheets=None)
     rows = G.preview(grid_rows(decoded), max_rows)
-    shape = rows.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.max(F.size("values")).alias("_w"))
-    files = (list_sheets(decoded).join(shape, "file_id", "left")
-             .select("file_id", "sheets", F.col("default_sheet").alias("selected_sheet"),
-                     F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
-                     F.when(F.coalesce("total_rows", F.lit(0)) > 0, F.col("_w")).otherwise(F.lit(0))
-                     .alias("column_count"),
-                     table_name(F.col("file_id")).alias("recommended_table_name")))
+    # one aggregate over the decoded rows (at most max_rows per sheet) gives
+    # sheets, row count and width, so the summary decodes each file once
+    first = (F.col("sheet_ix") == 0) & F.col("row_ix").isNotNull()
+    per_file = (decoded.filter(F.col("error").isNull()).groupBy("file_id")
+                .agg(F.sort_array(F.collect_set(F.struct("sheet_ix", "sheet"))).alias("_s"),
+                     F.count_if(first).alias("total_rows"),
+                     F.max(F.when(first, F.size("cells"))).alias("_w")))
+    files = per_file.select(
+        "file_id", F.transform("_s", lambda x: x["sheet"]).alias("sheets"),
+        F.element_at("_s", 1)["sheet"].alias("selected_sheet"),
+        "total_rows",
+        F.when(F.col("total_rows") > 0, F.col("_w")).otherwise(F.lit(0)).alias("column_count"),
+        table_name(F.col("file_id")).alias("recommended_table_name"))
     return {"files": files, "rows": rows, "errors": decode_log(decoded).filter(F.col("error").isNotNull())}
 
 
 def analyze_files(docs: DataFrame, file_ids=None, header_row: int = 0,
                   sheet: str | None = None, infer: str = "compat") -> dict[str, DataFrame]:
-    """K2: column name, type, nullability and samples with a chosen header row."""
-    decoded = decode_workbooks(read_content(docs, file_ids), sheets=[sheet] if sheet else None)
+    """K2: column name, type, nullability and samples with a chosen header row.
+    Decoded rows are landed once: names, counts and samples all read them."""
+    decoded = land(decode_workbooks(read_content(docs, file_ids), sheets=[sheet] if sheet else None),
+                   "analyze-decoded")
     rows = grid_rows(decoded)
     return {"columns": G.analyze_columns(rows, header_row, sheet, infer),
             "shape": G.sheet_shape(rows, header_row, sheet)}

@@ -926,3 +926,65 @@ def q_stream_sync(spark, sf_dir):
     q.awaitTermination()
     spark.catalog.refreshTable(cfg.target_table)  # written by the stream's own session
     return spark.table(cfg.target_table).drop("file_bucket")
+
+
+# ------------------------------------------------------------ K1 / K2 jobs
+@register("preview_files", V.with_views(f"""
+SELECT file_id, 'Sheet1' AS sheets_text, 'Sheet1' AS selected_sheet,
+       count(*) AS total_rows, CAST(max(len(cells)) AS INTEGER) AS column_count,
+       {_SAFE_NAME_SQL.format(x='file_id')} AS recommended_table_name
+FROM grid_v WHERE row_ix < 100 GROUP BY file_id""", "grid_v"))
+def q_preview_files(spark, sf_dir):
+    """K1 over real workbooks: sheets, first 100 raw rows (the decoder stops
+    each sheet there), their count and width, and the suggested table name."""
+    from pyspark.sql import functions as F
+
+    from gridflow.plans.jobs import preview_files
+    p = preview_files(workbook_docs(spark, sf_dir), None, max_rows=100)
+    return p["files"].select("file_id", F.array_join("sheets", "|").alias("sheets_text"), "selected_sheet",
+                             "total_rows", F.col("column_count").cast("int").alias("column_count"),
+                             "recommended_table_name")
+
+
+@register("analyze_files", V.with_views(f"""
+WITH {GRID_CELLS_SQL},
+n AS (SELECT file_id, sheet, count(*) AS n_rows FROM grid_v WHERE row_ix > 2 GROUP BY ALL),
+cnt AS (
+  SELECT file_id, sheet, col_ix,
+         count(*) FILTER (WHERE cls = 'int') AS c_int, count(*) FILTER (WHERE cls = 'float') AS c_float,
+         count(*) FILTER (WHERE cls = 'bool') AS c_bool, count(*) FILTER (WHERE cls = 'bool_text') AS c_bt,
+         count(*) FILTER (WHERE cls = 'date') AS c_date, count(*) FILTER (WHERE cls = 'text') AS c_text,
+         count(*) FILTER (WHERE cls <> 'null') AS nn
+  FROM cls_x GROUP BY ALL),
+smp AS (
+  SELECT file_id, sheet, col_ix, string_agg(raw, '|' ORDER BY row_ix) AS samples
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_id, sheet, col_ix ORDER BY row_ix) AS rn
+        FROM cls_x WHERE cls <> 'null')
+  WHERE rn <= 3 GROUP BY ALL),
+names AS (
+  SELECT file_id, sheet, i - 1 AS col_ix, cells[i].raw AS name
+  FROM (SELECT *, generate_subscripts(cells, 1) AS i FROM grid_v WHERE row_ix = 2))
+SELECT names.file_id, CAST(names.col_ix AS INTEGER) AS col_ix, name,
+  CASE WHEN coalesce(n_rows, 0) = 0 THEN 'STRING'
+       WHEN coalesce(nn, 0) = 0 THEN 'DOUBLE'
+       WHEN c_text > 0 THEN 'STRING'
+       WHEN c_date > 0 THEN CASE WHEN c_date = nn THEN 'TIMESTAMP' ELSE 'STRING' END
+       WHEN c_bt > 0 THEN CASE WHEN c_bt = nn AND n_rows = nn THEN 'BOOLEAN' ELSE 'STRING' END
+       WHEN c_bool > 0 THEN CASE WHEN c_float > 0 THEN 'DOUBLE'
+                                 WHEN n_rows > nn THEN 'DOUBLE'
+                                 WHEN c_int > 0 THEN 'BIGINT' ELSE 'BOOLEAN' END
+       WHEN c_float > 0 THEN 'DOUBLE'
+       WHEN n_rows > nn THEN 'DOUBLE' ELSE 'BIGINT' END AS type,
+  (coalesce(n_rows, 0) - coalesce(nn, 0) > 0) AS nullable,
+  coalesce(samples, '') AS samples
+FROM names LEFT JOIN n USING (file_id, sheet) LEFT JOIN cnt USING (file_id, sheet, col_ix)
+LEFT JOIN smp USING (file_id, sheet, col_ix)""", "grid_v"))
+def q_analyze_files(spark, sf_dir):
+    """K2 over real workbooks with header row 2: name, type, nullability and
+    the first three values of every column of every file."""
+    from pyspark.sql import functions as F
+
+    from gridflow.plans.jobs import analyze_files
+    a = analyze_files(workbook_docs(spark, sf_dir), None, header_row=V.GRID_HEADER_ROW)
+    return a["columns"].select("file_id", "col_ix", "name", "type", "nullable",
+                               F.array_join("sample_values", "|").alias("samples"))
