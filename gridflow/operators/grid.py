@@ -73,37 +73,55 @@ def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None
                   infer: str = "compat", by_file: bool = True) -> DataFrame:
     """``[file_id, sheet,] col_ix, name, type, nullable`` per column.
 
-    One pass: cells are classified and counted per column with ``count_if``;
-    the decision table (SURVEY 2.12) runs on the counts. ``by_file=False``
-    infers one type per column over all given files (they must share a layout).
+    One pass over the data rows: each row contributes a marker cell at
+    ``col_ix = -1`` (so the same partial aggregate counts rows) plus its
+    classified cells; the decision table (SURVEY 2.12) runs on the counts.
+    Header rows are read separately (a pushed-down ``row_ix`` filter).
+    ``by_file=False`` infers one type per column over all given files and adds
+    ``consistent``: every file has this column under the same name.
     """
-    keys = KEYS if by_file else []
+    group = KEYS if by_file else []
     data = _data(rows, header_row, sheet)
-    stats = sheet_stats(rows, header_row, sheet)
-    n_rows = stats.select(*KEYS, "n_rows")
     classify = typed_kind if infer == "typed" else cell_class
-    cells = (data.select(*KEYS, F.posexplode("cells").alias("col_ix", "cell"))
-             .select(*KEYS, "col_ix", classify(F.col("cell.kind"), F.col("cell.raw")).alias("cls")))
-    counts = cells.groupBy(*keys, "col_ix").agg(*class_counts(F.col("cls")))
-    # posexplode_outer: an inner generator makes the optimizer add a filter on
-    # the UDF result, which would run the header UDF twice
-    names = (header_names(rows, header_row, sheet, stats)
-             .select(*KEYS, F.posexplode_outer("names").alias("col_ix", "name"))
+    marker = F.struct(F.lit("_row").alias("kind"), F.lit(None).cast("string").alias("raw"))
+    cells = (data.select(*KEYS, F.posexplode(F.concat(F.array(marker), F.col("cells"))).alias("_p", "cell"))
+             .select(*KEYS, (F.col("_p") - 1).alias("col_ix"),
+                     classify(F.col("cell.kind"), F.col("cell.raw")).alias("cls")))
+    # per file: class counts per column, plus the row count at col_ix -1
+    per_file = cells.groupBy(*KEYS, "col_ix").agg(F.count(F.lit(1)).alias("_n"),
+                                                  *class_counts(F.col("cls")))
+    data_width = (per_file.groupBy(*KEYS)
+                  .agg(F.max("col_ix").alias("_maxc"),
+                       F.max(F.when(F.col("col_ix") == -1, F.col("_n"))).alias("n_rows")))
+    head = (sheet_rows(rows, sheet).filter(F.col("row_ix") == header_row)
+            .select(*KEYS, _texts(F.col("cells")).alias("texts")))
+    files = data_width.join(head, on=KEYS, how="full_outer")
+    width = F.greatest(F.coalesce(F.col("_maxc") + 1, F.lit(0)), F.coalesce(F.size("texts"), F.lit(0)))
+    names = (files.select(*KEYS, F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+                          header_names_udf(F.coalesce(F.col("texts"), F.array().cast("array<string>")),
+                                           width).alias("names"))
+             .select(*KEYS, "n_rows", F.posexplode_outer("names").alias("col_ix", "name"))
              .filter(F.col("col_ix").isNotNull()))
+    counts = per_file.filter(F.col("col_ix") >= 0).drop("_n")
+    cnames = [f"c_{k}" for k in CLASSES if k != "null"]
     if by_file:
-        cols = names.join(n_rows, on=KEYS, how="left")
+        j = names.join(counts, on=[*KEYS, "col_ix"], how="left")
     else:
-        # one scalar (the data row count) to the driver, then a literal
-        total = stats.agg(F.sum("n_rows")).first()[0] or 0
-        cols = (names.groupBy("col_ix").agg(F.min("name").alias("name"))
-                .withColumn("n_rows", F.lit(total).cast("bigint")))
-    j = cols.join(counts, on=[*keys, "col_ix"], how="left")
+        # sum over files; the layout check compares names and file counts per column
+        j = (names.join(counts, on=[*KEYS, "col_ix"], how="left")
+             .groupBy("col_ix")
+             .agg(F.min("name").alias("name"), F.max("name").alias("_name_max"),
+                  F.count(F.lit(1)).alias("_files"), F.sum("n_rows").alias("n_rows"),
+                  *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in cnames]))
     c = {k: F.coalesce(F.col(f"c_{k}"), F.lit(0)) for k in CLASSES if k != "null"}
     n = F.coalesce(F.col("n_rows"), F.lit(0))
     non_null = sum(c.values(), F.lit(0))
-    return j.select(*keys, F.col("col_ix").cast("int").alias("col_ix"), "name",
-                    decide_type(n, c, infer).alias("type"),
-                    (n - non_null > 0).alias("nullable"))
+    out = [*group, F.col("col_ix").cast("int").alias("col_ix"), "name",
+           decide_type(n, c, infer).alias("type"), (n - non_null > 0).alias("nullable")]
+    if not by_file:
+        out.append(((F.col("name") == F.col("_name_max")) &
+                    (F.col("_files") == F.max("_files").over(Window.partitionBy()))).alias("consistent"))
+    return j.select(*out)
 
 
 def column_samples(rows: DataFrame, header_row: int = 0, sheet: str | None = None,

@@ -85,21 +85,22 @@ def build_typed(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
     """C12 -> C9/C10 -> E2 -> C13 over files sharing one header layout.
 
     Returns the typed DataFrame (plus a ``_rejected`` flag) and the schema.
-    Two small driver reads: the header layout and the column types.
+    One small driver read: names, layout check and types per column.
     """
-    layouts = G.layout_names(rows, header_row, sheet)
-    if not layouts:
+    # one job: names, layout check and types of every column over all files
+    cols = sorted(G.infer_columns(rows, header_row, sheet, infer, by_file=False).collect(),
+                  key=lambda r: r["col_ix"])
+    if not cols:
         return None, []
-    if len(layouts) > 1:
-        raise ValueError(f"files have {len(layouts)} different header layouts; group them first")
-    names = layouts[0]
+    if not all(r["consistent"] for r in cols):
+        raise ValueError("files have different header layouts; group them first")
+    names = [r["name"] for r in cols]
     promoted = G.promote_header(rows, names, header_row, sheet)
     picked = G.select_columns(promoted, selected_columns, mode)
-    cols = [c for c in picked.columns if c not in ("file_id", "sheet", "row_ix")]
+    picked_cols = [c for c in picked.columns if c not in ("file_id", "sheet", "row_ix")]
     if schema is None:
-        inferred = {r["name"]: r["type"] for r in
-                    G.infer_columns(rows, header_row, sheet, infer, by_file=False).collect()}
-        schema = [(c, inferred.get(c, "STRING")) for c in cols]
+        inferred = {r["name"]: r["type"] for r in cols}
+        schema = [(c, inferred.get(c, "STRING")) for c in picked_cols]
     # one projection: typed values plus a reject flag (a present source value
     # that did not survive its cast); no join, no second pass
     casted = [(c, cast_cell(F.col(f"`{c}`"), t)) for c, t in schema]
