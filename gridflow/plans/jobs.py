@@ -22,7 +22,7 @@ from gridflow.operators.gate import sync_gate
 from gridflow.operators.quality import quality_report
 from gridflow.session import land
 from gridflow.sinks import tables as S
-from gridflow.sources.documents import live, read_content
+from gridflow.sources.documents import read_content
 from gridflow.sources.workbook import decode_log, decode_workbooks, grid_rows
 
 # Outcome codes of a file sync
@@ -338,4 +338,4 @@ def run_sync(spark: SparkSession, cfg: dict, docs: DataFrame, header_row: int =
 
 
 __all__ = ["preview_files", "analyze_files", "parse_to_table", "build_typed", "sync_all",
-           "sync_file", "run_sync", "live"]
+           "sync_file", "run_sync"]

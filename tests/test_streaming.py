@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import workbook_doc
 from gridflow.session import scratch_path
 from gridflow.sources.xlsx import write_workbook
 from gridflow.streaming.debounce import debounce_stream, debounce_triggers
