@@ -73,3 +73,43 @@ def test_empty_sheet_is_success(spark):
     docs = workbook_doc(spark, {"/f/empty.xlsx": write_workbook([("S", [])])})
     r = parse_to_table(spark, docs, None, "main.empty_t", header_row=0)
     assert r.total_rows == 0 and "empty table" in r.message
+
+
+def test_typed_round_trip_property(spark):
+    """SURVEY 5 (3): typed rows -> workbook bytes -> decode -> promote -> cast
+    gives the same rows back, for random tables with NULLs."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    from gridflow.plans.jobs import build_typed
+    from gridflow.sources.workbook import decode_workbooks, grid_rows
+
+    schema = [("i", "BIGINT"), ("f", "DOUBLE"), ("s", "STRING"), ("b", "BOOLEAN"), ("t", "TIMESTAMP")]
+    row = st.tuples(
+        st.one_of(st.none(), st.integers(-10**12, 10**12)),
+        st.one_of(st.none(), st.floats(-1e9, 1e9, allow_nan=False).map(lambda x: round(x, 3))),
+        st.one_of(st.none(), st.text(alphabet="abcXYZ &<>é", min_size=1, max_size=6)),
+        st.one_of(st.none(), st.booleans()),
+        st.one_of(st.none(), st.datetimes(min_value=dt.datetime(1901, 1, 1), max_value=dt.datetime(2090, 1, 1))
+                  .map(lambda x: x.replace(microsecond=0))))
+
+    def cells_of(r):
+        i, f, s, b, t = r
+        return [None if i is None else ("n", str(i)), None if f is None else ("n", repr(f)),
+                None if s is None else ("s", s), None if b is None else ("b", "true" if b else "false"),
+                None if t is None else ("d", t.strftime("%Y-%m-%d %H:%M:%S"))]
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(row, min_size=1, max_size=12))
+    def check(rows):
+        sheet = [(0, [("s", n) for n, _ in schema])] + [(k + 1, cells_of(r)) for k, r in enumerate(rows)]
+        docs = workbook_doc(spark, {"/p/rt.xlsx": write_workbook([("S", sheet)])})
+        typed, _ = build_typed(grid_rows(decode_workbooks(docs)), 0, None, None, schema, keys=("row_ix",))
+        got = sorted((r["row_ix"], r["i"], r["f"], r["s"], r["b"], r["t"]) for r in typed.collect())
+        exp = [(k + 1, *r) for k, r in enumerate(rows)]
+        # trailing all-NULL rows are not rows of the sheet (as in pandas)
+        while exp and all(v is None for v in exp[-1][1:]):
+            exp.pop()
+        assert got == exp
+
+    check()
