@@ -75,6 +75,28 @@ def validate_schema(expected: DataFrame, actual: DataFrame, strict: bool = False
                     "missing_columns", "extra_columns", "type_mismatches")
 
 
+def compare_columns(expected: DataFrame, actual: DataFrame, strict: bool = False) -> DataFrame:
+    """Expected against actual columns, by name, per table; one row per
+    column with its status (``ok``, ``missing``, ``extra``, ``type_mismatch``)."""
+    spark = expected.sparkSession
+    exp = expected.select("table_name", "column_name", F.col("type").alias("exp_type"))
+    if not strict:
+        m = normalise_types(spark, [r[0] for r in exp.select("exp_type").distinct().collect()])
+        if m:
+            mapping = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
+            exp = exp.withColumn("exp_type", F.coalesce(F.element_at(mapping, F.col("exp_type")),
+                                                        F.col("exp_type")))
+    act = (actual.select("table_name", "column_name", F.col("type").alias("act_type"))
+           .join(exp.select("table_name").distinct(), "table_name", "left_semi"))
+    j = exp.join(act, ["table_name", "column_name"], "full_outer")
+    status = (F.when(F.col("act_type").isNull(), F.lit("missing"))
+              .when(F.col("exp_type").isNull(), F.lit("extra"))
+              .when(F.col("exp_type") != F.col("act_type"), F.lit("type_mismatch"))
+              .otherwise(F.lit("ok")))
+    return j.select("table_name", "column_name", F.col("exp_type").alias("expected"),
+                    F.col("act_type").alias("actual"), status.alias("status"))
+
+
 def validate_tables(spark: SparkSession, expected: DataFrame,
                     tables: Mapping[str, DataFrame] | None = None, strict: bool = False) -> DataFrame:
     """K8: contracts of many tables; ``tables`` default to catalog tables named

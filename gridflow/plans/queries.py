@@ -826,7 +826,7 @@ _CONTRACT_VALUES = ", ".join(f"('{t}', '{c}', '{ty}', '{norm}')" for t, c, ty, n
 @register("validate_schema", f"""
 WITH e AS (SELECT * FROM (VALUES {_CONTRACT_VALUES}) AS v(table_name, column_name, raw_type, exp_type)),
 a AS (
-  SELECT table_name, column_name,
+  SELECT DISTINCT table_name, column_name,
          CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
               WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean'
               WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS act_type

@@ -92,6 +92,9 @@ def test_schema_contract_fixture(spark):
     assert validate_schema(exp2, actual_columns(spark, {"t": t})).collect()[0]["valid"] is True
     strict = validate_schema(exp2, actual_columns(spark, {"t": t}), strict=True).collect()[0]
     assert strict["valid"] is False
+    from gridflow.operators.contracts import compare_columns
+    per_col = {r["column_name"]: r["status"] for r in compare_columns(exp, actual_columns(spark, {"t": t})).collect()}
+    assert per_col == {"id": "ok", "value": "type_mismatch", "gone": "missing", "extra": "extra"}
 
 
 def test_profiles(spark, tmp_path):
