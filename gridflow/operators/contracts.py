@@ -39,48 +39,18 @@ def normalise_types(spark: SparkSession, types: Iterable[str]) -> dict[str, str]
     return out
 
 
-def validate_schema(expected: DataFrame, actual: DataFrame, strict: bool = False) -> DataFrame:
-    """Per table ``valid, missing_columns, extra_columns, type_mismatches``.
+def compare_columns(expected: DataFrame, actual: DataFrame, strict: bool = False) -> DataFrame:
+    """Expected against actual columns, by name, per table; one row per
+    column with its status (``ok``, ``missing``, ``extra``, ``type_mismatch``).
 
-    ``missing`` = expected - actual, ``extra`` = actual - expected (allowed),
-    mismatches on the intersection; ``valid`` = nothing missing and no mismatch.
     Types compare after normalisation through Spark's DDL parser unless
-    ``strict`` (then exact text). Column names compare exactly.
+    ``strict`` (then exact text). Column names compare exactly. One full outer
+    join on ``(table_name, column_name)``.
     """
     spark = expected.sparkSession
     exp = expected.select("table_name", "column_name", F.col("type").alias("exp_type"))
     if not strict:
         # distinct type texts are a vocabulary, not data: normalise them once
-        vocab = [r[0] for r in exp.select("exp_type").distinct().collect()]
-        m = normalise_types(spark, vocab)
-        mapping = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))]) if m else None
-        if mapping is not None:
-            exp = exp.withColumn("exp_type", F.coalesce(F.element_at(mapping, F.col("exp_type")),
-                                                        F.col("exp_type")))
-    act = actual.select("table_name", "column_name", F.col("type").alias("act_type"))
-    j = exp.join(act.join(exp.select("table_name").distinct(), "table_name", "left_semi"),
-                 ["table_name", "column_name"], "full_outer")
-    is_missing = F.col("act_type").isNull()
-    is_extra = F.col("exp_type").isNull()
-    mismatch = ~is_missing & ~is_extra & (F.col("exp_type") != F.col("act_type"))
-    g = j.groupBy("table_name").agg(
-        F.sort_array(F.collect_list(F.when(is_missing, F.col("column_name")))).alias("missing_columns"),
-        F.sort_array(F.collect_list(F.when(is_extra, F.col("column_name")))).alias("extra_columns"),
-        F.sort_array(F.collect_list(F.when(mismatch, F.struct(
-            F.col("column_name").alias("column"), F.col("exp_type").alias("expected"),
-            F.col("act_type").alias("actual"))))).alias("type_mismatches"),
-    )
-    return g.select("table_name",
-                    ((F.size("missing_columns") == 0) & (F.size("type_mismatches") == 0)).alias("valid"),
-                    "missing_columns", "extra_columns", "type_mismatches")
-
-
-def compare_columns(expected: DataFrame, actual: DataFrame, strict: bool = False) -> DataFrame:
-    """Expected against actual columns, by name, per table; one row per
-    column with its status (``ok``, ``missing``, ``extra``, ``type_mismatch``)."""
-    spark = expected.sparkSession
-    exp = expected.select("table_name", "column_name", F.col("type").alias("exp_type"))
-    if not strict:
         m = normalise_types(spark, [r[0] for r in exp.select("exp_type").distinct().collect()])
         if m:
             mapping = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
@@ -97,6 +67,27 @@ def compare_columns(expected: DataFrame, actual: DataFrame, strict: bool = False
                     F.col("act_type").alias("actual"), status.alias("status"))
 
 
+def validate_schema(expected: DataFrame, actual: DataFrame, strict: bool = False) -> DataFrame:
+    """G1: per table ``valid, missing_columns, extra_columns, type_mismatches``.
+
+    ``missing`` = expected - actual, ``extra`` = actual - expected (allowed),
+    mismatches on the intersection; ``valid`` = nothing missing and no mismatch.
+    Lists are per table, so bounded by its number of columns.
+    """
+    c = compare_columns(expected, actual, strict)
+
+    def names(st: str):
+        return F.sort_array(F.collect_list(F.when(F.col("status") == st, F.col("column_name"))))
+
+    g = c.groupBy("table_name").agg(
+        names("missing").alias("missing_columns"), names("extra").alias("extra_columns"),
+        F.sort_array(F.collect_list(F.when(F.col("status") == "type_mismatch", F.struct(
+            F.col("column_name").alias("column"), "expected", "actual")))).alias("type_mismatches"))
+    return g.select("table_name",
+                    ((F.size("missing_columns") == 0) & (F.size("type_mismatches") == 0)).alias("valid"),
+                    "missing_columns", "extra_columns", "type_mismatches")
+
+
 def validate_tables(spark: SparkSession, expected: DataFrame,
                     tables: Mapping[str, DataFrame] | None = None, strict: bool = False) -> DataFrame:
     """K8: contracts of many tables; ``tables`` default to catalog tables named
