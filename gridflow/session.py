@@ -119,8 +119,3 @@ def land(df: DataFrame, kind: str) -> DataFrame:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for the few helpers that touch local paths."""
     return path[5:] if path.startswith("file:") else path
-
-
-def ensure_dir(path: str) -> str:
-    os.makedirs(local_path(path), exist_ok=True)
-    return path

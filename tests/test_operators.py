@@ -171,3 +171,20 @@ def test_discover_and_validate_tables(spark):
                                 "table_name string, column_name string, type string")
     res = {r["table_name"]: r["valid"] for r in validate_tables(spark, exp).collect()}
     assert res == {"disc.supplier_a_data": True, "disc.supplier_b_data": False, "disc.missing_t": False}
+
+
+def test_small_predicates_display_and_table_property(spark):
+    from gridflow.functions.filters import by_key, not_null
+    from gridflow.functions.scalars import display_cell
+    df = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
+    assert [r["k"] for r in by_key(df, "k", "b").collect()] == ["b"]
+    assert [r["k"] for r in not_null(df, "v").collect()] == ["a"]
+    cells = spark.createDataFrame([("null", None), ("d", "2026-01-02 00:00:00"), ("n", "5")], "kind string, raw string")
+    assert [r[0] for r in cells.select(display_cell(F.col("kind"), F.col("raw"))).collect()] == \
+        [None, "2026-01-02 00:00:00", "5"]
+    # single-target watermark as a table property (SHOW TBLPROPERTIES, not DESCRIBE)
+    S.drop_table(spark, "main.props_t")
+    S.ensure_table(spark, "main.props_t", [("x", "INT")])
+    assert S.table_property(spark, "main.props_t", "gridflow_sync_watermark") is None
+    S.set_table_property(spark, "main.props_t", "gridflow_sync_watermark", "2024-01-01T12:00:00")
+    assert S.table_property(spark, "main.props_t", "gridflow_sync_watermark") == "2024-01-01T12:00:00"
