@@ -20,7 +20,7 @@ from gridflow.functions.scalars import content_type_error, table_name
 from gridflow.operators import grid as G
 from gridflow.operators.gate import sync_gate
 from gridflow.operators.quality import quality_report
-from gridflow.session import land
+from gridflow.session import land, release
 from gridflow.sinks import tables as S
 from gridflow.sources.documents import read_content
 from gridflow.sources.workbook import decode_log, decode_workbooks, grid_rows
@@ -130,6 +130,7 @@ def parse_to_table(spark: SparkSession, docs: DataFrame, file_ids, table: str,
     rows = grid_rows(decoded)
     typed, sch = build_typed(rows, header_row, sheet, selected_columns, schema, "strict", infer)
     if typed is None:
+        release(decoded)
         return ParseResult("Excel parsed: empty table", table, 0, 0, 0, [])
     S.ensure_table(spark, table, sch)
     if write_mode == "replace":
@@ -139,6 +140,7 @@ def parse_to_table(spark: SparkSession, docs: DataFrame, file_ids, table: str,
         stats = {"rows_inserted": n, "total_rows": n, "rejects": 0}
     else:
         stats = S.append_rows(typed, table, reject_col="_rejected")
+    release(decoded)
     msg = "Excel parsed successfully" if stats["total_rows"] else "Excel parsed: empty table"
     return ParseResult(msg, table, stats["rows_inserted"], stats["total_rows"], stats["rejects"],
                        [{"name": n, "type": t} for n, t in sch])
@@ -212,6 +214,7 @@ def sync_all(spark: SparkSession, tracked: DataFrame, docs: DataFrame,
         with ThreadPoolExecutor(max_workers=max(1, min(8, len(by_target)))) as pool:
             results = list(pool.map(lambda item: _write_target(spark, rows_all, layouts, item[0], item[1], mode),
                                     by_target.items()))
+        release(decoded)
         for items, n, err in results:
             for d in items:
                 if err is None:
@@ -325,6 +328,7 @@ def run_sync(spark: SparkSession, cfg: dict, docs: DataFrame, header_row: int =
             S.replace_table(typed, target)
             n = spark.table(target).count()
             parse = {"status": "success", "rows_processed": n, "message": f"wrote {n} rows"}
+        release(decoded)
     except Exception as e:  # noqa: BLE001
         return {"status": "error", "gate": gate,
                 "parse": {"status": "error", "message": str(e)[:500]}, "dq": None}

@@ -109,11 +109,28 @@ def land(df: DataFrame, kind: str) -> DataFrame:
 
     Cuts lineage (an executor loss later re-reads files instead of recomputing,
     for instance, a workbook decode) and gives Spark exact sizes for planning.
+    Jobs ``release`` what they landed once their own output is committed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, kind)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._gridflow_scratch = path
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Delete the scratch folders behind landed DataFrames (any Hadoop file
+    system). Only call when nothing will read them again."""
+    for df in dfs:
+        path = getattr(df, "_gridflow_scratch", None)
+        if not path:
+            continue
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        df._gridflow_scratch = None
 
 
 def local_path(path: str) -> str:

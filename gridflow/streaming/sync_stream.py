@@ -29,7 +29,7 @@ from gridflow.functions.filters import glob_match
 from gridflow.operators.gate import sync_gate
 from gridflow.operators.keyed import latest_per_key
 from gridflow.plans.jobs import build_typed
-from gridflow.session import land
+from gridflow.session import land, release
 from gridflow.sinks import tables as S
 from gridflow.sources.workbook import decode_workbooks, grid_rows
 
@@ -88,6 +88,7 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
     written = 0
     out = None
     ok_ids = None
+    decoded = kept = None
     if n_todo:
         docs = latest.join(todo.select("file_id"), "file_id", "left_semi")
         decoded = land(decode_workbooks(docs), "stream-decoded")
@@ -141,6 +142,8 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
     if ok_ids is not None:
         done = todo.join(ok_ids, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
         S.advance_watermark(spark, cfg.state_table, done)
+    # the batch's scratch data is no longer read: table and marks are written
+    release(*[d for d in (todo, decoded, kept) if d is not None])
     cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo,
                     "written": bool(written), "seconds": round(time.time() - t_start, 3)})
 

@@ -69,3 +69,13 @@ def test_refresh_documents_reads_only_changed_files(spark, tmp_path):
             for r in refresh_documents(spark, docs, str(root)).collect()}
     assert snap == {"a.xlsx": ("unchanged", False, b"a"), "b.xlsx": ("changed", False, b"b2"),
                     "c.xlsx": ("deleted", True, b"c"), "d.xlsx": ("new", False, b"d")}
+
+
+def test_land_and_release(spark):
+    from gridflow.session import land, local_path, release
+    df = land(spark.range(5), "release-test")
+    path = local_path(df._gridflow_scratch)
+    assert os.path.isdir(path) and df.count() == 5
+    release(df)
+    assert not os.path.exists(path)
+    release(df)   # second release is a no-op
