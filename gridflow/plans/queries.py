@@ -925,7 +925,12 @@ def q_stream_sync(spark, sf_dir):
     q = stream_sync(spark, landing, cfg)
     q.awaitTermination()
     spark.catalog.refreshTable(cfg.target_table)  # written by the stream's own session
-    return spark.table(cfg.target_table).drop("file_bucket")
+    # keep the result in the shared scratch folder and leave no tables behind
+    out = land(spark.table(cfg.target_table).drop("file_bucket"), "stream-result")
+    from gridflow.sinks.tables import drop_table
+    drop_table(spark, cfg.target_table)
+    drop_table(spark, cfg.state_table)
+    return out
 
 
 # ------------------------------------------------------------ K1 / K2 jobs
