@@ -168,12 +168,18 @@ def stream_sync(spark: SparkSession, docs_path: str, cfg: StreamConfig) -> Strea
     return w.start()
 
 
-def stream_status(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """One row per recent micro-batch: id, rows in, rates, duration."""
-    rows = [(p.get("batchId"), p.get("timestamp"), p.get("numInputRows"),
-             p.get("inputRowsPerSecond"), p.get("processedRowsPerSecond"),
-             (p.get("durationMs") or {}).get("triggerExecution"))
-            for p in query.recentProgress]
+def stream_status(spark: SparkSession, query: StreamingQuery, cfg: StreamConfig | None = None) -> DataFrame:
+    """One row per recent micro-batch: id, rows in, rates, duration, the
+    query state, and (with the config's batch log) files synced and written."""
+    log = {e["batch_id"]: e for e in (cfg.log if cfg is not None else [])}
+    state = "ACTIVE" if query.isActive else "TERMINATED"
+    rows = []
+    for p in query.recentProgress:
+        e = log.get(p.get("batchId"), {})
+        rows.append((p.get("batchId"), p.get("timestamp"), p.get("numInputRows"),
+                     p.get("inputRowsPerSecond"), p.get("processedRowsPerSecond"),
+                     (p.get("durationMs") or {}).get("triggerExecution"),
+                     e.get("files_synced"), e.get("written"), state))
     return spark.createDataFrame(rows, "batch_id bigint, timestamp string, num_input_rows bigint, "
                                        "input_rows_per_second double, processed_rows_per_second double, "
-                                       "duration_ms bigint")
+                                       "duration_ms bigint, files_synced bigint, written boolean, state string")

@@ -111,7 +111,9 @@ def test_stream_sync_update_delete_and_restart(spark):
     spark.catalog.refreshTable("main.stream_t")  # written by the stream's own session
     got = sorted((r["source_file"], r["Qty"]) for r in spark.table("main.stream_t").collect())
     assert got == [("/d/a.xlsx", 1), ("/d/a.xlsx", 2), ("/d/a.xlsx", 3)]
-    assert stream_status(spark, q).count() >= 1
+    st = stream_status(spark, q, cfg).collect()
+    assert len(st) >= 1 and st[-1]["state"] == "TERMINATED"
+    assert st[-1]["files_synced"] == 1 and st[-1]["written"] is True
     # replaying an old batch is a no-op thanks to the marks
     from gridflow.streaming.sync_stream import sync_batch
     old = spark.read.parquet(landing).filter(F.col("file_metadata.last_modified_timestamp") == F.lit(T0))
