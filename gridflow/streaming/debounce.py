@@ -20,6 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# NULL keys form one group, as in SQL; pandas never finds two NULLs equal, so
+# they travel through the per-partition step under this stand-in
+_NULL_KEY = "\u0000gridflow-null-key"
+
+
 def _gap_seconds(gap: str | int | float) -> float:
     if isinstance(gap, (int, float)):
         return float(gap)
@@ -90,6 +95,7 @@ def debounce_triggers(events: DataFrame, gap: str | int = "60 seconds", key: str
     if group_map is not None:
         e = (e.join(group_map.select(F.col("table_name").alias("_key"), F.col("group_name")), "_key")
              .select(F.col("group_name").alias("_key"), "_ts"))
+    e = e.withColumn("_key", F.coalesce(F.col("_key").cast("string"), F.lit(_NULL_KEY)))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (e.repartitionByRange(n, "_key", "_ts").sortWithinPartitions("_key", "_ts")
               .withColumn("_pid", F.spark_partition_id()))
@@ -113,7 +119,7 @@ def debounce_triggers(events: DataFrame, gap: str | int = "60 seconds", key: str
     sessions = interior.select("_key", "first_ts", "last_ts", "n").unionByName(
         stitched.select("_key", "first_ts", "last_ts", "n"))
     return sessions.select(
-        F.col("_key").alias(key if group_map is None else "group_name"),
+        F.when(F.col("_key") != _NULL_KEY, F.col("_key")).alias(key if group_map is None else "group_name"),
         F.col("first_ts").alias("first_change"), F.col("last_ts").alias("last_change"),
         (F.col("last_ts") + gap_iv).alias("fire_at"),
         F.col("n").cast("bigint").alias("n_changes"))

@@ -120,3 +120,10 @@ def test_stream_sync_update_delete_and_restart(spark):
     sync_batch(old.filter(F.col("file_id") == "/d/a.xlsx"), 99, cfg)
     spark.catalog.refreshTable("main.stream_t")
     assert spark.table("main.stream_t").count() == 3
+
+
+def test_debounce_null_key_is_one_group(spark):
+    df = spark.createDataFrame([(None, T0), (None, T0 + dt.timedelta(seconds=30)), ("t", T0)],
+                               "table_name string, ts timestamp")
+    got = sorted(((r["table_name"] or ""), r["n_changes"]) for r in debounce_triggers(df, 60).collect())
+    assert got == [("", 2), ("t", 1)]
