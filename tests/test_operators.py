@@ -39,10 +39,11 @@ def test_keyed_round_trip(spark):
 
 def test_repeated_keys_in_batch_are_rejected(spark):
     t = spark.createDataFrame([("a", 1)], "id string, v int")
-    rows = spark.createDataFrame([("b", 2), ("b", 3), ("c", 4)], "id string, v int")
+    rows = spark.createDataFrame([("b", 2), ("b", 3), ("c", 4), (None, 5), (None, 6)], "id string, v int")
     _, ins, rej = insert_if_absent(t, rows, "id")
     assert sorted(r["id"] for r in ins.collect()) == ["c"]
-    assert sorted((r["id"], r["reason"]) for r in rej.collect()) == [("b", "repeated in batch")] * 2
+    assert sorted((r["id"] or "", r["reason"]) for r in rej.collect()) == \
+        [("", "null key"), ("", "null key"), ("b", "repeated in batch"), ("b", "repeated in batch")]
 
 
 def test_best_by_priority_unknown_ranks_last(spark):
