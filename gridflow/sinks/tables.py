@@ -134,10 +134,19 @@ def advance_watermark(spark: SparkSession, state_table: str, done: DataFrame) ->
         new.write.mode("append").format(TABLE_FORMAT).saveAsTable(state_table)
 
 
+def clear_watermark(spark: SparkSession, state_table: str, cleared: DataFrame) -> None:
+    """Forget the marks of ``(target_table, file_id)`` rows (their file was
+    deleted and its rows removed): a NULL mark is appended, so a file restored
+    later with an old modification time is synced again."""
+    advance_watermark(spark, state_table,
+                      cleared.select("target_table", "file_id", F.lit(None).cast("timestamp").alias("watermark")))
+
+
 def current_marks(state: DataFrame) -> DataFrame:
-    """Newest mark per ``(target_table, file_id)`` (a partial aggregate)."""
-    return state.groupBy("target_table", "file_id").agg(F.max("watermark").alias("watermark"),
-                                                        F.max("synced_at").alias("synced_at"))
+    """Latest mark per ``(target_table, file_id)`` -- the one recorded last,
+    which may be a cleared (NULL) mark; a partial aggregate."""
+    return state.groupBy("target_table", "file_id").agg(
+        F.max_by("watermark", "synced_at").alias("watermark"), F.max("synced_at").alias("synced_at"))
 
 
 def compact_state(spark: SparkSession, state_table: str) -> None:

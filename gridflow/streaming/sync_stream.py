@@ -142,6 +142,10 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
     if ok_ids is not None:
         done = todo.join(ok_ids, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
         S.advance_watermark(spark, cfg.state_table, done)
+    if exists or ok_ids is not None:
+        # deleted files lose their marks: restored later, they sync again
+        gone = deleted.join(todo.select("file_id"), "file_id", "left_anti")
+        S.clear_watermark(spark, cfg.state_table, gone.withColumn("target_table", F.lit(cfg.target_table)))
     # the batch's scratch data is no longer read: table and marks are written
     release(*[d for d in (todo, decoded, kept) if d is not None])
     cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo,

@@ -114,12 +114,18 @@ def test_stream_sync_update_delete_and_restart(spark):
     st = stream_status(spark, q, cfg).collect()
     assert len(st) >= 1 and st[-1]["state"] == "TERMINATED"
     assert st[-1]["files_synced"] == 1 and st[-1]["written"] is True
+    # b restored with its old modification time: its mark was cleared, so it syncs again
+    _land(spark, landing, {"/d/b.xlsx": wb}, T0)
+    stream_sync(spark, landing, cfg).awaitTermination()
+    spark.catalog.refreshTable("main.stream_t")
+    got = sorted((r["source_file"], r["Qty"]) for r in spark.table("main.stream_t").collect())
+    assert got == [("/d/a.xlsx", 1), ("/d/a.xlsx", 2), ("/d/a.xlsx", 3), ("/d/b.xlsx", 1), ("/d/b.xlsx", 2)]
     # replaying an old batch is a no-op thanks to the marks
     from gridflow.streaming.sync_stream import sync_batch
     old = spark.read.parquet(landing).filter(F.col("file_metadata.last_modified_timestamp") == F.lit(T0))
     sync_batch(old.filter(F.col("file_id") == "/d/a.xlsx"), 99, cfg)
     spark.catalog.refreshTable("main.stream_t")
-    assert spark.table("main.stream_t").count() == 3
+    assert spark.table("main.stream_t").count() == 5
 
 
 def test_debounce_null_key_is_one_group(spark):
