@@ -103,21 +103,23 @@ def debounce_triggers(events: DataFrame, gap: str | int = "60 seconds", key: str
     schema = (f"_key string, _pid int, first_ts {ts_type}, last_ts {ts_type}, n bigint, "
               f"is_first boolean, is_last boolean")
     local = ranged.mapInPandas(_local_sessions(gap_s), schema)
-    # interior sessions are final; boundary sessions are stitched per key over
-    # at most two rows per partition
-    interior = local.filter(~F.col("is_first") & ~F.col("is_last"))
-    edge = local.filter(F.col("is_first") | F.col("is_last"))
-    w = Window.partitionBy("_key").orderBy("_pid", "first_ts")
+    # one pass: boundary sessions of a key share a window partition (at most
+    # two rows per key and range partition) and are stitched there; every
+    # interior session is final and gets a partition key of its own, so no
+    # window partition grows with a hot key
+    edge = F.col("is_first") | F.col("is_last")
+    gk = F.when(edge, F.lit("edge")).otherwise(
+        F.concat_ws(":", F.col("_pid").cast("string"), F.col("first_ts").cast("string")))
+    w = Window.partitionBy("_key", "_gk").orderBy("_pid", "first_ts")
     gap_iv = F.make_dt_interval(secs=F.lit(gap_s))
     prev_last = F.lag("last_ts").over(w)
     starts = F.when(prev_last.isNull() | (F.col("first_ts") > prev_last + gap_iv), 1).otherwise(0)
-    stitched = (edge.withColumn("_new", starts)
+    sessions = (local.withColumn("_gk", gk)
+                .withColumn("_new", starts)
                 .withColumn("_grp", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                .groupBy("_key", "_grp")
+                .groupBy("_key", "_gk", "_grp")
                 .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
                      F.sum("n").alias("n")))
-    sessions = interior.select("_key", "first_ts", "last_ts", "n").unionByName(
-        stitched.select("_key", "first_ts", "last_ts", "n"))
     return sessions.select(
         F.when(F.col("_key") != _NULL_KEY, F.col("_key")).alias(key if group_map is None else "group_name"),
         F.col("first_ts").alias("first_change"), F.col("last_ts").alias("last_change"),
