@@ -119,6 +119,8 @@ def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None
     out = [*group, F.col("col_ix").cast("int").alias("col_ix"), "name",
            decide_type(n, c, infer).alias("type"), (n - non_null > 0).alias("nullable")]
     if not by_file:
+        # a window without partitioning, but over one row per column (already
+        # aggregated), so it never holds data rows
         out.append(((F.col("name") == F.col("_name_max")) &
                     (F.col("_files") == F.max("_files").over(Window.partitionBy()))).alias("consistent"))
     return j.select(*out)
