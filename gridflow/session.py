@@ -14,16 +14,22 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rows of a documents table hold whole files; bound Arrow batches by count
-    # and by bytes so one batch of workbooks cannot exhaust a Python worker.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Rows of a documents table hold whole files or long texts; Arrow batches
+    # are bounded by bytes so that one batch cannot exhaust a Python worker.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
 }
 
 # session settings applied at run time to a session built elsewhere
-RUNTIME = {k: DEFAULTS[k] for k in ("spark.sql.session.timeZone",
-                                    "spark.sql.execution.arrow.maxRecordsPerBatch",
-                                    "spark.sql.execution.arrow.maxBytesPerBatch")}
+RUNTIME = {k: DEFAULTS[k] for k in ("spark.sql.session.timeZone", "spark.sql.execution.arrow.maxBytesPerBatch")}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session built elsewhere ready: run-time settings, the shared
+    folder, and the package on the executors."""
+    for k, v in RUNTIME.items():
+        spark.conf.set(k, v)
+    checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def get_spark(master: str | None = None, app: str = "gridflow", **conf: str) -> SparkSession:
@@ -38,8 +44,7 @@ def get_spark(master: str | None = None, app: str = "gridflow", **conf: str) ->
     for k, v in {**DEFAULTS, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    checkpoint_dir(spark)
-    ship_package(spark)
+    prepare(spark)
     return spark
 
 
@@ -72,24 +77,40 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     data = buf.getvalue()
     target = f"{checkpoint_dir(spark).rstrip('/')}/gridflow-{hashlib.sha1(data).hexdigest()[:12]}.zip"
-    local = local_path(target)
-    if "://" not in local or local.startswith("/"):
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        if not os.path.exists(local):
-            with open(local, "wb") as fh:
-                fh.write(data)
+    write_bytes(spark, target, data)
     sc.addPyFile(target)
     _SHIPPED.add(app)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark can reach."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write ``data`` to ``path`` unless a file is there; goes through Hadoop's file systems."""
+    fs, hpath = _hadoop(spark, path)
+    if not fs.exists(hpath):
+        out = fs.create(hpath)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    Read from ``spark.checkpoint.dir``; only when the cluster sets none (local
-    tests) is a private temporary folder chosen and recorded in the session.
+    Read from ``spark.checkpoint.dir``. Only on a ``local`` master, where
+    driver and executors are one process, may it be unset: a private temporary
+    folder is then chosen and recorded in the session. Elsewhere a machine-local
+    folder would be seen by one machine only, so an unset folder is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not single_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         path = tempfile.mkdtemp(prefix="gridflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
@@ -98,6 +119,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def single_machine(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[n]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -126,10 +152,8 @@ def release(*dfs: DataFrame) -> None:
         path = getattr(df, "_gridflow_scratch", None)
         if not path:
             continue
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        fs, hpath = _hadoop(df.sparkSession, path)
+        fs.delete(hpath, True)
         df._gridflow_scratch = None
 
 

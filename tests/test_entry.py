@@ -17,8 +17,39 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 40
+    from gridflow.plans.queries import ORACLE, QUERIES
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+    assert len(QUERIES) >= 40
+
+
+def test_shared_folder_goes_through_hadoop(spark, tmp_path):
+    from gridflow import session as S
+    # a scheme that only Hadoop resolves: a view of the local file system
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.gf.link./shared", f"file://{tmp_path}")
+    S.write_bytes(spark, "viewfs://gf/shared/a.zip", b"abc")
+    assert (tmp_path / "a.zip").read_bytes() == b"abc"
+    S.write_bytes(spark, "viewfs://gf/shared/a.zip", b"other")   # never overwritten
+    assert (tmp_path / "a.zip").read_bytes() == b"abc"
+
+
+def test_no_private_folder_on_a_cluster():
+    import pytest
+
+    from gridflow import session as S
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.checkpoint_dir(Session())
+    assert S.single_machine("local[8]") and not S.single_machine("local-cluster[2,1,1024]")
 
 
 def test_land_documents_and_listing(spark, tmp_path):
