@@ -164,21 +164,29 @@ def cast_cell(cell: Column, sql_type: str) -> Column:
 
 
 # ------------------------------------------------------------------ headers
-def dedupe_names(names: list[str | None]) -> list[str]:
-    """H8: header texts -> unique column names, as pandas makes them:
-    blank -> ``Unnamed: i``; the second ``X`` -> ``X.1`` and so on."""
-    out: list[str] = []
-    counts: dict[str, int] = {}
-    for i, n in enumerate(names):
-        col = f"Unnamed: {i}" if n is None or n == "" else str(n)
-        cur = counts.get(col, 0)
-        while cur > 0:
-            counts[col] = cur + 1
-            col = f"{col}.{cur}"
-            cur = counts.get(col, 0)
-        out.append(col)
-        counts[col] = cur + 1
-    return out
+def unique_names(texts: list[str | None]) -> list[str]:
+    """H8: header texts -> unique column names.
+
+    A text keeps its name where it first stands; blanks are called
+    ``Unnamed: i`` after all others have been named. A later column of the
+    same name gets the lowest free number behind it, ``X.1`` and up, passing
+    over every name that stands in the header itself.
+    """
+    blank = [t is None or t == "" for t in texts]
+    wanted = [f"Unnamed: {i}" if b else str(t) for i, (t, b) in enumerate(zip(texts, blank))]
+    standing, names, number = set(wanted), {}, {}
+    for i in sorted(range(len(texts)), key=lambda i: (blank[i], i)):
+        name = wanted[i]
+        if name in number:
+            k = number[name]
+            while f"{name}.{k}" in standing:
+                k += 1
+            number[name] = k + 1
+            name = f"{name}.{k}"
+            standing.add(name)
+        number.setdefault(name, 1)
+        names[i] = name
+    return [names[i] for i in range(len(texts))]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -190,5 +198,5 @@ def header_names_udf(texts: pd.Series, width: pd.Series) -> pd.Series:
         vals = [] if arr is None else list(arr)
         w = int(w) if w is not None and not pd.isna(w) else len(vals)
         vals = vals + [None] * max(0, w - len(vals))
-        res.append(dedupe_names(vals))
+        res.append(unique_names(vals))
     return pd.Series(res)

@@ -40,11 +40,6 @@ def sheet_stats(rows: DataFrame, header_row: int = 0, sheet: str | None = None)
                                 F.count_if(F.col("row_ix") > header_row).alias("n_rows"))
 
 
-def sheet_width(rows: DataFrame, header_row: int = 0, sheet: str | None = None) -> DataFrame:
-    """Columns of each sheet from the header row down: the widest row."""
-    return sheet_stats(rows, header_row, sheet).select(*KEYS, "width")
-
-
 def header_names(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
                  stats: DataFrame | None = None) -> DataFrame:
     """H8: ``file_id, sheet, names`` -- unique names for every column of the
@@ -69,18 +64,16 @@ def sheet_shape(rows: DataFrame, header_row: int = 0, sheet: str | None = None)
         F.coalesce("width", F.lit(0)).cast("int").alias("column_count"))
 
 
-def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
-                  infer: str = "compat", by_file: bool = True) -> DataFrame:
-    """``[file_id, sheet,] col_ix, name, type, nullable`` per column.
+def column_counts(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
+                  infer: str = "compat") -> DataFrame:
+    """Per file and column: ``file_id, sheet, col_ix, name, n_rows`` and the
+    class counts ``c_*`` that types are decided on.
 
     One pass over the data rows: each row contributes a marker cell at
     ``col_ix = -1`` (so the same partial aggregate counts rows) plus its
-    classified cells; the decision table (SURVEY 2.12) runs on the counts.
-    Header rows are read separately (a pushed-down ``row_ix`` filter).
-    ``by_file=False`` infers one type per column over all given files and adds
-    ``consistent``: every file has this column under the same name.
+    classified cells. Header rows are read separately (a pushed-down
+    ``row_ix`` filter).
     """
-    group = KEYS if by_file else []
     data = _data(rows, header_row, sheet)
     classify = typed_kind if infer == "typed" else cell_class
     marker = F.struct(F.lit("_row").alias("kind"), F.lit(None).cast("string").alias("raw"))
@@ -103,27 +96,44 @@ def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None
              .select(*KEYS, "n_rows", F.posexplode_outer("names").alias("col_ix", "name"))
              .filter(F.col("col_ix").isNotNull()))
     counts = per_file.filter(F.col("col_ix") >= 0).drop("_n")
-    cnames = [f"c_{k}" for k in CLASSES if k != "null"]
-    if by_file:
-        j = names.join(counts, on=[*KEYS, "col_ix"], how="left")
-    else:
-        # sum over files; the layout check compares names and file counts per column
-        j = (names.join(counts, on=[*KEYS, "col_ix"], how="left")
-             .groupBy("col_ix")
-             .agg(F.min("name").alias("name"), F.max("name").alias("_name_max"),
-                  F.count(F.lit(1)).alias("_files"), F.sum("n_rows").alias("n_rows"),
-                  *[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in cnames]))
+    zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in COUNT_COLUMNS}
+    return names.join(counts, on=[*KEYS, "col_ix"], how="left").withColumns(zero)
+
+
+COUNT_COLUMNS = [f"c_{k}" for k in CLASSES if k != "null"]
+
+
+def summed_type(infer: str = "compat") -> dict[str, Column]:
+    """``type``, ``nullable`` and ``filled`` (any value at all) over ``n_rows`` and ``c_*``."""
     c = {k: F.coalesce(F.col(f"c_{k}"), F.lit(0)) for k in CLASSES if k != "null"}
     n = F.coalesce(F.col("n_rows"), F.lit(0))
     non_null = sum(c.values(), F.lit(0))
-    out = [*group, F.col("col_ix").cast("int").alias("col_ix"), "name",
-           decide_type(n, c, infer).alias("type"), (n - non_null > 0).alias("nullable")]
-    if not by_file:
-        # a window without partitioning, but over one row per column (already
-        # aggregated), so it never holds data rows
-        out.append(((F.col("name") == F.col("_name_max")) &
-                    (F.col("_files") == F.max("_files").over(Window.partitionBy()))).alias("consistent"))
-    return j.select(*out)
+    return {"type": decide_type(n, c, infer), "nullable": n - non_null > 0, "filled": non_null > 0}
+
+
+def infer_columns(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
+                  infer: str = "compat", by_file: bool = True) -> DataFrame:
+    """``[file_id, sheet,] col_ix, name, type, nullable`` per column.
+
+    The decision table (SURVEY 2.12) runs on ``column_counts``.
+    ``by_file=False`` infers one type per column over all given files and adds
+    ``filled`` (the column has a value) and ``consistent``: every file has this
+    column under the same name.
+    """
+    j = column_counts(rows, header_row, sheet, infer)
+    kind = summed_type(infer)
+    if by_file:
+        return j.select(*KEYS, F.col("col_ix").cast("int").alias("col_ix"), "name", kind["type"].alias("type"),
+                        kind["nullable"].alias("nullable"))
+    # sum over files; the layout check compares names and file counts per column
+    j = j.groupBy("col_ix").agg(F.min("name").alias("name"), F.max("name").alias("_name_max"),
+                                F.count(F.lit(1)).alias("_files"), F.sum("n_rows").alias("n_rows"),
+                                *[F.sum(c).alias(c) for c in COUNT_COLUMNS])
+    # a window without partitioning, but over one row per column (already
+    # aggregated), so it never holds data rows
+    consistent = ((F.col("name") == F.col("_name_max")) & (F.col("_files") == F.max("_files").over(Window.partitionBy())))
+    return j.select(F.col("col_ix").cast("int").alias("col_ix"), "name",
+                    *[e.alias(k) for k, e in kind.items()], consistent.alias("consistent"))
 
 
 def column_samples(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
@@ -189,7 +199,7 @@ def select_columns(df: DataFrame, names: Sequence[str] | None, mode: str = "stri
     avail = [n for n in names if n in df.columns and n not in keys]
     if not avail:
         if mode == "strict":
-            raise ValueError("None of the selected columns found in Excel file")
+            raise ValueError(f"no selected column is in the sheet: {list(names)}")
         return df
     return df.select(*[k for k in keys if k in df.columns], *[F.col(f"`{n}`") for n in avail])
 

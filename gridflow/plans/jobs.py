@@ -15,15 +15,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gridflow.functions.cells import cast_cell, cell_present, widen
+from gridflow.functions.cells import cast_cell, cell_present
 from gridflow.functions.scalars import content_type_error, table_name
 from gridflow.operators import grid as G
 from gridflow.operators.gate import sync_gate
 from gridflow.operators.quality import quality_report
-from gridflow.session import land, release
+from gridflow.session import land, release, scratch_path
 from gridflow.sinks import tables as S
-from gridflow.sources.documents import read_content
-from gridflow.sources.workbook import decode_log, decode_workbooks, grid_rows
+from gridflow.sources.documents import live, read_content
+from gridflow.sources.workbook import CELL_TYPE, decode_log, decode_workbooks, grid_rows
 
 # Outcome codes of a file sync
 FILE_NOT_FOUND = "FILE_NOT_FOUND"
@@ -32,6 +32,8 @@ READ_ERROR = "READ_ERROR"
 CONTENT_TYPE_ERROR = "CONTENT_TYPE_ERROR"
 SUCCESS = "SUCCESS"
 
+ERROR_NO_FILE = "no live file of this id"
+
 
 # ----------------------------------------------------------------- K1-K3
 def preview_files(docs: DataFrame, file_ids: DataFrame | list[str] | None = None,
@@ -54,7 +56,49 @@ def preview_files(docs: DataFrame, file_ids: DataFrame | list[str] | None = None
         "total_rows",
         F.when(F.col("total_rows") > 0, F.col("_w")).otherwise(F.lit(0)).alias("column_count"),
         table_name(F.col("file_id")).alias("recommended_table_name"))
-    return {"files": files, "rows": rows, "errors": decode_log(decoded).filter(F.col("error").isNotNull())}
+    errors = decode_log(decoded).filter(F.col("error").isNotNull()).select("file_id", "error")
+    return {"files": files, "rows": rows, "errors": errors.unionByName(missing_files(docs, file_ids))}
+
+
+def missing_files(docs: DataFrame, file_ids) -> DataFrame:
+    """``file_id, error`` of the asked-for files without a live row."""
+    spark = docs.sparkSession
+    if file_ids is None:
+        return spark.createDataFrame([], "file_id string, error string")
+    asked = (spark.createDataFrame([(i,) for i in file_ids], "file_id string") if isinstance(file_ids, list)
+             else file_ids.select("file_id").distinct())
+    return asked.join(live(docs).select("file_id"), "file_id", "left_anti").withColumn("error", F.lit(ERROR_NO_FILE))
+
+
+def sheet_errors(docs: DataFrame, file_ids, decoded: DataFrame, header_row: int, sheet: str | None) -> DataFrame:
+    """``file_id, error`` of readable files without the named sheet, or whose
+    sheet ends above the header row (an empty sheet is no error)."""
+    mine = (F.col("sheet_ix") == 0) if sheet is None else (F.col("sheet") == sheet)
+    per = (decoded.groupBy("file_id")
+           .agg(F.max(mine.cast("int")).alias("has"), F.max("error").alias("unread"),
+                F.max(F.when(mine, F.col("row_ix"))).alias("last")))
+    problem = (F.when(F.col("unread").isNotNull(), F.lit(None))
+               .when(F.coalesce("has", F.lit(0)) == 0, F.lit(f"no sheet named {sheet}" if sheet else "no sheet"))
+               .when(F.col("last") < header_row, F.concat(F.lit(f"header row {header_row} is below the last row "),
+                                                          F.col("last").cast("string"))))
+    asked = read_content(docs, file_ids).select("file_id").distinct()   # ids only, no content
+    return asked.join(per, "file_id", "left").select("file_id", problem.alias("error")).filter(F.col("error").isNotNull())
+
+
+class DecodeError(ValueError):
+    """Files that a job needs cannot be read; ``errors`` (file_id, error) has them all."""
+
+    def __init__(self, message: str, errors: DataFrame):
+        super().__init__(message)
+        self.errors = errors
+
+
+def _raise_errors(errors: DataFrame) -> None:
+    first = errors.orderBy("file_id").first()
+    if first is not None:
+        n = errors.count()
+        raise DecodeError(f"cannot read {first['file_id']}: {first['error']}"
+                          + (f" (and {n - 1} files more)" if n > 1 else ""), errors)
 
 
 def analyze_files(docs: DataFrame, file_ids=None, header_row: int = 0,
@@ -64,8 +108,10 @@ def analyze_files(docs: DataFrame, file_ids=None, header_row: int = 0,
     decoded = land(decode_workbooks(read_content(docs, file_ids), sheets=[sheet] if sheet else None),
                    "analyze-decoded")
     rows = grid_rows(decoded)
+    errors = decode_log(decoded).filter(F.col("error").isNotNull()).select("file_id", "error")
+    errors = errors.unionByName(sheet_errors(docs, file_ids, decoded, header_row, sheet)).unionByName(missing_files(docs, file_ids))
     return {"columns": G.analyze_columns(rows, header_row, sheet, infer),
-            "shape": G.sheet_shape(rows, header_row, sheet)}
+            "shape": G.sheet_shape(rows, header_row, sheet), "errors": errors}
 
 
 @dataclass
@@ -124,24 +170,27 @@ def parse_to_table(spark: SparkSession, docs: DataFrame, file_ids, table: str,
     if absent and write all rows in one distributed job."""
     decoded = land(decode_workbooks(read_content(docs, file_ids),
                                     sheets=[sheet] if sheet else None), "decoded")
-    errors = decoded.filter(F.col("error").isNotNull()).select("file_id", "error").limit(1).collect()
-    if errors:
-        raise ValueError(f"Failed to parse Excel: {errors[0]['error']}")
-    rows = grid_rows(decoded)
-    typed, sch = build_typed(rows, header_row, sheet, selected_columns, schema, "strict", infer)
-    if typed is None:
+    try:
+        errors = decode_log(decoded).filter(F.col("error").isNotNull()).select("file_id", "error")
+        errors = errors.unionByName(sheet_errors(docs, file_ids, decoded, header_row, sheet)).unionByName(missing_files(docs, file_ids))
+        errors = land(errors, "parse-errors")   # outlives the decoded rows
+        _raise_errors(errors)
+        rows = grid_rows(decoded)
+        typed, sch = build_typed(rows, header_row, sheet, selected_columns, schema, "strict", infer)
+        if typed is None:
+            return ParseResult("no rows: the sheet is empty", table, 0, 0, 0, [])
+        if write_mode == "replace":
+            obs = Observation(f"replace_{uuid.uuid4().hex[:8]}")
+            seen = typed.observe(obs, F.count(F.lit(1)).alias("total_rows"), F.count_if("_rejected").alias("rejects"))
+            S.replace_table(seen.filter(~F.col("_rejected")).drop("_rejected"), table)
+            total, bad = int(obs.get["total_rows"]), int(obs.get["rejects"])
+            stats = {"rows_inserted": total - bad, "total_rows": total, "rejects": bad}
+        else:
+            S.ensure_table(spark, table, sch)
+            stats = S.append_rows(typed, table, reject_col="_rejected")
+    finally:
         release(decoded)
-        return ParseResult("Excel parsed: empty table", table, 0, 0, 0, [])
-    S.ensure_table(spark, table, sch)
-    if write_mode == "replace":
-        good = typed.filter(~F.col("_rejected")).drop("_rejected")
-        S.replace_table(good, table)
-        n = spark.table(table).count()
-        stats = {"rows_inserted": n, "total_rows": n, "rejects": 0}
-    else:
-        stats = S.append_rows(typed, table, reject_col="_rejected")
-    release(decoded)
-    msg = "Excel parsed successfully" if stats["total_rows"] else "Excel parsed: empty table"
+    msg = f"{stats['rows_inserted']} rows written" if stats["total_rows"] else "no rows: the sheet is empty"
     return ParseResult(msg, table, stats["rows_inserted"], stats["total_rows"], stats["rejects"],
                        [{"name": n, "type": t} for n, t in sch])
 
@@ -164,111 +213,157 @@ def existing_targets(spark: SparkSession, tracked: DataFrame) -> DataFrame:
             .select("target_table", F.col("qualified").isNotNull().alias("target_exists")))
 
 
+LOG_COLUMNS = ["connection_id", "file_id", "target_table", "status", "message", "rows_written", "rejects"]
+
+
 def sync_all(spark: SparkSession, tracked: DataFrame, docs: DataFrame,
              state_table: str, mode: str = "lenient") -> DataFrame:
     """K5 (K4 for one row): sync every enabled registry row in one pass.
 
     ``tracked``: ``connection_id, file_id, target_table, header_row,
     selected_columns (array<string>, may be NULL), sync_enabled``.
-    Gate all files with one join (content never read), decode only passing
-    files in one job, replace each target (grouped by target), then upsert the
-    watermarks of the successful targets last. Returns a run log DataFrame.
+
+    All files are gated with one join (content never read). If any file of a
+    target passes, or one that was written before is gone, the target is
+    rebuilt from all its enabled live files, each with its own header row and
+    selection; columns are united by name and typed over the files together.
+    All files are decoded once and staged by target, so a target's write reads
+    its own rows only. A target one of whose files cannot be read is left as
+    it is. Watermarks come last.
+
+    Returns the run log, a row per enabled registry row: ``status``, message,
+    ``rows_written`` (of the whole target) and ``rejects`` (rows with a value
+    its column's type cannot hold: written with NULL there). The driver handles one
+    small row per rebuilt target.
     """
     enabled = tracked.filter(F.coalesce(F.col("sync_enabled"), F.lit(False)))
     if "target_exists" not in enabled.columns:
         enabled = enabled.join(existing_targets(spark, enabled), "target_table", "left")
     state = spark.table(state_table) if S.table_exists(spark, state_table) else None
-    gate = sync_gate(enabled, docs, state).cache()
-    decisions = gate.select("connection_id", "file_id", "target_table", "header_row",
-                            "selected_columns", "should_process", "reason",
-                            "file_last_updated").collect()
-    log: list[tuple] = []
-    todo = [d for d in decisions if d["should_process"]]
-    for d in decisions:
-        if not d["should_process"]:
-            code = FILE_NOT_FOUND if d["file_last_updated"] is None else NO_CHANGES
-            log.append((d["connection_id"], d["file_id"], d["target_table"], code, d["reason"], None))
-    done: list[tuple] = []
-    if todo:
-        if content_type_error(docs.schema["content"].dataType):
-            for d in todo:
-                log.append((d["connection_id"], d["file_id"], d["target_table"], CONTENT_TYPE_ERROR,
-                            "content is not binary, base64 text or a struct of either", None))
-            todo = []
-    if todo:
-        ids = spark.createDataFrame([(d["file_id"],) for d in todo], "file_id string")
-        decoded = land(decode_workbooks(read_content(docs, ids)), "sync-decoded")
-        bad = {r["file_id"]: r["error"] for r in
-               decoded.filter(F.col("error").isNotNull()).select("file_id", "error").collect()}
-        rows_all = grid_rows(decoded)
-        for d in todo:
-            if d["file_id"] in bad:
-                log.append((d["connection_id"], d["file_id"], d["target_table"], READ_ERROR,
-                            bad[d["file_id"]], None))
-        todo = [d for d in todo if d["file_id"] not in bad]
-        layouts = _layouts(spark, rows_all, todo)
-        by_target: dict[str, list] = {}
-        for d in todo:
-            by_target.setdefault(d["target_table"], []).append(d)
-        # one write job per target; independent targets are written concurrently
-        with ThreadPoolExecutor(max_workers=max(1, min(8, len(by_target)))) as pool:
-            results = list(pool.map(lambda item: _write_target(spark, rows_all, layouts, item[0], item[1], mode),
-                                    by_target.items()))
+    gate = land(sync_gate(enabled, docs, state), "sync-gate")
+    present = F.col("file_last_updated").isNotNull()
+    lost = ~present & F.col("table_last_updated").isNotNull()
+    due = (gate.groupBy("target_table").agg(F.max(F.col("should_process") | lost).alias("due"),
+                                            F.max(present).alias("any")).filter("due and any").select("target_table"))
+    work = land(gate.filter(present).join(due, "target_table", "left_semi").select(
+        "connection_id", "file_id", "target_table", F.coalesce("header_row", F.lit(0)).alias("header_row"),
+        "selected_columns", "file_last_updated"), "sync-work")
+    idle = gate.join(work.select("connection_id", "file_id", "target_table"),
+                     ["connection_id", "file_id", "target_table"], "left_anti")
+    log = [idle.select("connection_id", "file_id", "target_table",
+                       F.when(present, NO_CHANGES).otherwise(FILE_NOT_FOUND).alias("status"),
+                       F.col("reason").alias("message"), F.lit(None).cast("bigint").alias("rows_written"),
+                       F.lit(None).cast("bigint").alias("rejects"))]
+    done = None
+    if content_type_error(docs.schema["content"].dataType):
+        log.append(_outcome(work, CONTENT_TYPE_ERROR, F.lit("content is not binary, base64 text or a struct of either")))
+    elif not work.isEmpty():
+        rebuilt = _rebuild(spark, work, docs, mode)
+        log.append(rebuilt)
+        done = rebuilt.filter(F.col("status") == SUCCESS)
+    out = land(log[0].select(*LOG_COLUMNS) if len(log) == 1 else log[0].select(*LOG_COLUMNS).unionByName(
+        log[1].select(*LOG_COLUMNS)), "sync-log")
+    if done is not None:
+        ok = out.filter(F.col("status") == SUCCESS).select("target_table", "file_id").distinct()
+        if not ok.isEmpty():
+            S.advance_watermark(spark, state_table, work.join(ok, ["target_table", "file_id"]).select(
+                "target_table", "file_id", F.col("file_last_updated").alias("watermark")).distinct())
+            gone = gate.filter(lost).join(ok.select("target_table").distinct(), "target_table", "left_semi")
+            if not gone.isEmpty():
+                S.clear_watermark(spark, state_table, gone.select("target_table", "file_id"))
+    release(gate, work)
+    return out
+
+
+def _outcome(work: DataFrame, status: str, message) -> DataFrame:
+    return work.select("connection_id", "file_id", "target_table", F.lit(status).alias("status"), message.alias("message"),
+                       F.lit(None).cast("bigint").alias("rows_written"), F.lit(None).cast("bigint").alias("rejects"))
+
+
+def _layouts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``file_id, header_row, col_ix, name, n_rows, c_*`` of ``files(file_id,
+    header_row)``: one inference job per distinct header row."""
+    out = None
+    for h in [r[0] for r in files.select("header_row").distinct().collect()] or [0]:
+        mine = rows.join(files.filter(F.col("header_row") == h).select("file_id"), "file_id", "left_semi")
+        one = G.column_counts(mine, int(h)).withColumn("header_row", F.lit(h))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _rebuild(spark: SparkSession, work: DataFrame, docs: DataFrame, mode: str) -> DataFrame:
+    """Write every target of ``work`` from its files; a log row per file."""
+    decoded = land(decode_workbooks(read_content(docs, work.select("file_id"))), "sync-decoded")
+    key = ["file_id", "header_row"]
+    try:
+        errors = land(decode_log(decoded).filter(F.col("error").isNotNull()).select("file_id", "error"), "sync-errors")
+        broken = work.join(errors, "file_id").select("target_table").distinct()
+        fine = work.join(broken, "target_table", "left_anti")
+        rows = grid_rows(decoded)
+        layouts = land(_layouts(rows, fine.select(*key).distinct()), "sync-layouts")
+        names = layouts.groupBy(*key).agg(F.transform(
+            F.sort_array(F.collect_list(F.struct("col_ix", "name"))), lambda x: x["name"]).alias("names"))
+        # C10 per file: the asked-for columns that are there, in request order; none: all
+        found = F.filter(F.coalesce("selected_columns", F.array().cast("array<string>")),
+                         lambda x: F.array_contains(F.col("names"), x))
+        if mode == "strict":
+            picked = F.when(F.coalesce(F.size("selected_columns"), F.lit(0)) > 0, found).otherwise(F.col("names"))
+        else:
+            picked = F.when(F.size(found) > 0, found).otherwise(F.col("names"))
+        files = land(fine.join(names, key, "left").withColumn("picked", F.array_distinct(picked)), "sync-files")
+        # a target's columns: united by name, placed by first position, typed over all its files
+        kind = G.summed_type()
+        columns = (files.select("target_table", *key, F.posexplode("picked").alias("pos", "name")).distinct()
+                   .join(layouts, [*key, "name"])
+                   .groupBy("target_table", "name").agg(F.min("pos").alias("pos"), F.sum("n_rows").alias("n_rows"),
+                                                        *[F.sum(c).alias(c) for c in G.COUNT_COLUMNS])
+                   .select("target_table", "pos", "name", kind["type"].alias("type"))
+                   .groupBy("target_table").agg(F.sort_array(F.collect_list(F.struct("pos", "name", "type"))).alias("cols")))
+        columns = land(columns, "sync-columns")
+        ix = F.transform("cols", lambda c: F.when(F.array_contains(F.col("picked"), c["name"]),
+                                                  F.array_position(F.col("names"), c["name"]) - 1).otherwise(-1).cast("int"))
+        spec = files.join(columns, "target_table").select("target_table", *key, ix.alias("ix"))
+        staged = (rows.filter(F.col("sheet_ix") == 0).join(spec, "file_id").filter(F.col("row_ix") > F.col("header_row"))
+                  .select("target_table", F.transform("ix", lambda i: F.when(i >= 0, F.get(F.col("cells"), i))).alias("cells")))
+        path = scratch_path(spark, "sync-staged")
+        staged.write.partitionBy("target_table").parquet(path)
+        todo = [(r["target_table"], [(c["name"], c["type"]) for c in r["cols"]]) for r in columns.toLocalIterator()]
+        rows_of = spark.read.schema(f"cells {CELL_TYPE}, target_table string").parquet(path)
+        # one write per table; a table's rows are a directory of the staged data
+        with ThreadPoolExecutor(max_workers=max(1, min(8, len(todo)))) as pool:
+            results = list(pool.map(lambda x: _write_target(spark, rows_of, *x), todo))
+        written = spark.createDataFrame(results, "target_table string, n bigint, bad bigint, error string")
+        # what stops a target is told on the file it comes from, and on the others of the target
+        log = (work.join(errors, "file_id", "left").join(broken.withColumn("_broken", F.lit(True)), "target_table", "left")
+               .join(written.withColumnRenamed("error", "_werror"), "target_table", "left"))
+        status = F.when(F.col("_broken") | F.col("_werror").isNotNull(), READ_ERROR).otherwise(SUCCESS)
+        message = F.coalesce("error", F.when(F.col("_broken"), "another file of this target cannot be read; it is left as it is"),
+                             "_werror", F.concat(F.lit("wrote "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" rows")))
+        log = land(log.select("connection_id", "file_id", "target_table", status.alias("status"), message.alias("message"),
+                              F.when(status == SUCCESS, F.coalesce("n", F.lit(0))).alias("rows_written"),
+                              F.when(status == SUCCESS, F.coalesce("bad", F.lit(0))).alias("rejects")), "sync-outcomes")
+        release(errors, layouts, files, columns)
+        return log
+    finally:
         release(decoded)
-        for items, n, err in results:
-            for d in items:
-                if err is None:
-                    log.append((d["connection_id"], d["file_id"], d["target_table"], SUCCESS,
-                                f"wrote {n} rows", n))
-                    done.append((d["target_table"], d["file_id"], d["file_last_updated"]))
-                else:
-                    log.append((d["connection_id"], d["file_id"], d["target_table"], READ_ERROR, err, None))
-    if done:
-        S.advance_watermark(spark, state_table, spark.createDataFrame(
-            done, "target_table string, file_id string, watermark timestamp_ntz"))
-    gate.unpersist()
-    return spark.createDataFrame(
-        log, "connection_id string, file_id string, target_table string, status string, "
-             "message string, rows_written bigint")
-
-
-def _layouts(spark: SparkSession, rows_all: DataFrame, todo: list) -> dict:
-    """Names and inferred types of every passing file: one inference job per
-    distinct header row, collected as ``{file_id: [(col_ix, name, type)]}``
-    (files x columns: registry-sized, not data-sized)."""
-    out: dict[str, list] = {}
-    for h in sorted({int(d["header_row"] or 0) for d in todo}):
-        fids = [d["file_id"] for d in todo if int(d["header_row"] or 0) == h]
-        sel = rows_all.join(spark.createDataFrame([(f,) for f in fids], "file_id string"),
-                            "file_id", "left_semi")
-        for r in G.infer_columns(sel, h, by_file=True).collect():
-            out.setdefault(r["file_id"], []).append((r["col_ix"], r["name"], r["type"]))
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def _write_target(spark: SparkSession, rows_all: DataFrame, layouts: dict, target: str,
-                  items: list, mode: str):
-    """Replace one target with the typed rows of its file(s). Files sharing a
-    target must share a header layout; types are widened across them."""
+
+
+def _write_target(spark: SparkSession, staged: DataFrame, target: str, schema: list[tuple[str, str]]):
+    """Replace one target with its staged rows: (target, rows, rejects, error)."""
     try:
-        h = int(items[0]["header_row"] or 0)
-        cols = [layouts.get(d["file_id"], []) for d in items]
-        names = [n for _, n, _ in cols[0]]
-        if any([n for _, n, _ in c] != names for c in cols):
-            raise ValueError(f"files of {target} have different header layouts")
-        types = {n: widen([c[i][2] for c in cols]) for i, n in enumerate(names)}
-        fids = [d["file_id"] for d in items]
-        rows = rows_all.filter(F.col("file_id").isin(fids))
-        if not names:   # empty sheet: nothing to write, the target is left as it is
-            return items, 0, None
-        picked = G.select_columns(G.promote_header(rows, names, h), items[0]["selected_columns"], mode)
-        schema = [(c, types[c]) for c in picked.columns if c not in ("file_id", "sheet", "row_ix")]
-        typed = G.apply_schema(picked, schema, keys=())
+        cells = [F.get(F.col("cells"), i) for i in range(len(schema))]
+        typed = [cast_cell(c, t) for c, (_, t) in zip(cells, schema)]
+        flag = F.lit(False)
+        for c, e in zip(cells, typed):
+            flag = flag | (F.coalesce(cell_present(c), F.lit(False)) & e.isNull())
+        mine = staged.filter(F.col("target_table") == target)
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-        S.replace_table(typed.observe(obs, F.count(F.lit(1)).alias("n")), target)
-        return items, int(obs.get.get("n", 0)), None
+        out = mine.select(*[e.alias(n) for e, (n, _) in zip(typed, schema)], flag.alias("_rejected")).observe(
+            obs, F.count(F.lit(1)).alias("n"), F.count_if("_rejected").alias("bad"))
+        S.replace_table(out.drop("_rejected"), target)
+        return target, int(obs.get["n"]), int(obs.get["bad"]), None
     except Exception as e:  # noqa: BLE001 - one bad target does not stop the rest
-        return items, None, str(e)[:500]
+        return target, None, None, str(e)
 
 
 def sync_file(spark: SparkSession, tracked_row: dict, docs: DataFrame, state_table: str) -> str:
@@ -313,11 +408,9 @@ def run_sync(spark: SparkSession, cfg: dict, docs: DataFrame, header_row: int =
             "file_last_updated": g["file_last_updated"], "table_last_updated": g["table_last_updated"]}
     if not g["should_process"]:
         return {"status": "skipped", "gate": gate, "parse": None, "dq": None}
+    decoded = land(decode_workbooks(read_content(docs, [fid])), "run-decoded")
     try:
-        decoded = land(decode_workbooks(read_content(docs, [fid])), "run-decoded")
-        err = decoded.filter(F.col("error").isNotNull()).select("error").limit(1).collect()
-        if err:
-            raise ValueError(err[0]["error"])
+        _raise_errors(decode_log(decoded).filter(F.col("error").isNotNull()).select("file_id", "error"))
         rows = grid_rows(decoded)
         typed, _ = build_typed(rows, header_row, None, None, None, "lenient", keys=("file_id",))
         if typed is None:   # empty sheet: success, nothing written
@@ -328,10 +421,11 @@ def run_sync(spark: SparkSession, cfg: dict, docs: DataFrame, header_row: int =
             S.replace_table(typed, target)
             n = spark.table(target).count()
             parse = {"status": "success", "rows_processed": n, "message": f"wrote {n} rows"}
-        release(decoded)
     except Exception as e:  # noqa: BLE001
         return {"status": "error", "gate": gate,
-                "parse": {"status": "error", "message": str(e)[:500]}, "dq": None}
+                "parse": {"status": "error", "message": str(e)}, "dq": None}
+    finally:
+        release(decoded)
     # an empty sheet wrote nothing: its checks run on an empty, column-less frame
     checked = spark.table(target) if parse["rows_processed"] else spark.range(0).drop("id")
     rep = quality_report(checked, required=required).collect()

@@ -87,16 +87,44 @@ def append_rows(df: DataFrame, name: str, reject_col: str | None = None) -> dict
     return {"rows_inserted": total - rej, "total_rows": total, "rejects": rej}
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """Replace contents and schema. Written under a staging name, then
-    the old table is dropped and the staging table renamed into place."""
+def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
+    """Replace contents and schema, keeping the table's own properties and comment.
+
+    The new contents are written under a staging name. The old table is then
+    renamed aside, the staging table renamed into place, and the old one
+    dropped last; if the second rename fails, the old table is put back.
+    """
     spark = df.sparkSession
     ensure_schema(spark, name)
     parts = _parts(name)
-    staging = ".".join(parts[:-1] + [f"{parts[-1]}__staging_{uuid.uuid4().hex[:8]}"])
-    df.write.mode("overwrite").format(TABLE_FORMAT).saveAsTable(staging)
-    spark.sql(f"DROP TABLE IF EXISTS {quote_name(name)}")
-    spark.sql(f"ALTER TABLE {quote_name(staging)} RENAME TO {quote_name(name)}")
+    tag = uuid.uuid4().hex[:8]
+    staging, aside = (".".join(parts[:-1] + [f"{parts[-1]}__{kind}_{tag}"]) for kind in ("staging", "old"))
+    writer = df.write.mode("overwrite").format(TABLE_FORMAT)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(staging)
+    exists = table_exists(spark, name)
+    if exists:
+        own = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {quote_name(name)}").collect()}
+        for k, v in own.items():
+            if not k.startswith(RESERVED_PROPERTIES):
+                spark.sql(f"ALTER TABLE {quote_name(staging)} SET TBLPROPERTIES ({_text(k)} = {_text(v)})")
+        spark.sql(f"ALTER TABLE {quote_name(name)} RENAME TO {quote_name(aside)}")
+    try:
+        spark.sql(f"ALTER TABLE {quote_name(staging)} RENAME TO {quote_name(name)}")
+    except Exception:
+        if exists:
+            spark.sql(f"ALTER TABLE {quote_name(aside)} RENAME TO {quote_name(name)}")
+        raise
+    if exists:
+        spark.sql(f"DROP TABLE {quote_name(aside)}")
+
+
+# Properties that the catalog itself keeps
+RESERVED_PROPERTIES = ("transient_lastDdlTime", "numFiles", "totalSize", "spark.sql.")
+
+
+def _text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def set_table_property(spark: SparkSession, name: str, key: str, value: str) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflow.functions.scalars import normalise_content
+from gridflow.session import land
 
 METADATA_FIELDS = ("name", "size_in_bytes", "last_modified_timestamp", "created_timestamp")
 
@@ -32,7 +33,11 @@ def land_documents(spark: SparkSession, root: str, pattern: str | None = None,
         reader = reader.option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    raw = reader.load(root)
+    return _rows(reader.load(root))
+
+
+def _rows(raw: DataFrame) -> DataFrame:
+    """Listed files as documents rows."""
     return raw.select(
         F.col("path").alias("file_id"),
         F.struct(
@@ -94,62 +99,66 @@ def read_content(docs: DataFrame, file_ids: DataFrame | list[str] | None = None,
                        normalise_content(F.col("content"), content_type).alias("content"))
 
 
-def diff_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A2: compare two documents snapshots by ``file_id``.
+def diff_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``file_id, change, file_metadata, is_deleted`` between two snapshots.
 
-    ``change`` is ``new`` (only in new), ``changed`` (newer modification time or
-    a revived tombstone), ``deleted`` (vanished from new: kept as a tombstone
-    with ``is_deleted = true``), ``unchanged`` (carried over from old).
-    One full outer join; each side shuffles once on the key.
+    ``change`` is ``new`` (only in new), ``changed`` (another modification time
+    or size, or another deleted flag), ``deleted`` (vanished from new: kept as
+    a tombstone with ``is_deleted = true``) or ``unchanged``. A file put back
+    to an older version has changed. One full outer join of metadata; contents
+    are not read.
     """
-    o = old.select(F.col("file_id"), F.col("file_metadata").alias("o_meta"),
-                   F.col("content").alias("o_content"), F.col("is_deleted").alias("o_deleted"),
+    o = old.select("file_id", F.col("file_metadata").alias("o_meta"), F.col("is_deleted").alias("o_deleted"),
                    F.lit(True).alias("_in_old"))
-    n = new.select(F.col("file_id"), F.col("file_metadata").alias("n_meta"),
-                   F.col("content").alias("n_content"), F.col("is_deleted").alias("n_deleted"),
+    n = new.select("file_id", F.col("file_metadata").alias("n_meta"), F.col("is_deleted").alias("n_deleted"),
                    F.lit(True).alias("_in_new"))
     j = o.join(n, on="file_id", how="full_outer")
-    o_ts = F.col("o_meta.last_modified_timestamp")
-    n_ts = F.col("n_meta.last_modified_timestamp")
-    change = (F.when(F.col("_in_old").isNull(), F.lit("new"))
-              .when(F.col("_in_new").isNull(),
-                    F.when(F.col("o_deleted") == F.lit(True), F.lit("unchanged"))
-                    .otherwise(F.lit("deleted")))
-              .when(n_ts > o_ts, F.lit("changed"))
-              .when(F.coalesce(F.col("o_deleted"), F.lit(False))
-                    != F.coalesce(F.col("n_deleted"), F.lit(False)), F.lit("changed"))
-              .otherwise(F.lit("unchanged")))
+    same = F.lit(True)
+    for f in ("last_modified_timestamp", "size_in_bytes"):
+        same = same & F.col(f"o_meta.{f}").eqNullSafe(F.col(f"n_meta.{f}"))
+    same = same & F.coalesce("o_deleted", F.lit(False)).eqNullSafe(F.coalesce("n_deleted", F.lit(False)))
+    gone = F.when(F.col("o_deleted") == F.lit(True), "unchanged").otherwise("deleted")
+    change = (F.when(F.col("_in_old").isNull(), "new").when(F.col("_in_new").isNull(), gone)
+              .when(same, "unchanged").otherwise("changed"))
     in_new = F.col("_in_new").isNotNull()
-    return j.select(
-        F.col("file_id"),
-        F.when(in_new, F.col("n_meta")).otherwise(F.col("o_meta")).alias("file_metadata"),
-        F.when(in_new, F.col("n_content")).otherwise(F.col("o_content")).alias("content"),
-        F.when(in_new, F.col("n_deleted")).otherwise(F.lit(True)).alias("is_deleted"),
-        change.alias("change"),
-    )
+    return j.select("file_id", change.alias("change"),
+                    F.when(in_new, F.col("n_meta")).otherwise(F.col("o_meta")).alias("file_metadata"),
+                    F.when(in_new, F.col("n_deleted")).otherwise(F.lit(True)).alias("is_deleted"))
+
+
+def diff_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A2: the next documents snapshot from two, with its ``change`` per file.
+
+    The comparison is made on metadata; contents are met by ``file_id`` alone
+    afterwards, the old ones only for files that did not change, and drop out of the plan if not
+    asked for.
+    """
+    d = diff_metadata(old, new)
+    kept = d.join(old.select("file_id", "content"), "file_id").filter(F.col("change").isin("unchanged", "deleted"))
+    read = d.join(new.select("file_id", "content"), "file_id").filter(F.col("change").isin("new", "changed"))
+    cols = ["file_id", "file_metadata", "content", "is_deleted", "change"]
+    return kept.select(*cols).unionByName(read.select(*cols))
 
 
 def refresh_documents(spark: SparkSession, docs: DataFrame, root: str,
-                      pattern: str | None = None, slack_seconds: int = 1) -> DataFrame:
+                      pattern: str | None = None) -> DataFrame:
     """A2, incremental: the next documents snapshot, reading file bytes only
-    for files modified after the newest time already landed.
-
-    The full listing is metadata only (no content is read), which finds
-    vanished files (tombstones) and unchanged ones (carried over from
-    ``docs``); contents come from a second listing restricted with the file
-    source's ``modifiedAfter`` (a little slack re-reads files stamped in the
-    same second, which the diff then classifies as unchanged). Returns the
-    ``diff_snapshot`` shape; persist it as the new documents table.
+    for files that are new or whose time or size has changed.
+
+    The listing is metadata only. Which files to read follows from the
+    metadata diff, never from one global time, so a new file with an old time
+    stamp is read too; contents of other files stay those of ``docs``. Returns
+    the ``diff_snapshot`` shape; persist it as the new documents table.
     """
-    # formatted by Spark in the session time zone, the zone the reader uses
-    newest = F.max(F.col("file_metadata.last_modified_timestamp").cast("timestamp"))
-    since = docs.agg(F.date_format(newest - F.make_dt_interval(secs=F.lit(slack_seconds)),
-                                   "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
     listing = land_documents(spark, root, pattern).drop("content")
-    fresh = land_documents(spark, root, pattern, modified_after=since)
-    # the new snapshot: listing metadata, content from the fresh read or, for
-    # files not re-read, from the old table
-    new = (listing.join(fresh.select("file_id", F.col("content").alias("_fresh")), "file_id", "left")
-           .join(docs.select("file_id", F.col("content").alias("_old")), "file_id", "left")
-           .select("file_id", "file_metadata", F.coalesce("_fresh", "_old").alias("content"), "is_deleted"))
-    return diff_snapshot(docs, new)
+    d = land(diff_metadata(docs, listing), "refresh-diff")
+    changed = d.filter(F.col("change").isin("new", "changed"))
+    paths = [r[0] for r in changed.select("file_id").toLocalIterator()]   # names of the files to open
+    cols = ["file_id", "file_metadata", "content", "is_deleted", "change"]
+    kept = (d.filter(F.col("change").isin("unchanged", "deleted"))
+            .join(docs.select("file_id", "content"), "file_id").select(*cols))
+    if not paths:
+        return kept
+    fresh = _rows(spark.read.format("binaryFile").load(paths))
+    return kept.unionByName(fresh.drop("is_deleted", "file_metadata").join(
+        changed, "file_id").select(*cols))

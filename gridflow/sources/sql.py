@@ -15,14 +15,20 @@ def run_sql(spark: SparkSession, text: str, inputs: dict[str, DataFrame] | None
 
     ``inputs`` are DataFrames referenced as ``{name}`` in the text; ``args``
     are bound as named parameters (``:name``), so no value is ever quoted into
-    the text. ``catalog``/``schema`` set the session defaults first. The result
+    the text. ``catalog``/``schema`` hold for this statement only. The result
     is a lazy, typed DataFrame (Catalyst parses, analyses and optimises it).
     """
-    if catalog:
-        spark.catalog.setCurrentCatalog(catalog)
-    if schema:
-        spark.catalog.setCurrentDatabase(schema)
-    return spark.sql(text, args=args or None, **(inputs or {}))
+    before = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
+    try:
+        if catalog:
+            spark.catalog.setCurrentCatalog(catalog)
+        if schema:
+            spark.catalog.setCurrentDatabase(schema)
+        return spark.sql(text, args=args or None, **(inputs or {}))   # names are resolved here
+    finally:
+        if catalog or schema:
+            spark.catalog.setCurrentCatalog(before[0])
+            spark.catalog.setCurrentDatabase(before[1])
 
 
 def read_table(spark: SparkSession, name: str) -> tuple[DataFrame | None, str | None]:

@@ -7,7 +7,7 @@ files, so each micro-batch holds new document versions. Per batch:
 2. gate against the per-file high-water mark in the state table (I4, D2):
    a replayed batch finds every file ``<=`` its mark and writes nothing;
 3. decode passing files once (A4), promote the header, cast to the target's
-   schema (inferred on the first batch);
+   schema, which is widened first where a batch needs it;
 4. write with dynamic partition overwrite on ``file_bucket`` (a hash bucket
    of the file id; the id itself stays in ``source_file``): only buckets that
    hold a changed or deleted file are rewritten, as that bucket's other files'
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gridflow.functions.cells import widen
 from gridflow.functions.filters import glob_match
+from gridflow.operators import grid as G
 from gridflow.operators.gate import sync_gate
 from gridflow.operators.keyed import latest_per_key
 from gridflow.plans.jobs import build_typed
@@ -64,16 +66,36 @@ def file_bucket(file_id, buckets: int):
 def sync_batch(batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
     """One micro-batch (also usable on any batch DataFrame of documents)."""
     spark = batch.sparkSession
-    latest = latest_per_key(batch, "file_id",
-                            [F.col("file_metadata.last_modified_timestamp").desc()])
+    # of versions with one time stamp a deletion is the later, then the larger file
+    meta = batch.select("file_id", "file_metadata", "is_deleted")
+    latest = latest_per_key(meta, "file_id", [
+        F.col("file_metadata.last_modified_timestamp").desc(), F.col("is_deleted").desc_nulls_last(),
+        F.col("file_metadata.size_in_bytes").desc(), F.col("file_metadata.name")])
     latest = latest.filter(glob_match(F.col("file_metadata.name"), cfg.pattern)).persist()
     try:
-        _sync(spark, latest, epoch_id, cfg)
+        _sync(spark, latest, batch, epoch_id, cfg)
     finally:
         latest.unpersist()
 
 
-def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
+def _contents(batch: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``batch`` that are the version chosen per file: contents of all
+    other versions and files stay out of the join."""
+    stamp = F.struct("file_metadata.last_modified_timestamp", "file_metadata.size_in_bytes")
+    want = chosen.select(F.col("file_id").alias("_id"), stamp.alias("_stamp"))
+    return (batch.filter(F.col("is_deleted") == F.lit(False))
+            .join(want, (F.col("file_id") == F.col("_id")) & stamp.eqNullSafe(F.col("_stamp")), "left_semi")
+            .dropDuplicates(["file_id"]))
+
+
+def _widened(rows: DataFrame, current: list[tuple[str, str]], cfg: StreamConfig) -> list[tuple[str, str]]:
+    """The table's columns with the types that also hold this batch's values.
+    Columns without any value in the batch ask for nothing."""
+    need = {r["name"]: r["type"] for r in G.infer_columns(rows, cfg.header_row, by_file=False).collect() if r["filled"]}
+    return [(n, widen([t.upper(), need[n]]) if n in need else t) for n, t in current]
+
+
+def _sync(spark: SparkSession, latest: DataFrame, batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
     t_start = time.time()
     exists = S.table_exists(spark, cfg.target_table)
     deleted = latest.filter(F.col("is_deleted") == F.lit(True)).select("file_id")
@@ -88,21 +110,28 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
     written = 0
     out = None
     ok_ids = None
-    decoded = kept = None
+    decoded = kept = typed = None
+    rejects = unreadable = 0
     if n_todo:
-        docs = latest.join(todo.select("file_id"), "file_id", "left_semi")
+        docs = _contents(batch, latest.join(todo.select("file_id"), "file_id", "left_semi"))
         decoded = land(decode_workbooks(docs), "stream-decoded")
         ok_ids = decoded.groupBy("file_id").agg(F.max("error").alias("error")).filter(
             F.col("error").isNull()).select("file_id")
-        rows = grid_rows(decoded).join(ok_ids, "file_id", "left_semi")
+        unreadable = n_todo - ok_ids.count()
+        rows = grid_rows(decoded)   # of files that could be read to their end
         schema = None
         if exists:
-            schema = [(f.name, f.dataType.simpleString()) for f in spark.table(cfg.target_table).schema
-                      if f.name not in ("source_file", "file_bucket")]
+            current = [(f.name, f.dataType.simpleString()) for f in spark.table(cfg.target_table).schema
+                       if f.name not in ("source_file", "file_bucket")]
+            schema = _widened(rows, current, cfg)
+            if [t.lower() for _, t in schema] != [t.lower() for _, t in current]:
+                _retype(spark, cfg.target_table, schema)
         typed, _ = build_typed(rows, cfg.header_row, None,
                                cfg.selected_columns if schema is None else [c for c, _ in schema],
                                schema, "lenient", keys=("file_id",))
         if typed is not None:
+            typed = land(typed, "stream-typed")
+            rejects = typed.filter("_rejected").count()
             out = (typed.drop("_rejected").withColumnRenamed("file_id", "source_file")
                    .withColumn("file_bucket", file_bucket(F.col("source_file"), cfg.buckets)))
             data_cols = [c for c in out.columns if c not in ("source_file", "file_bucket")]
@@ -147,9 +176,19 @@ def _sync(spark: SparkSession, latest: DataFrame, epoch_id: int, cfg: StreamConf
         gone = deleted.join(todo.select("file_id"), "file_id", "left_anti")
         S.clear_watermark(spark, cfg.state_table, gone.withColumn("target_table", F.lit(cfg.target_table)))
     # the batch's scratch data is no longer read: table and marks are written
-    release(*[d for d in (todo, decoded, kept) if d is not None])
-    cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo,
-                    "written": bool(written), "seconds": round(time.time() - t_start, 3)})
+    release(*[d for d in (todo, decoded, kept, typed) if d is not None])
+    cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo - unreadable, "files_unreadable": unreadable,
+                    "rejects": rejects, "written": bool(written), "seconds": round(time.time() - t_start, 3)})
+
+
+def _retype(spark: SparkSession, table: str, schema: list[tuple[str, str]]) -> None:
+    """Rewrite ``table`` with wider column types (BIGINT to DOUBLE to STRING);
+    rare, and safe to repeat."""
+    t = spark.table(table)
+    kinds = dict(schema)
+    S.replace_table(t.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in t.columns]),
+                    table, partition_by=["file_bucket"])
+    spark.catalog.refreshTable(table)
 
 
 def stream_sync(spark: SparkSession, docs_path: str, cfg: StreamConfig) -> StreamingQuery | None:

@@ -76,6 +76,11 @@ def test_run_sql_and_read_table(spark):
     out = run_sql(spark, "SELECT g, count(*) AS n FROM {t} WHERE id >= :lo GROUP BY g", inputs={"t": df},
                   args={"lo": 4})
     assert sorted(tuple(r) for r in out.collect()) == [(0, 3), (1, 3)]
+    before = spark.catalog.currentDatabase()
+    spark.sql("CREATE SCHEMA IF NOT EXISTS other_place")
+    spark.sql("CREATE TABLE IF NOT EXISTS other_place.only_there USING parquet AS SELECT 7 AS x")
+    assert run_sql(spark, "SELECT x FROM only_there", schema="other_place").collect()[0]["x"] == 7
+    assert spark.catalog.currentDatabase() == before
     t, msg = read_table(spark, "main.does_not_exist")
     assert t is None and "not found" in msg.lower()
 
@@ -96,9 +101,14 @@ def test_refresh_documents_reads_only_changed_files(spark, tmp_path):
     (root / "b.xlsx").write_bytes(b"b2")      # changed (now)
     os.remove(root / "c.xlsx")                 # vanished
     (root / "d.xlsx").write_bytes(b"d")       # new
+    (root / "old.xlsx").write_bytes(b"o")     # new, with an older time than any landed file
+    os.utime(root / "old.xlsx", (old_ts - 9999, old_ts - 9999))
+    (root / "e.xlsx").write_bytes(b"e")
+    os.utime(root / "a.xlsx", (old_ts - 5000, old_ts - 5000))   # put back to an older version
     snap = {r["file_id"].split("/")[-1]: (r["change"], r["is_deleted"], bytes(r["content"] or b""))
             for r in refresh_documents(spark, docs, str(root)).collect()}
-    assert snap == {"a.xlsx": ("unchanged", False, b"a"), "b.xlsx": ("changed", False, b"b2"),
+    assert snap.pop("old.xlsx") == ("new", False, b"o") and snap.pop("e.xlsx") == ("new", False, b"e")
+    assert snap == {"a.xlsx": ("changed", False, b"a"), "b.xlsx": ("changed", False, b"b2"),
                     "c.xlsx": ("deleted", True, b"c"), "d.xlsx": ("new", False, b"d")}
 
 
