@@ -35,7 +35,7 @@ SYMBOLS = r"[#*$%&|<>]"
 CODES = "bcdefghijklmnopqrstuvwxyz"     # one letter per common word, in list order
 
 COUNTS = ["q_n_words", "q_word_chars", "q_n_symbols", "q_n_dup_lines", "q_n_repeat_words", "q_base_failed"]
-HISTOGRAMS = ["q_chars", "q_common"]
+HISTOGRAMS = ["q_chars", "q_common", "q_row"]
 VERDICT = ["q_char_distance", "q_word_distance", "q_kept"]
 N_CHARS, N_COMMON = 6, 21   # classes of the two histograms
 
@@ -124,7 +124,11 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang", min_words:
         | (100 * F.col("q_n_repeat_words") > max_repeat_pct * F.col("q_n_words")),
         "q_chars": F.array(F.col("__upper"), F.col("__digit"), spaces, F.col("q_n_symbols"), other,
                            F.col("__len") - F.col("__upper") - F.col("__digit") - spaces - F.col("__punct")),
-        "q_common": F.array(*per_word, F.col("q_n_words") - F.col("__ncodes"))})
+        "q_common": F.array(*per_word, F.col("q_n_words") - F.col("__ncodes")),
+        # Filters on the counts also ask for this column, so that they stay above it:
+        # pushed down, each layer of expressions would be copied into them several
+        # times over, and planning would not end.
+        "q_row": F.monotonically_increasing_id()})
     return d.select(*own, *COUNTS, *HISTOGRAMS)
 
 
@@ -139,7 +143,7 @@ def language_references(feats: DataFrame, lang: str = "lang", min_words: int = M
     chars = [F.col("q_chars")[i] for i in range(N_CHARS)]
     length = sum(chars[1:], chars[0])
     d = feats.where((F.col("q_n_words") >= min_words) & ~F.col("q_base_failed")
-                    & (F.col("q_n_symbols") * 100 < length) & (chars[0] * 5 < length))
+                    & (F.col("q_n_symbols") * 100 < length) & (chars[0] * 5 < length) & (F.col("q_row") >= 0))
     sums = [F.sum(F.col("q_chars")[i]).alias(f"c{i}") for i in range(N_CHARS)]
     sums += [F.sum(F.col("q_common")[i]).alias(f"w{i}") for i in range(N_COMMON)]
     g = d.groupBy(F.coalesce(F.col(lang), F.lit("")).alias("__lang")).agg(*sums)
@@ -178,10 +182,12 @@ def verdicts(feats: DataFrame, refs: DataFrame, lang: str = "lang", min_compare_
     d = d.withColumns({
         "q_char_distance": F.when(n >= min_compare_words, _distance(F.col("__p"), F.col("__ref_chars"))),
         "q_word_distance": F.when((n >= min_compare_words) & (F.col("__e") >= min_common_words),
-                                  _distance(F.col("__w"), F.col("__ref_common")))})
+                                  _distance(F.col("__w"), F.col("__ref_common"))),
+        "__row": F.monotonically_increasing_id()})   # see features
     far = [F.coalesce(F.col(c) > lim * (1 + F.sqrt(sampling / m)), F.lit(False)) for c, lim, m in (
         ("q_char_distance", max_char_distance, n), ("q_word_distance", max_word_distance, F.col("__e")))]
-    return d.withColumn("q_kept", ~F.col("q_base_failed") & ~far[0] & ~far[1]).select(*own, *VERDICT)
+    kept = ~F.col("q_base_failed") & ~far[0] & ~far[1] & (F.col("__row") >= 0)
+    return d.withColumn("q_kept", kept).select(*own, *VERDICT)
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
