@@ -13,6 +13,7 @@ among the pieces of its length, which is counted in salted groups.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -27,31 +28,56 @@ from gridflow.session import land
 CAPACITY = 2048
 
 
-class Tokens:
+# Words of these letters alone are one token run for the vocabulary's splitting rule,
+# stay as they are under its normal form, and need only its merges.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself
+    if printable Latin-1, else the next one from 256 up."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Tokens(dict):
     """Ids of whole texts, word by word: white space parts tokens and is
     dropped by the vocabulary's own splitting, so the ids of a text are those of its
-    ASCII-white-space-separated words in a row. Words are kept in a bounded cache."""
+    ASCII-white-space-separated words in a row. The dictionary keeps words'
+    ids (little-endian 32-bit) up to ``CACHE`` words.
+    """
 
-    CACHE = 400_000
+    CACHE = 700_000
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        body, mark = word, b""
+        if word[-1:] in (b".", b",") and word[-2:-1].isalpha():   # a mark after a letter is a token run of its own
+            body, mark = word[:-1], word[-1:]
+        text = body.decode("utf-8", "replace")
+        low = text.lower() if text.isascii() or max(text) < "\u0100" else text
+        if _PLAIN.fullmatch(low):
+            run = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+            ids = [t.id for t in self.merges.tokenize(run)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        out = np.array(ids, "<u4").tobytes() + (self[mark] if mark else b"")
+        self[word] = out
+        return out
 
     def packed(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > self.CACHE:
-                known.clear()
-                new = list(set(words))
-            enc = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, enc):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        """Little-endian 32-bit ids of a text."""
+        if len(self) > self.CACHE:
+            self.clear()
+        # the vocabulary lower-cases; special strings, which it would not, are left alone
+        words = (text if b"<|" in text else text.lower()).split()
+        return b"".join(map(self.__getitem__, words))
 
 
 _LOADED: dict[str, Tokens] = {}
