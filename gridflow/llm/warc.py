@@ -244,7 +244,8 @@ def reassemble(records: DataFrame) -> DataFrame:
                      F.lit("segments missing or repeated"))
                .when(~F.col("total").eqNullSafe(size), F.lit("total length differs")))
     joined = F.concat_ws("", F.transform("parts", lambda x: F.hex(x["block"])))
-    g = g.select("o", *[F.coalesce(F.col("m")[c], F.col("o") if c == "record_id" else F.lit(None)).alias(c) for c in meta],
+    orphan = {"record_id": F.col("o"), "type": F.lit("unknown")}   # a first segment was never read
+    g = g.select("o", *[F.coalesce(F.col("m")[c], orphan.get(c, F.lit(None))).alias(c) for c in meta],
                  problem.alias("problem"), F.unhex(joined).alias("block"))
     return whole.select(*meta, "block", "problem").unionByName(
         g.select(*meta, F.when(F.col("problem").isNull(), F.col("block")).alias("block"), "problem"))
