@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflow.llm import line_dedup, mixing, packing, quality, simhash
+from gridflow.llm.common import bounded_side
 from gridflow.llm.queries import MIX_EPOCHS, MIX_SHARE, MIX_WEIGHTS, vocabulary
 from gridflow.session import land, prepare, release
 
@@ -41,8 +42,8 @@ def dedup_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     prepare(spark)
     groups = simhash.simhash_components(docs)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
-    # the smaller side is what goes: texts move only if that is large
-    gone = land(gone.distinct(), "pipeline-gone")
+    # the ids that go are the smaller side: texts are shuffled only if there are too many to send
+    gone = bounded_side(land(gone.distinct(), "pipeline-gone"), 16)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
 
 
