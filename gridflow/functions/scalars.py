@@ -100,12 +100,6 @@ def format_iso(ts: Column | str) -> Column:
         micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
 
 
-def display_cell(kind: Column, raw: Column) -> Column:
-    """H5: value shown in a preview: missing -> NULL, everything else as text
-    (date cells already carry ``yyyy-MM-dd HH:mm:ss`` text)."""
-    return F.when((kind == "null") | raw.isNull(), F.lit(None).cast("string")).otherwise(raw)
-
-
 def default_if_null(c: Column | str, default) -> Column:
     """H6: ``coalesce`` with a literal default."""
     return F.coalesce(_col(c), F.lit(default))

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from gridflow.functions.filters import glob_match
 
-LEVELS = ("SIMPLE", "DETAILED")
+LEVELS = ("NONE", "SIMPLE", "DETAILED")   # no statistics (nothing is scanned), per table, per column
 
 
 def actual_columns(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -113,12 +113,17 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
                    level: str = "SIMPLE", distinct: str = "approx") -> DataFrame:
     """E9 (and E10 when ``level='DETAILED'``).
 
+    NONE: the names only, no table is read.
     SIMPLE: ``table_name, n_rows, size_in_bytes, last_modified`` -- counts are
     one union of per-table aggregates; bytes and modification time come from
     the ``_metadata`` of distinct files (NULL when the table is not file based).
     DETAILED: long-form column statistics (see ``column_stats``).
     """
     level = level.upper()
+    if level not in LEVELS:
+        raise ValueError(f"unknown statistics level {level}; one of {', '.join(LEVELS)}")
+    if level == "NONE":
+        return spark.createDataFrame([(n,) for n in tables], "table_name string")
     if level == "DETAILED":
         return column_stats(spark, tables, distinct)
     counts = None
@@ -185,16 +190,28 @@ def column_stats(spark: SparkSession, tables: Mapping[str, DataFrame], distinct:
     return out
 
 
+def described_columns(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``actual_columns`` with each column's ``nullable`` flag and ``comment``."""
+    rows = [(t, f.name, f.dataType.simpleString(), i, f.nullable, (f.metadata or {}).get("comment"))
+            for t, df in tables.items() for i, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, type string, ordinal int, "
+                                       "nullable boolean, comment string")
+
+
 def discover_tables(spark: SparkSession, schema: str | None = None,
                     patterns: Iterable[str] | str | None = None, level: str = "SIMPLE") -> dict:
-    """K7: tables of a schema filtered by glob patterns, with statistics and
-    the column list of each (as rows)."""
+    """K7: tables of a schema filtered by glob patterns, with their type,
+    statistics of the asked level and the column list of each (as rows)."""
+    if level.upper() not in LEVELS:
+        raise ValueError(f"unknown statistics level {level}; one of {', '.join(LEVELS)}")
     listed = spark.catalog.listTables(schema) if schema else spark.catalog.listTables()
-    names = [t.name if not schema else f"{schema}.{t.name}" for t in listed]
-    base = spark.createDataFrame([(n, n.split(".")[-1]) for n in names], "qualified string, table_name string")
+    base = spark.createDataFrame([(f"{schema}.{t.name}" if schema else t.name, t.name, t.tableType) for t in listed],
+                                 "qualified string, short string, table_type string")
     if patterns:
-        base = base.filter(glob_match(F.col("table_name"), patterns))
-    keep = [r["qualified"] for r in base.collect()]
-    tables = {n: spark.table(n) for n in keep}
-    return {"tables": profile_tables(spark, tables, level) if tables else base,
-            "columns": actual_columns(spark, tables)}
+        base = base.filter(glob_match(F.col("short"), patterns))
+    base = base.select(F.col("qualified").alias("table_name"), "table_type")
+    tables = {r["table_name"]: spark.table(r["table_name"]) for r in base.collect()}   # catalog names, no rows
+    found = base
+    if tables and level.upper() != "NONE":
+        found = base.join(profile_tables(spark, tables, level), "table_name")
+    return {"tables": found, "columns": described_columns(spark, tables)}

@@ -174,14 +174,30 @@ def test_discover_and_validate_tables(spark):
     assert res == {"disc.supplier_a_data": True, "disc.supplier_b_data": False, "disc.missing_t": False}
 
 
+def test_discovery_levels(spark):
+    import pytest
+
+    from gridflow.operators.contracts import discover_tables
+    spark.sql("CREATE SCHEMA IF NOT EXISTS lv")
+    spark.sql("CREATE TABLE IF NOT EXISTS lv.t1 (a INT COMMENT 'first', b STRING) USING parquet")
+    none = discover_tables(spark, "lv", level="NONE")
+    assert none["tables"].columns == ["table_name", "table_type"] and none["tables"].count() == 1
+    assert [(r["nullable"], r["comment"]) for r in none["columns"].orderBy("ordinal").collect()] == [(True, "first"), (True, None)]
+    assert discover_tables(spark, "lv", level="SIMPLE")["tables"].first()["n_rows"] == 0
+    assert discover_tables(spark, "lv", level="DETAILED")["tables"].count() == 2
+    with pytest.raises(ValueError, match="level"):
+        discover_tables(spark, "lv", level="MOST")
+
+
 def test_small_predicates_display_and_table_property(spark):
     from gridflow.functions.filters import by_key, not_null
-    from gridflow.functions.scalars import display_cell
+    from gridflow.functions.cells import display
     df = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
     assert [r["k"] for r in by_key(df, "k", "b").collect()] == ["b"]
     assert [r["k"] for r in not_null(df, "v").collect()] == ["a"]
-    cells = spark.createDataFrame([("null", None), ("d", "2026-01-02 00:00:00"), ("n", "5")], "kind string, raw string")
-    assert [r[0] for r in cells.select(display_cell(F.col("kind"), F.col("raw"))).collect()] == \
+    cells = spark.createDataFrame([(("null", None),), (("d", "2026-01-02 00:00:00"),), (("n", "5"),)],
+                                  "cell struct<kind:string,raw:string>")
+    assert [r[0] for r in cells.select(display(F.col("cell"))).collect()] == \
         [None, "2026-01-02 00:00:00", "5"]
     # single-target watermark as a table property (SHOW TBLPROPERTIES, not DESCRIBE)
     S.drop_table(spark, "main.props_t")
