@@ -993,3 +993,74 @@ def q_analyze_files(spark, sf_dir):
     a = analyze_files(workbook_docs(spark, sf_dir), None, header_row=V.GRID_HEADER_ROW)
     return a["columns"].select("file_id", "col_ix", "name", "type", "nullable",
                                F.array_join("sample_values", "|").alias("samples"))
+
+
+# ------------------------------------------------------------------ sync of a registry
+@register("sync_all", """
+WITH c AS (SELECT 'region_' || n_regionkey AS target, n_nationkey AS n, n_regionkey AS r, c_custkey, c_acctbal
+           FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT target, c_custkey::BIGINT AS custkey, (CASE WHEN n % 5 = 1 THEN c_acctbal + 1 ELSE c_acctbal END)::DOUBLE AS balance
+FROM c WHERE r <> (SELECT n_regionkey FROM nation WHERE n_nationkey = 7) AND n <> 3
+UNION ALL
+SELECT target, c_custkey::BIGINT, c_acctbal::DOUBLE
+FROM c WHERE r = (SELECT n_regionkey FROM nation WHERE n_nationkey = 7)""")
+def q_sync_all(spark, sf_dir):
+    """K5 over two runs. Customers of a nation stand in workbooks of at most
+    20,000 rows, those of odd nations under a title row; a region's workbooks
+    share one target. Before the second run nations 1, 6, ... get other
+    balances, nation 3's files are deleted and nation 7's are corrupt, so its
+    region's target must stay as the first run left it."""
+    import uuid
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from gridflow.plans.jobs import sync_all
+    from gridflow.session import land
+    from gridflow.sinks.tables import drop_table
+    from gridflow.sources.workbook import as_documents, encode_workbooks
+    c = V.table(spark, sf_dir, "customer").join(
+        V.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.select("c_custkey", F.col("c_acctbal").cast("double").alias("bal"), F.col("n_nationkey").alias("n"),
+                 F.col("n_regionkey").alias("r"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("_"),
+                                                           F.floor(F.col("c_custkey") / 20000).cast("string")).alias("file_id"))
+    c = land(c, "sync-customers")
+    files = c.select("file_id", "n", "r").distinct()
+    tag = uuid.uuid4().hex[:8]
+    target = F.concat(F.lit(f"gridflow_sync.region_{tag}_"), F.col("r").cast("string"))
+    tracked = files.select(F.col("file_id").alias("connection_id"), "file_id", target.alias("target_table"),
+                           (F.col("n") % 2).cast("int").alias("header_row"),
+                           F.lit(None).cast("array<string>").alias("selected_columns"), F.lit(True).alias("sync_enabled"))
+    tracked = land(tracked, "sync-tracked")
+
+    def documents(balance, time):
+        def cell(kind, value):
+            return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("raw"))
+        at = F.row_number().over(Window.partitionBy("file_id").orderBy("c_custkey")) + F.col("n") % 2
+        data = c.select("file_id", at.alias("row_ix"), F.array(cell("n", F.col("c_custkey")), cell("n", balance)).alias("cells"))
+        head = files.select("file_id", (F.col("n") % 2).alias("row_ix"),
+                            F.array(cell("s", F.lit("custkey")), cell("s", F.lit("balance"))).alias("cells"))
+        title = files.where("n % 2 = 1").select("file_id", F.lit(0).alias("row_ix"),
+                                                F.array(cell("s", F.lit("Customers"))).alias("cells"))
+        rows = data.unionByName(head).unionByName(title)
+        rows = rows.select("file_id", F.lit(0).alias("sheet_ix"), F.lit("Sheet1").alias("sheet"),
+                           F.col("row_ix").cast("int").alias("row_ix"), "cells")
+        return as_documents(encode_workbooks(rows), F.lit(time).cast("timestamp_ntz"))
+    first = land(documents(F.col("bal"), "2024-01-01 00:00:00"), "sync-docs")
+    state = f"gridflow_sync.state_{tag}"
+    sync_all(spark, tracked, first, state)
+    nation = F.regexp_extract("file_id", r"^n(\d+)_", 1).cast("int")
+    moved = documents(F.when(F.col("n") % 5 == 1, F.col("bal") + 1).otherwise(F.col("bal")), "2024-02-01 00:00:00")
+    second = first.where(~((nation % 5 == 1) | nation.isin(3, 7))).unionByName(moved.where(nation % 5 == 1))
+    second = second.unionByName(moved.where(nation == 7).withColumn("content", F.lit("no workbook").cast("binary")))
+    second = second.unionByName(first.where(nation == 3).withColumn("is_deleted", F.lit(True)))
+    sync_all(spark, tracked, land(second, "sync-docs"), state)
+    out = None
+    for (t,) in tracked.select("target_table").distinct().collect():   # one table per region
+        one = spark.table(t).select(F.lit("region_" + t.rsplit("_", 1)[1]).alias("target"), "custkey", "balance")
+        out = one if out is None else out.unionByName(one)
+    out = land(out, "sync-result")
+    for (t,) in tracked.select("target_table").distinct().collect():
+        drop_table(spark, t)
+    drop_table(spark, state)
+    return out
