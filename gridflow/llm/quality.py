@@ -177,14 +177,14 @@ def verdicts(feats: DataFrame, refs: DataFrame, lang: str = "lang", min_compare_
     d = feats.withColumn("__lang", F.coalesce(F.col(lang), F.lit(""))).join(refs, "__lang", "left")
     n, length = F.col("q_n_words"), F.aggregate("q_chars", F.lit(0).cast("long"), lambda s, x: s + x)
     expected = n * (1 - F.col("__ref_common")[N_COMMON - 1])
-    d = d.withColumns({"__p": F.transform("q_chars", lambda x: x / length),
-                       "__w": F.transform("q_common", lambda x: x / n), "__e": expected})
+    d = d.withColumns({"__p": F.transform("q_chars", lambda x: x / F.greatest(length, F.lit(1))),
+                       "__w": F.transform("q_common", lambda x: x / F.greatest(n, F.lit(1))), "__e": expected})
     d = d.withColumns({
         "q_char_distance": F.when(n >= min_compare_words, _distance(F.col("__p"), F.col("__ref_chars"))),
         "q_word_distance": F.when((n >= min_compare_words) & (F.col("__e") >= min_common_words),
                                   _distance(F.col("__w"), F.col("__ref_common"))),
         "__row": F.monotonically_increasing_id()})   # see features
-    far = [F.coalesce(F.col(c) > lim * (1 + F.sqrt(sampling / m)), F.lit(False)) for c, lim, m in (
+    far = [F.coalesce(F.col(c) > lim * (1 + F.sqrt(sampling / F.greatest(m.cast("double"), F.lit(1.0)))), F.lit(False)) for c, lim, m in (
         ("q_char_distance", max_char_distance, n), ("q_word_distance", max_word_distance, F.col("__e")))]
     kept = ~F.col("q_base_failed") & ~far[0] & ~far[1] & (F.col("__row") >= 0)
     return d.withColumn("q_kept", kept).select(*own, *VERDICT)
