@@ -197,13 +197,19 @@ def count_links(distinct: DataFrame, roots: DataFrame, threshold: float = THRESH
     counted) of the other vectors of its component at ``threshold`` or nearer.
 
     Exact: components over ``block`` rows are cut into chunks, and each two chunks are
-    compared in a task of their own."""
+    compared in a group of their own."""
     members = land(distinct.join(roots.withColumnRenamed("node", "id"), "id").select("root", "id", "n", "dim", "v"),
                    "embed-members")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
-    d = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    # only components over a block need cutting up: few rows, landed so that Spark sees their size
+    big = members.groupBy("root").agg(F.count("*").alias("m")).where(F.col("m") > block)
+    big = land(big.select("root", F.ceil(F.col("m") / block).cast("int").alias("chunks")), "embed-big")
+    d = members.join(big, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    d = d.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     d = d.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "dim", "v")
+    # dealt by tile: a partitioning by component alone would satisfy the grouping too, and
+    # put all tiles of a large component into one task
+    d = d.repartition("root", "x", "y")
 
     def tile(keys, group):
         x, y = keys[1].as_py(), keys[2].as_py()
