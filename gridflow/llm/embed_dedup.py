@@ -4,8 +4,17 @@ In a pass every vector gets a key: the signs of its projections on random
 directions, concatenated to 63 bits. Vectors are put in the lexicographic
 order of the keys, and each is compared with the next ``window`` in that
 order. Near vectors agree on most signs, so they come close in some pass; the
-number of passes is chosen so that a pair at the threshold is met with the
-wanted probability. Verified pairs of all passes are joined to components.
+first passes are as many as evenly spread keys need so that a pair at the
+threshold is met with the wanted probability. Verified pairs of all passes are
+joined to components.
+
+Keys of a dense cluster are not evenly spread. So every pass also measures, row
+by row, how far the window reaches: the signs that a neighbour has to share to
+be inside it. That gives each row the chance that its pair at the threshold was
+missed in all passes so far. Rows above the wanted chance go through further
+passes among themselves, or, where that is cheaper (and always if no number of
+passes would do), are compared with one another exactly, in tiles. A pair is
+settled as soon as one of its rows is.
 
 Window and order cannot show all links of a dense group. So links are counted
 afterwards inside each component, exactly and in blocks of rows: the passes
@@ -35,6 +44,8 @@ THRESHOLD = 0.9
 WINDOW = 128
 MISS = 0.005        # wanted chance that no pass puts a pair at the threshold in one window
 BLOCK = 512         # rows of a component that are compared with as many others at once
+TILE = 2048         # dense rows of a tile: n of them are sent to n / TILE tiles, a pass sends them once
+SPLIT = 8           # tiles a dense row is sent to at least, so that few rows too are work for many tasks
 KEY_BITS = 63
 SEED = 11
 
@@ -84,11 +95,88 @@ def _keys(vectors: np.ndarray, dim: int, number: int) -> np.ndarray:
 def window_links(distinct: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW,
                  miss: float = MISS) -> DataFrame:
     """``(a, b)``: links of at least ``threshold`` between the vectors of
-    ``distinct`` (landed) that meet in a window of some pass, as forests."""
+    ``distinct`` (landed) that connect all that are connected, as forests: first those
+    that meet in a window of some pass, then those of rows too dense for that."""
     n = distinct.count()
     if n < 2:
         return distinct.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    number = passes_needed(n, window, threshold, miss)
+    first = number = passes_needed(n, window, threshold, miss)
+    left = distinct.select("id", "dim", "v", F.lit(0.0).alias("missed"))
+    links, used = None, 0
+    while True:
+        found, log_miss = _passes(left, n, used, number, threshold, window)
+        links = found if links is None else links.unionByName(found)
+        used += number
+        # rows whose pairs at the threshold are not yet met surely enough, and the passes each still needs
+        rest = left.join(log_miss, "id").withColumn("missed", F.col("missed") + F.col("c"))
+        rest = rest.where(F.col("missed") > math.log(miss))
+        rest = rest.withColumn("need", F.when(F.col("c") < 0, F.ceil((math.log(miss) - F.col("missed")) * number / F.col("c"))))
+        left = land(rest.select("id", "dim", "v", "missed", F.col("need").cast("double").alias("need")), "embed-dense")
+        n = left.count()
+        if n < 2:
+            return links
+        need = F.least(F.coalesce("need", F.lit(float(n))), F.lit(float(n)))
+        passes, middle = left.agg(F.sum(need), F.percentile_approx(need, 0.5)).first()
+        if n <= TILE or n * max(SPLIT, n / TILE) <= passes:
+            return links.unionByName(dense_links(left, n, threshold))
+        number = int(min(max(1, middle), first))
+
+
+def dense_links(rows: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
+    """``(a, b)``: a spanning forest of all links of at least ``threshold`` between the
+    ``n`` ``rows(id, dim, v)``, exactly: each two chunks are compared in a group of their own."""
+    chunks = max(SPLIT, math.ceil(n / TILE))
+    d = rows.select("id", "dim", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("own"))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    d = d.select("dim", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v")
+
+    def tile(keys, group):
+        dim, x, y = (k.as_py() for k in keys)
+        m = _unit(_matrix(group.column("v").combine_chunks(), dim))
+        own, ids = group.column("own").to_numpy(), group.column("id").to_numpy()
+        a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
+
+        def near():
+            for lo in range(0, len(a), BLOCK):
+                i, j = np.nonzero(m[a[lo:lo + BLOCK]] @ m[b].T >= threshold)
+                yield a[lo + i], b[j]
+        label = forest(len(ids), near())
+        at = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[at], pa.int64()), "b": pa.array(ids[label[at]], pa.int64())})
+    return d.groupBy("dim", "x", "y").applyInArrow(tile, "a long, b long")
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits (of KEY_BITS) that two keys share."""
+    x = a ^ b
+    high, low = (x >> 32).astype(np.float64), (x & 0xFFFFFFFF).astype(np.float64)
+    return KEY_BITS - np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+
+
+def _log_miss(keys: np.ndarray, window: int, agree: float, open_start: bool, open_end: bool) -> np.ndarray:
+    """Log of the chance, at most, that a row's pair is outside its window; signs agree with chance ``agree``.
+
+    ``keys`` ascend. A pair that shares exactly b signs lies on the side that the row's next
+    sign tells, and is within the window if the first row beyond the window shares fewer.
+    An open end goes on in another partition: there the last row here stands for that row."""
+    n = len(keys)
+    at, reach = np.arange(n), window + 1
+    after, before = (_common(keys, keys[np.clip(at + d, 0, n - 1)]) for d in (reach, -reach))
+    if not open_end:
+        after[at + reach >= n] = -1
+    if not open_start:
+        before[at - reach < 0] = -1
+    hit = np.where(np.maximum(after, before) < KEY_BITS, agree ** KEY_BITS, 0.0)
+    for b in range(KEY_BITS):
+        side = np.where((keys >> (KEY_BITS - 1 - b)) & 1, before, after)
+        hit += (b > side) * (agree ** b * (1 - agree))
+    return np.log1p(-np.minimum(hit, 1 - 1e-12))
+
+
+def _passes(rows: DataFrame, n: int, begin: int, number: int, threshold: float, window: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` between the ``n`` ``rows(id, dim, v)`` that meet in one of ``number``
+    passes from pass ``begin`` on, and ``id, c``: log chance that a row's pair was missed in them."""
+    agree = 1 - math.acos(threshold) / math.pi
 
     def keyed(batches):
         for b in batches:
@@ -97,24 +185,25 @@ def window_links(distinct: DataFrame, threshold: float = THRESHOLD, window: int
                 at = np.flatnonzero(dims == dim)
                 sub = b.take(pa.array(at))
                 m = _matrix(sub.column(2), int(dim))
-                for p in range(number):
+                for p in range(begin, begin + number):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(at), p, np.int32)), sub.column(1), pa.array(_keys(m, int(dim), p)),
                          sub.column(0), sub.column(2)], ["p", "dim", "key", "id", "v"])
-    d = distinct.select("id", "dim", "v").mapInArrow(keyed, "p int, dim int, key long, id long, v array<double>")
+    d = rows.select("id", "dim", "v").mapInArrow(keyed, "p int, dim int, key long, id long, v array<double>")
     parts = max(1, n * number // (16 * window))
-    parts = min(parts, 4 * max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), number))
+    parts = min(parts, 4 * max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), number))
     d = d.repartitionByRange(parts, "p", "dim", "key", "id").sortWithinPartitions("p", "dim", "key", "id")
 
     def stretch(batches):
-        """Links inside the partition; its first and last ``window`` rows of each run (kinds 1 and 2)."""
+        """Links inside the partition; its first and last ``window`` rows of each run (kinds 1 and 2);
+        what each row may have missed (kind 3)."""
         from pyspark import TaskContext
         here = TaskContext.get().partitionId()
-        held = None
+        held, seen, begun = None, [], True
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [b.column(i).to_numpy() for i in (0, 1, 3)] + [b.column(4)]
+            rows, keys = [b.column(i).to_numpy() for i in (0, 1, 3)] + [b.column(4)], b.column(2).to_numpy()
             runs = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)]))
             for lo, hi in zip(runs, [*runs[1:], len(rows[0])]):
                 run = (int(rows[0][lo]), int(rows[1][lo]))
@@ -123,17 +212,21 @@ def window_links(distinct: DataFrame, threshold: float = THRESHOLD, window: int
                     ids, m = np.concatenate([held[1], ids]), np.concatenate([held[2], m])
                 elif held is not None:
                     yield from _edge_rows(here, 2, held, window)
+                    yield from _miss_rows(seen, window, agree, begun, False)
+                    seen, begun = [], False
                     yield from _edge_rows(here, 1, (run, ids, m), window)
                 else:
                     yield from _edge_rows(here, 1, (run, ids, m), window)
                 yield from _found(ids, _near(m, threshold, window))
                 held = (run, ids[-window:], m[-window:])
+                seen.append((keys[lo:hi], rows[2][lo:hi]))
         if held is not None:
             yield from _edge_rows(here, 2, held, window)
+            yield from _miss_rows(seen, window, agree, begun, True)
 
     out = land(d.mapInArrow(stretch, STRETCH), "embed-windows")
     # a run that goes on in another partition: the last rows of one meet the first of the next
-    ends = out.where("kind > 0").select("kind", "p", "dim", "part", F.col("a").alias("id"), "v")
+    ends = out.where("kind in (1, 2)").select("kind", "p", "dim", "part", F.col("a").alias("id"), "v")
     from pyspark.sql import Window
     order = land(ends.groupBy("p", "dim", "part").agg(F.count("*")).withColumn(
         "next", F.lead("part").over(Window.partitionBy("p", "dim").orderBy("part"))).where("next is not null"), "embed-ends")
@@ -155,10 +248,12 @@ def window_links(distinct: DataFrame, threshold: float = THRESHOLD, window: int
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         return pa.Table.from_batches([rows]).select(["a", "b"])
     seams = met.groupBy("p", "dim", "part").applyInArrow(seam, "a long, b long")
-    return out.where("kind = 0").select("a", "b").unionByName(seams)
+    log_miss = out.where("kind = 3").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("c"))
+    return out.where("kind = 0").select("a", "b").unionByName(seams), log_miss
 
 
-STRETCH = "kind int, p int, dim int, part int, a long, b long, v array<double>"
+STRETCH = "kind int, p int, dim int, part int, a long, b long, v array<double>, c double"
+NAMES = ["kind", "p", "dim", "part", "a", "b", "v", "c"]
 
 
 def _near(m: np.ndarray, threshold: float, window: int):
@@ -179,7 +274,18 @@ def _found(ids: np.ndarray, pairs):
         none = pa.nulls(k, pa.int32())
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(k, np.int32)), none, none, none, pa.array(ids[at]), pa.array(ids[label[at]]),
-             pa.nulls(k, pa.list_(pa.float64()))], ["kind", "p", "dim", "part", "a", "b", "v"])
+             pa.nulls(k, pa.list_(pa.float64())), pa.nulls(k, pa.float64())], NAMES)
+
+
+def _miss_rows(seen, window: int, agree: float, open_start: bool, open_end: bool):
+    keys, ids = (np.concatenate(x) for x in zip(*seen))
+    c = _log_miss(keys, window, agree, open_start, open_end)
+    for lo in range(0, len(ids), 65536):
+        k = len(ids[lo:lo + 65536])
+        none = pa.nulls(k, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(k, 3, np.int32)), none, none, none, pa.array(ids[lo:lo + k]), pa.nulls(k, pa.int64()),
+             pa.nulls(k, pa.list_(pa.float64())), pa.array(c[lo:lo + k])], NAMES)
 
 
 def _edge_rows(part: int, kind: int, run, window: int):
@@ -188,8 +294,8 @@ def _edge_rows(part: int, kind: int, run, window: int):
     k = len(ids)
     full = lambda x: pa.array(np.full(k, x, np.int32))
     v = pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * dim, dim, dtype=np.int32)), pa.array(m.ravel()))
-    yield pa.RecordBatch.from_arrays([full(kind), full(p), full(dim), full(part), pa.array(ids), pa.nulls(k, pa.int64()), v],
-                                     ["kind", "p", "dim", "part", "a", "b", "v"])
+    yield pa.RecordBatch.from_arrays([full(kind), full(p), full(dim), full(part), pa.array(ids), pa.nulls(k, pa.int64()), v,
+                                      pa.nulls(k, pa.float64())], NAMES)
 
 
 def count_links(distinct: DataFrame, roots: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

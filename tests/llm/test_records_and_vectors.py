@@ -150,6 +150,45 @@ def test_embeddings_like_brute_force(spark):
             embed_dedup.dedup_embeddings(df).collect()} == want
 
 
+def test_embeddings_in_a_dense_cone(spark):
+    # a third of the rows in a cone of pairwise cosine 0.8, far more of them under a key prefix than a window holds
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    wide, cone, pairs, dim = 8000, 3800, 100, 64
+    centre = unit(rng.standard_normal(dim))
+    off = rng.standard_normal((cone, dim))
+    off = unit(off - np.outer(off @ centre, centre))
+    v = np.sqrt(0.8) * centre + np.sqrt(0.2) * off
+    mate = rng.standard_normal((pairs, dim))
+    mate -= (mate @ centre)[:, None] * centre
+    mate = unit(mate - (mate * off[:pairs]).sum(1, keepdims=True) * off[:pairs])
+    twin = np.sqrt(0.8) * centre + np.sqrt(0.2) * (0.53 * off[:pairs] + np.sqrt(1 - 0.53 ** 2) * mate)   # cosine 0.906
+    m = unit(np.concatenate([unit(rng.standard_normal((wide, dim))), v, twin]))
+    s = m @ m.T >= 0.9
+    want = {i: int(x) - 1 for i, x in enumerate(s.sum(1))}
+    assert sum(want.values()) >= 2 * pairs
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    # short windows: as many rows a window as in a table of some 50,000 rows with the usual one
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.dedup_embeddings(df, window=32).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_measured_chance_of_a_miss():
+    rng = np.random.default_rng(6)
+    keys = np.sort(np.concatenate([rng.integers(0, 1 << 63, 500), (1 << 61) + rng.integers(0, 1 << 20, 500), np.full(40, 77)]))
+    bits = [format(k, "063b") for k in keys.tolist()]
+    common = lambda x, y: len(os.path.commonprefix([x, y]))
+    for first, last in ((False, False), (True, True)):
+        got = embed_dedup._log_miss(keys, 10, 0.85, first, last)
+        for i in range(0, len(keys), 7):
+            after = common(bits[i], bits[min(i + 11, len(keys) - 1)]) if i + 11 < len(keys) or last else -1
+            before = common(bits[i], bits[max(i - 11, 0)]) if i >= 11 or first else -1
+            hit = sum(0.85 ** b * 0.15 for b in range(63) if b > (before if bits[i][b] == "1" else after))
+            hit += 0.85 ** 63 if max(after, before) < 63 else 0
+            assert got[i] == pytest.approx(np.log1p(-min(hit, 1 - 1e-12)), rel=1e-6, abs=1e-9)
+
+
 def test_more_passes_for_more_vectors():
     few, many = embed_dedup.passes_needed(1000, 128, 0.9), embed_dedup.passes_needed(10**9, 128, 0.9)
     assert 1 <= few < many
