@@ -15,6 +15,10 @@ Training is two aggregates: words of labelled documents per class, then
 letter grams of the distinct words. The model is a table of grams of six
 letters, a few hundred thousand rows; its size is checked before it is sent to
 the tasks. Scoring touches no other rows: texts are neither shuffled nor joined.
+
+A table too large to send stays in Spark: the grams of all distinct words are
+joined with it order by order, and each document's word counts with the words'
+evidence. The model is the same, letter for letter.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from .common import bounded_side
 
 ORDER = 6                   # letters of the longest grams
 BITS = 6                    # per letter class: grams of ORDER letters are ORDER * BITS bits
-MAX_GRAMS = 8_000_000       # 24 bytes each: what may be sent to the tasks
+MAX_GRAMS = 8_000_000       # 24 bytes each: what may be sent to the tasks; beyond it is joined
+SMALL_ORDER = 3             # grams of so many letters are at most 2 ** 18: always sent
 DISCOUNT = 0.75
 MARGIN = 5.0                # log likelihood ratio from which a word counts as evidence
 HALF = 0.0094               # mean evidence per word that scores 0.5
@@ -158,22 +163,96 @@ def gram_table(words: DataFrame) -> DataFrame:
         F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def fit(marked: DataFrame, text: str, toxic: str) -> tuple[np.ndarray, np.ndarray]:
-    """Gram table of the training documents as arrays, grams ascending.
-
-    It has a row per gram seen. Should there be more than ``MAX_GRAMS``, grams
-    lose their oldest letters (a model of lower order) until they fit.
-    """
-    t = land(gram_table(training_words(marked, text, toxic)), "tox-grams")
-    dropped = 0
-    while t.count() > MAX_GRAMS:
-        dropped += 1
-        t = t.withColumn("gram", F.col("gram").bitwiseAND(F.lit((1 << BITS * (ORDER - dropped)) - 1))).groupBy(
-            "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    t = t.toArrow().sort_by("gram")
+def fit(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A gram table as arrays, grams ascending: at most ``MAX_GRAMS`` rows."""
+    t = grams.toArrow().sort_by("gram")
     return t["gram"].to_numpy(), np.stack([t["ordinary"].to_numpy(), t["toxic"].to_numpy()])
 
 
+def _low(gram, letters: int):
+    return gram.bitwiseAND(F.lit((1 << BITS * letters) - 1))
+
+
+def _interpolated(d: DataFrame, order: DataFrame, letters: int, p: str, below: str) -> DataFrame:
+    """``d`` with the probability ``p`` of its ``gram``'s last ``letters`` letters from
+    ``order(g, c)``, as in ``Model``; ``below`` is the next lower order's."""
+    side = F.broadcast if letters <= SMALL_ORDER else lambda x: x
+    ctx = order.groupBy(F.shiftright("g", BITS).alias("__h")).agg(
+        F.sum("c").alias("__total"), (DISCOUNT * F.count("*")).alias("__freed"))
+    own = order.select(F.col("g").alias("__g"), F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)).alias("__disc"))
+    low = _low(F.col("gram"), letters)
+    d = d.withColumns({"__low": low, "__ctx": F.shiftright(low, BITS)})
+    d = d.join(side(own), F.col("__low") == F.col("__g"), "left").join(side(ctx), F.col("__ctx") == F.col("__h"), "left")
+    value = (F.coalesce("__disc", F.lit(0.0)) + F.col("__freed") * F.col(below)) / F.col("__total")
+    d = d.withColumn(p, F.when(F.col("__total").isNotNull(), value).otherwise(F.col(below)))
+    return d.drop("__low", "__ctx", "__g", "__disc", "__h", "__total", "__freed")
+
+
+def gram_likelihoods(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``gram, ordinary, toxic``: log probabilities of the ``wanted(gram)`` (distinct) in
+    both classes by the model of the gram table ``grams`` (landed), without gathering either."""
+    shared, types = {}, grams.select(F.col("gram").alias("g"))
+    for k in range(ORDER - 1, 0, -1):
+        types = land(types.groupBy(_low(F.col("g"), k).alias("g")).agg(F.count("*").alias("c")), "tox-order")
+        shared[k], types = types, types.select("g")
+    d = wanted.select("gram", F.lit(1.0 / (1 << BITS)).alias("__p"))
+    for k in range(1, ORDER):
+        d = _interpolated(d, shared[k], k, "__p", "__p")
+    for c in ("ordinary", "toxic"):
+        d = _interpolated(d, grams.where(F.col(c) > 0).select(F.col("gram").alias("g"), F.col(c).alias("c")), ORDER, c, "__p")
+    return d.select("gram", F.log("ordinary").alias("ordinary"), F.log("toxic").alias("toxic"))
+
+
+def word_evidence(words: DataFrame, grams: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """``word, ordinary, toxic, letters, evidence`` of the distinct ``words(word)``, joined with the gram table."""
+    def run(batches):
+        for b in batches:
+            w = b.column(0).to_pylist()
+            for i in range(0, len(w), 10_000):
+                part = w[i:i + 10_000]
+                g, sizes = _grams(part)
+                yield pa.RecordBatch.from_arrays([pa.array(part).take(pa.array(np.repeat(np.arange(len(part)), sizes))),
+                                                  pa.array(g)], ["word", "gram"])
+    parts = land(words.select("word").mapInArrow(run, "word string, gram long"), "tox-words")
+    known = land(gram_likelihoods(grams, parts.select("gram").distinct()), "tox-likelihoods")
+    d = parts.join(known, "gram").groupBy("word").agg(
+        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), (F.count("*") - 1).alias("letters"))
+    x = F.col("toxic") - F.col("ordinary") - margin
+    return d.withColumn("evidence", F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
+
+
+def _joined_scores(docs: DataFrame, grams: DataFrame, key: str, text: str, half: float, margin: float) -> DataFrame:
+    """Scores by a gram table that is not sent to the tasks: every row's distinct words
+    with their counts meet the words' evidence in a join."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows, words, n = [], [], []
+            for i, t in enumerate(b.column(2)):
+                c = Counter(_LETTERS.findall((t.as_py() or "").lower())) or {None: 0}
+                rows += [i] * len(c)
+                words += c.keys()
+                n += c.values()
+                if len(rows) > 200_000 or i == len(b) - 1:
+                    at = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(words, pa.string()),
+                                                      pa.array(n, pa.int64())], ["__row", key, "__word", "__n"])
+                    rows, words, n = [], [], []
+    d = docs.select(F.monotonically_increasing_id().alias("__row"), key, text).mapInArrow(
+        run, f"__row long, `{key}` {kind}, __word string, __n long")
+    known = word_evidence(d.where("__word is not null").select(F.col("__word").alias("word")).distinct(), grams, margin)
+    known = land(known.select(*[F.col(c).alias(f"__{c}") for c in known.columns]), "tox-evidence")
+    total = lambda c: F.coalesce(F.sum(F.col("__n") * F.col(f"__{c}")), F.lit(0.0))
+    d = d.join(known, "__word", "left").groupBy("__row", key).agg(
+        F.sum("__n").alias("__words"), total("letters").alias("__len"), total("evidence").alias("__e"),
+        total("ordinary").alias("__o"), total("toxic").alias("__t"))
+    words, letters = F.greatest("__words", F.lit(1)), F.greatest(F.col("__len") + F.col("__words"), F.lit(1.0))
+    e = F.col("__e") / words
+    return d.select(key, (e / (e + half)).alias("score"), e.alias("evidence"), (F.col("__o") / letters).alias("ordinary_ll"),
+                    (F.col("__t") / letters).alias("toxic_ll"), F.col("__words").alias("n_words"))
+
+
 class Scorer:
     """Scores texts, keeping a bounded cache of what each word adds."""
 
@@ -216,9 +295,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     lab = land(labels.groupBy(F.col(key).alias("__key")).agg(F.max("toxic").cast("int").alias("__toxic")), "tox-labels")
     # labels are given by hand or by a judge, a few bytes each; beyond 64 MiB both sides are shuffled
     marked = docs.select(key, text).join(bounded_side(lab, 24), F.col(key) == F.col("__key"))
-    grams, counts = fit(marked, text, "__toxic")
-    usable = len(grams) > 0 and bool((counts.sum(axis=1) > 0).all())
-    shared = docs.sparkSession.sparkContext.broadcast((grams, counts))   # bounded, see fit
+    table = land(gram_table(training_words(marked, text, "__toxic")), "tox-grams")
+    n, *seen = table.agg(F.count("*"), F.sum("ordinary"), F.sum("toxic")).first()
+    usable = n > 0 and all(x > 0 for x in seen)
+    if usable and n > MAX_GRAMS:
+        return _joined_scores(docs, table, key, text, half, margin)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(table) if usable else None)   # at most MAX_GRAMS rows
 
     def run(batches):
         score = Scorer(*shared.value, margin) if usable else None

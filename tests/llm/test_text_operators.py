@@ -399,3 +399,18 @@ def test_toxicity_edges(spark):
     assert got.count() == 10 and r[2] == r[3] == r[5] == 0.0
     assert toxicity.score_toxicity(empty(spark), lab).count() == 0
     assert {x["score"] for x in toxicity.score_toxicity(odd_documents(spark), lab.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_is_the_same_with_a_joined_gram_table(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(odd_documents(spark))
+    lab = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic").unionByName(
+        spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, toxic int"))
+    run = lambda d, y: sorted(map(tuple, toxicity.score_toxicity(d, y).collect()), key=lambda r: (r[0] or 0, r[5], r[1]))
+    sent = run(docs, lab)
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 50)      # far fewer than there are
+    joined = run(docs, lab)
+    assert len(sent) == len(joined) == docs.count() and any(r[1] > 0.01 for r in sent)
+    for a, b in zip(sent, joined):
+        assert a[0] == b[0] and a[5] == b[5] and a[1:5] == pytest.approx(b[1:5], rel=1e-6, abs=1e-9)
+    assert {r[1] for r in run(odd_documents(spark), lab.limit(0))} == {0.0}
+    assert run(empty(spark), lab) == []
