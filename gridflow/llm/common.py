@@ -17,14 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_side(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows fit ``limit_bytes``;
-    otherwise unmarked, so that Spark shuffles both sides of the join.
+def bounded_side(df: DataFrame, row_bytes: int | F.Column, limit_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows, of ``row_bytes`` each (a column where
+    rows differ in size), fit ``limit_bytes``; otherwise unmarked, so that Spark
+    shuffles both sides of the join.
 
-    Pass a landed (or cheap to recount) frame: the count is one small job.
+    Pass a landed (or cheap to recount) frame: the sum is one small job.
     """
-    n = df.count()
-    return F.broadcast(df) if n * row_bytes <= limit_bytes else df
+    size = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit_bytes else df
 
 
 def words_expr(text) -> F.Column:

@@ -80,8 +80,8 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     own = [c for c in docs.columns if c.lower() not in ("n_lines_removed", "n_lines_left")]
     body = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(*own).withColumn("__t", F.xxhash64(body))
-    # a few positions per document: texts are shuffled only if there are too many of them to send
-    hits = bounded_side(hits, 64)
+    # texts are shuffled only if there are too many positions to send, counted by the bytes they take
+    hits = bounded_side(hits, 64 + 4 * F.size("gone"))
     d = d.join(hits, F.col(key).eqNullSafe(hits["key"]) & (d["__t"] == hits["t"]), "left")
     # lines between the removed positions, as slices
     parts, n, gone = F.split(body, "\n"), F.size("__parts"), F.col("gone")

@@ -14,7 +14,8 @@ is that mean on a scale from 0 to 1.
 Training is two aggregates: words of labelled documents per class, then
 letter grams of the distinct words. The model is a table of grams of six
 letters, a few hundred thousand rows; its size is checked before it is sent to
-the tasks. Scoring touches no other rows: texts are neither shuffled nor joined.
+the tasks. Scoring touches no other rows. In training, texts are joined with the
+labels; they are shuffled for that only if the labels are too many to send.
 
 A table too large to send stays in Spark: the grams of all distinct words are
 joined with it order by order, and each document's word counts with the words'

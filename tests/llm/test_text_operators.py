@@ -337,6 +337,20 @@ def test_importance_edges(spark):
     assert none.where("kept").count() == 10       # no labels: nothing to tell documents apart by
 
 
+def test_sides_are_sent_by_their_bytes(spark, monkeypatch):
+    from gridflow.llm.common import bounded_side
+    text = "\n".join(f"line number {i} of all sites" for i in range(500))
+    docs = spark.createDataFrame([(i, text, f"s{i}") for i in range(9)], "doc_id long, text string, source string")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    want = sorted(map(tuple, line_dedup.remove_boilerplate(docs).collect()))
+    assert hinted(line_dedup.remove_boilerplate(docs))
+    # 8 rows of 500 positions each: few rows, many bytes
+    monkeypatch.setattr(line_dedup, "bounded_side", lambda df, row_bytes: bounded_side(df, row_bytes, 8 * 1000))
+    got = line_dedup.remove_boilerplate(docs)
+    assert not hinted(got) and sorted(map(tuple, got.collect())) == want
+    assert not hinted(bounded_side(docs, 10, 89)) and hinted(bounded_side(docs, 10, 90)) and hinted(bounded_side(docs.limit(0), 10, 0))
+
+
 # ---- toxicity ---------------------------------------------------------------
 
 def test_model_is_a_distribution_and_matches_brute_force():
