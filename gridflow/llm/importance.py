@@ -26,7 +26,6 @@ from .common import bounded_side
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
-EVIDENCE = 200      # grams of evidence a document's mean log ratio counts for at most
 SEED = 29
 
 
@@ -74,11 +73,12 @@ def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) ->
     return np.log(p / q)
 
 
-def importance(docs: DataFrame, ratios: np.ndarray, key: str, text: str, evidence: int = EVIDENCE) -> DataFrame:
+def importance(docs: DataFrame, ratios: np.ndarray, key: str, text: str, evidence: int | None = None) -> DataFrame:
     """``key, n_grams, mean_log_ratio, log_weight`` of every row.
 
-    ``log_weight`` is the mean log ratio times the grams it rests on, of
-    which ``evidence`` count at most, so that length does not decide.
+    ``log_weight`` is the sum of the log ratios of all grams: the log ratio of the
+    document under the two models. With ``evidence`` it is tempered: the mean log
+    ratio times the grams it rests on, of which ``evidence`` count at most.
     """
     buckets = len(ratios)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)   # 8 bytes a bucket
@@ -92,7 +92,7 @@ def importance(docs: DataFrame, ratios: np.ndarray, key: str, text: str, evidenc
                 n.append(len(g))
                 m.append(float(r[g].mean()) if len(g) else 0.0)
             n, m = np.array(n, np.int64), np.array(m)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(m), pa.array(m * np.minimum(n, evidence))],
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(m), pa.array(m * (n if evidence is None else np.minimum(n, evidence)))],
                                              [key, "n_grams", "mean_log_ratio", "log_weight"])
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_grams long, mean_log_ratio double, log_weight double")
@@ -143,7 +143,7 @@ def gumbel(key, seed: int = SEED):
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float | None = None,
-             buckets: int = BUCKETS, evidence: int = EVIDENCE, seed: int = SEED) -> DataFrame:
+             buckets: int = BUCKETS, evidence: int | None = None, seed: int = SEED) -> DataFrame:
     """``key, n_grams, mean_log_ratio, log_weight, kept`` of every row of ``docs``.
 
     ``labels(key, good)``: 1 for target text; a document with several labels

@@ -328,6 +328,19 @@ def test_importance_log_ratio_like_brute_force(spark):
         assert got[i]["mean_log_ratio"] == pytest.approx(sum(want) / len(want) if want else 0, abs=1e-4)
 
 
+def test_importance_weight_is_the_whole_log_ratio(spark):
+    ratios = np.random.default_rng(8).standard_normal(importance.BUCKETS)
+    text = " ".join(f"w{i}" for i in range(2000))
+    docs = spark.createDataFrame([(1, text), (2, "a b"), (3, None)], "doc_id long, text string")
+    want = {i: float(ratios[importance._hashed((t or "").encode(), len(ratios)).astype(int)].sum()) for i, t in [(1, text), (2, "a b"), (3, None)]}
+    got = {r["doc_id"]: r for r in importance.importance(docs, ratios, "doc_id", "text").collect()}
+    assert got[1]["n_grams"] == 3999
+    for i in want:
+        assert got[i]["log_weight"] == pytest.approx(want[i], abs=1e-6)
+    capped = {r["doc_id"]: r for r in importance.importance(docs, ratios, "doc_id", "text", evidence=200).collect()}
+    assert capped[1]["log_weight"] == pytest.approx(got[1]["mean_log_ratio"] * 200)
+
+
 def test_importance_edges(spark):
     lab = labels(spark).select("doc_id", F.col("quality").alias("good"))
     got = importance.resample(odd_documents(spark).withColumn("good", F.lit(3)), lab)
