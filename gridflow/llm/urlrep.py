@@ -20,7 +20,7 @@ from gridflow.session import land
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Suffixes of two labels under which names are registered.
+# Suffixes of two labels under which names are registered, where no table of them is given.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
                       "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk"]
 
@@ -52,6 +52,30 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
+def named(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts(host, ...)`` (distinct) with ``suffix`` and ``domain``.
+
+    ``suffixes(suffix)`` are rules as in the public suffix list: plain suffixes of any
+    number of labels, ``*.x`` (any one label under x) and ``!a.x`` (but not this one).
+    The longest that fits holds, exceptions first; without one it is the last label.
+    """
+    if suffixes is None:
+        return hosts.withColumns({"suffix": suffix_of(F.col("host")), "domain": domain_of(F.col("host"))})
+    rules = land(suffixes.select(F.translate("suffix", UPPER, LOWER).alias("rule")).where("rule is not null").distinct(), "url-rules")
+    most = rules.agg(F.max(F.size(F.split("rule", r"\.")))).first()[0] or 1
+    d = hosts.select("host", F.explode(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(most)))).alias("j"))
+    d = d.withColumn("end", F.expr("substring_index(host, '.', -j)"))
+    d = d.select("host", "j", F.explode(F.array(
+        F.col("end"), F.when(F.col("j") > 1, F.concat(F.lit("*."), F.expr("substring_index(end, '.', 1 - j)"))),
+        F.concat(F.lit("!"), F.col("end")))).alias("rule"))
+    # of an exception the suffix is one label shorter
+    d = d.join(rules, "rule").groupBy(F.col("host").alias("__host")).agg(F.coalesce(
+        F.max(F.when(F.col("rule").startswith("!"), F.col("j") - 1)), F.max("j")).alias("__j"))
+    d = hosts.join(d, F.col("host") == F.col("__host"), "left").withColumn("__j", F.coalesce("__j", F.lit(1)))
+    return d.withColumns({"suffix": F.expr("substring_index(host, '.', -__j)"),
+                          "domain": F.expr("substring_index(host, '.', -__j - 1)")}).drop("__host", "__j")
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest fitting rule, or null.
 
@@ -82,16 +106,16 @@ def _strength(groups: DataFrame, up: str, by: list[str]) -> DataFrame:
     return d.select(*by, F.greatest(F.lit(MIN_STRENGTH), F.least(F.lit(MAX_STRENGTH), fitted)).alias("k"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: DataFrame | None = None) -> DataFrame:
     """``outcomes(host, good)`` (good: 1, bad: 0, null: not labelled), a row per page ->
     ``host, n, good, rate, lower, upper`` for every host that occurs.
 
     ``rate`` is the posterior mean, the bounds lie ``z`` posterior standard
     deviations from it. Hosts without labels get their domain's prior. No
-    labels at all: rate 0.5.
+    labels at all: rate 0.5. ``suffixes``: see ``named``.
     """
     h = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    h = land(h.withColumns({"suffix": suffix_of(F.col("host")), "domain": domain_of(F.col("host"))}), "url-hosts")
+    h = land(named(h, suffixes), "url-hosts")
     d = land(h.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "url-domains")
     s = land(d.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "url-suffixes")
     g = s.agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"))   # one row
@@ -117,7 +141,8 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id",
-               url: str = "url", min_good: float = MIN_GOOD, z: float = Z) -> DataFrame:
+               url: str = "url", min_good: float = MIN_GOOD, z: float = Z,
+               suffixes: DataFrame | None = None) -> DataFrame:
     """``key, host, path, rule, verdict, rate, upper`` of every page.
 
     ``labels(key, good)``: 1 or 0 per labelled page; several labels of a page
@@ -125,11 +150,11 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     ``block`` if the host's upper bound is under ``min_good``, else ``allow``.
     Null urls and urls without ``://`` have an empty host, which is judged
     like any other. Repeated rows are judged alike; empty tables give an
-    empty result.
+    empty result. ``suffixes``: see ``named``.
     """
     p = pages.select(F.col(key).alias("__key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     lab = labels.groupBy(F.col(key).alias("__key")).agg(F.min("good").alias("good"))
-    rep = land(host_reputation(p.select("__key", "host").join(lab, "__key", "left"), z), "url-reputation")
+    rep = land(host_reputation(p.select("__key", "host").join(lab, "__key", "left"), z, suffixes), "url-reputation")
     j = p.join(rep.select("host", "rate", "upper"), "host", "left").withColumn(
         "__rule", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("upper") < min_good, "block").otherwise("allow")

@@ -377,3 +377,20 @@ def test_run_equals_its_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert got.count() > 100 and os.path.isdir("/root/testdata/sf0.001")
+
+
+def test_suffixes_from_a_table(spark):
+    rules = spark.createDataFrame([("com",), ("Com.SG",), ("*.ck",), ("!www.ck",), ("ck",), ("k12.ma.us",), (None,)], "suffix string")
+    hosts = {"a.shop.com.sg": ("com.sg", "shop.com.sg"), "x.y.com": ("com", "y.com"), "p.q.r.ck": ("r.ck", "q.r.ck"),
+             "a.www.ck": ("ck", "www.ck"), "s.b.k12.ma.us": ("k12.ma.us", "b.k12.ma.us"), "lone": ("lone", "lone"),
+             "com.sg": ("com.sg", "com.sg"), "": ("", ""), "a.b.unknown": ("unknown", "b.unknown")}
+    got = urlrep.named(spark.createDataFrame([(h,) for h in hosts], "host string"), rules).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in got} == hosts
+    # a bad host under a suffix of two labels says nothing about another site there
+    rows = [("bad.com.sg", 0)] * 400 + [("clean.com.sg", None)] + [(f"h{i}.net", 1) for i in range(300) for _ in range(5)]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, (h, _) in enumerate(rows)], "page_id long, url string")
+    lab = spark.createDataFrame([(i, g) for i, (_, g) in enumerate(rows) if g is not None], "page_id long, good int")
+    rep = {r["host"]: r for r in urlrep.judge_urls(pages, lab, [], suffixes=rules).collect()}
+    assert rep["bad.com.sg"]["verdict"] == "block"
+    alone = {r["host"]: r for r in urlrep.judge_urls(pages, lab, []).collect()}
+    assert rep["clean.com.sg"]["rate"] > alone["clean.com.sg"]["rate"]
