@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -157,19 +158,19 @@ def _put(by_gap, gaps, content, gap, bins):
     there[content] += bins
 
 
-def local_search(bins: Counter, capacity: int, max_moves: int = 20_000) -> Counter:
+def local_search(bins: Counter, capacity: int, max_moves: int | None = None) -> Counter:
     """Move, one-for-one and two-for-one exchanges between underfull bins.
 
     Each step takes content out of an emptier bin and fills a fuller one, so
     the sum of squared fills rises; a bin that loses its last piece is gone. Steps
     apply to as many pairs of equal bins as there are. The search ends at the
-    lower bound ceil(total / capacity), when nothing improves, or after
+    lower bound ceil(total / capacity), when nothing improves, or, if given, after
     ``max_moves`` steps (every state is a valid packing).
     """
     bins = Counter({b: n for b, n in bins.items() if n > 0 and b})
     least = -(-sum(sum(b) * n for b, n in bins.items()) // capacity)
     stuck: set[Bin] = set()
-    for _ in range(max_moves):
+    for _ in count() if max_moves is None else range(max_moves):
         if sum(bins.values()) <= least:
             break
         under = sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b))
@@ -197,8 +198,9 @@ def local_search(bins: Counter, capacity: int, max_moves: int = 20_000) -> Count
 def _step(a: Bin, under: list[Bin], bins: Counter, capacity: int):
     """The exchange with bin ``a`` that gains most: (b, a afterwards, b afterwards)."""
     fa, best, found = sum(a), 0, None
-    ones = sorted(set(a), reverse=True)
-    twos = sorted({x + y: (x, y) for i, x in enumerate(a) for y in a[i + 1:]}.items(), reverse=True)[:512]
+    ones = sorted(set(a))
+    pairs = {x + y: (x, y) for i, x in enumerate(a) for y in a[i + 1:]}
+    twos = sorted(pairs)
     for b in under:
         if b == a and bins[a] < 2:
             continue
@@ -207,12 +209,13 @@ def _step(a: Bin, under: list[Bin], bins: Counter, capacity: int):
         # what leaves a, what comes back: nothing (move), one for one, two for one
         back = [0] + sorted(set(b))
         for y in back:
-            for x, give in ((ones, None), ([s for s, _ in twos], dict(twos))):
+            for x, give in ((ones, None), (twos, pairs)):
                 if give is not None and y == 0:
                     continue
-                fit = next((s for s in x if 0 < s - y <= gap), None)
-                if fit is None:
+                at = bisect_right(x, gap + y) - 1      # the largest that fits
+                if at < 0 or x[at] <= y:
                     continue
+                fit = x[at]
                 d = fit - y
                 gain = d * (fb - fa + d)      # half of the rise of the sum of squares
                 if gain > best:

@@ -394,3 +394,12 @@ def test_suffixes_from_a_table(spark):
     assert rep["bad.com.sg"]["verdict"] == "block"
     alone = {r["host"]: r for r in urlrep.judge_urls(pages, lab, []).collect()}
     assert rep["clean.com.sg"]["rate"] > alone["clean.com.sg"]["rate"]
+
+
+def test_local_search_looks_at_all_sums_of_two():
+    a = tuple(sorted(random.Random(3).sample(range(1000, 100_000), 45), reverse=True))
+    assert len({x + y for i, x in enumerate(a) for y in a[i + 1:]}) > 512
+    least = a[-1] + a[-2]                     # only this pair fits, for the first piece of b
+    b, capacity = (10**7 - least, least - 1), 10**7
+    found = packing._step(a, [a, b], collections.Counter([a, b]), capacity)
+    assert found is not None and found[0] == b and found[2] == (10**7 - least, a[-2], a[-1])
