@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, importance, line_dedup, mixing, packing, quality, simhash, toxicity, urlrep, warc
+from . import embed_dedup, importance, line_dedup, mixing, packing, phrases, quality, simhash, toxicity, urlrep, warc
 from .common import table
 
 MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS = [3, 1, 2], 1.5, 2.0
@@ -94,8 +94,12 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_warc, op4_line_dedup, op5_simhash, op6_embeddings,
-                                   op7_packing, op8_importance, op9_quality, op10_urls)}
+                                   op7_packing, op8_importance, op9_quality, op10_urls, op11_phrases)}
 
 _W = r"[^\x20\x09-\x0D]+"
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -241,5 +245,28 @@ FROM p0 LEFT JOIN rep USING (host) LEFT JOIN fit USING (page_id)
 """
 
 
+_OP11 = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{urlrep.UPPER}', '{urlrep.LOWER}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+      FROM w, (VALUES (1), (2), (3)) AS k(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= {phrases.MIN_COUNT}),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT lang, phrase, k, a, w, unnest(range(1, k)) AS j FROM c),
+s AS (SELECT cut.lang, cut.phrase, cut.k, cut.a, cut.j, l.a AS l, r.a AS r,
+             (1000000::HUGEINT * cut.a * cut.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = array_to_string(cut.w[1:j], ' ')
+               JOIN f r ON r.lang = cut.lang AND r.phrase = array_to_string(cut.w[j + 1:], ' ')),
+low AS (SELECT lang, phrase, k, a, arg_min({{'l': l, 'r': r}}, score * 10 + j) AS lr, min(score) AS score FROM s GROUP BY lang, phrase, k, a),
+up AS (SELECT lang, part, max(a) AS a FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part
+       FROM c WHERE k = 3) GROUP BY lang, part),
+kept AS (SELECT low.* FROM low LEFT JOIN up ON up.lang = low.lang AND up.part = low.phrase AND low.k = 2
+         WHERE up.a IS NULL OR 100 * up.a < 50 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, lr.l AS l, lr.r AS r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE = {"op1_mix": _OP1, "op3_warc": _OP3, "op4_line_dedup": _OP4, "op6_embeddings": _OP6, "op9_quality": _op9(),
-          "op10_urls": _op10()}
+          "op10_urls": _op10(), "op11_phrases": _OP11}
