@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, importance, langid, line_dedup, mixing, packing, phrases, quality, simhash, toxicity, urlrep, warc
+from . import embed_dedup, importance, langid, line_dedup, mixing, packing, phrases, quality, simhash, toxicity, urlrep, warc, whitening
 from .common import table
 
 MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS = [3, 1, 2], 1.5, 2.0
@@ -98,6 +98,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine_phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit_languages(docs.where(~held_out(F.col("doc_id"))))
@@ -107,7 +111,7 @@ def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_toxicity, op3_warc, op4_line_dedup, op5_simhash, op6_embeddings,
                                    op7_packing, op8_importance, op9_quality, op10_urls, op11_phrases,
-                                   op13_language)}
+                                   op12_whitening, op13_language)}
 
 _W = r"[^\x20\x09-\x0D]+"
 _TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
