@@ -312,6 +312,43 @@ def q_delete_where(spark, sf_dir):
             .unionByName(gone.select("o_orderkey", "o_custkey", F.lit(True).alias("deleted"))))
 
 
+@register("keyed_table", """
+WITH t AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0),
+r AS (SELECT o_orderkey, o_custkey, 'N' AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 2 = 0
+      UNION ALL SELECT o_orderkey, -1, 'D', 0.0 FROM orders WHERE o_orderkey % 10 = 4),
+u AS (SELECT * FROM r WHERE o_orderkey IN (SELECT o_orderkey FROM r GROUP BY 1 HAVING count(*) = 1)),
+i AS (SELECT * FROM t UNION ALL SELECT * FROM u WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)),
+up AS (SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM i),
+d AS (SELECT * FROM up WHERE NOT (o_orderstatus = 'F' AND o_custkey % 7 = 3)),
+m AS (SELECT o_orderkey + 1000000000 * (o_orderkey % 2) AS o_orderkey, o_custkey, 'M' AS o_orderstatus, o_totalprice
+      FROM orders WHERE o_totalprice < 2000)
+SELECT * FROM d WHERE o_orderkey NOT IN (SELECT o_orderkey FROM m) UNION ALL SELECT * FROM m""")
+def q_keyed_table(spark, sf_dir):
+    """B4, B6-B8 on a stored table: two thirds of the orders are stored in key ranges, then
+    rows are inserted (some keys exist or repeat), updated, deleted and upserted, each a version of its own."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from gridflow.session import land
+    from gridflow.sinks import keyed_tables as K
+    o = V.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    name = f"gridflow_queries.keyed_{uuid.uuid4().hex[:8]}"
+    K.create_keyed(o.where(k % 3 != 0), name, "o_orderkey")
+    try:
+        repeated = o.where(k % 10 == 4).select(k, F.lit(-1).cast("long").alias("o_custkey"), F.lit("D").alias("o_orderstatus"),
+                                               F.lit(0.0).alias("o_totalprice"))
+        K.insert_keyed(o.where(k % 2 == 0).withColumn("o_orderstatus", F.lit("N")).unionByName(repeated), name)
+        K.update_keyed(spark, name, F.col("o_totalprice") > 400000, {"o_orderstatus": "X"})
+        K.delete_keyed(spark, name, (F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 7 == 3))
+        some = o.where("o_totalprice < 2000").withColumns({"o_orderkey": k + 1000000000 * (k % 2), "o_orderstatus": F.lit("M")})
+        K.upsert_keyed(some, name)
+        return land(spark.table(name), "keyed-table")
+    finally:
+        K.drop_keyed(spark, name)
+
+
 @register("latest_per_key", """
 SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
