@@ -5,8 +5,7 @@ ones. So the packing is made on a histogram of piece lengths: bins with equal
 content are one class with a multiplicity, whatever the number of documents.
 Pieces are placed best-fit by descending length; local search then moves,
 exchanges one for one and exchanges two for one between underfull classes
-wherever that increases the sum of squared fills, until bins empty out or
-nothing improves. The resulting slots (length, rank range, first sequence,
+wherever that increases the sum of squared fills, as long as that empties bins. The resulting slots (length, rank range, first sequence,
 offset) are handed to the tasks, and every piece finds its place by its rank
 among the pieces of its length, which is counted in salted groups.
 """
@@ -15,9 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections import Counter
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -158,80 +156,169 @@ def _put(by_gap, gaps, content, gap, bins):
     there[content] += bins
 
 
-def local_search(bins: Counter, capacity: int, max_moves: int | None = None) -> Counter:
-    """Move, one-for-one and two-for-one exchanges between underfull bins.
-
-    Each step takes content out of an emptier bin and fills a fuller one, so
-    the sum of squared fills rises; a bin that loses its last piece is gone. Steps
-    apply to as many pairs of equal bins as there are. The search ends at the
-    lower bound ceil(total / capacity), when nothing improves, or, if given, after
-    ``max_moves`` steps (every state is a valid packing).
-    """
-    bins = Counter({b: n for b, n in bins.items() if n > 0 and b})
-    least = -(-sum(sum(b) * n for b, n in bins.items()) // capacity)
-    stuck: set[Bin] = set()
-    for _ in count() if max_moves is None else range(max_moves):
-        if sum(bins.values()) <= least:
-            break
-        under = sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b))
-        donors = [b for b in under if b not in stuck]
-        if not donors:
-            break
-        a = donors[0]                  # the emptiest bin that may still give
-        step = _step(a, under, bins, capacity)
-        if step is None:
-            stuck.add(a)
-            continue
-        b, new_a, new_b = step
-        n = min(bins[a], bins[b]) if a != b else bins[a] // 2
-        for old in (a, b):
-            bins[old] -= n
-            if not bins[old]:
-                del bins[old]
-        for new in (new_a, new_b):
-            if new:
-                bins[new] += n
-        stuck.clear()
-    return bins
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that no packing goes below: for each size ``k`` up to half the capacity,
+    pieces over ``capacity - k`` share with none of ``k`` or more, other pieces over half
+    the capacity take a bin each, and pieces from ``k`` up must fit what those leave."""
+    n = np.zeros(capacity + 1, np.int64)
+    for size, many in histogram.items():
+        n[size] += many
+    if not n.any():
+        return 0
+    weight, half = n * np.arange(capacity + 1), capacity // 2
+    many, total = np.cumsum(n), np.cumsum(weight)
+    k = np.arange(half + 1)
+    below = np.where(k > 0, total[np.maximum(k, 1) - 1], 0)                 # tokens in pieces smaller than k
+    top = np.maximum(capacity - k, half)
+    large, small = total[top] - total[half], total[half] - below            # those over half that may share; small ones
+    bins = many[capacity] - many[half]
+    room = (many[top] - many[half]) * capacity - large
+    return int((bins + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+def _sums_of_two(b: Bin) -> dict[int, tuple[int, int]]:
+    """Sum -> two pieces of the bin that make it."""
+    ones = sorted(Counter(b).items())
+    return ({2 * p: (p, p) for p, n in ones if n > 1}
+            | {p + q: (p, q) for i, (p, _) in enumerate(ones) for q, _ in ones[i + 1:]})
+
+
+class _Offers:
+    """What underfull bins take: a row (bin class, kind, pieces given back, gap, fill, bins)
+    for a move, for each of its sizes and for each sum of two of them. Rows of
+    classes that are gone get a negative gap; the table is packed when half of it is gone."""
+
+    MOVE, ONE, TWO = 0, 1, 2
+
+    def __init__(self, capacity: int):
+        self.capacity, self.rows, self.used, self.dead = capacity, np.zeros((1024, 6), np.int64), 0, 0
+        self.place: dict[Bin, tuple[int, int]] = {}
+        self.names: list[Bin] = []
+
+    def put(self, b: Bin, bins: int) -> None:
+        """Class ``b`` has so many bins now."""
+        fill = sum(b)
+        if fill >= self.capacity:
+            return
+        if not bins:
+            return self._drop(b)
+        if b in self.place:
+            i, j = self.place[b]
+            self.rows[i:j, 5] = bins
+            return
+        ones = sorted(set(b))
+        twos = sorted(_sums_of_two(b))
+        back = [(self.MOVE, 0), *((self.ONE, y) for y in ones), *((self.TWO, y) for y in twos)]
+        while self.used + len(back) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        at = slice(self.used, self.used + len(back))
+        self.rows[at, 1:3] = back
+        self.rows[at, 0], self.rows[at, 3], self.rows[at, 4], self.rows[at, 5] = len(self.names), self.capacity - fill, fill, bins
+        self.names.append(b)
+        self.place[b] = (at.start, at.stop)
+        self.used = at.stop
+
+    def _drop(self, b: Bin) -> None:
+        i, j = self.place.pop(b)
+        self.rows[i:j, 3] = -1 - self.capacity
+        self.dead += j - i
+        if 2 * self.dead > self.used > 4096:
+            left = [(n, int(self.rows[i, 5])) for n, (i, _) in self.place.items()]
+            self.rows, self.used, self.dead, self.place, self.names = np.zeros_like(self.rows), 0, 0, {}, []
+            for n, bins in left:
+                self.put(n, bins)
+
+    def best(self, a: Bin, m: int = 1):
+        """The exchange of ``m`` bins ``a`` with as many partners that raises the sum of squares
+        most: (partner, sizes given, sum of sizes taken back, kind), or None."""
+        r = self.rows[:self.used]
+        kind, y, gap, fill, many = r[:, 1], r[:, 2], r[:, 3], r[:, 4], np.minimum(r[:, 5], m)
+        fa = sum(a)
+        pairs = _sums_of_two(a)
+        found, most = None, 0
+        for sums, give, which in ((sorted(set(a)), None, None), (sorted(pairs), pairs, np.flatnonzero(kind == self.ONE))):
+            if not sums:
+                continue
+            x = np.array([-self.capacity, *sums], np.int64)
+            yy, gg, ff, nn = (y, gap, fill, many) if which is None else (y[which], gap[which], fill[which], many[which])
+            d = x[np.searchsorted(x, gg + yy, side="right") - 1] - yy       # the largest that fits, less what comes back
+            gain = np.where((d > 0) & (gg > 0), nn * d * (ff - fa + d), 0)
+            if not len(gain):
+                continue
+            i = int(gain.argmax())
+            if gain[i] > most:
+                most, row = int(gain[i]), r[i if which is None else which[i]]
+                out = int(d[i] + yy[i])
+                found = (self.names[row[0]], (out,) if give is None else give[out], int(row[2]), int(row[1]))
+        return found
 
 
-def _step(a: Bin, under: list[Bin], bins: Counter, capacity: int):
-    """The exchange with bin ``a`` that gains most: (b, a afterwards, b afterwards)."""
-    fa, best, found = sum(a), 0, None
-    ones = sorted(set(a))
-    pairs = {x + y: (x, y) for i, x in enumerate(a) for y in a[i + 1:]}
-    twos = sorted(pairs)
-    for b in under:
-        if b == a and bins[a] < 2:
-            continue
-        fb = sum(b)
-        gap = capacity - fb
-        # what leaves a, what comes back: nothing (move), one for one, two for one
-        back = [0] + sorted(set(b))
-        for y in back:
-            for x, give in ((ones, None), (twos, pairs)):
-                if give is not None and y == 0:
-                    continue
-                at = bisect_right(x, gap + y) - 1      # the largest that fits
-                if at < 0 or x[at] <= y:
-                    continue
-                fit = x[at]
-                d = fit - y
-                gain = d * (fb - fa + d)      # half of the rise of the sum of squares
-                if gain > best:
-                    out = (fit,) if give is None else give[fit]
-                    best, found = gain, (b, out, y)
-    if found is None:
-        return None
-    b, out, y = found
+def _exchanged(a: Bin, b: Bin, out: tuple[int, ...], back: int, kind: int) -> tuple[Bin, Bin]:
+    """Contents of both bins after ``a`` gives ``out`` and takes ``back``."""
     new_a, new_b = list(a), list(b)
     for s in out:
         new_a.remove(s)
         new_b.append(s)
-    if y:
-        new_b.remove(y)
-        new_a.append(y)
-    return b, tuple(sorted(new_a, reverse=True)), tuple(sorted(new_b, reverse=True))
+    taken = _sums_of_two(b)[back] if kind == _Offers.TWO else (back,) if kind == _Offers.ONE else ()
+    for s in taken:
+        new_b.remove(s)
+        new_a.append(s)
+    return tuple(sorted(new_a, reverse=True)), tuple(sorted(new_b, reverse=True))
+
+
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Move, one-for-one and two-for-one exchanges between underfull bins, until bins empty out.
+
+    Underfull bins take turns as donors, the emptiest first. A donor gives its
+    pieces to other underfull bins, each time by the exchanges that raise the sum of
+    squared fills most, until it is empty or nothing raises the sum: every
+    exchange leaves it smaller, so a turn has at most as many exchanges as the donor has
+    tokens. Equal bins go through a turn together, as many as may still vanish. Rounds
+    of turns repeat as long as one of them has emptied a bin, and end at the
+    lower bound at the latest; so there are no more rounds than bins above it.
+    """
+    bins = Counter({b: n for b, n in bins.items() if n > 0 and b})
+    sizes: Counter = Counter()
+    for b, n in bins.items():
+        for s in b:
+            sizes[s] += n
+    spare = sum(bins.values()) - lower_bound(sizes, capacity)
+    offers = _Offers(capacity)
+    for b, n in bins.items():
+        offers.put(b, n)
+
+    def change(b: Bin, n: int) -> None:
+        if not b or not n:
+            return
+        bins[b] += n
+        offers.put(b, bins[b])
+        if not bins[b]:
+            del bins[b]
+
+    emptied = True
+    while emptied and spare > 0:
+        emptied = False
+        for a in sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b)):
+            if bins[a] <= 0 or spare <= 0:
+                continue
+            m = min(spare, max(1, bins[a] // 2))
+            change(a, -m)                              # a donor is no partner of its own
+            while a:
+                step = offers.best(a, m)
+                if step is None:
+                    break
+                b, out, back, kind = step
+                n = min(m, bins[b])
+                new_a, new_b = _exchanged(a, b, out, back, kind)
+                change(b, -n)
+                change(a, m - n)                       # those without a partner stay as they are
+                change(new_b, n)
+                a, m = new_a, n
+            if a:
+                change(a, m)
+            else:
+                spare, emptied = spare - m, True
+    return bins
 
 
 def slots(bins: Counter) -> np.ndarray:

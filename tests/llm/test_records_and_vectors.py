@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -401,5 +402,45 @@ def test_local_search_looks_at_all_sums_of_two():
     assert len({x + y for i, x in enumerate(a) for y in a[i + 1:]}) > 512
     least = a[-1] + a[-2]                     # only this pair fits, for the first piece of b
     b, capacity = (10**7 - least, least - 1), 10**7
-    found = packing._step(a, [a, b], collections.Counter([a, b]), capacity)
-    assert found is not None and found[0] == b and found[2] == (10**7 - least, a[-2], a[-1])
+    offers = packing._Offers(capacity)
+    offers.put(b, 1)
+    partner, out, back, kind = offers.best(a)
+    assert partner == b and out == (a[-1], a[-2])
+    assert packing._exchanged(a, b, out, back, kind)[1] == (10**7 - least, a[-2], a[-1])
+
+
+def test_local_search_takes_two_for_one():
+    offers = packing._Offers(100)
+    b = (40, 25, 20, 11)                      # 4 free: 49 may come in for 25 and 20
+    offers.put(b, 1)
+    partner, out, back, kind = offers.best((49,))
+    assert (partner, out, back) == (b, (49,), 45)
+    assert packing._exchanged((49,), b, out, back, kind) == ((25, 20), (49, 40, 11))
+
+
+def test_lower_bound_holds():
+    for seed in range(40):
+        rng = random.Random(seed)
+        sizes = collections.Counter(rng.randint(1, rng.choice([40, 60, 100])) for _ in range(rng.randint(1, 60)))
+        sizes = dict(sizes)
+        least = packing.lower_bound(sizes, 100)
+        end = packing.local_search(packing.best_fit(sizes, 100), 100)
+        assert pieces_of(end) == collections.Counter(sizes)
+        assert -(-sum(s * n for s, n in sizes.items()) // 100) <= least <= sum(end.values())
+    assert packing.lower_bound({}, 100) == 0 and packing.lower_bound({60: 5}, 100) == 5
+    assert packing.lower_bound({60: 2, 50: 3}, 100) == 4
+
+
+@pytest.mark.parametrize("times", [1, 30])
+def test_local_search_ends_soon_on_lengths_of_the_pipeline(times):
+    # lengths as the pipeline has them: long tails, no short documents, the bound out of best fit's reach
+    rng = np.random.default_rng(7)
+    sizes = collections.Counter(rng.integers(60, 900, 9000).tolist() + np.minimum(rng.lognormal(6.6, .6, 5000), 2047)
+                                .astype(int).tolist() + [2048] * 800)
+    sizes = {s: n * times for s, n in sizes.items()}
+    fit = packing.best_fit(sizes, 2048)
+    start = time.process_time()
+    end = packing.local_search(fit, 2048)
+    assert time.process_time() - start < 15
+    assert pieces_of(end) == collections.Counter(sizes) and all(sum(b) <= 2048 for b in end)
+    assert packing.lower_bound(sizes, 2048) <= sum(end.values()) <= sum(fit.values())
