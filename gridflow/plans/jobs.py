@@ -239,7 +239,7 @@ def sync_all(spark: SparkSession, tracked: DataFrame, docs: DataFrame,
     enabled = tracked.filter(F.coalesce(F.col("sync_enabled"), F.lit(False)))
     if "target_exists" not in enabled.columns:
         enabled = enabled.join(existing_targets(spark, enabled), "target_table", "left")
-    state = spark.table(state_table) if S.table_exists(spark, state_table) else None
+    state = S.read_marks(spark, state_table, enabled)
     gate = land(sync_gate(enabled, docs, state), "sync-gate")
     present = F.col("file_last_updated").isNotNull()
     lost = ~present & F.col("table_last_updated").isNotNull()

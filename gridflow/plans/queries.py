@@ -933,41 +933,92 @@ def q_debounce_groups(spark, sf_dir):
     return debounce_triggers(ch, "300 seconds", group_map=members)
 
 
-@register("stream_sync", V.with_views("""
-SELECT l_shipdate AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU", CAST(l_quantity AS BIGINT) AS "Qty",
-       CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price",
-       file_id AS source_file
-FROM li_v""", "grid_v"))
+@register("stream_sync", V.with_views(f"""
+WITH f AS (SELECT DISTINCT file_id, CAST(substr(md5(file_id), 1, 1) IN ('0', '1', '2') AS INT) AS gone,
+                  CAST(substr(md5(file_id), 1, 1) IN ('3', '4', '5', '6') AS INT) AS cut FROM grid_v),
+r AS ({_LI_ROWS_SQL}),
+s AS (SELECT *, l_shipdate AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU", CAST(l_quantity AS BIGINT) AS "Qty",
+       CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price" FROM r)
+SELECT "Date", "SKU", "Qty", "Price", s.file_id AS source_file FROM s JOIN f ON s.file_id = f.file_id
+WHERE f.gone = 0 AND (f.cut = 0 OR s.row_ix < 40)""", "grid_v"))
 def q_stream_sync(spark, sf_dir):
-    """Workbooks land in two appends; a checkpointed stream
-    (availableNow, a few files per micro-batch) gates, decodes and writes
-    them into one table bucketed by source file. Returns the table."""
+    """Workbooks land and are synced by a checkpointed stream (availableNow, a few files per
+    micro-batch). Then some files come in a newer, shorter version and some are deleted, together with older and equal versions of
+    others, which must change nothing; the stream is restarted for them. Small loads are compacted and
+    the first landing is replayed as a batch. Returns the table."""
     import uuid
 
     from pyspark.sql import functions as F
 
     from gridflow.session import land, scratch_path
-    from gridflow.streaming.sync_stream import StreamConfig, stream_sync
+    from gridflow.sinks import loads as L
+    from gridflow.sinks.tables import compact_state, drop_table
+    from gridflow.sources.workbook import as_documents, encode_workbooks
+    from gridflow.streaming.sync_stream import StreamConfig, stream_sync, sync_batch
     base = scratch_path(spark, "stream")
     landing = f"{base}/landing"
     docs = land(workbook_docs(spark, sf_dir), "workbook-docs")
-    half = (F.crc32(F.col("file_id")) % 2) == 0
-    docs.filter(half).write.mode("append").parquet(landing)
-    docs.filter(~half).write.mode("append").parquet(landing)
+    docs.write.mode("append").parquet(landing)
     tag = uuid.uuid4().hex[:8]
     cfg = StreamConfig(target_table=f"gridflow_stream.sync_{tag}", state_table=f"gridflow_stream.state_{tag}",
                        checkpoint=f"{base}/checkpoint", pattern="supplier_*.xlsx",
                        header_row=V.GRID_HEADER_ROW, selected_columns=["Date", "SKU", "Qty", "Price"],
                        trigger="availableNow", max_files_per_trigger=8)
-    q = stream_sync(spark, landing, cfg)
-    q.awaitTermination()
-    spark.catalog.refreshTable(cfg.target_table)  # written by the stream's own session
-    # keep the result in the shared scratch folder and leave no tables behind
-    out = land(spark.table(cfg.target_table).drop("file_bucket"), "stream-result")
-    from gridflow.sinks.tables import drop_table
-    drop_table(spark, cfg.target_table)
-    drop_table(spark, cfg.state_table)
-    return out
+    try:
+        stream_sync(spark, landing, cfg).awaitTermination()
+        digit = F.substring(F.md5("file_id"), 1, 1)
+        stamp = F.col("file_metadata.last_modified_timestamp")
+        at = lambda d, hours: d.withColumn("file_metadata", F.col("file_metadata").withField(
+            "last_modified_timestamp", F.timestamp_add("HOUR", F.lit(hours), stamp)))
+        shorter = V.grid_v(spark, sf_dir).where((F.col("row_ix") < 40) & digit.isin("3", "4", "5", "6"))
+        later = at(as_documents(encode_workbooks(shorter)), 1)
+        gone = at(docs.where(digit.isin("0", "1", "2")), 1).withColumn("is_deleted", F.lit(True))
+        stale = at(later.where(digit == "3"), -2).unionByName(docs.where(digit.isin("7", "8")))   # older, equal
+        (later.unionByName(gone.select(later.columns)).unionByName(stale.select(later.columns))
+         .select(docs.columns).repartition(2).write.mode("append").parquet(landing))
+        stream_sync(spark, landing, cfg).awaitTermination()
+        L.compact_loads(spark, cfg.target_table)
+        compact_state(spark, cfg.state_table)
+        sync_batch(docs.where(~digit.isin("0", "1", "2")), -1, cfg)          # a replay: all of it is known
+        return land(spark.table(cfg.target_table), "stream-result")
+    finally:
+        L.drop_loads(spark, cfg.target_table)
+        drop_table(spark, cfg.state_table)
+
+
+@register("sync_marks", V.with_views("""
+SELECT file_id, 'main.t' || CAST(doc_id % 3 AS VARCHAR) AS target_table, last_modified_timestamp + CASE WHEN doc_id % 4 = 1
+       THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS watermark
+FROM docs_v WHERE doc_id % 5 <> 2 OR doc_id % 10 = 7""", "docs_v"))
+def q_sync_marks(spark, sf_dir):
+    """Marks of all files are recorded and compacted, then some advance, some are cleared and some of these
+    recorded anew; half of it is compacted before the rest comes."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from gridflow.session import land
+    from gridflow.sinks import tables as S
+    n = F.col("file_id").cast("bigint")
+    m = V.docs_v(spark, sf_dir).select("file_id", F.concat(F.lit("main.t"), (n % 3).cast("string")).alias("target_table"),
+                                       F.col("file_metadata.last_modified_timestamp").alias("watermark"))
+    name = f"gridflow_queries.marks_{uuid.uuid4().hex[:8]}"
+    hour = lambda k: F.timestamp_add("HOUR", F.lit(k), F.col("watermark"))
+    try:
+        S.advance_watermark(spark, name, m)
+        S.compact_state(spark, name)
+        S.clear_watermark(spark, name, m.where(n % 5 == 2))
+        S.advance_watermark(spark, name, m.where(n % 4 == 1).withColumn("watermark", hour(1)))
+        S.compact_state(spark, name)
+        S.clear_watermark(spark, name, m.where(n % 5 == 2))
+        late = m.where(n % 4 == 1).withColumn("watermark", hour(2)).where(n % 5 != 2)
+        back = m.where(n % 10 == 7).withColumn("watermark", F.when(n % 4 == 1, hour(2)).otherwise(F.col("watermark")))
+        S.advance_watermark(spark, name, late.unionByName(back).distinct())
+        marks = S.current_marks(S.read_marks(spark, name, m.select("file_id", "target_table")))
+        return land(marks.where("watermark is not null").select("file_id", "target_table", F.col("watermark").cast("timestamp_ntz")
+                                                                .alias("watermark")), "marks")
+    finally:
+        S.drop_table(spark, name)
 
 
 # ------------------------------------------------------------ K1 / K2 jobs

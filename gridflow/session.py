@@ -88,10 +88,15 @@ def _hadoop(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
-def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write ``data`` to ``path`` unless a file is there; goes through Hadoop's file systems."""
+def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _hadoop(spark, path)
-    if not fs.exists(hpath):
+    return fs.exists(hpath)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes, replace: bool = False) -> None:
+    """Write ``data`` to ``path``, unless a file is there (or in its place); goes through Hadoop's file systems."""
+    fs, hpath = _hadoop(spark, path)
+    if replace or not fs.exists(hpath):
         out = fs.create(hpath)
         try:
             out.write(bytearray(data))

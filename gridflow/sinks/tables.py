@@ -7,12 +7,15 @@ while it is being read and a failed write leaves the old table intact.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from gridflow.session import land, release
+
 TABLE_FORMAT = "parquet"
 
 
@@ -141,35 +144,56 @@ def table_property(spark: SparkSession, name: str, key: str) -> str | None:
     return rows[0]["value"] if rows else None
 
 
-STATE_SCHEMA = [("target_table", "STRING"), ("file_id", "STRING"), ("watermark", "TIMESTAMP"),
-                ("synced_at", "TIMESTAMP")]
+# ---- marks (B5) --------------------------------------------------------------
+# Partitions of a mark table: hash buckets of the snapshot, and new marks, batch by batch, under DELTA
+MARK_BUCKETS = 32
+DELTA = -1
+SNAPSHOT = "snapshot"
+
+
+def mark_bucket(target: Column, file_id: Column) -> Column:
+    return F.pmod(F.xxhash64(target, file_id), F.lit(MARK_BUCKETS)).cast("int")
 
 
 def advance_watermark(spark: SparkSession, state_table: str, done: DataFrame) -> None:
     """Record ``(target_table, file_id, watermark)`` of successful writes.
 
-    The state table is an append-only log of marks (one small append per run
-    or micro-batch, never a rewrite of the whole state); readers take the
-    newest mark per key (``current_marks``). Appended after the data write it
-    records, so a crash in between only causes a harmless re-sync.
+    A mark table is a snapshot in hash buckets of the key and a delta of new marks, in one
+    small partition a call; ``compact_state`` merges the delta into the buckets it touches. Readers take
+    the mark recorded last per key (``current_marks``). Of a key that occurs twice in ``done`` the highest mark
+    counts. Appended after the data write it records, so a crash in between only causes a harmless re-sync.
     """
-    new = done.select("target_table", "file_id", F.col("watermark").cast("timestamp").alias("watermark"),
-                      F.current_timestamp().alias("synced_at"))
-    if table_exists(spark, state_table):
-        new.write.mode("append").insertInto(state_table)
-    else:
+    new = (done.groupBy("target_table", "file_id").agg(F.max(F.col("watermark").cast("timestamp")).alias("watermark"))
+           .withColumn("synced_at", F.current_timestamp()))
+    if not table_exists(spark, state_table):
         ensure_schema(spark, state_table)
-        new.write.mode("append").format(TABLE_FORMAT).saveAsTable(state_table)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(state_table)} (target_table STRING, file_id STRING, watermark TIMESTAMP, "
+                  f"synced_at TIMESTAMP, bucket INT, batch STRING) USING {TABLE_FORMAT} PARTITIONED BY (bucket, batch)")
+    batch = f"{time.time_ns():020d}{uuid.uuid4().hex[:6]}"
+    new.select("target_table", "file_id", "watermark", "synced_at", F.lit(DELTA).alias("bucket"), F.lit(batch).alias("batch")).write.mode(
+        "append").insertInto(state_table)
 
 
 def clear_watermark(spark: SparkSession, state_table: str, cleared: DataFrame) -> None:
     """Forget the marks of ``(target_table, file_id)`` rows (their file was
-    deleted and its rows removed): a NULL mark is appended, so a file restored
+    deleted and its rows removed): a NULL mark is recorded, so a file restored
     later with an old modification time is synced again."""
     advance_watermark(spark, state_table,
                       cleared.select("target_table", "file_id", F.lit(None).cast("timestamp").alias("watermark")))
 
 
+def read_marks(spark: SparkSession, state_table: str, keys: DataFrame | None = None) -> DataFrame | None:
+    """All marks of a mark table, or those that ``keys(target_table, file_id)`` may have: the scan is
+    pruned to the buckets of the keys and the delta. None if there is no such table."""
+    if not table_exists(spark, state_table):
+        return None
+    state = spark.table(state_table)
+    if keys is not None:
+        buckets = [r[0] for r in keys.select(mark_bucket(F.col("target_table"), F.col("file_id"))).distinct().collect()]
+        state = state.where(F.col("bucket").isin(DELTA, *buckets))
+    return state
+
+
 def current_marks(state: DataFrame) -> DataFrame:
     """Latest mark per ``(target_table, file_id)`` -- the one recorded last,
     which may be a cleared (NULL) mark; a partial aggregate."""
@@ -177,6 +201,38 @@ def current_marks(state: DataFrame) -> DataFrame:
         F.max_by("watermark", "synced_at").alias("watermark"), F.max("synced_at").alias("synced_at"))
 
 
-def compact_state(spark: SparkSession, state_table: str) -> None:
-    """Rewrite the mark log to one row per key (run now and then)."""
-    replace_table(current_marks(spark.table(state_table)), state_table)
+def compact_state(spark: SparkSession, state_table: str) -> int:
+    """Merge the delta of a mark table into its snapshot: only the buckets that the delta touches
+    are rewritten (dynamic partition overwrite), then the merged part of the delta is dropped. Cleared marks go.
+    Returns the number of buckets rewritten. A crash in between leaves marks twice, which read the same;
+    marks recorded meanwhile stay in the delta."""
+    batches = [r[0].split("batch=")[1] for r in spark.sql(f"SHOW PARTITIONS {quote_name(state_table)}").where(
+        F.col("partition").startswith(f"bucket={DELTA}/")).collect()]
+    if not batches:
+        return 0
+    state = spark.table(state_table)
+    delta = state.where((F.col("bucket") == DELTA) & F.col("batch").isin(batches))
+    own = mark_bucket(F.col("target_table"), F.col("file_id"))
+    touched = [r[0] for r in delta.select(own).distinct().collect()]
+    merged = current_marks(delta.drop("bucket", "batch").unionByName(
+        state.where(F.col("bucket").isin(touched)).drop("bucket", "batch")))
+    merged = land(merged.where("watermark is not null").withColumn("bucket", own), "marks-merged")
+    full = {r[0] for r in merged.select("bucket").distinct().collect()}
+    insert_dynamic(merged.select("target_table", "file_id", "watermark", "synced_at", "bucket", F.lit(SNAPSHOT).alias("batch")), state_table)
+    gone = [(b, SNAPSHOT) for b in touched if b not in full] + [(DELTA, x) for x in batches]
+    for b, x in gone:
+        spark.sql(f"ALTER TABLE {quote_name(state_table)} DROP IF EXISTS PARTITION (bucket = {int(b)}, batch = {_text(x)})")
+    release(merged)
+    return len(touched)
+
+
+def insert_dynamic(df: DataFrame, name: str) -> None:
+    """Overwrite the partitions of ``name`` that ``df`` has rows of, and no others."""
+    spark = df.sparkSession
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        df.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(key, before)

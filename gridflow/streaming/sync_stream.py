@@ -1,29 +1,31 @@
 """Continuous workbook -> table sync.
 
 The documents table is read as a parquet file stream: every landing appends
-files, so each micro-batch holds new document versions. Per batch:
-
-1. latest version per file (F1), live rows whose name matches the glob (C7);
-2. gate against the per-file high-water mark in the state table (I4, D2):
-   a replayed batch finds every file ``<=`` its mark and writes nothing;
-3. decode passing files once (A4), promote the header, cast to the target's
-   schema, which is widened first where a batch needs it;
-4. write with dynamic partition overwrite on ``file_bucket`` (a hash bucket
-   of the file id; the id itself stays in ``source_file``): only buckets that
-   hold a changed or deleted file are rewritten, as that bucket's other files'
-   rows plus the new rows (copy-on-write per bucket, so the cost of a batch
-   follows the buckets it touches, not the table);
-5. advance the marks last.
+files, so each micro-batch holds new document versions.
+
+1. The stream itself carries metadata only. A stateful operator keyed by file (``FileMarks``) holds
+   the version last passed on and lets through what is newer: older and equal versions, and
+   batches replayed, change nothing (I4). Deleted files leave a tombstone, which a timer clears.
+2. Per micro-batch, contents of the versions let through are read from the landed files they lie in, decoded
+   once (A4), and cast to the target's columns, widened where a batch needs it.
+3. They are appended as a load (``gridflow.sinks.loads``): the batch writes its own rows and which files'
+   older rows they supersede, nothing else. The load's commit is the batch's; a batch that ran before is skipped.
+4. Marks are recorded for other jobs, and a row for the run table.
+
+``sync_batch`` does the same for a batch DataFrame, gated by the recorded marks.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gridflow.functions.cells import widen
 from gridflow.functions.filters import glob_match
@@ -32,8 +34,10 @@ from gridflow.operators.gate import sync_gate
 from gridflow.operators.keyed import latest_per_key
 from gridflow.plans.jobs import build_typed
 from gridflow.session import land, release
+from gridflow.sinks import loads as L
 from gridflow.sinks import tables as S
 from gridflow.sources.workbook import decode_workbooks, grid_rows
+from gridflow.streaming.runs import RUN_DDL, read_runs, run_listener
 
 DOCUMENTS_DDL = ("file_id string, file_metadata struct<name:string, size_in_bytes:bigint, "
                  "last_modified_timestamp:timestamp_ntz, created_timestamp:timestamp_ntz>, "
@@ -53,38 +57,116 @@ class StreamConfig:
     trigger: str = "10 seconds"           # or "availableNow"
     active: bool = True
     max_files_per_trigger: int | None = None
-    buckets: int = 64                     # partitions of the target table
+    tombstone_hours: float = 24 * 30      # how long a deleted file is remembered
     documents_ddl: str = DOCUMENTS_DDL
     log: list = field(default_factory=list)
 
 
-def file_bucket(file_id, buckets: int):
-    """Partition value of a file id: a stable hash bucket."""
-    return F.pmod(F.xxhash64(file_id), F.lit(buckets)).cast("int")
+# ---- per-file marks as operator state (I4) -------------------------------------
+# times are microseconds in here: whole numbers compare the same in every time zone
+CHANGES_DDL = "file_id string, deleted boolean, file_us long, file_size long, landed string, restored boolean"
+STATE_DDL = "file_us long, file_size long, deleted boolean"
+
+
+class FileMarks(StatefulProcessor):
+    """Per file, the version last passed on. Of the versions that a batch brings the newest counts (of equal times a deletion,
+    then the larger); it passes if it is newer than the state. Any live version of a deleted file is a
+    restored one and passes, whatever its time. A deletion passes once, and not if older than the state."""
+
+    def __init__(self, tombstone_ms: int):
+        self.tombstone_ms = tombstone_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.mark = handle.getValueState("mark", STATE_DDL)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        order = lambda r: (r["file_us"] is not None, r["file_us"], bool(r["deleted"]), r["file_size"] or 0, r["landed"] or "")
+        best = max(rows, key=order)
+        known = self.mark.get() if self.mark.exists() else None
+        gone = known is not None and known[2]
+        newer = known is None or known[0] is None or (best["file_us"] is not None and best["file_us"] > known[0])
+        if best["deleted"]:
+            same = known is not None and best["file_us"] == known[0]
+            if known is None or gone or not (newer or same):
+                return
+            self.mark.update((best["file_us"], None, True))
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.tombstone_ms)
+        elif gone or newer:
+            for t in self.handle.listTimers() if gone else ():
+                self.handle.deleteTimer(t)
+            self.mark.update((best["file_us"], best["file_size"], False))
+        else:
+            return
+        yield Row(file_id=key[0], deleted=bool(best["deleted"]), file_us=best["file_us"], file_size=best["file_size"],
+                  landed=best["landed"], restored=bool(gone))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.mark.exists() and self.mark.get()[2]:
+            self.mark.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def file_changes(docs: DataFrame, cfg: StreamConfig) -> DataFrame:
+    """The stream of versions to sync of a documents stream: ``file_id, deleted, file_ts, file_size, landed, restored``. Event time is the time of
+    arrival, so no version is ever late; it only moves the tombstones' timers."""
+    meta = docs.select(
+        "file_id", F.coalesce("is_deleted", F.lit(False)).alias("deleted"),
+        F.unix_micros(F.col("file_metadata.last_modified_timestamp").cast("timestamp")).alias("file_us"),
+        F.col("file_metadata.size_in_bytes").alias("file_size"), F.col("_metadata.file_path").alias("landed"),
+        F.col("file_metadata.name").alias("name"), F.current_timestamp().alias("seen_at"))
+    meta = meta.where(F.col("file_id").isNotNull() & glob_match(F.col("name"), cfg.pattern))
+    out = meta.withWatermark("seen_at", "0 seconds").groupBy("file_id").transformWithState(
+        statefulProcessor=FileMarks(int(cfg.tombstone_hours * 3_600_000)), outputStructType=CHANGES_DDL, outputMode="Update",
+        timeMode="EventTime")
+    return out.withColumn("file_ts", F.timestamp_micros("file_us")).drop("file_us")
 
 
 def sync_batch(batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
-    """One micro-batch (also usable on any batch DataFrame of documents)."""
+    """Sync a batch DataFrame of documents, gated by the recorded marks."""
     spark = batch.sparkSession
     # of versions with one time stamp a deletion is the later, then the larger file
-    meta = batch.select("file_id", "file_metadata", "is_deleted")
-    latest = latest_per_key(meta, "file_id", [
+    latest = latest_per_key(batch.select("file_id", "file_metadata", "is_deleted"), "file_id", [
         F.col("file_metadata.last_modified_timestamp").desc(), F.col("is_deleted").desc_nulls_last(),
         F.col("file_metadata.size_in_bytes").desc(), F.col("file_metadata.name")])
-    latest = latest.filter(glob_match(F.col("file_metadata.name"), cfg.pattern)).persist()
-    try:
-        _sync(spark, latest, batch, epoch_id, cfg)
-    finally:
-        latest.unpersist()
+    latest = land(latest.where(F.col("file_id").isNotNull() & glob_match(F.col("file_metadata.name"), cfg.pattern)), "batch-latest")
+    tracked = latest.where("is_deleted = false").select("file_id", F.lit(cfg.target_table).alias("target_table"),
+                                                        F.lit(S.table_exists(spark, cfg.target_table)).alias("target_exists"))
+    gate = sync_gate(tracked, latest, S.read_marks(spark, cfg.state_table, tracked)).where("should_process")
+    size = latest.select("file_id", F.col("file_metadata.size_in_bytes").alias("file_size"))
+    todo = gate.select("file_id", F.lit(False).alias("deleted"), F.col("file_last_updated").cast("timestamp").alias("file_ts")).join(size, "file_id")
+    gone = latest.where("is_deleted = true").select("file_id", F.lit(True).alias("deleted"), F.lit(None).cast("timestamp").alias("file_ts"),
+                                                    F.lit(None).cast("long").alias("file_size"))
+    changes = land(todo.unionByName(gone), "batch-changes")
+    _sync(spark, changes, batch, epoch_id, cfg, source="")
+    release(latest, changes)
+
+
+def _stream_batch(changes: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
+    """One micro-batch of ``file_changes``."""
+    spark = changes.sparkSession
+    if L.committed(spark, cfg.target_table, cfg.checkpoint, epoch_id):
+        return                       # ran before a restart
+    changes = land(changes, "stream-changes")
+    # the landed files of this batch: the stream's own listing, as many as a trigger takes
+    paths = [r[0] for r in changes.where("not deleted").select("landed").distinct().collect()]
+    docs = spark.read.schema(cfg.documents_ddl).parquet(*paths) if paths else None
+    if docs is not None or not changes.isEmpty():
+        _sync(spark, changes, docs, epoch_id, cfg, source=cfg.checkpoint)
+    release(changes)
 
 
-def _contents(batch: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``batch`` that are the version chosen per file: contents of all
+def _contents(docs: DataFrame, todo: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are the version chosen per file: contents of all
     other versions and files stay out of the join."""
-    stamp = F.struct("file_metadata.last_modified_timestamp", "file_metadata.size_in_bytes")
-    want = chosen.select(F.col("file_id").alias("_id"), stamp.alias("_stamp"))
-    return (batch.filter(F.col("is_deleted") == F.lit(False))
-            .join(want, (F.col("file_id") == F.col("_id")) & stamp.eqNullSafe(F.col("_stamp")), "left_semi")
+    want = todo.select(F.col("file_id").alias("_id"), F.col("file_ts").alias("_ts"), F.col("file_size").alias("_size"))
+    stamp = F.col("file_metadata.last_modified_timestamp").cast("timestamp")
+    return (docs.where("is_deleted = false")
+            .join(want, (F.col("file_id") == F.col("_id")) & stamp.eqNullSafe(F.col("_ts"))
+                  & F.col("file_metadata.size_in_bytes").eqNullSafe(F.col("_size")), "left_semi")
             .dropDuplicates(["file_id"]))
 
 
@@ -95,134 +177,104 @@ def _widened(rows: DataFrame, current: list[tuple[str, str]], cfg: StreamConfig)
     return [(n, widen([t.upper(), need[n]]) if n in need else t) for n, t in current]
 
 
-def _sync(spark: SparkSession, latest: DataFrame, batch: DataFrame, epoch_id: int, cfg: StreamConfig) -> None:
+def _sync(spark: SparkSession, changes: DataFrame, docs: DataFrame | None, epoch_id: int, cfg: StreamConfig, source: str) -> None:
+    """Load the versions of ``changes`` (landed) from ``docs``, then record marks and the run."""
     t_start = time.time()
-    exists = S.table_exists(spark, cfg.target_table)
-    deleted = latest.filter(F.col("is_deleted") == F.lit(True)).select("file_id")
-    tracked = (latest.filter(F.col("is_deleted") == F.lit(False)).select("file_id")
-               .withColumn("target_table", F.lit(cfg.target_table))
-               .withColumn("target_exists", F.lit(exists)))
-    state = spark.table(cfg.state_table) if S.table_exists(spark, cfg.state_table) else None
-    gate = sync_gate(tracked, latest, state)
-    todo = gate.filter("should_process").select("file_id", F.col("file_last_updated").alias("watermark"))
-    todo = land(todo, "stream-todo")
-    n_todo = todo.count()
-    written = 0
-    out = None
-    ok_ids = None
-    decoded = kept = typed = None
+    todo, deleted = changes.where("not deleted"), changes.where("deleted")
+    counts = changes.groupBy("deleted").count().collect()
+    n_todo = sum(r["count"] for r in counts if not r["deleted"])
+    n_gone = sum(r["count"] for r in counts if r["deleted"])
+    current = L.data_schema(spark, cfg.target_table)
+    decoded = typed = out = None
+    ok = todo.limit(0)
     rejects = unreadable = 0
+    schema: list[tuple[str, str]] = []
     if n_todo:
-        docs = _contents(batch, latest.join(todo.select("file_id"), "file_id", "left_semi"))
-        decoded = land(decode_workbooks(docs), "stream-decoded")
-        ok_ids = decoded.groupBy("file_id").agg(F.max("error").alias("error")).filter(
-            F.col("error").isNull()).select("file_id")
-        unreadable = n_todo - ok_ids.count()
+        decoded = land(decode_workbooks(_contents(docs, todo)), "stream-decoded")
+        ok_ids = decoded.groupBy("file_id").agg(F.max("error").alias("error")).where("error is null").select("file_id")
+        ok = todo.join(ok_ids, "file_id", "left_semi")
+        unreadable = n_todo - ok.count()
         rows = grid_rows(decoded)   # of files that could be read to their end
-        schema = None
-        if exists:
-            current = [(f.name, f.dataType.simpleString()) for f in spark.table(cfg.target_table).schema
-                       if f.name not in ("source_file", "file_bucket")]
-            schema = _widened(rows, current, cfg)
-            if [t.lower() for _, t in schema] != [t.lower() for _, t in current]:
-                _retype(spark, cfg.target_table, schema)
-        typed, _ = build_typed(rows, cfg.header_row, None,
-                               cfg.selected_columns if schema is None else [c for c, _ in schema],
-                               schema, "lenient", keys=("file_id",))
+        schema = _widened(rows, current, cfg) if current else None
+        typed, schema = build_typed(rows, cfg.header_row, None, cfg.selected_columns if schema is None else [c for c, _ in schema],
+                                    schema, "lenient", keys=("file_id",))
         if typed is not None:
             typed = land(typed, "stream-typed")
             rejects = typed.filter("_rejected").count()
-            out = (typed.drop("_rejected").withColumnRenamed("file_id", "source_file")
-                   .withColumn("file_bucket", file_bucket(F.col("source_file"), cfg.buckets)))
-            data_cols = [c for c in out.columns if c not in ("source_file", "file_bucket")]
-            out = out.select(*[F.col(f"`{c}`") for c in data_cols], "source_file", "file_bucket")
-    if exists:
-        changed = deleted
-        if ok_ids is not None:
-            changed = changed.unionByName(ok_ids)
-        touched = [r[0] for r in changed.select(file_bucket(F.col("file_id"), cfg.buckets)).distinct().collect()]
-        if touched:
-            # rows of other files in the touched buckets, landed so the table is
-            # not read while its partitions are overwritten
-            target = spark.table(cfg.target_table)
-            cols = [F.col(f"`{c}`") for c in target.columns]
-            kept = (target.filter(F.col("file_bucket").isin(touched))
-                    .join(changed.withColumnRenamed("file_id", "source_file"), "source_file", "left_anti"))
-            kept = land(kept.select(*cols), "stream-kept")
-            # insertInto is positional: project to the table's column order
-            new = (kept if out is None else kept.unionByName(out)).select(*cols)
-            key = "spark.sql.sources.partitionOverwriteMode"
-            before = spark.conf.get(key)
-            spark.conf.set(key, "dynamic")
-            try:
-                new.write.mode("overwrite").insertInto(cfg.target_table)
-            finally:
-                spark.conf.set(key, before)
-            present = {r[0] for r in new.select("file_bucket").distinct().collect()}
-            for b in sorted(set(touched) - present):   # buckets left empty
-                spark.sql(f"ALTER TABLE {S.quote_name(cfg.target_table)} DROP IF EXISTS "
-                          f"PARTITION (file_bucket = {int(b)})")
-            written = 1
-        spark.catalog.refreshTable(cfg.target_table)
-    elif out is not None:
-        S.ensure_schema(spark, cfg.target_table)
-        out.write.format(S.TABLE_FORMAT).partitionBy("file_bucket").saveAsTable(cfg.target_table)
-        written = 1
-    if ok_ids is not None:
-        done = todo.join(ok_ids, "file_id", "left_semi").withColumn("target_table", F.lit(cfg.target_table))
-        S.advance_watermark(spark, cfg.state_table, done)
-    if exists or ok_ids is not None:
-        # deleted files lose their marks: restored later, they sync again
-        gone = deleted.join(todo.select("file_id"), "file_id", "left_anti")
-        S.clear_watermark(spark, cfg.state_table, gone.withColumn("target_table", F.lit(cfg.target_table)))
-    # the batch's scratch data is no longer read: table and marks are written
-    release(*[d for d in (todo, decoded, kept, typed) if d is not None])
+            out = typed.drop("_rejected").withColumnRenamed("file_id", L.FILE)
+    if current is not None or out is not None:
+        superseded = ok.select(F.col("file_id").alias(L.FILE)).unionByName(deleted.select(F.col("file_id").alias(L.FILE)))
+        L.append_load(spark, cfg.target_table, out, superseded, schema, source, epoch_id, n_todo - unreadable)
+    if n_todo - unreadable:
+        S.advance_watermark(spark, cfg.state_table, ok.select(F.lit(cfg.target_table).alias("target_table"), "file_id",
+                                                              F.col("file_ts").alias("watermark")))
+    if n_gone:   # deleted files lose their marks: restored later, they sync again
+        S.clear_watermark(spark, cfg.state_table, deleted.select(F.lit(cfg.target_table).alias("target_table"), "file_id"))
+    release(*[d for d in (decoded, typed) if d is not None])   # table and marks are written
     cfg.log.append({"batch_id": epoch_id, "files_synced": n_todo - unreadable, "files_unreadable": unreadable,
-                    "rejects": rejects, "written": bool(written), "seconds": round(time.time() - t_start, 3)})
+                    "rejects": rejects, "written": bool(out is not None or n_gone), "seconds": round(time.time() - t_start, 3)})
 
 
-def _retype(spark: SparkSession, table: str, schema: list[tuple[str, str]]) -> None:
-    """Rewrite ``table`` with wider column types (BIGINT to DOUBLE to STRING);
-    rare, and safe to repeat."""
-    t = spark.table(table)
-    kinds = dict(schema)
-    S.replace_table(t.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in t.columns]),
-                    table, partition_by=["file_bucket"])
-    spark.catalog.refreshTable(table)
+# Settings of the query: the state store that keyed state with timers needs, and no
+# empty batches just to move the clock (tombstones are cleared with the next files)
+QUERY_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def stream_sync(spark: SparkSession, docs_path: str, cfg: StreamConfig) -> StreamingQuery | None:
     """Start the stream (``None`` when ``cfg.active`` is false).
 
-    Micro-batches write through the stream's own session: other sessions
-    reading the target should ``REFRESH TABLE`` first."""
+    The target is a view of the rows that count; ``compact_loads`` may run between batches."""
     if not cfg.active:
         return None
     reader = spark.readStream.schema(cfg.documents_ddl)
     if cfg.max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", cfg.max_files_per_trigger)
     src = reader.parquet(docs_path)
-    w = (src.writeStream.foreachBatch(lambda df, eid: sync_batch(df, eid, cfg))
+    name = f"sync {cfg.target_table} {uuid.uuid4().hex[:8]}"
+    run_listener(spark).watch(name, runs_folder(cfg), lambda batch: _details(cfg, batch))
+    w = (file_changes(src, cfg).writeStream.queryName(name).foreachBatch(lambda df, eid: _stream_batch(df, eid, cfg)).outputMode("update")
          .option("checkpointLocation", cfg.checkpoint))
-    if cfg.trigger == "availableNow":
-        w = w.trigger(availableNow=True)
-    else:
-        w = w.trigger(processingTime=cfg.trigger)
-    return w.start()
-
-
-def stream_status(spark: SparkSession, query: StreamingQuery, cfg: StreamConfig | None = None) -> DataFrame:
-    """One row per recent micro-batch: id, rows in, rates, duration, the
-    query state, and (with the config's batch log) files synced and written."""
-    log = {e["batch_id"]: e for e in (cfg.log if cfg is not None else [])}
-    state = "ACTIVE" if query.isActive else "TERMINATED"
+    w = w.trigger(availableNow=True) if cfg.trigger == "availableNow" else w.trigger(processingTime=cfg.trigger)
+    before = {k: spark.conf.get(k, None) for k in QUERY_SETTINGS}
+    for k, v in QUERY_SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        return w.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def _details(cfg: StreamConfig, batch: int) -> dict:
+    for e in reversed(cfg.log):
+        if e["batch_id"] == batch:
+            return {k: e[k] for k in ("files_synced", "written", "rejects", "files_unreadable")}
+    return {}
+
+
+def stream_status(spark: SparkSession, query: StreamingQuery | None, cfg: StreamConfig) -> DataFrame:
+    """One row per micro-batch with new files, of all runs of the stream since its checkpoint began: id, rows in,
+    rates, duration, files synced and written, and the query's state (TERMINATED without a query).
+
+    Rows come from the run table; the newest batches of a running query may still be on their way to it and are
+    taken from the query itself."""
+    state = "ACTIVE" if query is not None and query.isActive else "TERMINATED"
+    kept = read_runs(spark, runs_folder(cfg))
     rows = []
-    for p in query.recentProgress:
-        e = log.get(p.get("batchId"), {})
-        rows.append((p.get("batchId"), p.get("timestamp"), p.get("numInputRows"),
-                     p.get("inputRowsPerSecond"), p.get("processedRowsPerSecond"),
-                     (p.get("durationMs") or {}).get("triggerExecution"),
-                     e.get("files_synced"), e.get("written"), state))
-    return spark.createDataFrame(rows, "batch_id bigint, timestamp string, num_input_rows bigint, "
-                                       "input_rows_per_second double, processed_rows_per_second double, "
-                                       "duration_ms bigint, files_synced bigint, written boolean, state string")
+    for p in query.recentProgress if query is not None else ():
+        d = _details(cfg, p.get("batchId"))
+        if p.get("numInputRows") or d:
+            rows.append((p.get("batchId"), p.get("timestamp"), p.get("numInputRows"), p.get("inputRowsPerSecond"),
+                         p.get("processedRowsPerSecond"), (p.get("durationMs") or {}).get("triggerExecution"), d.get("files_synced"),
+                         d.get("written"), d.get("rejects"), d.get("files_unreadable"), str(query.id), str(query.runId)))
+    fresh = spark.createDataFrame(rows, RUN_DDL)
+    fresh = fresh.join(kept.select("batch_id"), "batch_id", "left_anti").select(kept.columns)
+    return kept.unionByName(fresh).withColumn("state", F.lit(state)).orderBy("batch_id")
+
+
+def runs_folder(cfg: StreamConfig) -> str:
+    """Where the stream's run table lies: beside its checkpoint, which outlives the driver."""
+    return f"{cfg.checkpoint.rstrip('/')}-runs"
