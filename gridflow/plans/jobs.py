@@ -128,8 +128,10 @@ def build_typed(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
                 selected_columns: Sequence[str] | None = None,
                 schema: Sequence[tuple[str, str]] | None = None, mode: str = "strict",
                 infer: str = "compat", keys: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """C12 -> C9/C10 -> E2 -> C13 over files sharing one header layout.
+    """C12 -> C9/C10 -> E2 -> C13 over files of one header layout or of many.
 
+    Files of different layouts are aligned by column name: a column stands where it first stands in any
+    file, its type is decided over all files that have it, and files without it have NULL there.
     Returns the typed DataFrame (plus a ``_rejected`` flag) and the schema.
     One small driver read: names, layout check and types per column.
     """
@@ -139,7 +141,7 @@ def build_typed(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
     if not cols:
         return None, []
     if not all(r["consistent"] for r in cols):
-        raise ValueError("files have different header layouts; group them first")
+        return _build_aligned(rows, header_row, sheet, selected_columns, schema, mode, infer, keys)
     names = [r["name"] for r in cols]
     promoted = G.promote_header(rows, names, header_row, sheet)
     picked = G.select_columns(promoted, selected_columns, mode)
@@ -159,6 +161,42 @@ def build_typed(rows: DataFrame, header_row: int = 0, sheet: str | None = None,
     return out, list(schema)
 
 
+def aligned_columns(layouts: DataFrame, infer: str = "compat") -> DataFrame:
+    """``name, type, pos`` over the files of ``layouts`` (``column_counts``): columns of one name are one
+    column, placed by their first position and typed by the cells of all files that have them."""
+    return (layouts.groupBy("name").agg(F.min("col_ix").alias("pos"), F.sum("n_rows").alias("n_rows"),
+                                        *[F.sum(c).alias(c) for c in G.COUNT_COLUMNS])
+            .select("name", G.summed_type(infer)["type"].alias("type"), "pos"))
+
+
+def _build_aligned(rows: DataFrame, header_row: int, sheet: str | None, selected: Sequence[str] | None,
+                   schema: Sequence[tuple[str, str]] | None, mode: str, infer: str, keys: Sequence[str]):
+    """``build_typed`` over files of different layouts. A file's names travel to its rows by a join on the file;
+    a column is then found in a row by its name's place there, so files need no grouping."""
+    layouts = land(G.column_counts(rows, header_row, sheet, infer), "layouts")
+    found = sorted(aligned_columns(layouts, infer).collect(), key=lambda r: (r["pos"], r["name"]))     # a row a column
+    types = {r["name"]: r["type"] for r in found}
+    wanted = [n for n in selected or types if n in types]
+    if not wanted:
+        if mode == "strict":
+            raise ValueError(f"no selected column is in the sheets: {list(selected)}")
+        wanted = list(types)
+    if schema is None:
+        schema = [(n, types[n]) for n in wanted]
+    names = layouts.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_ix", "name"))),
+                                                       lambda x: x["name"]).alias("_names"))
+    data = G.sheet_rows(rows, sheet).filter(F.col("row_ix") > header_row).join(names, "file_id")
+    cells = [F.get(F.col("cells"), F.array_position("_names", F.lit(n)).cast("int") - 1) for n, _ in schema]
+    cells = [F.when(F.array_contains("_names", F.lit(n)), c) for c, (n, _) in zip(cells, schema)]
+    casted = [cast_cell(c, t) for c, (_, t) in zip(cells, schema)]
+    flag = F.lit(False)
+    for c, e in zip(cells, casted):
+        flag = flag | (F.coalesce(cell_present(c), F.lit(False)) & e.isNull())
+    out = data.select(*[F.col(k) for k in keys if k in data.columns], *[e.alias(n) for e, (n, _) in zip(casted, schema)],
+                      flag.alias("_rejected"))
+    return out, list(schema)
+
+
 def parse_to_table(spark: SparkSession, docs: DataFrame, file_ids, table: str,
                    header_row: int = 0, sheet: str | None = None,
                    selected_columns: Sequence[str] | None = None,

@@ -782,6 +782,59 @@ def q_parse_to_table(spark, sf_dir):
     return typed.drop("_rejected")
 
 
+def _three_layouts(spark, sf_dir):
+    """``grid_v`` with three header layouts, by the number of the supplier: as it is; without the price and with
+    the other columns in another order; with a note in front and the quantity called ``Qty`` as text."""
+    from pyspark.sql import functions as F
+    g = V.grid_v(spark, sf_dir)
+    kind = F.pmod(F.regexp_extract("file_id", r"supplier_(\d+)", 1).cast("int"), F.lit(3))
+    c = lambda i: F.get(F.col("cells"), i)
+    cell = lambda k, raw: F.struct(F.lit(k).alias("kind"), raw.alias("raw"))
+    head = F.col("row_ix") == V.GRID_HEADER_ROW
+    data = F.col("row_ix") > V.GRID_HEADER_ROW
+    second = F.array(c(1), c(4), c(0), c(2))
+    note = F.when(head, cell("s", F.lit("Note"))).otherwise(cell("s", F.concat(F.lit("n"), F.col("row_ix").cast("string"))))
+    qty = F.when(data, cell("s", F.concat(F.lit("q"), F.col("cells")[2]["raw"]))).otherwise(c(2))
+    third = F.array(note, c(0), c(1), qty, c(3), c(4))
+    new = F.when(head | data, F.when(kind == 1, second).when(kind == 2, third).otherwise(F.col("cells"))).otherwise(F.col("cells"))
+    return g.withColumn("cells", new)
+
+
+@register("parse_mixed", V.with_views(f"""
+WITH r AS ({_LI_ROWS_SQL}),
+p AS (SELECT *, CAST(regexp_extract(file_id, 'supplier_(\\d+)', 1) AS INTEGER) % 3 AS layout FROM r),
+a AS (SELECT file_id, l_shipdate AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU", CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS "Qty",
+             CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price", l_linestatus = 'O' AS "Open"
+      FROM p WHERE layout = 0),
+b AS (SELECT 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU", l_linestatus = 'O' AS "Open", l_shipdate AS "Date",
+             CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS "Qty", file_id FROM p WHERE layout = 1),
+c AS (SELECT 'n' || CAST(row_ix AS VARCHAR) AS "Note", file_id, l_shipdate AS "Date", 'SKU' || CAST(l_partkey AS VARCHAR) AS "SKU",
+             'q' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS "Qty",
+             CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN NULL ELSE l_extendedprice END AS "Price", l_linestatus = 'O' AS "Open"
+      FROM p WHERE layout = 2)
+SELECT "Date", "SKU", split_part("Qty", '.', 1) AS "Qty", "Price", "Open", "Note"
+FROM (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b UNION ALL BY NAME SELECT * FROM c)""", "grid_v"))
+def q_parse_mixed(spark, sf_dir):
+    """K3 with the write: workbooks of three header layouts (columns missing, moved, added, one of another type) are
+    parsed into one stored table by one call; the table is read back."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from gridflow.plans.jobs import parse_to_table
+    from gridflow.session import land
+    from gridflow.sinks.tables import drop_table
+    from gridflow.sources.workbook import as_documents, encode_workbooks
+    name = f"gridflow_queries.mixed_{uuid.uuid4().hex[:8]}"
+    try:
+        docs = land(as_documents(encode_workbooks(_three_layouts(spark, sf_dir))), "workbook-docs")
+        parse_to_table(spark, docs, None, name, V.GRID_HEADER_ROW)
+        t = spark.table(name)
+        return land(t.select("Date", "SKU", F.split_part("Qty", F.lit("."), F.lit(1)).alias("Qty"), "Price", "Open", "Note"), "mixed")
+    finally:
+        drop_table(spark, name)
+
+
 # -------------------------------------------------------------- contracts
 GIVEN_TABLES = ("region nation customer supplier part orders lineitem events documents "
                 "embeddings pages benchmark labels conversations").split()

@@ -11,11 +11,14 @@ Canonical schema::
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflow.functions.scalars import normalise_content
-from gridflow.session import land
+from gridflow.operators.keyed import latest_per_key
+from gridflow.session import land, scratch_path
 
 METADATA_FIELDS = ("name", "size_in_bytes", "last_modified_timestamp", "created_timestamp")
 
@@ -99,45 +102,50 @@ def read_content(docs: DataFrame, file_ids: DataFrame | list[str] | None = None,
                        normalise_content(F.col("content"), content_type).alias("content"))
 
 
-def diff_metadata(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``file_id, change, file_metadata, is_deleted`` between two snapshots.
+def snapshot_versions(docs: DataFrame) -> DataFrame:
+    """One row per file: of several the newest (of equal times a deletion, then the larger). Rows without an id
+    are no files and go."""
+    return latest_per_key(docs.where(F.col("file_id").isNotNull()), "file_id", [
+        F.col("file_metadata.last_modified_timestamp").desc_nulls_last(), F.col("is_deleted").desc_nulls_last(),
+        F.col("file_metadata.size_in_bytes").desc_nulls_last(), F.col("file_metadata.name")])
+
+
+def diff_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A2: the next documents snapshot from two: ``file_id, file_metadata, content, is_deleted`` and ``change``.
 
     ``change`` is ``new`` (only in new), ``changed`` (another modification time
     or size, or another deleted flag), ``deleted`` (vanished from new: kept as
-    a tombstone with ``is_deleted = true``) or ``unchanged``. A file put back
-    to an older version has changed. One full outer join of metadata; contents
-    are not read.
+    a tombstone with ``is_deleted = true`` and its old contents) or ``unchanged``. A file put back
+    to an older version has changed. One full outer join of the snapshots' versions; contents are
+    part of it only if they are asked for (or there).
     """
-    o = old.select("file_id", F.col("file_metadata").alias("o_meta"), F.col("is_deleted").alias("o_deleted"),
-                   F.lit(True).alias("_in_old"))
-    n = new.select("file_id", F.col("file_metadata").alias("n_meta"), F.col("is_deleted").alias("n_deleted"),
-                   F.lit(True).alias("_in_new"))
+    content = "content" in old.columns and "content" in new.columns
+    pick = ["file_metadata", "is_deleted"] + (["content"] if content else [])
+    o, n = (snapshot_versions(d).select("file_id", *[F.col(c).alias(f"{side}_{c}") for c in pick], F.lit(True).alias(f"_in_{side}"))
+            for d, side in ((old, "old"), (new, "new")))
     j = o.join(n, on="file_id", how="full_outer")
     same = F.lit(True)
     for f in ("last_modified_timestamp", "size_in_bytes"):
-        same = same & F.col(f"o_meta.{f}").eqNullSafe(F.col(f"n_meta.{f}"))
-    same = same & F.coalesce("o_deleted", F.lit(False)).eqNullSafe(F.coalesce("n_deleted", F.lit(False)))
-    gone = F.when(F.col("o_deleted") == F.lit(True), "unchanged").otherwise("deleted")
+        same = same & F.col(f"old_file_metadata.{f}").eqNullSafe(F.col(f"new_file_metadata.{f}"))
+    same = same & F.coalesce("old_is_deleted", F.lit(False)).eqNullSafe(F.coalesce("new_is_deleted", F.lit(False)))
+    gone = F.when(F.col("old_is_deleted") == F.lit(True), "unchanged").otherwise("deleted")
     change = (F.when(F.col("_in_old").isNull(), "new").when(F.col("_in_new").isNull(), gone)
               .when(same, "unchanged").otherwise("changed"))
-    in_new = F.col("_in_new").isNotNull()
-    return j.select("file_id", change.alias("change"),
-                    F.when(in_new, F.col("n_meta")).otherwise(F.col("o_meta")).alias("file_metadata"),
-                    F.when(in_new, F.col("n_deleted")).otherwise(F.lit(True)).alias("is_deleted"))
+    there = F.col("_in_new").isNotNull()
+    out = [F.col("file_id"), F.when(there, F.col("new_file_metadata")).otherwise(F.col("old_file_metadata")).alias("file_metadata")]
+    if content:     # an unchanged file keeps the contents it had
+        out.append(F.when(there & ~same.eqNullSafe(True) | F.col("_in_old").isNull(), F.col("new_content")).otherwise(F.col("old_content")).alias("content"))
+    out += [F.when(there, F.col("new_is_deleted")).otherwise(F.lit(True)).alias("is_deleted"), change.alias("change")]
+    return j.select(*out)
 
 
-def diff_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A2: the next documents snapshot from two, with its ``change`` per file.
+# names of files that are opened by one job: the driver holds so many at a time, however many have changed
+NAMES_AT_ONCE = 50_000
 
-    The comparison is made on metadata; contents are met by ``file_id`` alone
-    afterwards, the old ones only for files that did not change, and drop out of the plan if not
-    asked for.
-    """
-    d = diff_metadata(old, new)
-    kept = d.join(old.select("file_id", "content"), "file_id").filter(F.col("change").isin("unchanged", "deleted"))
-    read = d.join(new.select("file_id", "content"), "file_id").filter(F.col("change").isin("new", "changed"))
-    cols = ["file_id", "file_metadata", "content", "is_deleted", "change"]
-    return kept.select(*cols).unionByName(read.select(*cols))
+
+def exact_path(path: str) -> str:
+    """A path that stands for itself where patterns are allowed."""
+    return re.sub(r"([\[\]{}*?\\^])", r"\\\1", path)
 
 
 def refresh_documents(spark: SparkSession, docs: DataFrame, root: str,
@@ -147,18 +155,25 @@ def refresh_documents(spark: SparkSession, docs: DataFrame, root: str,
 
     The listing is metadata only. Which files to read follows from the
     metadata diff, never from one global time, so a new file with an old time
-    stamp is read too; contents of other files stay those of ``docs``. Returns
+    stamp is read too; contents of other files stay those of ``docs``. Files are opened by their exact
+    names, in jobs of up to ``NAMES_AT_ONCE``, each landed before the next. Returns
     the ``diff_snapshot`` shape; persist it as the new documents table.
     """
     listing = land_documents(spark, root, pattern).drop("content")
-    d = land(diff_metadata(docs, listing), "refresh-diff")
-    changed = d.filter(F.col("change").isin("new", "changed"))
-    paths = [r[0] for r in changed.select("file_id").toLocalIterator()]   # names of the files to open
+    d = land(diff_snapshot(docs.drop("content"), listing), "refresh-diff")
+    changed = d.where(F.col("change").isin("new", "changed"))
     cols = ["file_id", "file_metadata", "content", "is_deleted", "change"]
-    kept = (d.filter(F.col("change").isin("unchanged", "deleted"))
-            .join(docs.select("file_id", "content"), "file_id").select(*cols))
-    if not paths:
+    kept = (d.where(F.col("change").isin("unchanged", "deleted"))
+            .join(snapshot_versions(docs).select("file_id", "content"), "file_id").select(*cols))
+    n = changed.count()
+    if not n:
         return kept
-    fresh = _rows(spark.read.format("binaryFile").load(paths))
-    return kept.unionByName(fresh.drop("is_deleted", "file_metadata").join(
-        changed, "file_id").select(*cols))
+    path = scratch_path(spark, "refresh-read")
+    parts = -(-n // NAMES_AT_ONCE)
+    for i in range(parts):
+        names = [r[0] for r in changed.where(F.pmod(F.xxhash64("file_id"), F.lit(parts)) == i).select("file_id").collect()]
+        if names:
+            fresh = _rows(spark.read.format("binaryFile").load([exact_path(x) for x in names]))
+            fresh.select("file_id", "content").write.mode("append").parquet(path)
+    read = spark.read.schema("file_id string, content binary").parquet(path)
+    return kept.unionByName(changed.join(read, "file_id").select(*cols))

@@ -3,28 +3,22 @@
 A burst of changes to a watched table fires once, ``gap`` after the last
 change of the burst; two changes at most ``gap`` apart belong to one burst.
 
-Batch form, skew-safe: one table may hold a large share of all changes, so the
-events are range-partitioned on ``(key, ts)`` (Spark samples the keys, so a
-hot key is split over many partitions), sessions are built inside each
-partition, and only the sessions touching a partition boundary (at most two per
-key and partition) are stitched in a second, tiny step. No task ever holds
-all events of one key.
+Batch form, a segmented scan of Spark's own operators: changes are first counted per table and
+time stamp, map side included, so any number of changes at one moment is one row. The moments are
+range-partitioned on ``(key, ts)`` (Spark samples the keys, so a hot table is split over many
+segments), bursts are found inside each segment by ``lag`` and a running sum, and only the bursts at a segment's ends (at most
+two per key and segment) are carried on into the next segments in a second, tiny scan. No task ever holds all
+changes of one key.
 
 Streaming form: ``session_window`` with a watermark, append mode.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# NULL keys form one group, as in SQL; pandas never finds two NULLs equal, so
-# they travel through the per-partition step under this stand-in
-_NULL_KEY = "\u0000gridflow-null-key"
-
-
 def _gap_seconds(gap: str | int | float) -> float:
     if isinstance(gap, (int, float)):
         return float(gap)
@@ -33,53 +27,6 @@ def _gap_seconds(gap: str | int | float) -> float:
     return float(n) * mult
 
 
-def _local_sessions(gap_s: float):
-    """Per partition (sorted by key, ts): one row per local session, flagged
-    when it is the first or last session of its key in the partition.
-
-    Rows -> sessions is vectorised per Arrow batch; sessions are then walked in
-    order so a session spanning two batches is joined up."""
-    gap = pd.Timedelta(seconds=gap_s)
-
-    def run(batches):
-        carry = None      # open session: [key, first, last, n, is_first]
-        prev_key = None   # key of the last closed session
-        out: list[tuple] = []
-        pid = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            ts = pdf["_ts"]
-            new = (pdf["_key"] != pdf["_key"].shift()) | ((ts - ts.shift()) > gap)
-            sess = (pd.DataFrame({"k": pdf["_key"], "t": ts, "s": new.cumsum()})
-                    .groupby("s", sort=True)
-                    .agg(k=("k", "first"), first=("t", "min"), last=("t", "max"), n=("t", "size")))
-            for k, first, last, n in sess.itertuples(index=False, name=None):
-                if carry is not None and carry[0] == k and first - carry[2] <= gap:
-                    carry[2] = last
-                    carry[3] += n
-                    continue
-                if carry is not None:
-                    out.append((*carry, carry[0] != k))
-                    prev_key = carry[0]
-                carry = [k, first, last, n, prev_key != k]
-            if len(out) >= 8192:
-                yield _frame(out, pid)
-                out = []
-        if carry is not None:
-            out.append((*carry, True))
-        if out:
-            yield _frame(out, pid)
-    return run
-
-
-def _frame(rows, pid):
-    df = pd.DataFrame(rows, columns=["_key", "first_ts", "last_ts", "n", "is_first", "is_last"])
-    df.insert(1, "_pid", pid)
-    return df
-
-
 def debounce_triggers(events: DataFrame, gap: str | int = "60 seconds", key: str = "table_name",
                       ts: str = "ts", group_map: DataFrame | None = None,
                       partitions: int | None = None) -> DataFrame:
@@ -95,23 +42,25 @@ def debounce_triggers(events: DataFrame, gap: str | int = "60 seconds", key: str
     if group_map is not None:
         e = (e.join(group_map.select(F.col("table_name").alias("_key"), F.col("group_name")), "_key")
              .select(F.col("group_name").alias("_key"), "_ts"))
-    e = e.withColumn("_key", F.coalesce(F.col("_key").cast("string"), F.lit(_NULL_KEY)))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (e.repartitionByRange(n, "_key", "_ts").sortWithinPartitions("_key", "_ts")
-              .withColumn("_pid", F.spark_partition_id()))
-    ts_type = dict(events.dtypes)[ts]
-    schema = (f"_key string, _pid int, first_ts {ts_type}, last_ts {ts_type}, n bigint, "
-              f"is_first boolean, is_last boolean")
-    local = ranged.mapInPandas(_local_sessions(gap_s), schema)
-    # one pass: boundary sessions of a key share a window partition (at most
+    gap_iv = F.make_dt_interval(secs=F.lit(gap_s))
+    moments = e.groupBy("_key", "_ts").agg(F.count(F.lit(1)).alias("n"))
+    ranged = moments.repartitionByRange(n, "_key", "_ts").withColumn("_pid", F.spark_partition_id())
+    seg = Window.partitionBy("_pid", "_key").orderBy("_ts")
+    apart = F.col("_ts") > F.lag("_ts").over(seg) + gap_iv
+    burst = F.sum(F.when(F.coalesce(apart, F.lit(False)), 1).otherwise(0)).over(seg.rowsBetween(Window.unboundedPreceding, 0))
+    local = (ranged.withColumn("_burst", burst).groupBy("_pid", "_key", "_burst")
+             .agg(F.min("_ts").alias("first_ts"), F.max("_ts").alias("last_ts"), F.sum("n").alias("n")))
+    last = F.max("_burst").over(Window.partitionBy("_pid", "_key"))
+    local = local.withColumns({"is_first": F.col("_burst") == 0, "is_last": F.col("_burst") == last})
+    # boundary bursts of a key share a window partition (at most
     # two rows per key and range partition) and are stitched there; every
-    # interior session is final and gets a partition key of its own, so no
+    # interior burst is final and gets a partition key of its own, so no
     # window partition grows with a hot key
     edge = F.col("is_first") | F.col("is_last")
     gk = F.when(edge, F.lit("edge")).otherwise(
         F.concat_ws(":", F.col("_pid").cast("string"), F.col("first_ts").cast("string")))
     w = Window.partitionBy("_key", "_gk").orderBy("_pid", "first_ts")
-    gap_iv = F.make_dt_interval(secs=F.lit(gap_s))
     prev_last = F.lag("last_ts").over(w)
     starts = F.when(prev_last.isNull() | (F.col("first_ts") > prev_last + gap_iv), 1).otherwise(0)
     sessions = (local.withColumn("_gk", gk)
@@ -121,7 +70,7 @@ def debounce_triggers(events: DataFrame, gap: str | int = "60 seconds", key: str
                 .agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
                      F.sum("n").alias("n")))
     return sessions.select(
-        F.when(F.col("_key") != _NULL_KEY, F.col("_key")).alias(key if group_map is None else "group_name"),
+        F.col("_key").alias(key if group_map is None else "group_name"),
         F.col("first_ts").alias("first_change"), F.col("last_ts").alias("last_change"),
         (F.col("last_ts") + gap_iv).alias("fire_at"),
         F.col("n").cast("bigint").alias("n_changes"))

@@ -120,3 +120,33 @@ def test_land_and_release(spark):
     release(df)
     assert not os.path.exists(path)
     release(df)   # second release is a no-op
+
+
+def test_refresh_opens_files_by_exact_name(spark, tmp_path, monkeypatch):
+    """Names that would be patterns land, and only they; names come to the driver a part at a time."""
+    from gridflow.sources import documents as D
+    monkeypatch.setattr(D, "NAMES_AT_ONCE", 3)
+    root = tmp_path / "odd"
+    root.mkdir()
+    names = ["a[1].xlsx", "a1.xlsx", "b{x,y}.xlsx", "bx.xlsx", "c*.xlsx", "cc.xlsx", "d e.xlsx", "f#%20.xlsx", "h^.xlsx"]
+    for n in names:
+        (root / n).write_bytes(n.encode())
+    empty = D.land_documents(spark, str(root)).limit(0)
+    got = {r["file_metadata"]["name"]: (bytes(r["content"]), r["change"]) for r in D.refresh_documents(spark, empty, str(root)).collect()}
+    assert got == {n: (n.encode(), "new") for n in names}
+
+
+def test_diff_of_null_and_repeated_ids(spark):
+    import datetime as dt
+
+    from gridflow.sources import documents as D
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    ddl = ("file_id string, file_metadata struct<name:string, size_in_bytes:bigint, last_modified_timestamp:timestamp, "
+           "created_timestamp:timestamp>, content binary, is_deleted boolean")
+    row = lambda i, h, c, gone=False: (i, (i, len(c), t(h), None), bytearray(c), gone)
+    old = spark.createDataFrame([row("a", 1, b"a1"), row("a", 2, b"a2x"), row("b", 1, b"b"), row("d", 1, b"d"), row(None, 1, b"?")], ddl)
+    new = spark.createDataFrame([row("a", 2, b"a2y"), row("b", 3, b"b3"), row("b", 2, b"b2"), row("c", 1, b"c"), row(None, 1, b"!")], ddl)
+    got = {r["file_id"]: (r["change"], bytes(r["content"]), r["is_deleted"]) for r in D.diff_snapshot(old, new).collect()}
+    assert got == {"a": ("unchanged", b"a2x", False), "b": ("changed", b"b3", False), "c": ("new", b"c", False), "d": ("deleted", b"d", True)}
+    plan = D.diff_snapshot(old, new).select("file_id", "change")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join FullOuter") == 1 and plan.count("Join ") == 1 and "content" not in plan.split("LogicalRDD")[0]

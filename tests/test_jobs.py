@@ -113,3 +113,32 @@ def test_typed_round_trip_property(spark):
         assert got == exp
 
     check()
+
+
+def test_files_of_different_layouts_parse_into_one_table(spark):
+    import datetime as dt
+
+    import pytest
+
+    from gridflow.plans.jobs import parse_to_table
+    from gridflow.sources.xlsx import write_workbook
+    ts = dt.datetime(2024, 1, 1)
+    grids = {"a": [(0, [("s", "k"), ("s", "n")]), (1, [("s", "x"), ("n", "1")])],
+             "b": [(0, [("s", "n"), ("s", "extra"), ("s", "k")]), (1, [("n", "2.5"), ("b", "true"), ("s", "y")])],
+             "c": [(0, [("s", "k"), ("s", "k")]), (1, [("s", "z"), ("s", "second")]), (2, [("s", "w")])],
+             "d": [(0, [("s", "extra")])]}
+    rows = [(f, (f, 1, ts, ts), bytearray(write_workbook([("S", g)])), False) for f, g in grids.items()]
+    docs = spark.createDataFrame(rows, "file_id string, file_metadata struct<name:string, size_in_bytes:bigint, "
+                                       "last_modified_timestamp:timestamp, created_timestamp:timestamp>, content binary, is_deleted boolean")
+    r = parse_to_table(spark, docs, None, "main.mixed_t")
+    t = spark.table("main.mixed_t")
+    assert {c["name"]: c["type"] for c in r.columns} == {"k": "STRING", "n": "DOUBLE", "extra": "BOOLEAN", "k.1": "STRING"}
+    assert sorted(tuple(x) for x in t.select("k", "n", "extra", "`k.1`").na.fill("-").na.fill(-1.0).collect()) == [
+        ("w", -1.0, None, "-"), ("x", 1.0, None, "-"), ("y", 2.5, True, "-"), ("z", -1.0, None, "second")]
+    assert (r.rows_inserted, r.total_rows, r.rejects) == (4, 4, 0)
+    r = parse_to_table(spark, docs, ["a", "b"], "main.mixed_sel", selected_columns=["extra", "n", "nothere"], write_mode="replace")
+    assert spark.table("main.mixed_sel").columns == ["extra", "n"]
+    with pytest.raises(ValueError):
+        parse_to_table(spark, docs, ["a", "b"], "main.mixed_none", selected_columns=["nothere"])
+    r = parse_to_table(spark, docs, ["a", "b"], "main.mixed_schema", schema=[("n", "BIGINT"), ("k", "STRING")])
+    assert (r.rows_inserted, r.rejects) == (1, 1)                 # 2.5 is no whole number

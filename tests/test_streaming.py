@@ -133,3 +133,22 @@ def test_debounce_null_key_is_one_group(spark):
                                "table_name string, ts timestamp")
     got = sorted(((r["table_name"] or ""), r["n_changes"]) for r in debounce_triggers(df, 60).collect())
     assert got == [("", 2), ("t", 1)]
+
+
+def test_debounce_many_changes_at_one_moment(spark):
+    """200,000 changes of one table within one second, and no Python worker in the plan."""
+    hot = spark.range(200_000).select(F.lit("hot").alias("table_name"), F.timestamp_micros(
+        F.lit(1_700_000_000_000_000) + (F.col("id") % 5) * 250_000).alias("ts"))
+    late = spark.range(3).select(F.lit("hot").alias("table_name"), F.timestamp_micros(
+        F.lit(1_700_000_100_000_000) + F.col("id")).alias("ts"))
+    out = debounce_triggers(hot.unionByName(late), "60 seconds", partitions=8)
+    plan = out._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("MapInPandas", "MapInArrow", "ArrowEvalPython", "FlatMapGroupsInPandas"))
+    assert sorted(r["n_changes"] for r in out.collect()) == [3, 200_000]
+
+
+def test_debounce_random_keys_and_gaps(spark):
+    rnd = random.Random(11)
+    events = [(rnd.choice(["a", "b", "hot", "hot", "hot"]), rnd.randint(0, 3000)) for _ in range(2500)]
+    for gap, parts in ((0, 5), (1, 16), (2, 3), (10_000, 7)):
+        assert fires(spark, events, gap, partitions=parts) == brute(events, gap)
