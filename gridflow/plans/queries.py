@@ -1205,3 +1205,6 @@ def q_sync_all(spark, sf_dir):
         drop_table(spark, t)
     drop_table(spark, state)
     return out
+
+
+from gridflow.plans import stored_queries  # noqa: E402, F401 - registers its queries
