@@ -9,12 +9,17 @@ and only what a class really has seen more often counts against it.
 A word's evidence is the log ratio of its two likelihoods, smoothly floored at
 a margin, so that only expressions clearly likelier in toxic text add up. A
 document's evidence is the mean over its words (length-normalised); its score
-is that mean on a scale from 0 to 1.
+is that mean on a scale from 0 to 1. (Without the floor, the plain difference of the two
+length-normalised log likelihoods, which is returned as well, tells far less: ordinary words,
+of which most of a toxic document consists, drown the few that are not.)
+
+Margin and scale are fitted in every run, on training rows alone: a bounded share of them is kept out of a
+first pair of models, which are then tried on it.
 
 Training is two aggregates: words of labelled documents per class, then
 letter grams of the distinct words. The model is a table of grams of six
 letters, a few hundred thousand rows; its size is checked before it is sent to
-the tasks. Scoring touches no other rows. In training, texts are joined with the
+the tasks, with all orders ready made. Scoring touches no other rows. In training, texts are joined with the
 labels; they are shuffled for that only if the labels are too many to send.
 
 A table too large to send stays in Spark: the grams of all distinct words are
@@ -24,26 +29,32 @@ evidence. The model is the same, letter for letter.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterable, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridflow.session import land
+from gridflow.session import land, release
 
 from .common import bounded_side
 
 ORDER = 6                   # letters of the longest grams
 BITS = 6                    # per letter class: grams of ORDER letters are ORDER * BITS bits
-MAX_GRAMS = 8_000_000       # 24 bytes each: what may be sent to the tasks; beyond it is joined
+MAX_GRAMS = 4_000_000       # about 90 bytes each with all orders: what may be sent to the tasks; beyond it is joined
 SMALL_ORDER = 3             # grams of so many letters are at most 2 ** 18: always sent
 DISCOUNT = 0.75
-MARGIN = 5.0                # log likelihood ratio from which a word counts as evidence
-HALF = 0.0094               # mean evidence per word that scores 0.5
+MARGINS = (2.0, 3.0, 4.0, 5.0, 6.0, 7.0)   # log likelihood ratios from which a word may count as evidence
+HELD_BACK = 6000            # distinct training texts, about, that margin and scale are fitted on (half of them at most)
+DECISION = 0.7              # score of the fitted limit between the classes
+UNFITTED = (4.0, 0.01)      # margin and scale where the texts held back are all of one class
 EDGE = 0                    # letter class of word boundaries
+SPLIT_SEED = 5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -123,33 +134,35 @@ class Model:
         return tuple(np.add.reduceat(np.log(self._interpolate(t, g, p)), ends) for t in self.top)
 
 
-def training_words(marked: DataFrame, text: str, toxic: str) -> DataFrame:
-    """``word, ordinary, toxic``: occurrences in training documents per class.
-    Rows whose ``toxic`` is null are no training documents."""
+COUNTS = ["ordinary", "toxic", "ordinary_back", "toxic_back"]
+
+
+def training_words(marked: DataFrame, text: str, toxic: str, back: str) -> DataFrame:
+    """``word`` and its ``COUNTS``: occurrences in training documents per class, those of texts
+    held back apart. Rows whose ``toxic`` is null are no training documents."""
     def run(batches):
-        n = (Counter(), Counter())
+        n = [Counter() for _ in COUNTS]
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1)):
-                n[1 if y.as_py() else 0].update(_LETTERS.findall((t.as_py() or "").lower()))
-            if len(n[0]) + len(n[1]) > 300_000:      # bounded memory; equal words meet later
+            for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                n[bool(y) + 2 * bool(h)].update(_LETTERS.findall((t.as_py() or "").lower()))
+            if sum(map(len, n)) > 300_000:      # bounded memory; equal words meet later
                 yield from _word_batches(n)
-                n = (Counter(), Counter())
+                n = [Counter() for _ in COUNTS]
         yield from _word_batches(n)
-    part = marked.where(F.col(toxic).isNotNull()).select(text, toxic).mapInArrow(
-        run, "word string, ordinary long, toxic long")
-    return part.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    part = marked.where(F.col(toxic).isNotNull()).select(text, toxic, back).mapInArrow(
+        run, "word string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return part.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def _word_batches(n):
-    words = list(n[0].keys() | n[1].keys())
+    words = list(set().union(*n))
     for i in range(0, len(words), 50_000):
         w = words[i:i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([n[0][x] for x in w], pa.int64()),
-                                          pa.array([n[1][x] for x in w], pa.int64())], ["word", "ordinary", "toxic"])
+        yield pa.RecordBatch.from_arrays([pa.array(w)] + [pa.array([c[x] for x in w], pa.int64()) for c in n], ["word", *COUNTS])
 
 
 def gram_table(words: DataFrame) -> DataFrame:
-    """``gram, ordinary, toxic`` summed over the word table."""
+    """``gram`` and its ``COUNTS`` summed over the word table."""
     def run(batches):
         for b in batches:
             w = b.column(0).to_pylist()
@@ -157,11 +170,10 @@ def gram_table(words: DataFrame) -> DataFrame:
                 continue
             g, sizes = _grams(w)
             u, at = np.unique(g, return_inverse=True)
-            sums = [np.bincount(at, np.repeat(b.column(i).to_numpy(), sizes), len(u)).astype(np.int64) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(sums[0]), pa.array(sums[1])],
-                                             ["gram", "ordinary", "toxic"])
-    return words.mapInArrow(run, "gram long, ordinary long, toxic long").groupBy("gram").agg(
-        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+            sums = [np.bincount(at, np.repeat(b.column(c).to_numpy(), sizes), len(u)).astype(np.int64) for c in COUNTS]
+            yield pa.RecordBatch.from_arrays([pa.array(u), *map(pa.array, sums)], ["gram", *COUNTS])
+    return words.select("word", *COUNTS).mapInArrow(run, "gram long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("gram").agg(
+        *[F.sum(c).alias(c) for c in COUNTS])
 
 
 def fit(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +216,9 @@ def gram_likelihoods(grams: DataFrame, wanted: DataFrame) -> DataFrame:
     return d.select("gram", F.log("ordinary").alias("ordinary"), F.log("toxic").alias("toxic"))
 
 
-def word_evidence(words: DataFrame, grams: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """``word, ordinary, toxic, letters, evidence`` of the distinct ``words(word)``, joined with the gram table."""
+def word_evidence(words: DataFrame, grams: DataFrame, margins: Sequence[float]) -> DataFrame:
+    """``word, letters, ordinary, toxic, e0, e1, ...`` of the distinct ``words(word)``, joined with the gram table; a
+    column of evidence for each margin."""
     def run(batches):
         for b in batches:
             w = b.column(0).to_pylist()
@@ -217,13 +230,20 @@ def word_evidence(words: DataFrame, grams: DataFrame, margin: float = MARGIN) ->
     parts = land(words.select("word").mapInArrow(run, "word string, gram long"), "tox-words")
     known = land(gram_likelihoods(grams, parts.select("gram").distinct()), "tox-likelihoods")
     d = parts.join(known, "gram").groupBy("word").agg(
-        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), (F.count("*") - 1).alias("letters"))
-    x = F.col("toxic") - F.col("ordinary") - margin
-    return d.withColumn("evidence", F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x))))
+        (F.count("*") - 1).alias("letters"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    d = land(d, "tox-words")
+    release(parts, known)
+    x = [F.col("toxic") - F.col("ordinary") - m for m in margins]
+    return d.select("*", *[(F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))).alias(f"e{i}") for i, v in enumerate(x)])
+
 
+def _sums(n: int) -> list[str]:
+    """What is summed over the words of a text, for ``n`` margins."""
+    return ["letters", "ordinary", "toxic", *[f"e{i}" for i in range(n)]]
 
-def _joined_scores(docs: DataFrame, grams: DataFrame, key: str, text: str, half: float, margin: float) -> DataFrame:
-    """Scores by a gram table that is not sent to the tasks: every row's distinct words
+
+def _joined_sums(docs: DataFrame, grams: DataFrame, key: str, text: str, margins: Sequence[float]) -> DataFrame:
+    """``key, n_words`` and ``_sums`` of every row by a gram table that is not sent to the tasks: every row's distinct words
     with their counts meet the words' evidence in a join."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -240,79 +260,166 @@ def _joined_scores(docs: DataFrame, grams: DataFrame, key: str, text: str, half:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(words, pa.string()),
                                                       pa.array(n, pa.int64())], ["__row", key, "__word", "__n"])
                     rows, words, n = [], [], []
-    d = docs.select(F.monotonically_increasing_id().alias("__row"), key, text).mapInArrow(
-        run, f"__row long, `{key}` {kind}, __word string, __n long")
-    known = word_evidence(d.where("__word is not null").select(F.col("__word").alias("word")).distinct(), grams, margin)
+    # row numbers hold from here on: the words are read twice
+    d = land(docs.select(F.monotonically_increasing_id().alias("__row"), key, text).mapInArrow(
+        run, f"__row long, `{key}` {kind}, __word string, __n long"), "tox-counts")
+    known = word_evidence(d.where("__word is not null").select(F.col("__word").alias("word")).distinct(), grams, margins)
     known = land(known.select(*[F.col(c).alias(f"__{c}") for c in known.columns]), "tox-evidence")
-    total = lambda c: F.coalesce(F.sum(F.col("__n") * F.col(f"__{c}")), F.lit(0.0))
-    d = d.join(known, "__word", "left").groupBy("__row", key).agg(
-        F.sum("__n").alias("__words"), total("letters").alias("__len"), total("evidence").alias("__e"),
-        total("ordinary").alias("__o"), total("toxic").alias("__t"))
-    words, letters = F.greatest("__words", F.lit(1)), F.greatest(F.col("__len") + F.col("__words"), F.lit(1.0))
-    e = F.col("__e") / words
-    return d.select(key, (e / (e + half)).alias("score"), e.alias("evidence"), (F.col("__o") / letters).alias("ordinary_ll"),
-                    (F.col("__t") / letters).alias("toxic_ll"), F.col("__words").alias("n_words"))
+    total = [F.coalesce(F.sum(F.col("__n") * F.col(f"__{c}")), F.lit(0.0)).alias(c) for c in _sums(len(margins))]
+    return d.join(known, "__word", "left").groupBy("__row", key).agg(F.sum("__n").alias("n_words"), *total).drop("__row")
 
 
 class Scorer:
-    """Scores texts, keeping a bounded cache of what each word adds."""
+    """Sums over the words of texts, keeping a bounded cache of what each word adds."""
 
     CACHE = 300_000
+    WORDS = 1 << 18       # words summed at once
+
+    def __init__(self, model: Model, margins: Sequence[float]):
+        self.model, self.margins = model, np.array(margins)
+        self._forget()
+
+    def _forget(self):
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, 3 + len(self.margins)))
+
+    def _learn(self, words: set[str]):
+        new = list(words.difference(self.known))
+        if not new:
+            return
+        if self.known and len(self.known) + len(new) > self.CACHE:
+            self._forget()
+            new = list(words)
+        at, n = len(self.known), len(self.known) + len(new)
+        if n > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((2 * n - len(self.table), self.table.shape[1]))])
+        self.known.update(zip(new, range(at, n)))
+        o, t = self.model.log_likelihoods(new)
+        rows = self.table[at:n]
+        rows[:, 0], rows[:, 1], rows[:, 2] = [len(w) for w in new], o, t
+        rows[:, 3:] = np.logaddexp(0.0, (t - o)[:, None] - self.margins)
+
+    def __call__(self, texts: Iterable[str]) -> np.ndarray:
+        """Per text: words, letters, ordinary and toxic log likelihood, evidence for each margin."""
+        out, found, held = [], [], 0
+        for t in texts:
+            found.append(_LETTERS.findall(t.lower()))
+            held += len(found[-1])
+            if held >= self.WORDS:
+                out.append(self._add_up(found))
+                found, held = [], 0
+        return np.concatenate([*out, self._add_up(found)])
+
+    def _add_up(self, found: list[list[str]]) -> np.ndarray:
+        sizes = np.array([len(f) for f in found], np.int64)
+        out = np.zeros((len(found), 1 + self.table.shape[1]))
+        out[:, 0] = sizes
+        row = np.repeat(np.arange(len(found)), sizes)
+        words = chain.from_iterable(found)
+        for i in range(0, len(row), self.WORDS):
+            part = list(islice(words, self.WORDS))
+            self._learn(set(part))
+            at = np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))
+            own = row[i:i + self.WORDS]
+            first = own[0]
+            for j in range(self.table.shape[1]):
+                s = np.bincount(own - first, self.table[at, j])
+                out[first:first + len(s), 1 + j] += s
+        return out
+
+
+def _sent_sums(docs: DataFrame, model: Model, key: str, text: str, margins: Sequence[float]) -> DataFrame:
+    """``key, n_words`` and ``_sums`` of every row by a model that is sent to the tasks."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)     # at most MAX_GRAMS grams
+    names = _sums(len(margins))
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, margin: float = MARGIN):
-        self.model, self.margin = Model(grams, counts), margin
-        self.known: dict[str, tuple[float, float, float, int]] = {}
-
-    def __call__(self, text: str) -> tuple[float, float, float, int]:
-        """(mean evidence per word, ordinary and toxic log likelihood per letter, words)."""
-        words = _LETTERS.findall(text.lower())
-        if not words:
-            return 0.0, 0.0, 0.0, 0
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > self.CACHE:
-                known.clear()
-                new = list(set(words))
-            ordinary, toxic = self.model.log_likelihoods(new)
-            x = toxic - ordinary - self.margin
-            evidence = np.logaddexp(0.0, x)
-            known.update(zip(new, zip(evidence.tolist(), ordinary.tolist(), toxic.tolist(), map(len, new))))
-        e, o, t, n = map(sum, zip(*map(known.__getitem__, words)))
-        letters = n + len(words)
-        return e / len(words), o / letters, t / letters, len(words)
+    def run(batches):
+        score = Scorer(shared.value, margins)
+        for b in batches:
+            if b.num_rows:
+                v = score(t.as_py() or "" for t in b.column(1))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v[:, 0].astype(np.int64)), *[pa.array(c) for c in v[:, 1:].T]],
+                                                 [key, "n_words", *names])
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, " + ", ".join(f"{c} double" for c in names))
+
+
+def _text_sums(docs, grams, n_grams, key, text, margins):
+    """Sums by the gram table ``grams(gram, ordinary, toxic)`` (landed) of ``n_grams`` rows."""
+    if n_grams > MAX_GRAMS:
+        return _joined_sums(docs, grams, key, text, margins)
+    return _sent_sums(docs, Model(*fit(grams)), key, text, margins)
+
+
+def fit_limit(evidence: np.ndarray, toxic: np.ndarray, margins: Sequence[float] = MARGINS,
+              decision: float = DECISION) -> tuple[float, float]:
+    """Margin and scale by the texts held back: the margin whose best limit has the largest F1, and the scale on which
+    that limit (midway to the next text) scores ``decision``. ``evidence``: a row a text, a column a margin."""
+    best = (0.0, UNFITTED)
+    if not 0 < toxic.sum() < len(toxic):
+        return UNFITTED
+    for j, m in enumerate(margins):
+        order = np.argsort(-evidence[:, j], kind="stable")
+        e, hit = evidence[order, j], np.cumsum(toxic[order])
+        f1 = 2 * hit / (np.arange(1, len(e) + 1) + toxic.sum())
+        ends = np.append(e[1:] < e[:-1], True)                 # a limit lies between different values only
+        i = int(np.where(ends, f1, 0).argmax())
+        limit = math.sqrt(max(e[i], 1e-12) * max(e[i + 1] if i + 1 < len(e) else e[i] / 2, 1e-12))
+        if f1[i] > best[0] + 1e-12:
+            best = (float(f1[i]), (m, limit * (1 - decision) / decision))
+    return best[1]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                   half: float = HALF, margin: float = MARGIN) -> DataFrame:
+                   half: float | None = None, margin: float | None = None) -> DataFrame:
     """``key, score, evidence, ordinary_ll, toxic_ll, n_words`` of every row of ``docs``.
 
     ``labels(key, toxic)``: 1 or 0 for training documents; a document with
     several labels is toxic if any says so. The scores see nothing but texts.
-    ``score`` is evidence / (evidence + half). Empty and null texts score 0.
+    ``score`` is evidence / (evidence + half); ``margin`` and ``half`` are fitted on training texts unless both are
+    given. Empty and null texts score 0.
     Without toxic or without ordinary training text every score is 0. Equal
     texts score alike; an empty table gives an empty result.
     """
     lab = land(labels.groupBy(F.col(key).alias("__key")).agg(F.max("toxic").cast("int").alias("__toxic")), "tox-labels")
+    span, n_labels = 1 << 30, lab.where("__toxic is not null").count()
+    # which texts are held back depends on the text alone, so copies stay together
+    back = F.pmod(F.xxhash64(F.lit(SPLIT_SEED), text), F.lit(span)) < min(span // 2, span * HELD_BACK // max(1, n_labels))
     # labels are given by hand or by a judge, a few bytes each; beyond 64 MiB both sides are shuffled
-    marked = docs.select(key, text).join(bounded_side(lab, 24), F.col(key) == F.col("__key"))
-    table = land(gram_table(training_words(marked, text, "__toxic")), "tox-grams")
-    n, *seen = table.agg(F.count("*"), F.sum("ordinary"), F.sum("toxic")).first()
-    usable = n > 0 and all(x > 0 for x in seen)
-    if usable and n > MAX_GRAMS:
-        return _joined_scores(docs, table, key, text, half, margin)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(table) if usable else None)   # at most MAX_GRAMS rows
-
-    def run(batches):
-        score = Scorer(*shared.value, margin) if usable else None
-        for b in batches:
-            rows = [score(t.as_py() or "") if score else (0.0, 0.0, 0.0, 0) for t in b.column(1)]
-            if not rows:
-                continue
-            e, o, t, n = map(np.array, zip(*rows))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(e / (e + half)), pa.array(e), pa.array(o), pa.array(t), pa.array(n.astype(np.int64))],
-                [key, "score", "evidence", "ordinary_ll", "toxic_ll", "n_words"])
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, evidence double, ordinary_ll double, "
-                                                  "toxic_ll double, n_words long")
+    marked = docs.select(key, text).join(bounded_side(lab, 24), F.col(key) == F.col("__key")).withColumn("__back", back)
+    table = land(gram_table(training_words(marked, text, "__toxic", "__back")), "tox-grams")
+    full = [F.col(c) + F.col(f"{c}_back") for c in ("ordinary", "toxic")]
+    n, n_front, *seen = table.agg(F.count("*"), F.count_if(F.col("ordinary") + F.col("toxic") > 0), *map(F.sum, full)).first()
+    none = F.lit(0.0)
+    if not (n and all(x for x in seen)):
+        return docs.select(key, none.alias("score"), none.alias("evidence"), none.alias("ordinary_ll"), none.alias("toxic_ll"),
+                           F.lit(0).cast("long").alias("n_words"))
+    if margin is None or half is None:
+        margin, half = _fitted(marked, table, n_front, text)
+    whole = land(table.select("gram", full[0].alias("ordinary"), full[1].alias("toxic")), "tox-grams")
+    d = _text_sums(docs, whole, n, key, text, (margin,))
+    release(lab, table)
+    words, letters = F.greatest("n_words", F.lit(1)), F.greatest(F.col("letters") + F.col("n_words"), F.lit(1.0))
+    e = F.col("e0") / words
+    return d.select(key, (e / (e + half)).alias("score"), e.alias("evidence"), (F.col("ordinary") / letters).alias("ordinary_ll"),
+                    (F.col("toxic") / letters).alias("toxic_ll"), "n_words")
+
+
+def _fitted(marked: DataFrame, table: DataFrame, n_grams: int, text: str) -> tuple[float, float]:
+    """Margin and scale: models of the training texts not held back, tried on each distinct text held back."""
+    front = land(table.where(F.col("ordinary") + F.col("toxic") > 0).select("gram", "ordinary", "toxic"), "tox-front")
+    both = front.agg(F.sum("ordinary"), F.sum("toxic")).first()
+    if not all(both):
+        return UNFITTED
+    tried = marked.where(F.col("__back") & F.col("__toxic").isNotNull()).groupBy(F.xxhash64(text).alias("__h")).agg(
+        F.first(text).alias(text), F.max("__toxic").alias("__y"))
+    tried = land(tried.select(F.struct("__h", "__y").alias("__id"), text), "tox-tried")
+    rows = _text_sums(tried, front, n_grams, "__id", text, MARGINS)
+    words = F.greatest("n_words", F.lit(1))
+    got = rows.select(F.col("__id.__h").alias("h"), F.col("__id.__y").alias("y"),
+                      *[F.col(f"e{i}") / words for i in range(len(MARGINS))]).collect()      # about HELD_BACK rows
+    release(front, tried)
+    got.sort(key=lambda r: r["h"])
+    if not got:
+        return UNFITTED
+    return fit_limit(np.array([r[2:] for r in got], float), np.array([r["y"] for r in got]))

@@ -441,3 +441,78 @@ def test_toxicity_is_the_same_with_a_joined_gram_table(spark, monkeypatch):
         assert a[0] == b[0] and a[5] == b[5] and a[1:5] == pytest.approx(b[1:5], rel=1e-6, abs=1e-9)
     assert {r[1] for r in run(odd_documents(spark), lab.limit(0))} == {0.0}
     assert run(empty(spark), lab) == []
+
+
+def test_toxicity_document_scores_equal_brute_force(spark):
+    """Scores from letter counts by plain loops: Kneser-Ney probabilities of every letter, the floor at the margin, the mean over words."""
+    rows = [(1, "calm words flow on", 0), (2, "grumf zorx calm", 1), (3, "Zorx zorx, words", 1), (4, "the flow of words", 0), (5, "grumf-calm é zorx", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9, "zorx calm unseen"), (10, ""), (11, None)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    n, d, margin, half = toxicity.ORDER, toxicity.DISCOUNT, 1.5, 0.2
+    top = [collections.Counter(), collections.Counter()]
+
+    def letters(w):
+        return [toxicity.EDGE] * (n - 1) + toxicity.letter_classes(w) + [toxicity.EDGE]
+
+    def words(t):
+        return re.findall(r"[^\W\d_]+", t.lower())
+    for _, t, y in rows:
+        for w in words(t):
+            c = letters(w)
+            top[y].update(tuple(c[i - n + 1:i + 1]) for i in range(n - 1, len(c)))
+    types = set(top[0]) | set(top[1])
+    lower = {}
+    for k in range(n - 1, 0, -1):
+        lower[k] = collections.Counter(g[1:] for g in types)
+        types = set(lower[k])
+
+    def interpolated(counts, g, below):
+        total = sum(v for x, v in counts.items() if x[:-1] == g[:-1])
+        if not total:
+            return below
+        kinds = sum(1 for x in counts if x[:-1] == g[:-1])
+        return (max(counts[g] - d, 0) + d * kinds * below) / total
+
+    def likelihood(w, y):
+        c, out = letters(w), 0.0
+        for i in range(n - 1, len(c)):
+            p = 1 / (1 << toxicity.BITS)
+            for k in range(1, n):
+                p = interpolated(lower[k], tuple(c[i - k + 1:i + 1]), p)
+            out += math.log(interpolated(top[y], tuple(c[i - n + 1:i + 1]), p))
+        return out
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, lab, half=half, margin=margin).collect()}
+    for i, t in [(i, t) for i, t, _ in rows] + [(9, "zorx calm unseen")]:
+        ws = words(t)
+        e = sum(math.log1p(math.exp(likelihood(w, 1) - likelihood(w, 0) - margin)) for w in ws) / len(ws)
+        assert got[i]["evidence"] == pytest.approx(e, rel=1e-9) and got[i]["score"] == pytest.approx(e / (e + half), rel=1e-9)
+        long = sum(len(w) + 1 for w in ws)
+        assert got[i]["ordinary_ll"] == pytest.approx(sum(likelihood(w, 0) for w in ws) / long, rel=1e-9)
+        assert got[i]["toxic_ll"] == pytest.approx(sum(likelihood(w, 1) for w in ws) / long, rel=1e-9)
+    assert got[10]["score"] == got[11]["score"] == 0.0 and got[2]["score"] > got[1]["score"]
+
+
+def test_toxicity_limit_is_fitted_on_texts_held_back():
+    toxic = np.array([1, 1, 1, 0, 0, 0, 0])
+    evidence = np.array([[.9, .5], [.2, .4], [.1, .3], [.8, .03], [.3, .02], [.2, .02], [0, 0]])
+    margin, half = toxicity.fit_limit(evidence, toxic, (2.0, 5.0), decision=0.7)
+    assert margin == 5.0                              # the first margin cannot part them
+    score = lambda e: e / (e + half)
+    assert score(.3) > 0.7 > score(.03)
+    assert toxicity.fit_limit(evidence, toxic * 0, (2.0, 5.0)) == toxicity.UNFITTED
+    assert toxicity.fit_limit(evidence[:0], toxic[:0]) == toxicity.UNFITTED
+    tied = np.full((4, 1), .5)                        # equal values fall on one side
+    m, h = toxicity.fit_limit(tied, np.array([1, 0, 0, 1]), (3.0,))
+    assert .5 / (.5 + h) > 0.7
+
+
+def test_toxicity_scorer_adds_up_over_parts(monkeypatch):
+    words = ["aa", "bb", "ccc"]
+    g, _ = toxicity._grams(words)
+    model = toxicity.Model(np.unique(g), np.ones((2, len(np.unique(g))), np.int64))
+    texts = ["aa bb", "", "ccc " * 50 + "aa", "!", "bb"]
+    whole = toxicity.Scorer(model, (2.0, 3.0))(texts)
+    monkeypatch.setattr(toxicity.Scorer, "WORDS", 3)
+    monkeypatch.setattr(toxicity.Scorer, "CACHE", 2)
+    assert np.allclose(toxicity.Scorer(model, (2.0, 3.0))(texts), whole)
+    assert whole[:, 0].tolist() == [2, 0, 51, 0, 1] and whole[:, 1].tolist() == [4, 0, 152, 0, 2]
