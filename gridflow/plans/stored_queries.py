@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridflow.plans import views as V
-from gridflow.plans.queries import GIVEN_TABLES, _NA_SQL, register, workbook_docs
+from gridflow.plans.queries import _NA_SQL, GIVEN_TABLES, _profile_sql, register, workbook_docs
 from gridflow.session import land, scratch_path
 
 SCHEMA = "gridflow_queries"
@@ -312,3 +312,58 @@ def q_stream_runs(spark, sf_dir):
         time.sleep(0.2)
     return table.agg(F.sum("num_input_rows").alias("n_documents"), F.count("*").cast("int").alias("n_batches"),
                      (F.count_distinct("batch_id") == 5).alias("whole"))
+
+
+# ------------------------------------------------------------- statistics
+def _statistics(spark, sf_dir, detailed: bool, out):
+    """``out(store)`` of the statistics of all given tables, stored and refreshed twice: the second time nothing is read."""
+    from gridflow.operators.statistics import refresh_statistics
+    from gridflow.sinks.loads import drop_loads
+    store = _fresh("stats")
+    roots = {t: f"{sf_dir}/{t}.parquet" for t in GIVEN_TABLES}
+    try:
+        refresh_statistics(spark, store, roots, detailed)
+        assert refresh_statistics(spark, store, roots, detailed) == {"read": 0, "dropped": 0}
+        return land(out(store), "statistics")
+    finally:
+        drop_loads(spark, store)
+
+
+@register("stored_counts", "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, true AS has_size FROM {t}" for t in GIVEN_TABLES))
+def q_stored_counts(spark, sf_dir):
+    """E9 from stored statistics, counted from footers."""
+    from gridflow.operators.statistics import table_statistics
+    return _statistics(spark, sf_dir, False, lambda store: table_statistics(spark, store).select(
+        "table_name", "n_rows", (F.col("size_in_bytes") > 0).alias("has_size")))
+
+
+@register("stored_sketches", f"""
+SELECT *, true AS distinct_near, true AS quartiles_near FROM ({_profile_sql()})
+UNION ALL SELECT 'embeddings', 'embedding', count(*), count(*) FILTER (WHERE embedding IS NULL), min(len(embedding))::DOUBLE, max(len(embedding))::DOUBLE,
+       NULL, NULL, true, true FROM embeddings""")
+def q_stored_sketches(spark, sf_dir):
+    """E10 from stored sketches, merged over files: distinct counts within 5 % of the exact ones and the ranks of quartiles within 3 %, of
+    every column of every given table, arrays included."""
+    from gridflow.operators.contracts import column_stats
+    from gridflow.operators.statistics import column_statistics
+    given = {t: V.table(spark, sf_dir, t) for t in GIVEN_TABLES}
+    exact = column_stats(spark, given, "exact").select("table_name", "column_name", F.col("n_distinct").alias("__exact"))
+    ranks = None
+
+    def out(store):
+        nonlocal ranks
+        c = land(column_statistics(spark, store), "sketches")
+        for r in c.where("kind = 'number' AND quartiles IS NOT NULL").select("table_name", "column_name", "quartiles").collect():    # a row a column
+            x = F.col(r["column_name"]).cast("double")
+            q = [F.abs((F.count_if(x < v) + F.count_if(x <= v)) / 2 / F.count(x) - p)
+                 - F.count_if(x == v) / 2 / F.count(x) <= 0.03 for v, p in zip(r["quartiles"], (0.25, 0.5, 0.75))]
+            one = given[r["table_name"]].agg((q[0] & q[1] & q[2]).alias("__ranks")).select(
+                F.lit(r["table_name"]).alias("table_name"), F.lit(r["column_name"]).alias("column_name"), "__ranks")
+            ranks = one if ranks is None else ranks.unionByName(one)
+        keys = ["table_name", "column_name"]
+        d = c.join(exact, keys, "left").join(ranks, keys, "left")
+        near = F.abs(F.col("n_distinct") - F.col("__exact")) <= 0.05 * F.col("__exact")
+        return d.select(*keys, "n_rows", "n_nulls", "min_num", "max_num", "min_text", "max_text",
+                        F.when(F.col("__exact").isNull() | (F.col("__exact") == 0), F.lit(True)).otherwise(near).alias("distinct_near"),
+                        F.coalesce("__ranks", F.lit(True)).alias("quartiles_near"))
+    return _statistics(spark, sf_dir, True, out)
