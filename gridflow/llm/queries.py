@@ -90,7 +90,9 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = urlrep.judge_urls(table(spark, sf_dir, "pages"), page_labels(spark, sf_dir), RULES)
+    pages = table(spark, sf_dir, "pages")
+    suffixes = urlrep.derived_suffixes(pages.select(urlrep.host_of(F.col("url")).alias("host")))
+    d = urlrep.judge_urls(pages, page_labels(spark, sf_dir), RULES, suffixes=suffixes)
     return d.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -224,8 +226,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _op10() -> str:
     u = urlrep
-    two = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
-    known = ", ".join(f"'{s}'" for s in u.TWO_LABEL_SUFFIXES)
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
 
     def shrink(name, groups, parent, on):
@@ -242,8 +242,12 @@ WITH p0 AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
 h0 AS (SELECT host, count(good)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p0 LEFT JOIN lab ON doc_id = page_id GROUP BY host),
-h1 AS (SELECT *, CASE WHEN {two} IN ({known}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix,
-              CASE WHEN {two} IN ({known}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {two} END AS domain FROM h0),
+tails AS (SELECT host, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS j FROM h0),
+many AS (SELECT parent FROM (SELECT DISTINCT array_to_string(list_slice(l, -j, -1), '.') AS parent, l[len(l) - j] AS child FROM tails WHERE j > 1 AND j < len(l) AND length(host) <= {u.LONGEST_HOST})
+         GROUP BY parent HAVING count(*) >= {u.MIN_CHILDREN}),
+cut AS (SELECT host, coalesce(max(j) FILTER (WHERE j > 1 AND array_to_string(list_slice(l, -j, -1), '.') IN (SELECT parent FROM many)), 1) AS j FROM tails GROUP BY host),
+h1 AS (SELECT h0.*, array_to_string(list_slice(string_split(host, '.'), -j, -1), '.') AS suffix,
+              array_to_string(list_slice(string_split(host, '.'), -j - 1, -1), '.') AS domain FROM h0 JOIN cut USING (host)),
 d1 AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM h1 GROUP BY suffix, domain),
 s1 AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d1 GROUP BY suffix),
 g AS (SELECT sum(n) AS n, sum(good) AS good, CASE WHEN sum(n) > 0 THEN sum(good) / sum(n) ELSE 0.5 END AS rate FROM s1),

@@ -24,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br",
                       "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk"]
 
+LONGEST_HOST = 253 # characters of a host that a name server can know
+MIN_CHILDREN = 10  # names under a name that make it a suffix
 MIN_GOOD = 0.5     # hosts whose upper bound is under this are blocked
 Z = 1.645          # of the bound: one-sided 95 %
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
@@ -76,6 +78,16 @@ def named(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
                           "domain": F.expr("substring_index(host, '.', -__j - 1)")}).drop("__host", "__j")
 
 
+def derived_suffixes(hosts: DataFrame, min_children: int = MIN_CHILDREN) -> DataFrame:
+    """``suffix``: names of two or more labels under which ``hosts(host)`` show ``min_children`` different
+    names or more (longer ones than ``LONGEST_HOST`` characters are none): there, as under a country's ``co`` or at a host of sites, names belong to many owners."""
+    label = F.split("host", r"\.")
+    d = hosts.select("host").distinct().where((F.size(label) > 2) & (F.length("host") <= LONGEST_HOST)).select("host", F.explode(F.sequence(F.lit(2), F.size(label) - 1)).alias("j"))
+    d = d.select(F.expr("substring_index(host, '.', -j)").alias("suffix"),
+                 F.expr("substring_index(substring_index(host, '.', -j - 1), '.', 1)").alias("child")).distinct()
+    return d.groupBy("suffix").agg(F.count("*").alias("n")).where(F.col("n") >= min_children).select("suffix")
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest fitting rule, or null.
 

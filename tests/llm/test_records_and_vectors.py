@@ -444,3 +444,29 @@ def test_local_search_ends_soon_on_lengths_of_the_pipeline(times):
     assert time.process_time() - start < 15
     assert pieces_of(end) == collections.Counter(sizes) and all(sum(b) <= 2048 for b in end)
     assert packing.lower_bound(sizes, 2048) <= sum(end.values()) <= sum(fit.values())
+
+
+def test_suffixes_are_derived_from_hosts(spark):
+    hosts = ([f"n{i}.co.xy" for i in range(12)] + [f"www.n{i}.co.xy" for i in range(12)] + [f"h{i}.one.com" for i in range(9)]
+             + ["a.b.c.d", "com", "", "n1.co.xy", None])
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert [r[0] for r in urlrep.derived_suffixes(d).collect()] == ["co.xy"]         # one.com has nine names, not ten
+    assert {r[0] for r in urlrep.derived_suffixes(d, 9).collect()} == {"co.xy", "one.com"}
+    got = {r["host"]: (r["suffix"], r["domain"]) for r in urlrep.named(d.where("host is not null").distinct(), urlrep.derived_suffixes(d)).collect()}
+    assert got["www.n3.co.xy"] == ("co.xy", "n3.co.xy") and got["h1.one.com"] == ("com", "one.com") and got["com"] == ("com", "com")
+    assert urlrep.derived_suffixes(d.limit(0)).collect() == []
+
+
+def test_url_odd_rows(spark):
+    """Null and repeated keys, repeated rows, very long urls, no labels at all."""
+    long = "http://" + "a." * 30_000 + "net/" + "x" * 1_000_000
+    rows = [(None, "http://a.com/x"), (1, "http://a.com/x"), (1, "http://a.com/x"), (2, long), (3, None), (4, "http:///p")]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in rows], "page_id long, url string, host string")
+    lab = spark.createDataFrame([(1, 0), (None, 1), (7, None)], "page_id long, good int")
+    got = urlrep.judge_urls(pages, lab, RULES, suffixes=urlrep.derived_suffixes(pages.select(urlrep.host_of(F.col("url")).alias("host")))).collect()
+    assert len(got) == len(rows)
+    assert sorted(str(r["page_id"]) for r in got) == ["1", "1", "2", "3", "4", "None"]
+    assert {r["rule"] for r in got if r["page_id"] == 2} == {"net/"} and {r["host"] for r in got if r["page_id"] in (3, 4)} == {""}
+    assert len({(r["verdict"], r["rate"]) for r in got if r["host"] == "a.com"}) == 1
+    none = urlrep.judge_urls(pages, lab.limit(0), RULES).collect()
+    assert {r["rate"] for r in none} == {0.5}
