@@ -174,5 +174,5 @@ def column_statistics(spark: SparkSession, store: str, top: int = 3) -> DataFram
         F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("n_distinct"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {TOP_ITEMS}), {int(top)})").alias("top"))
     ranks = F.array(*map(F.lit, QUANTILES))
     numbers = d.where("kll is not null and min_num is not null").groupBy(*keys).agg(
-        F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("kll"), ranks).alias("quartiles"))
+        F.kll_sketch_get_quantile_double(F.kll_merge_agg_double("kll", F.lit(SKETCH_K)), ranks).alias("quartiles"))
     return base.join(sketched, keys, "left").join(numbers, keys, "left")
