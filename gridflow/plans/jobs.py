@@ -454,11 +454,14 @@ def run_sync(spark: SparkSession, cfg: dict, docs: DataFrame, header_row: int =
         if typed is None:   # empty sheet: success, nothing written
             parse = {"status": "success", "rows_processed": 0, "message": "empty table"}
         else:
+            obs = Observation(f"run_{uuid.uuid4().hex[:8]}")
+            typed = typed.observe(obs, F.count(F.lit(1)).alias("n"), F.count_if("_rejected").alias("bad"))
             typed = G.attach_fixed_cell(rows, typed.drop("_rejected"), owner_cell[0], owner_cell[1],
                                         "supplier_id").drop("file_id")
             S.replace_table(typed, target)
-            n = spark.table(target).count()
-            parse = {"status": "success", "rows_processed": n, "message": f"wrote {n} rows"}
+            n, bad = int(obs.get["n"]), int(obs.get["bad"])
+            told = f"wrote {n} rows" + (f", {bad} of them with a value its column cannot hold (NULL)" if bad else "")
+            parse = {"status": "success", "rows_processed": n, "rejects": bad, "message": told}
     except Exception as e:  # noqa: BLE001
         return {"status": "error", "gate": gate,
                 "parse": {"status": "error", "message": str(e)}, "dq": None}

@@ -162,6 +162,12 @@ def release(*dfs: DataFrame) -> None:
         df._gridflow_scratch = None
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder (any Hadoop file system); none there is fine."""
+    fs, hpath = _hadoop(spark, path)
+    fs.delete(hpath, True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for the few helpers that touch local paths."""
     return path[5:] if path.startswith("file:") else path

@@ -1,8 +1,8 @@
 """Table sinks.
 
-Without Delta, replacement is staged: the new snapshot is written under a
-staging name first and swapped in by rename, so a table is never overwritten
-while it is being read and a failed write leaves the old table intact.
+A table is never overwritten while it is being read: new contents are written to a folder of their own, to which the
+catalog entry is then pointed (or under a staging name, where the columns change), and a failed write leaves the
+old table intact.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gridflow.session import land, release
+from gridflow.session import delete_path, land, release
 
 TABLE_FORMAT = "parquet"
 
@@ -48,8 +48,11 @@ def ensure_table(spark: SparkSession, name: str, schema: Sequence[tuple[str, str
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
-    """B9."""
+    """B9, with the folder that the last replacement left."""
+    before = table_property(spark, name, PREVIOUS) if table_exists(spark, name) else None
     spark.sql(f"DROP TABLE IF EXISTS {quote_name(name)}")
+    if before:
+        delete_path(spark, before)
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
@@ -90,21 +93,53 @@ def append_rows(df: DataFrame, name: str, reject_col: str | None = None) -> dict
     return {"rows_inserted": total - rej, "total_rows": total, "rejects": rej}
 
 
+# property of a replaced table: the folder of the contents before, which running queries may still read
+PREVIOUS = "gridflow.previous"
+
+
 def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     """Replace contents and schema, keeping the table's own properties and comment.
 
-    The new contents are written under a staging name. The old table is then
-    renamed aside, the staging table renamed into place, and the old one
-    dropped last; if the second rename fails, the old table is put back.
+    Contents of the same columns are written to a folder of their own, and the catalog entry is pointed
+    there: one change, so a reader sees the old contents or the new, and a crash leaves the old. The old folder stays until the next
+    replacement, for queries that run on it. A table of other columns, or a partitioned one, cannot be switched that way: it is
+    written under a staging name, the old table renamed aside and the staging table into its place, and the old
+    one dropped last; if the second rename fails, the old table is put back.
     """
     spark = df.sparkSession
     ensure_schema(spark, name)
+    exists = table_exists(spark, name)
+    if exists and not partition_by and _layout(spark.table(name)) == _layout(df):
+        described = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {quote_name(name)}").collect()}
+        location = described.get("Location")
+        if location and described.get("Provider", "").lower() == TABLE_FORMAT and "# Partition Information" not in described:
+            return _switch(df, name, location)
+    _swap(df, name, partition_by, exists)
+
+
+def _layout(df: DataFrame) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in df.schema]
+
+
+def _switch(df: DataFrame, name: str, location: str) -> None:
+    spark = df.sparkSession
+    folder = f"{location.rstrip('/').split('__version_')[0]}__version_{uuid.uuid4().hex[:12]}"
+    df.write.parquet(folder)
+    stale = table_property(spark, name, PREVIOUS)
+    spark.sql(f"ALTER TABLE {quote_name(name)} SET LOCATION {_text(folder)}")
+    spark.catalog.refreshTable(name)
+    set_table_property(spark, name, PREVIOUS, location)
+    if stale:
+        delete_path(spark, stale)
+
+
+def _swap(df: DataFrame, name: str, partition_by: Sequence[str], exists: bool) -> None:
+    spark = df.sparkSession
     parts = _parts(name)
     tag = uuid.uuid4().hex[:8]
     staging, aside = (".".join(parts[:-1] + [f"{parts[-1]}__{kind}_{tag}"]) for kind in ("staging", "old"))
     writer = df.write.mode("overwrite").format(TABLE_FORMAT)
     (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(staging)
-    exists = table_exists(spark, name)
     if exists:
         own = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {quote_name(name)}").collect()}
         for k, v in own.items():
