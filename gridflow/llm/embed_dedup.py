@@ -63,7 +63,9 @@ def passes_needed(n: int, window: int, threshold: float, miss: float = MISS) ->
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows at length 1. Each is first brought near 1 by a power of two, which is exact, so that no square under- or overflows."""
+    near = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return near / np.linalg.norm(near, axis=1, keepdims=True)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -470,3 +470,12 @@ def test_url_odd_rows(spark):
     assert len({(r["verdict"], r["rate"]) for r in got if r["host"] == "a.com"}) == 1
     none = urlrep.judge_urls(pages, lab.limit(0), RULES).collect()
     assert {r["rate"] for r in none} == {0.5}
+
+
+def test_vectors_of_tiny_and_huge_parts_link_by_direction(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [2e-200, -1e-200]), (5, [5e-324, 0.0]), (6, [1e308, 1e308])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.dedup_embeddings(d).collect()}
+    # cosine of (1, 2) and (1, 1) is 0.949, of (1, 1) and (1, 0) 0.707
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 6: (3, 1), 4: (0, 4), 5: (0, 5)}
+    assert np.allclose(np.linalg.norm(embed_dedup._unit(np.array([r[1] for r in rows])), axis=1), 1)
