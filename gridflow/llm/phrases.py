@@ -1,18 +1,18 @@
 """Phrase collocations by Toivonen mining.
 
 A sample of the documents proposes which words and pairs are frequent. One pass
-over all documents then counts exactly what was proposed and its negative
-border: every word, every pair of proposed words, every triple of two proposed
-pairs. Where something on the border turns out frequent that was not proposed,
-longer phrases that contain it were not looked at: an expansion pass counts just
-those, until a pass brings nothing new. So the counts of all frequent phrases are exact and
+over all documents then counts what was proposed, triples of proposed pairs, and the negative
+border: all other words, and all other pairs of proposed words. Where something on the
+border turns out frequent, neither it nor the longer phrases that contain it have been counted in full: an
+expansion pass counts just those, until a pass brings nothing new. So the counts of all frequent phrases are exact and
 complete, whatever the sample held; a poor sample only costs another pass.
 
-What is proposed is sent to the tasks as a bit filter of bounded size, hashed
-by phrase. A filter never forgets a phrase; where it wrongly knows one, some more
-phrases are counted, which changes no result. A task counts the phrases of a
-stretch of text by sorting word numbers, and sends each with its count: a phrase travels as
-text, so no two phrases are ever taken for one.
+A phrase that counts travels as text, so no two are ever taken for one. The border, by far the larger
+part, travels as 64-bit hashes: the count of a hash is that of its phrase, or more if two phrases share it,
+so one under the minimum rules its phrases out, and the others are counted anew as text.
+What is proposed is sent to the tasks as a bit filter of bounded size, also hashed. A filter never forgets a phrase;
+where it wrongly knows one, some more phrases are counted, which changes no result. A task counts the phrases of a
+stretch of text by sorting word numbers, and sends each with its count.
 
 Phrases of two and three words score by their weakest cut; the counts of both
 parts come by joins in which words with a large share of all occurrences, which
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gridflow.session import land, release
 
-from .common import text_bytes
+from .common import bounded_side, text_bytes
 
 MIN_COUNT = 10
 SAMPLE_SHARES = 4            # one document in so many is in the sample
@@ -44,6 +44,8 @@ MAX_FILTER_BITS = 1 << 27    # ... and a filter's largest size (16 MiB), whateve
 STRETCH = 1 << 20            # words of a language that a task counts at once
 HELD = 3 << 19               # distinct words and words not yet counted that a task holds
 TEXT_PART = 1 << 21          # bytes of a text that are split at once
+SHARES = 16                  # parts of a language that are ranked by themselves first
+HASHED = -1                  # in place of a phrase's number of words: counted as a hash
 HOT_SHARE = 1024             # phrases with 1 / HOT_SHARE of all occurrences: at most as many
 UNKNOWN = "und"
 
@@ -55,8 +57,8 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 # ---- filters ----------------------------------------------------------------
 
-def word_hash(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
+def lang_seed(lang: bytes) -> int:
+    return xxhash.xxh32_intdigest(lang)
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -71,10 +73,10 @@ def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
     out = np.zeros(len(phrases), np.uint64)
     seconds, at = np.zeros(len(phrases), np.uint64), np.zeros(len(phrases), bool)
     for i, (lang, p) in enumerate(zip(langs, phrases)):
-        key, words = lang.encode(), p.encode().split(b" ")
-        out[i] = word_hash(key, words[0])
+        seed, words = lang_seed(lang.encode()), p.encode().split(b" ")
+        out[i] = xxhash.xxh64_intdigest(words[0], seed)
         if len(words) > 1:
-            seconds[i], at[i] = word_hash(key, words[1]), True
+            seconds[i], at[i] = xxhash.xxh64_intdigest(words[1], seed), True
     return np.where(at, pair_hash(out, seconds), out)
 
 
@@ -99,76 +101,90 @@ class Filter:
         return out
 
 
-def build_filter(phrases: DataFrame, least: Filter | None = None) -> Filter:
-    """A filter of ``phrases(lang, phrase)`` (landed), and of all that ``least`` knows.
+def build_filter(hashes: DataFrame, least: Filter | None = None) -> Filter:
+    """A filter of ``hashes(h)`` (landed), and of all that ``least`` knows.
 
     The driver gets its bits, a row per 64 of them: at most ``MAX_FILTER_BITS``,
     however many phrases there are.
     """
     if least is None:
-        n = phrases.count()
+        n = hashes.count()
         size = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (BITS_EACH * n).bit_length()))
         words = np.zeros(size // 64, np.uint64)
     else:
-        words = least.words.copy()
-    out = Filter(words)
+        size, words = least.size, least.words.copy()
 
     def run(batches):
-        own = Filter(np.zeros(out_size // 64, np.uint64))
+        own = Filter(np.zeros(size // 64, np.uint64))
         for b in batches:
-            h = phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist())
-            for p in own.places(h):
+            for p in own.places(b.column(0).to_numpy().view(np.uint64)):
                 np.bitwise_or.at(own.words, (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63)))
         at = np.flatnonzero(own.words)
         for i in range(0, len(at), 1 << 16):
             part = at[i:i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own.words[part].view(np.int64))], ["at", "bits"])
-    out_size = out.size
-    bits = phrases.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(
-        F.bit_or("bits").alias("bits")).toArrow()
-    at = bits["at"].to_numpy()
-    words[at] |= bits["bits"].to_numpy().view(np.uint64)
-    return out
+    bits = hashes.select("h").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words[bits["at"].to_numpy()] |= bits["bits"].to_numpy().view(np.uint64)
+    return Filter(words)
 
 
 # ---- counting ---------------------------------------------------------------
 
 @dataclass
 class Wanted:
-    """What a pass counts: words or not; pairs of words that ``words`` knows; triples
-    of pairs that ``pairs`` knows; of these only what the filters before did not know."""
+    """What a pass counts. ``words`` and ``pairs`` know what is taken for frequent.
+
+    As text: words and pairs that they know, pairs of words that ``words`` has come to know, triples of pairs that
+    ``pairs`` knows; without what the filters ``before`` knew. As hashes, in a first pass: all other words, and all other pairs
+    of words that are known. ``sample``: words, or pairs of known words, as hashes only.
+    """
 
-    count_words: bool
     words: Filter | None = None
     pairs: Filter | None = None
     words_before: Filter | None = None
     pairs_before: Filter | None = None
+    sample: bool = False
+    second: bool = False      # the pass after the first, to which pairs have come from the border; later ones come from passes that counted them
+
+    @property
+    def first(self) -> bool:
+        return not self.sample and self.words_before is None
+
+
+class _Numbers(dict):
+    """Numbers words as they come: from 1 on; 0 ends a piece, and what is between two blanks is no word."""
+
+    def __init__(self):
+        super().__init__({b"": -1, b"\x0a": 0})
+        self.names = [b"\x0a"]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.names)
+        self.names.append(word)
+        return n
 
 
 class _Counter:
     """Counts the phrases of one language's texts, a stretch of words at a time.
 
-    Words are numbered from 1; 0 ends a piece. The last two words of a stretch
+    The last two words of a stretch
     are carried into the next, for phrases that run on.
     """
 
     def __init__(self, lang: bytes, wanted: Wanted):
-        self.lang, self.wanted = lang, wanted
+        self.seed, self.wanted = lang_seed(lang), wanted
         self.parts: list[np.ndarray] = []
-        self.pending = self.carried = 0
+        self.pending = self.carried = self.total = 0
         self._renumber()
 
     def _renumber(self):
-        self.number, self.names = {b"": -1, b"\x0a": 0}, [b"\x0a"]
+        self.number = _Numbers()
+        self.names = self.number.names
         self.counts, self.hashes = np.zeros(64, np.int64), np.zeros(64, np.uint64)
         self.known, self.before, self.hashed = np.zeros(64, bool), np.zeros(64, bool), 1
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
-        number = self.number
-        for w in set(words).difference(number):
-            number[w] = len(self.names)
-            self.names.append(w)
-        ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         return ids[ids >= 0]
 
     def add(self, text: bytes) -> Iterator[tuple]:
@@ -191,8 +207,7 @@ class _Counter:
         ids = np.concatenate([np.zeros(1, np.int64), *self.parts])
         carried, n = self.carried + 1, len(self.names)
         self._grow(n)
-        if self.wanted.count_words:
-            self.counts[:n] += np.bincount(ids[carried:], minlength=n)
+        self.counts[:n] += np.bincount(ids[carried:], minlength=n)
         if self.wanted.words is not None:
             yield from self._phrases(ids, carried)
         self.parts = [ids[-2:]]
@@ -201,11 +216,19 @@ class _Counter:
     def finish(self) -> Iterator[tuple]:
         """What is left; the counter starts anew."""
         yield from self._stretch()
-        if self.wanted.count_words:
-            self.counts[0] = 0
-            at = np.flatnonzero(self.counts)
+        n, w = len(self.names), self.wanted
+        self.counts[0] = 0
+        there = self.counts[:n] > 0
+        if w.sample:
+            if w.words is None:
+                yield HASHED, self.hashes[:n][there], self.counts[:n][there]
+        else:
+            known = self.known[:n]
+            at = np.flatnonzero(there & known & ~self.before[:n])
             yield 1, pa.array([self.names[i] for i in at.tolist()], pa.binary()), self.counts[at]
-            yield 0, pa.array([b""], pa.binary()), self.counts.sum(keepdims=True)
+            if w.first:
+                yield HASHED, self.hashes[:n][there & ~known], self.counts[:n][there & ~known]
+                yield 0, pa.array([b""], pa.binary()), self.counts.sum(keepdims=True)
         self.parts, self.carried = [], 0
         self._renumber()
 
@@ -214,29 +237,39 @@ class _Counter:
             a = getattr(self, name)
             if len(a) < n:
                 setattr(self, name, np.concatenate([a, np.zeros(2 * n - len(a), a.dtype)]))
-        if self.wanted.words is not None and n > self.hashed:
-            at = slice(self.hashed, n)
-            h = np.array([word_hash(self.lang, w) for w in self.names[at]], np.uint64)
-            self.hashes[at], self.known[at], self.hashed = h, self.wanted.words.has(h), n
-            if self.wanted.words_before is not None:
-                self.before[at] = self.wanted.words_before.has(h)
+        if n > self.hashed:
+            at, w, seed = slice(self.hashed, n), self.wanted, self.seed
+            digest = xxhash.xxh64_intdigest
+            h = np.array([digest(x, seed) for x in self.names[at]], np.uint64)
+            self.hashes[at], self.hashed = h, n
+            if w.words is not None:
+                self.known[at] = w.words.has(h)
+            if w.words_before is not None:
+                self.before[at] = w.words_before.has(h)
 
     def _phrases(self, ids: np.ndarray, carried: int) -> Iterator[tuple]:
         w = self.wanted
-        known, before = self.known[ids], self.before[ids]
-        pair = known[:-1] & known[1:]
-        fresh = np.arange(1, len(ids)) >= carried        # phrases that end in a carried word have been counted
-        at = np.flatnonzero(pair & fresh & ~(before[:-1] & before[1:]))
-        yield from self._counted(ids, at, 2)
-        if w.pairs is None:
-            return
-        at = np.flatnonzero(pair)
+        known = self.known[ids]
+        at = np.flatnonzero(known[:-1] & known[1:])            # pairs of known words
         h = pair_hash(self.hashes[ids[at]], self.hashes[ids[at + 1]])
-        good, old = np.zeros(len(pair), bool), np.zeros(len(pair), bool)
-        good[at] = w.pairs.has(h)
-        if w.pairs_before is not None:
-            old[at] = w.pairs_before.has(h)
-        at = np.flatnonzero(good[:-1] & good[1:] & fresh[1:] & ~(old[:-1] & old[1:]))
+        fresh = at + 1 >= carried                              # phrases that end in a carried word have been counted
+        if w.sample:
+            yield HASHED, *np.unique(h[fresh], return_counts=True)
+            return
+        known_pair = w.pairs.has(h)
+        if w.first:
+            was, count = np.zeros(len(at), bool), known_pair
+            yield HASHED, *np.unique(h[fresh & ~known_pair], return_counts=True)
+        else:
+            before = self.before[ids]
+            both = before[at] & before[at + 1]
+            was = both & w.pairs_before.has(h)                 # counted as text, and so were triples of two such pairs
+            count = ~both | (known_pair & ~was) if w.second else ~both
+        yield from self._counted(ids, at[fresh & count], 2)
+        good, old = np.zeros(len(ids) - 1, bool), np.zeros(len(ids) - 1, bool)
+        good[at], old[at] = known_pair, was
+        fresh = np.arange(2, len(ids)) >= carried
+        at = np.flatnonzero(good[:-1] & good[1:] & fresh & ~(old[:-1] & old[1:]))
         yield from self._counted(ids, at, 3)
 
     def _counted(self, ids: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple]:
@@ -256,8 +289,8 @@ class _Counter:
 
 
 def count_phrases(docs: DataFrame, wanted: Wanted) -> DataFrame:
-    """``lang, words, phrase, n`` of ``docs(lang, text)``, summed over all texts; if words are
-    counted, a row with ``words = 0`` for all word occurrences of a language."""
+    """``lang, words, phrase, h, n`` of ``docs(lang, text)``, summed over all texts. What is counted as hashes has
+    ``h`` and nothing else; a first pass has a row with ``words = 0`` for all word occurrences of a language."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)      # at most four filters of bounded size
 
     def run(batches):
@@ -267,11 +300,14 @@ def count_phrases(docs: DataFrame, wanted: Wanted) -> DataFrame:
         def rows(lang, found):
             for length, phrases, n in found:
                 for i in range(0, len(n), 1 << 16):
-                    part = phrases.slice(i, 1 << 16).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int64))),
-                         pa.array(np.full(len(part), length, np.int32)), part, pa.array(n[i:i + (1 << 16)].astype(np.int64))],
-                        ["lang", "words", "phrase", "n"])
+                    part, many = phrases[i:i + (1 << 16)], pa.array(n[i:i + (1 << 16)].astype(np.int64))
+                    if length == HASHED:
+                        none = pa.nulls(len(part), pa.string())
+                        columns = [none, pa.nulls(len(part), pa.int32()), none, pa.array(part.view(np.int64)), many]
+                    else:
+                        columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), np.int64))),
+                                   pa.array(np.full(len(part), length, np.int32)), part.cast(pa.string()), pa.nulls(len(part), pa.int64()), many]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "h", "n"])
 
         def all_rows():
             for lang, c in counters.items():
@@ -289,25 +325,22 @@ def count_phrases(docs: DataFrame, wanted: Wanted) -> DataFrame:
                     yield from all_rows()
                     held = 0
         yield from all_rows()
-    d = docs.mapInArrow(run, "lang string, words int, phrase string, n long")
-    return d.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    d = docs.mapInArrow(run, "lang string, words int, phrase string, h long, n long")
+    keys = ["h"] if wanted.sample else ["lang", "words", "phrase", "h"]
+    return d.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 # ---- mining -----------------------------------------------------------------
 
-def _unknown(frequent: DataFrame, words: Filter, pairs: Filter) -> DataFrame:
-    """Frequent words and pairs that the filters do not know."""
-    shared = frequent.sparkSession.sparkContext.broadcast((words, pairs))
+def _unknown(pairs: DataFrame, known: Filter) -> DataFrame:
+    """``h`` of the pairs that the filter does not know."""
+    shared = pairs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        filters = shared.value
         for b in batches:
-            h = phrase_hashes(b.column(0).to_pylist(), b.column(2).to_pylist())
-            single = b.column(1).to_numpy() == 1
-            keep = ~np.where(single, filters[0].has(h), filters[1].has(h))
-            yield b.filter(pa.array(keep))
-    return frequent.where("words < 3").select("lang", "words", "phrase").mapInArrow(
-        run, "lang string, words int, phrase string")
+            h = phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(h[~shared.value.has(h)].view(np.int64))], ["h"])
+    return pairs.select("lang", "phrase").mapInArrow(run, "h long")
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_shares: int = SAMPLE_SHARES,
@@ -318,29 +351,25 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_shares:
     tables, and the number of passes over all documents.
     """
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample_shares)) == 0)
-    proposed = land(count_phrases(chosen, Wanted(True)).where(F.col("n") >= sample_min), "phrase-words")
+    proposed = land(count_phrases(chosen, Wanted(sample=True)).where(F.col("n") >= sample_min), "phrase-words")
     words = build_filter(proposed)
     release(proposed)
-    proposed = land(count_phrases(chosen, Wanted(False, words)).where(F.col("n") >= sample_min), "phrase-pairs")
+    proposed = land(count_phrases(chosen, Wanted(words, sample=True)).where(F.col("n") >= sample_min), "phrase-pairs")
     pairs = build_filter(proposed)
     release(proposed)
 
-    counted = land(count_phrases(docs, Wanted(True, words, pairs)).where((F.col("words") == 0) | (F.col("n") >= min_count)),
+    counted = land(count_phrases(docs, Wanted(words, pairs)).where((F.col("words") == 0) | (F.col("n") >= min_count)),
                    "phrase-frequent")
     totals = counted.where("words = 0").select("lang", "n")
-    frequent = new = counted.where("words > 0")
-    passes = 1
-    while True:
-        failed = land(_unknown(new, words, pairs), "phrase-border")
-        if failed.isEmpty():
-            release(failed)
-            break
-        more_words = build_filter(failed.where("words = 1"), words)
-        more_pairs = build_filter(failed.where("words = 2"), pairs)
-        release(failed)
-        new = land(count_phrases(docs, Wanted(False, more_words, more_pairs, words, pairs))
-                   .where(F.col("n") >= min_count), "phrase-frequent")
+    frequent = counted.where("words > 0").select("lang", "words", "phrase", "n")
+    failed, passes = counted.where("h is not null").select("h"), 1       # the border: what it has that is frequent
+    while not failed.isEmpty():
+        # words and pairs are told apart by nothing but their hash, so both filters learn all of them
+        more_words, more_pairs = build_filter(failed, words), build_filter(failed, pairs)
+        new = land(count_phrases(docs, Wanted(more_words, more_pairs, words, pairs, second=passes == 1)).where(F.col("n") >= min_count)
+                   .select("lang", "words", "phrase", "n"), "phrase-frequent")
         frequent, words, pairs, passes = frequent.unionByName(new), more_words, more_pairs, passes + 1
+        failed = land(_unknown(new.where("words = 2"), pairs), "phrase-border")
     return frequent, totals, passes
 
 
@@ -404,10 +433,13 @@ def mine_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     d = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.col(text).alias("text")).where("text is not null")
     frequent, totals, _ = frequent_phrases(d, min_count)
     s = score_phrases(frequent, min_superior_pct)
-    best = s.withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))).cast("long"))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    if top is not None:      # the best of each share first, so that the best of a language come from a bounded number of rows
+        share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order)
+        s = s.withColumn("__r", F.row_number().over(share)).where(F.col("__r") <= top).drop("__r")
+    best = s.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     if top is not None:
         best = best.where(F.col("rank") <= top)
-    t = totals.withColumnRenamed("n", "__n").withColumnRenamed("lang", "__lang")
-    return best.join(t, F.col("lang") == F.col("__lang")).select(
+    t = land(totals.select(F.col("n").alias("__n"), F.col("lang").alias("__lang")), "phrase-totals")
+    return best.join(bounded_side(t, 64), F.col("lang") == F.col("__lang")).select(
         "lang", "rank", "phrase", "a", "l", "r", F.col("__n").alias("n"), "score")

@@ -98,7 +98,7 @@ def test_stretches_and_text_parts_run_on(spark, monkeypatch):
         monkeypatch.setattr(phrases, "TEXT_PART", part)
         f, _ = occurrences(data)
         for lang in f:
-            c = phrases._Counter(lang.encode(), phrases.Wanted(True, everything, everything))
+            c = phrases._Counter(lang.encode(), phrases.Wanted(everything, everything))
             got = collections.Counter()
             for i, (g, t) in enumerate(data):
                 if g != lang:
@@ -107,9 +107,9 @@ def test_stretches_and_text_parts_run_on(spark, monkeypatch):
                 if held == 40 and i % 2:
                     found += list(c.finish())
                 for _, p, n in found:
-                    got.update(dict(zip(p.to_pylist(), n.tolist()))) if len(set(p.to_pylist())) == len(p) else 1 / 0
+                    got.update(dict(zip(p.tolist(), n.tolist()))) if len(set(p.tolist())) == len(p) else 1 / 0
             for _, p, n in c.finish():
-                for x, m in zip(p.to_pylist(), n.tolist()):
+                for x, m in zip(p.tolist(), n.tolist()):
                     got[x] += m
             total = got.pop(b"")
             assert got == {" ".join(p).encode(): n for p, n in f[lang].items()}
