@@ -127,11 +127,12 @@ class Model:
         if not words:
             return np.zeros(0), np.zeros(0)
         g, sizes = _grams(words)
+        g, at = np.unique(g, return_inverse=True)      # each gram once, and in order, which is how the tables lie
         p = np.full(len(g), 1.0 / (1 << BITS))
         for k, order in enumerate(self.shared, 1):
             p = self._interpolate(order, g & ((1 << BITS * k) - 1), p)
         ends = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        return tuple(np.add.reduceat(np.log(self._interpolate(t, g, p)), ends) for t in self.top)
+        return tuple(np.add.reduceat(np.log(self._interpolate(t, g, p))[at], ends) for t in self.top)
 
 
 COUNTS = ["ordinary", "toxic", "ordinary_back", "toxic_back"]
