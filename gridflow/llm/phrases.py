@@ -4,8 +4,9 @@ A sample of the documents proposes which words and pairs are frequent. One pass
 over all documents then counts what was proposed, triples of proposed pairs, and the negative
 border: all other words, and all other pairs of proposed words. Where something on the
 border turns out frequent, neither it nor the longer phrases that contain it have been counted in full: an
-expansion pass counts just those, until a pass brings nothing new. So the counts of all frequent phrases are exact and
-complete, whatever the sample held; a poor sample only costs another pass.
+expansion pass counts just those. It looks ahead to triples around every pair that may turn out frequent in it, so with three words
+at most its own border is counted too, and nothing is left for a further one. So the counts of all frequent phrases are exact and
+complete, whatever the sample held; a poor sample only makes the expansion larger.
 
 A phrase that counts travels as text, so no two are ever taken for one. The border, by far the larger
 part, travels as 64-bit hashes: the count of a hash is that of its phrase, or more if two phrases share it,
@@ -68,18 +69,6 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """Hashes of words and pairs."""
-    out = np.zeros(len(phrases), np.uint64)
-    seconds, at = np.zeros(len(phrases), np.uint64), np.zeros(len(phrases), bool)
-    for i, (lang, p) in enumerate(zip(langs, phrases)):
-        seed, words = lang_seed(lang.encode()), p.encode().split(b" ")
-        out[i] = xxhash.xxh64_intdigest(words[0], seed)
-        if len(words) > 1:
-            seconds[i], at[i] = xxhash.xxh64_intdigest(words[1], seed), True
-    return np.where(at, pair_hash(out, seconds), out)
-
-
 @dataclass
 class Filter:
     """Bits at two places per hash; ``words`` is little-endian, 64 bits each."""
@@ -134,8 +123,8 @@ def build_filter(hashes: DataFrame, least: Filter | None = None) -> Filter:
 class Wanted:
     """What a pass counts. ``words`` and ``pairs`` know what is taken for frequent.
 
-    As text: words and pairs that they know, pairs of words that ``words`` has come to know, triples of pairs that
-    ``pairs`` knows; without what the filters ``before`` knew. As hashes, in a first pass: all other words, and all other pairs
+    As text: words and pairs that they know, pairs with a word that ``words`` has come to know, triples of all these pairs; without
+    what the filters ``before`` knew. As hashes, in a first pass: all other words, and all other pairs
     of words that are known. ``sample``: words, or pairs of known words, as hashes only.
     """
 
@@ -144,7 +133,6 @@ class Wanted:
     words_before: Filter | None = None
     pairs_before: Filter | None = None
     sample: bool = False
-    second: bool = False      # the pass after the first, to which pairs have come from the border; later ones come from passes that counted them
 
     @property
     def first(self) -> bool:
@@ -264,7 +252,8 @@ class _Counter:
             before = self.before[ids]
             both = before[at] & before[at + 1]
             was = both & w.pairs_before.has(h)                 # counted as text, and so were triples of two such pairs
-            count = ~both | (known_pair & ~was) if w.second else ~both
+            count = ~both | (known_pair & ~was)
+            known_pair |= ~both                                # any of them may turn out frequent: their triples at once
         yield from self._counted(ids, at[fresh & count], 2)
         good, old = np.zeros(len(ids) - 1, bool), np.zeros(len(ids) - 1, bool)
         good[at], old[at] = known_pair, was
@@ -332,17 +321,6 @@ def count_phrases(docs: DataFrame, wanted: Wanted) -> DataFrame:
 
 # ---- mining -----------------------------------------------------------------
 
-def _unknown(pairs: DataFrame, known: Filter) -> DataFrame:
-    """``h`` of the pairs that the filter does not know."""
-    shared = pairs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches):
-        for b in batches:
-            h = phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(h[~shared.value.has(h)].view(np.int64))], ["h"])
-    return pairs.select("lang", "phrase").mapInArrow(run, "h long")
-
-
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_shares: int = SAMPLE_SHARES,
                      sample_min: int = SAMPLE_MIN) -> tuple[DataFrame, DataFrame, int]:
     """All phrases of one to three words with ``min_count`` occurrences in ``docs(lang, text)``.
@@ -363,13 +341,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample_shares:
     totals = counted.where("words = 0").select("lang", "n")
     frequent = counted.where("words > 0").select("lang", "words", "phrase", "n")
     failed, passes = counted.where("h is not null").select("h"), 1       # the border: what it has that is frequent
-    while not failed.isEmpty():
+    if not failed.isEmpty():
         # words and pairs are told apart by nothing but their hash, so both filters learn all of them
-        more_words, more_pairs = build_filter(failed, words), build_filter(failed, pairs)
-        new = land(count_phrases(docs, Wanted(more_words, more_pairs, words, pairs, second=passes == 1)).where(F.col("n") >= min_count)
-                   .select("lang", "words", "phrase", "n"), "phrase-frequent")
-        frequent, words, pairs, passes = frequent.unionByName(new), more_words, more_pairs, passes + 1
-        failed = land(_unknown(new.where("words = 2"), pairs), "phrase-border")
+        wanted = Wanted(build_filter(failed, words), build_filter(failed, pairs), words, pairs)
+        new = land(count_phrases(docs, wanted).where(F.col("n") >= min_count).select("lang", "words", "phrase", "n"), "phrase-frequent")
+        frequent, passes = frequent.unionByName(new), 2
     return frequent, totals, passes
 
 
