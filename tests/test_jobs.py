@@ -142,3 +142,18 @@ def test_files_of_different_layouts_parse_into_one_table(spark):
         parse_to_table(spark, docs, ["a", "b"], "main.mixed_none", selected_columns=["nothere"])
     r = parse_to_table(spark, docs, ["a", "b"], "main.mixed_schema", schema=[("n", "BIGINT"), ("k", "STRING")])
     assert (r.rows_inserted, r.rejects) == (1, 1)                 # 2.5 is no whole number
+
+
+def test_mixed_layouts_look_names_up_once_a_file(spark):
+    """Columns of files of different layouts are found by position, not by a search of the names in every row."""
+    from gridflow.plans.jobs import build_typed
+    from conftest import make_rows
+    a = make_rows(spark, [[("s", "A"), ("s", "B")], [("n", "1"), ("s", "x")], [("n", "2")]], "a")
+    b = make_rows(spark, [[("s", "B"), ("s", "C"), ("s", "A")], [("s", "y"), ("b", "true"), ("n", "3")]], "b")
+    typed, schema = build_typed(a.unionByName(b))
+    assert schema == [("A", "BIGINT"), ("B", "STRING"), ("C", "BOOLEAN")] or dict(schema)["A"] == "BIGINT"
+    got = sorted(((r["A"], r["B"], r["C"]) for r in typed.collect()), key=str)
+    assert [(x, y) for x, y, _ in got] == [(1, "x"), (2, None), (3, "y")]
+    assert [z is None for _, _, z in got] == [True, True, False]
+    plan = typed._jdf.queryExecution().analyzed().toString()
+    assert "array_position" not in plan and "array_contains" not in plan
