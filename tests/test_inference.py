@@ -86,3 +86,22 @@ def test_blank_rows_between_data_are_kept(spark):
     assert (shape["row_count"], shape["column_count"]) == (3, 2)
     types = {r["name"]: (r["type"], r["nullable"]) for r in infer_columns(rows, 0).collect()}
     assert types == {"a": ("DOUBLE", True), "b": ("DOUBLE", True)}
+
+
+def test_samples_are_cut_before_they_are_sorted(spark):
+    """Of 4,000 rows only a few cells a column and batch are sorted; missing cells, short rows and rows out of order count as ever."""
+    import pyarrow as pa
+
+    from gridflow.operators.grid import _first_values, column_samples
+    cells = lambda i: [("n", str(i)), ("s", "NA" if i % 4 else f"t{i}"), ("null", None)][: 3 if i % 7 else 2] + [("s", f"late{i}")] * (i > 3990)
+    data = [(f"f{i % 3}", 0, "S", i, [{"kind": a, "raw": b} for a, b in cells(i)]) for i in reversed(range(4000))]
+    df = spark.createDataFrame(data, "file_id string, sheet_ix int, sheet string, row_ix int, cells array<struct<kind:string,raw:string>>")
+    want = {}
+    for i in range(1, 4000):
+        for c, (a, b) in enumerate(cells(i)):
+            if a != "null" and b != "NA" and len(want.setdefault((f"f{i % 3}", c), [])) < 3:
+                want[f"f{i % 3}", c].append(b)
+    got = {(r["file_id"], r["col_ix"]): list(r["sample_values"]) for r in column_samples(df).collect()}
+    assert got == want
+    batch = pa.RecordBatch.from_pylist([{"file_id": f, "sheet": s, "row_ix": r, "cells": c} for f, _, s, r, c in data])
+    assert sum(b.num_rows for b in _first_values(3)([batch])) == sum(len(v) for v in want.values()) <= 40
