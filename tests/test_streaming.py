@@ -152,3 +152,25 @@ def test_debounce_random_keys_and_gaps(spark):
     events = [(rnd.choice(["a", "b", "hot", "hot", "hot"]), rnd.randint(0, 3000)) for _ in range(2500)]
     for gap, parts in ((0, 5), (1, 16), (2, 3), (10_000, 7)):
         assert fires(spark, events, gap, partitions=parts) == brute(events, gap)
+
+
+def test_marks_are_dealt_by_core_and_batches_by_session(spark, tmp_path, monkeypatch):
+    """A partition of the marks costs a Python worker in every batch: as many as cores, whatever shuffles of data use."""
+    import os
+
+    from gridflow.streaming import sync_stream as M
+    docs = spark.createDataFrame([(f"f{i}.xlsx", (f"f{i}.xlsx", 1, T0, T0), None, False) for i in range(20)], M.DOCUMENTS_DDL)
+    docs.write.parquet(str(tmp_path / "landing"))
+    seen = []
+    monkeypatch.setattr(M, "_load_changes", lambda s, changes, epoch, cfg: seen.append((s.conf.get(M.SHUFFLES), changes.count())))
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get(M.SHUFFLES)
+    spark.conf.set(M.SHUFFLES, str(cores + 5))
+    try:
+        for name, asked, want in (("a", None, cores), ("b", 2, 2)):
+            cfg = StreamConfig("marks_dealt.t", "marks_dealt.s", str(tmp_path / name), trigger="availableNow", state_partitions=asked)
+            stream_sync(spark, str(tmp_path / "landing"), cfg).awaitTermination()
+            assert len([d for d in os.listdir(tmp_path / name / "state" / "0") if d.isdigit()]) == want
+            assert spark.conf.get(M.SHUFFLES) == str(cores + 5)
+    finally:
+        spark.conf.set(M.SHUFFLES, before)
+    assert seen == [(str(cores + 5), 20)] * 2
