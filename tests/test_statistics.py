@@ -62,3 +62,14 @@ def test_sketches_are_near_the_truth_and_complex_columns_count(spark, tmp_path):
     assert (c["a"]["n_nulls"], c["a"]["n_inner_nulls"], c["a"]["min_num"], c["a"]["max_num"]) == (4000, 8000, 2.0, 2.0)
     assert c["a"]["n_distinct"] == 1 and c["m"]["max_num"] == 1.0 and c["st"]["n_nulls"] == 0 and c["st"]["n_distinct"] is None
     L.drop_loads(spark, store)
+
+
+def test_exact_distinct_counts_do_not_multiply_rows(spark):
+    from gridflow.operators.contracts import column_stats
+    d = spark.createDataFrame([(1, "a", 0.0, None), (1, None, -0.0, None), (None, "b", float("nan"), None), (2, "a", float("nan"), None)],
+                              "n int, s string, x double, e string")
+    got = column_stats(spark, {"t": d, "none": d.limit(0)}, "exact")
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["table_name"], r["column_name"]): (r["n_rows"], r["n_nulls"], r["n_distinct"]) for r in got.collect()} == {
+        ("t", "n"): (4, 1, 2), ("t", "s"): (4, 1, 2), ("t", "x"): (4, 0, 2), ("t", "e"): (4, 4, 0),
+        **{("none", c): (0, 0, 0) for c in d.columns}}
