@@ -57,3 +57,14 @@ def test_fixed_cell_join_sorts_no_data_rows(spark, tmp_path):
                                                                   {(k % 3, k // 32768) for k in (0, 1, 9, 32767, 32768, 40000, 200000)} | {(0, -1)}}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_two_sheets_are_made_in_one_pass(spark, tmp_path):
+    from gridflow.plans.stored_queries import _two_sheets
+    g = V.grid_v(spark, _odd(spark, tmp_path), 3)
+    two = _two_sheets(g)
+    assert _plan(two).count("Window") == 1 and _plan(two).count("FileScan") == 1
+    own = sorted(str(r) for r in g.collect())
+    assert sorted(str(r) for r in two.where("sheet_ix = 0").select(*g.columns).collect()) == own
+    data = g.where("row_ix > 2").selectExpr("file_id", "1 AS sheet_ix", "'Data only' AS sheet", "row_ix", "cells")
+    assert sorted(str(r) for r in two.where("sheet_ix = 1").collect()) == sorted(str(r) for r in data.collect())
