@@ -364,8 +364,7 @@ def _rebuild(spark: SparkSession, work: DataFrame, docs: DataFrame, mode: str) -
         ix = F.transform("cols", lambda c: F.when(F.array_contains(F.col("picked"), c["name"]),
                                                   F.array_position(F.col("names"), c["name"]) - 1).otherwise(-1).cast("int"))
         spec = files.join(columns, "target_table").select("target_table", *key, ix.alias("ix"))
-        staged = (rows.filter(F.col("sheet_ix") == 0).join(spec, "file_id").filter(F.col("row_ix") > F.col("header_row"))
-                  .select("target_table", F.transform("ix", lambda i: F.when(i >= 0, F.get(F.col("cells"), i))).alias("cells")))
+        staged = _staged(rows, spec)
         path = scratch_path(spark, "sync-staged")
         staged.write.partitionBy("target_table").parquet(path)
         todo = [(r["target_table"], [(c["name"], c["type"]) for c in r["cols"]]) for r in columns.toLocalIterator()]
@@ -389,6 +388,13 @@ def _rebuild(spark: SparkSession, work: DataFrame, docs: DataFrame, mode: str) -
         release(decoded)
 
 
+def _staged(rows: DataFrame, spec: DataFrame) -> DataFrame:
+    """``target_table, cells`` of the data rows of ``spec(target_table, file_id, header_row, ix)``: cells in the order of the
+    target's columns. A partition's share of the files is hashed, so rows are dealt by file but not sorted by its name."""
+    return (rows.filter(F.col("sheet_ix") == 0).join(spec.hint("shuffle_hash"), "file_id").filter(F.col("row_ix") > F.col("header_row"))
+            .select("target_table", F.transform("ix", lambda i: F.when(i >= 0, F.get(F.col("cells"), i))).alias("cells")))
+
+
 def _write_target(spark: SparkSession, staged: DataFrame, target: str, schema: list[tuple[str, str]]):
     """Replace one target with its staged rows: (target, rows, rejects, error)."""
     try:

@@ -68,3 +68,19 @@ def test_two_sheets_are_made_in_one_pass(spark, tmp_path):
     assert sorted(str(r) for r in two.where("sheet_ix = 0").select(*g.columns).collect()) == own
     data = g.where("row_ix > 2").selectExpr("file_id", "1 AS sheet_ix", "'Data only' AS sheet", "row_ix", "cells")
     assert sorted(str(r) for r in two.where("sheet_ix = 1").collect()) == sorted(str(r) for r in data.collect())
+
+
+def test_staging_sorts_no_rows_by_file(spark, tmp_path):
+    from gridflow.plans.jobs import _staged
+    rows = V.grid_v(spark, _odd(spark, tmp_path))
+    rows.write.parquet(str(tmp_path / "grid"))
+    rows = spark.read.parquet(str(tmp_path / "grid"))
+    spec = rows.where("row_ix = 0 AND file_id IS NOT NULL").selectExpr("'t' AS target_table", "file_id", "2 AS header_row", "array(1, -1, 0) AS ix")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = _staged(rows, spec)
+        assert "Sort" not in _plan(out)
+        want = rows.where("row_ix > 2 AND file_id IS NOT NULL").selectExpr("array(cells[1], null, cells[0]) AS cells")
+        assert sorted(str(r["cells"]) for r in out.collect()) == sorted(str(r["cells"]) for r in want.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
