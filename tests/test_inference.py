@@ -105,3 +105,22 @@ def test_samples_are_cut_before_they_are_sorted(spark):
     assert got == want
     batch = pa.RecordBatch.from_pylist([{"file_id": f, "sheet": s, "row_ix": r, "cells": c} for f, _, s, r, c in data])
     assert sum(b.num_rows for b in _first_values(3)([batch])) == sum(len(v) for v in want.values()) <= 40
+
+
+def test_columns_are_counted_in_one_pass(spark, tmp_path):
+    """The rows are scanned for counts once and for header rows once; a sheet without data rows and one without a header row stay."""
+    from conftest import make_rows
+    from gridflow.operators.grid import column_counts, infer_columns
+    head = [("s", "a"), ("s", "b"), None]
+    rows = make_rows(spark, [head, [("n", "1")], [("n", "2"), None, None, ("s", "x")]], "wide").unionByName(
+        make_rows(spark, [head], "empty")).unionByName(make_rows(spark, [[]], "blank")).unionByName(
+        make_rows(spark, [[], [("b", "true")]], "short").filter("row_ix > 0"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    got = {(r["file_id"], r["col_ix"]): (r["name"], r["n_rows"], r["c_int"], r["c_bool"], r["c_text"]) for r in column_counts(rows).collect()}
+    assert got == {("wide", 0): ("a", 2, 2, 0, 0), ("wide", 1): ("b", 2, 0, 0, 0), ("wide", 2): ("Unnamed: 2", 2, 0, 0, 0),
+                   ("wide", 3): ("Unnamed: 3", 2, 0, 0, 1), ("empty", 0): ("a", 0, 0, 0, 0), ("empty", 1): ("b", 0, 0, 0, 0),
+                   ("empty", 2): ("Unnamed: 2", 0, 0, 0, 0), ("short", 0): ("Unnamed: 0", 1, 0, 1, 0)}
+    for by_file in (True, False):
+        plan = infer_columns(rows, by_file=by_file)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 2 and plan.count("posexplode(concat") == 1
