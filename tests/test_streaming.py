@@ -174,3 +174,67 @@ def test_marks_are_dealt_by_core_and_batches_by_session(spark, tmp_path, monkeyp
     finally:
         spark.conf.set(M.SHUFFLES, before)
     assert seen == [(str(cores + 5), 20)] * 2
+
+
+def _marks_one_by_one(known, versions, expires):
+    """``pass_on`` file by file, on dictionaries: {file: (time, deleted, expires)} -> (what passed, the marks after)."""
+    marks, passed = dict(known), set()
+    for f in {v[0] for v in versions}:
+        best = max((v for v in versions if v[0] == f), key=lambda v: (v[2], v[1], max(v[3], 0), v[4]))
+        _, deleted, us, size, landed = best
+        mark = known.get(f)
+        gone = mark is not None and mark[1]
+        newer = mark is None or mark[0] == M_NONE or us > mark[0]
+        if deleted and (mark is None or gone or not (newer or us == mark[0])) or not deleted and not (gone or newer):
+            continue
+        marks[f] = (us, deleted, expires if deleted else M_NONE)
+        passed.add((f, deleted, us, size, landed, gone and not deleted))
+    return passed, marks
+
+
+M_NONE = -(1 << 63)
+
+
+def test_marks_of_a_group_are_those_of_each_file():
+    import pandas as pd
+
+    from gridflow.streaming.sync_stream import _MARKS, newest_versions, pass_on
+    rnd = random.Random(5)
+    stored, known = _MARKS.empty_table(), {}
+    for batch in range(40):
+        rows = [(f"f{rnd.randrange(12)}", rnd.random() < 0.3, rnd.choice([M_NONE, *range(6)]), rnd.choice([M_NONE, 0, 5, 9]), rnd.choice("xy"))
+                for _ in range(rnd.randrange(1, 15))]
+        rows = list({(r[0], r[1], r[2], max(r[3], 0), r[4]): r for r in rows}.values())      # no two that are as new as each other
+        frame = pd.DataFrame(rows, columns=["file_id", "deleted", "file_us", "file_size", "landed"])
+        changes, stored = pass_on(stored, newest_versions(frame), batch)
+        passed, known = _marks_one_by_one(known, rows, batch)
+        assert set(changes.itertuples(index=False, name=None)) == passed
+        assert {r["file_id"]: (r["file_us"], r["deleted"], r["expires"]) for r in stored.to_pylist()} == known
+
+
+def test_marks_of_many_files_are_kept_by_group(spark, tmp_path, monkeypatch):
+    """State is read and written by group of files: its rows do not grow with the files. A second stream run finds every mark."""
+    from gridflow.streaming import sync_stream as M
+    n = 4 * M.MARK_GROUPS
+    name = F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".xlsx"))
+    stamp = F.lit(T0).cast("timestamp_ntz")
+    docs = spark.range(n).select(name.alias("file_id"), F.struct(name.alias("name"), F.lit(1).cast("long").alias("size_in_bytes"), stamp.alias(
+        "last_modified_timestamp"), stamp.alias("created_timestamp")).alias("file_metadata"), F.lit(None).cast("binary").alias("content"),
+        F.lit(False).alias("is_deleted"))
+    seen = []
+    monkeypatch.setattr(M, "_load_changes", lambda s, changes, epoch, cfg: seen.append(changes.groupBy("deleted", "restored").count().collect()))
+    cfg = StreamConfig("marks_grouped.t", "marks_grouped.s", str(tmp_path / "ckpt"), trigger="availableNow", tombstone_hours=24)
+
+    def run(d):
+        d.write.mode("append").parquet(str(tmp_path / "landing"))
+        q = stream_sync(spark, str(tmp_path / "landing"), cfg)
+        q.awaitTermination()
+        return sum(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"])
+    rows = run(docs)
+    assert 0 < rows <= 2 * M.MARK_GROUPS < n
+    later = F.col("file_metadata").withField("last_modified_timestamp", F.lit(T0 + dt.timedelta(hours=1)).cast("timestamp_ntz"))
+    half = docs.where("file_id < 'f5'")
+    run(docs.where("file_id >= 'f5'").unionByName(half.withColumn("is_deleted", F.lit(True)).withColumn("file_metadata", later)))
+    run(docs)       # the deleted ones come back with their old time
+    k = half.count()
+    assert [[(r["deleted"], r["restored"], r["count"]) for r in b] for b in seen] == [[(False, False, n)], [(True, False, k)], [(False, True, k)]]
