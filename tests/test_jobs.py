@@ -157,3 +157,26 @@ def test_mixed_layouts_look_names_up_once_a_file(spark):
     assert [z is None for _, _, z in got] == [True, True, False]
     plan = typed._jdf.queryExecution().analyzed().toString()
     assert "array_position" not in plan and "array_contains" not in plan
+
+
+def test_casting_rows_is_compiled(spark):
+    """The code generated for casting a table's rows must stay within what the JVM compiles (8,000 bytes a method): with cell,
+    cast and reject flag in one projection it did not, and casting took ten times as long."""
+    from conftest import make_rows
+    from gridflow.plans.jobs import build_typed
+    schema = [("Date", "TIMESTAMP"), ("SKU", "STRING"), ("Qty", "BIGINT"), ("Price", "DOUBLE"), ("Open", "BOOLEAN")]
+    grid = [[("s", n) for n, _ in schema], [("d", "2024-01-02 00:00:00"), ("s", "SKU1"), ("n", "17.0"), ("n", "2.5"), ("b", "true")],
+            [("s", "soon"), None, ("s", "x"), ("s", "n/a"), ("s", "TRUE")], [("d", "2024-01-03 00:00:00")]]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")      # its plans are made while they run
+    try:
+        out, _ = build_typed(make_rows(spark, grid), 0, None, None, schema, keys=("file_id",))
+        plan = out._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert out.columns == ["file_id", "Date", "SKU", "Qty", "Price", "Open", "_rejected"]
+    assert [(str(r["Date"]), *r[2:]) for r in out.collect()] == [
+        ("2024-01-02 00:00:00", "SKU1", 17, 2.5, True, False), ("None", None, None, None, True, True), ("2024-01-03 00:00:00", None, None, None, None, False)]
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert sizes and max(sizes) <= 8000, sizes
