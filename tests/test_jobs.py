@@ -180,3 +180,19 @@ def test_casting_rows_is_compiled(spark):
     code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(plan)
     sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
     assert sizes and max(sizes) <= 8000, sizes
+
+
+def test_mixed_layouts_are_counted_once(spark, monkeypatch):
+    """Types, the layout check and the places of columns come from one count of the cells."""
+    from gridflow.operators import grid as G
+    from gridflow.plans import jobs
+    book = lambda *names: write_workbook([("S", [(0, [("s", n) for n in names]), (1, [("n", str(i)) for i in range(len(names))])])])
+    calls, count = [], G.column_counts
+    monkeypatch.setattr(G, "column_counts", lambda *a, **k: calls.append(a) or count(*a, **k))
+    for i, (files, want) in enumerate((({"a": book("x", "y"), "b": book("y", "z", "x")}, [(0, 1, None), (2, 0, 1)]),
+                                       ({"a": book("x", "y"), "b": book("x", "y")}, [(0, 1), (0, 1)]))):
+        calls.clear()
+        r = jobs.parse_to_table(spark, workbook_doc(spark, files), None, f"main.counted_{i}")
+        assert len(calls) == 1 and r.rows_inserted == 2 and r.rejects == 0
+        assert sorted(map(tuple, spark.table(f"main.counted_{i}").collect()), key=str) == sorted(want, key=str)
+        spark.sql(f"DROP TABLE main.counted_{i}")
